@@ -9,6 +9,7 @@ from .registry import REGISTRY, Entry
 MODULES = [
     "soft_label_queries",
     "space_queries",
+    "text_queries",
 ]
 
 

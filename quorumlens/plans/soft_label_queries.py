@@ -132,7 +132,7 @@ def agreement_bulk(t: Tables) -> DataFrame:
 
 
 @query("rounded_soft_label_L8", uses="soft", sql="""
-    SELECT item, round(-sum(r * log2(r)), 6) + 0.0 AS entropy_rounded, max(r) AS top_p_rounded
+    SELECT item, round(round(-sum(r * log2(r)), 8), 6) + 0.0 AS entropy_rounded, max(r) AS top_p_rounded
     FROM (SELECT item, round(p, 8) AS r FROM soft) GROUP BY item""")
 def rounded_soft_label(t: Tables) -> DataFrame:
     return sl.rounded_soft_labels(t.votes, ITEM).select("item", r6("entropy_rounded"), "top_p_rounded")
