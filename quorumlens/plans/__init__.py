@@ -10,6 +10,7 @@ MODULES = [
     "soft_label_queries",
     "space_queries",
     "text_queries",
+    "model_queries",
 ]
 
 

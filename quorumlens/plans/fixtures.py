@@ -100,7 +100,8 @@ class Tables:
     @cached_property
     def dist(self) -> DataFrame:
         """Dense region distribution per item: item, dist array, with turn columns."""
-        d = mem.dense_regions(self.regional, ITEM, REGIONS)
+        # Nine decimals, so that tied regions are tied in every engine.
+        d = mem.dense_regions(self.regional, ITEM, REGIONS).withColumn("dist", F.transform("dist", lambda x: F.round(x, 9)))
         return self.turns.join(d, "item").join(self.item_conf, "item")
 
     @cached_property
@@ -195,7 +196,7 @@ CTES: dict[str, tuple[str, str]] = {
         SELECT item, region, sum(p * m) AS p FROM soft JOIN membership USING (label) GROUP BY item, region
         HAVING sum(p * m) > 1e-12"""),
     "dist": ("turns regional item_conf", f"""
-        SELECT t.*, r.region, coalesce(x.p, 0.0) AS p, c.mean_conf FROM turns t
+        SELECT t.*, r.region, round(coalesce(x.p, 0.0), 9) AS p, c.mean_conf FROM turns t
         CROSS JOIN (SELECT unnest(range(0, {REGIONS})) AS region) r
         LEFT JOIN regional x ON x.item = t.item AND x.region = r.region JOIN item_conf c ON c.item = t.item"""),
     "label_vectors": ("votes", """

@@ -15,7 +15,12 @@ QueryFn = Callable[[Tables], DataFrame]
 @dataclass(frozen=True)
 class Entry:
     run: Callable[[SparkSession, str], DataFrame]
-    sql: str | None
+    body: str | None
+    uses: str
+
+    @property
+    def sql(self) -> str | None:
+        return with_ctes(self.uses, self.body) if self.body else None
 
 
 REGISTRY: dict[str, Entry] = {}
@@ -30,7 +35,7 @@ def query(name: str, sql: str | None = None, uses: str = "") -> Callable[[QueryF
 
         if name in REGISTRY:
             raise ValueError(f"query {name} registered twice")
-        REGISTRY[name] = Entry(run, with_ctes(uses, sql) if sql else None)
+        REGISTRY[name] = Entry(run, sql, uses)
         return fn
 
     return register

@@ -12,9 +12,10 @@ from ..functions.keys import hash60
 from ..operators import membership as mem
 from ..operators import quality as Q
 from ..operators import sequence as seq
+from ..operators import similarity as sim
 from ..operators import softlabel as sl
 from ..operators import transition as tr
-from .fixtures import CTES, ITEM, REGIONS, Tables, r6
+from .fixtures import CTES, ITEM, LABELS, REGIONS, Tables, r6
 from .registry import query
 
 LN_C = f"ln({REGIONS}.0::double)"
@@ -217,10 +218,9 @@ def boundary_candidates(t: Tables) -> DataFrame:
 
 
 def label_cosines(t: Tables) -> DataFrame:
-    """Cosine of every ordered pair of distinct labels; labels are a bounded vocabulary."""
-    v = t.label_vectors
-    a, b = v.select(F.col("label").alias("src"), F.col("v").alias("va")), v.select(F.col("label").alias("dst"), F.col("v").alias("vb"))
-    return a.join(b, F.col("src") != F.col("dst")).select("src", "dst", D.cosine(F.col("va"), F.col("vb")).alias("w"))
+    """Cosine of every ordered pair of labels."""
+    long = t.label_vectors.select("label", F.posexplode("v").alias("bucket", "x"))
+    return sim.context_similarity(long, LABELS, "x", clip=False)
 
 
 def sharp(t: Tables) -> DataFrame:
