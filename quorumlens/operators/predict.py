@@ -369,18 +369,18 @@ def threshold_scan(rows: DataFrame, label: str, prob: str, fixed: Sequence[float
     later = Window.orderBy(F.desc("_b")).rowsBetween(Window.unboundedPreceding, -1)  # one row per block
     blocks = b.groupBy("_b").agg(F.sum("pos").alias("bp"), F.sum("n").alias("bn"))
     blocks = blocks.select("_b", F.coalesce(F.sum("bp").over(later), F.lit(0)).alias("ap"), F.coalesce(F.sum("bn").over(later), F.lit(0)).alias("an"))
-    total = rows.agg(F.sum(label).alias("P"), F.count(F.lit(1)).alias("N"), F.avg(prob).alias("mean_prob"))
+    total = rows.agg(F.sum(label).alias("positives"), F.count(F.lit(1)).alias("total"), F.avg(prob).alias("mean_prob"))
     inside = Window.partitionBy("_b").orderBy(F.desc("t"))
     c = b.join(blocks, "_b").crossJoin(F.broadcast(total))  # one-row side
     tp = F.sum("pos").over(inside) + F.col("ap")
     pp = F.sum("n").over(inside) + F.col("an")
-    c = c.select("t", tp.alias("tp"), pp.alias("pp"), "P", "N", "mean_prob")
+    c = c.select("t", tp.alias("tp"), pp.alias("pp"), "positives", "total", "mean_prob")
     prec = F.col("tp") / F.greatest(F.col("pp"), F.lit(1))
-    rec = F.col("tp") / F.greatest(F.col("P"), F.lit(1))
-    acc = (2 * F.col("tp") + F.col("N") - F.col("pp") - F.col("P")) / F.greatest(F.col("N"), F.lit(1))
-    f1 = F.when(F.col("tp") > 0, 2.0 * F.col("tp") / (F.col("pp") + F.col("P"))).otherwise(0.0)
+    rec = F.col("tp") / F.greatest(F.col("positives"), F.lit(1))
+    acc = (2 * F.col("tp") + F.col("total") - F.col("pp") - F.col("positives")) / F.greatest(F.col("total"), F.lit(1))
+    f1 = F.when(F.col("tp") > 0, 2.0 * F.col("tp") / (F.col("pp") + F.col("positives"))).otherwise(0.0)
     return c.select(F.col("t").alias("threshold"), prec.alias("precision"), rec.alias("recall"), f1.alias("f1"), acc.alias("accuracy"),
-                    (F.col("P") / F.col("N")).alias("positive_rate"), (F.col("pp") / F.col("N")).alias("predicted_rate"), "mean_prob")
+                    (F.col("positives") / F.col("total")).alias("positive_rate"), (F.col("pp") / F.col("total")).alias("predicted_rate"), "mean_prob")
 
 
 def best_threshold(scan: DataFrame) -> DataFrame:

@@ -108,23 +108,15 @@ class Tables:
     def label_vectors(self) -> DataFrame:
         """label, v array of 4: derived from the labels that occur in the votes."""
         seen = self.votes.select("label").distinct()
-        return seen.select(
-            "label",
-            F.transform(
-                F.sequence(F.lit(0), F.lit(3)),
-                lambda d: (hash60(F.lit("v"), F.col("label"), d) % 1000).cast("double") / 1000.0 - 0.5,
-            ).alias("v"),
-        )
+        part = lambda d: (hash60(F.lit("v"), F.col("label"), F.lit(d)) % 1000).cast("double") / 1000.0 - 0.5
+        return seen.select("label", F.array(*[part(d) for d in range(4)]).alias("v"))
 
     @cached_property
     def preds(self) -> DataFrame:
         """A soft prediction for every item: gold mixed with hashed noise.  item, split, role, gold, pred."""
         d = self.dist.withColumnRenamed("dist", "gold")
-        raw = F.transform(
-            F.sequence(F.lit(0), F.lit(REGIONS - 1)),
-            lambda j: F.lit(0.05) + F.element_at("gold", j + 1) * 0.6
-            + (hash60(F.lit("n"), F.col("item"), j) % 100).cast("double") / 200.0,
-        )
+        noise = lambda j: (hash60(F.lit("n"), F.col("item"), F.lit(j)) % 100).cast("double") / 200.0
+        raw = F.array(*[F.lit(0.05) + F.element_at("gold", j + 1) * 0.6 + noise(j) for j in range(REGIONS)])
         total = F.aggregate("_raw", F.lit(0.0), lambda s, x: s + x)
         return (
             d.withColumn("_raw", raw)

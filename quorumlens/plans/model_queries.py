@@ -241,9 +241,9 @@ def exploded_samples(t: Tables) -> DataFrame:
     s AS (SELECT q.item, q.region, l.label, round(sum(q.x * l.x) / greatest(sqrt(sum(q.x * q.x)) * sqrt(sum(l.x * l.x)), 1e-12), 12) AS sim
       FROM qv q JOIN local_vec l ON l.region = q.region AND l.d = q.d GROUP BY ALL),
     k AS (SELECT *, exp(sim / 0.15::double) AS e FROM (SELECT *, row_number() OVER (PARTITION BY item, region ORDER BY sim DESC, label) AS r FROM s) WHERE r <= 5)
-    SELECT item, region AS target, any_value(n) AS labels, round(max(e / te), 6) AS top_weight, round(sum(e / te * v.x), 6) + 0.0 AS affect_0 FROM (
+    SELECT k.item, k.region AS target, any_value(n) AS labels, round(max(e / te), 6) AS top_weight, round(sum(e / te * v.x), 6) + 0.0 AS affect_0 FROM (
       SELECT *, sum(e) OVER (PARTITION BY item, region) AS te, count(*) OVER (PARTITION BY item, region) AS n FROM k) k
-    JOIN local_vec v ON v.region = k.region AND v.label = k.label AND v.d = 0 GROUP BY item, target""")
+    JOIN local_vec v ON v.region = k.region AND v.label = k.label AND v.d = 0 GROUP BY k.item, k.region""")
 def output_distribution(t: Tables) -> DataFrame:
     q = conditioned(t).select("item", F.col("region").alias("target"), F.col("vector").alias("predicted"))
     local = local_table(t).select("label", "region", F.col("local_vector").alias("v"))
