@@ -47,10 +47,10 @@ def positions(
     )
     local = Window.partitionBy(*keys, "_blk").orderBy(*[_order_col(c) for c in order])
     return (
-        staged.withColumn("_r", F.row_number().over(local))
+        staged.withColumn("_local", F.row_number().over(local))
         .join(offsets, [*keys, "_blk"])
-        .withColumn(out, (F.col("_before") + F.col("_r") - 1).cast("long"))
-        .drop("_blk", "_r", "_before")
+        .withColumn(out, (F.col("_before") + F.col("_local") - 1).cast("long"))
+        .drop("_blk", "_local", "_before")
     )
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import dist as D
 from ..functions import ranking
 from ..functions.keys import hash60, small_side
+from ..functions.lineage import checkpointed
 from ..functions.moments import add_arrays
 
 # Verdicts of a rater, and the normal quantile of a 95 % interval.
@@ -53,6 +54,7 @@ def draws(units: DataFrame, n: int, replicates: int, seed: object) -> DataFrame:
 
 def resampled_sums(units: DataFrame, order: Sequence[str], sums: Sequence[str], block: Column, replicates: int, seed: object) -> DataFrame:
     """Per replicate the sums of columns over units drawn with replacement.  units: one row per unit."""
+    units = checkpointed(units)  # read three times below
     placed = ranking.positions(units, [], list(order), block, "pos")
     n = units.count()
     drawn = draws(units, n, replicates, seed).join(placed.select("pos", *sums), "pos")
@@ -228,7 +230,7 @@ def paired_bootstrap(
     """
     finite = scores.filter(F.col(metric).isNotNull() & ~F.isnan(metric) & (F.abs(F.col(metric)) < float("inf")))
     pick = lambda s, n: finite.filter(F.col("system") == s).select("example", F.col(metric).alias(n))
-    j = pick(system_a, "a").join(pick(system_b, "b"), "example").withColumn("delta", F.col("a") - F.col("b"))
+    j = checkpointed(pick(system_a, "a").join(pick(system_b, "b"), "example").withColumn("delta", F.col("a") - F.col("b")))
     units = j.withColumn("_one", F.lit(1))
     s = resampled_sums(units, ["example"], ["delta", "_one"], block, replicates, seed)
     reps = s.select((F.col("delta") / F.col("_one")).alias("d"))

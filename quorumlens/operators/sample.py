@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import ranking
 from ..functions.keys import hash60
+from ..functions.lineage import checkpointed
 
 
 def entropy_tertiles(rows: DataFrame, entropy: str, ids: Sequence[str], width: float = 0.001) -> DataFrame:
@@ -71,10 +72,10 @@ def diverse_sample(rows: DataFrame, stratum: str, facets: Sequence[str], conv: s
     """
     one = one_per_conversation(rows, conv, ids, seed).withColumn("_h", hash60(F.lit(str(seed)), *[F.col(c) for c in ids]))
     levels = [[stratum, *facets[:i]] for i in range(len(facets), -1, -1)]
-    ranked = ranking.positions(one, levels[0], ["_h", *ids], F.shiftright("_h", 48), "_r")
+    ranked = ranking.positions(checkpointed(one), levels[0], ["_h", *ids], F.shiftright("_h", 48), "_r")
     for level in levels[1:]:
         # At most one row per cell below shares a rank, so blocks of 64 ranks stay small.
-        ranked = ranking.positions(ranked, level, ["_r", "_h", *ids], F.floor(F.col("_r") / 64), "_next")
+        ranked = ranking.positions(checkpointed(ranked), level, ["_r", "_h", *ids], F.floor(F.col("_r") / 64), "_next")
         ranked = ranked.drop("_r").withColumnRenamed("_next", "_r")
     return ranked.filter(F.col("_r") < per_stratum).drop("_r", "_h")
 

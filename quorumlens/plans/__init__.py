@@ -11,6 +11,8 @@ MODULES = [
     "space_queries",
     "text_queries",
     "model_queries",
+    "selection_queries",
+    "source_queries",
 ]
 
 

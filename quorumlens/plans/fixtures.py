@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import ranking
 from ..functions.keys import hash60, item_key
+from ..functions.lineage import checkpointed
 from ..operators import membership as mem
 from ..operators import sequence as seq
 from ..operators import softlabel as sl
@@ -30,6 +31,26 @@ def r6(c: Column | str, name: str | None = None) -> Column:
     return out.alias(name or (c if isinstance(c, str) else "value"))
 
 
+# Stand-in inputs already written in this application, by (application, folder, table).
+_STORED: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def stored(build):
+    """A stand-in input table: derived from the driver tables once per application and kept as a checkpoint.
+
+    In production these tables (turns, votes, predictions, responses) are files; queries start from them.
+    """
+
+    def get(self: Tables) -> DataFrame:
+        key = (self.spark.sparkContext.applicationId, self.sf_dir, build.__name__)
+        if key not in _STORED:
+            _STORED[key] = checkpointed(build(self))
+        return _STORED[key]
+
+    get.__doc__ = build.__doc__
+    return property(get)
+
+
 class Tables:
     """Driver tables of one scale and the tables derived from them."""
 
@@ -40,7 +61,7 @@ class Tables:
     def read(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
-    @cached_property
+    @stored
     def turns(self) -> DataFrame:
         spoken = self.read("conversations").filter(F.col("role").isin("user", "assistant"))
         numbered = ranking.positions(
@@ -58,7 +79,7 @@ class Tables:
             "text",
         )
 
-    @cached_property
+    @stored
     def votes(self) -> DataFrame:
         ann = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(ANNOTATORS - 1).cast("long"))).alias("annotator")
         rows = self.turns.select("item", "split", "conv_id", "turn", "role", ann)
@@ -72,7 +93,7 @@ class Tables:
             (1 + F.col("_hc") % 5).alias("confidence"),
         )
 
-    @cached_property
+    @stored
     def membership(self) -> DataFrame:
         label = self.spark.range(LABELS).select(F.col("id").alias("label"))
         l = F.col("label")
@@ -100,18 +121,20 @@ class Tables:
     @cached_property
     def dist(self) -> DataFrame:
         """Dense region distribution per item: item, dist array, with turn columns."""
-        # Nine decimals, so that tied regions are tied in every engine.
-        d = mem.dense_regions(self.regional, ITEM, REGIONS).withColumn("dist", F.transform("dist", lambda x: F.round(x, 9)))
+        # Nine decimals before the final normalisation, so that tied regions are tied in every engine.
+        d = mem.dense_regions(self.regional, ITEM, REGIONS).withColumn("_d", F.transform("dist", lambda x: F.round(x, 9)))
+        d = d.withColumn("_t", F.aggregate("_d", F.lit(0.0), lambda s, x: s + x))
+        d = d.select("item", F.transform("_d", lambda x: x / F.col("_t")).alias("dist"))
         return self.turns.join(d, "item").join(self.item_conf, "item")
 
-    @cached_property
+    @stored
     def label_vectors(self) -> DataFrame:
         """label, v array of 4: derived from the labels that occur in the votes."""
         seen = self.votes.select("label").distinct()
         part = lambda d: (hash60(F.lit("v"), F.col("label"), F.lit(d)) % 1000).cast("double") / 1000.0 - 0.5
         return seen.select("label", F.array(*[part(d) for d in range(4)]).alias("v"))
 
-    @cached_property
+    @stored
     def preds(self) -> DataFrame:
         """A soft prediction for every item: gold mixed with hashed noise.  item, split, role, gold, pred."""
         d = self.dist.withColumnRenamed("dist", "gold")
@@ -129,7 +152,7 @@ class Tables:
         """Typed lag-1 and lag-2 pairs of items."""
         return seq.typed_pairs(self.turns, ["split", "conv_id"], "turn", ["item", "role"])
 
-    @cached_property
+    @stored
     def examples(self) -> DataFrame:
         """Response examples: each B turn that has a previous turn, with that turn as context."""
         nxt = ranking.ahead(self.turns, ["split", "conv_id"], "turn", ["item", "turn", "role", "text"], (1,))
@@ -138,7 +161,7 @@ class Tables:
             F.col("next1.turn").alias("turn"), F.col("text").alias("context"), F.col("next1.text").alias("reference"),
         )
 
-    @cached_property
+    @stored
     def responses(self) -> DataFrame:
         """Three derived systems: `echo` repeats the context, `trim` drops short words, `polite` adds a phrase."""
         words = F.regexp_extract_all(F.lower("reference"), F.lit("([a-z0-9']+)"), F.lit(1))
@@ -188,9 +211,10 @@ CTES: dict[str, tuple[str, str]] = {
         SELECT item, region, sum(p * m) AS p FROM soft JOIN membership USING (label) GROUP BY item, region
         HAVING sum(p * m) > 1e-12"""),
     "dist": ("turns regional item_conf", f"""
-        SELECT t.*, r.region, round(coalesce(x.p, 0.0), 9) AS p, c.mean_conf FROM turns t
+        SELECT * EXCLUDE (q), q / sum(q) OVER (PARTITION BY item) AS p FROM (
+        SELECT t.*, r.region, round(coalesce(x.p, 0.0), 9) AS q, c.mean_conf FROM turns t
         CROSS JOIN (SELECT unnest(range(0, {REGIONS})) AS region) r
-        LEFT JOIN regional x ON x.item = t.item AND x.region = r.region JOIN item_conf c ON c.item = t.item"""),
+        LEFT JOIN regional x ON x.item = t.item AND x.region = r.region JOIN item_conf c ON c.item = t.item)"""),
     "label_vectors": ("votes", """
         SELECT label, d, (('0x'||substr(md5(concat_ws('|', 'v', label, d)),1,15))::bigint % 1000)::double / 1000 - 0.5 AS x
         FROM (SELECT DISTINCT label FROM votes) CROSS JOIN (SELECT unnest(range(0, 4)) AS d)"""),
