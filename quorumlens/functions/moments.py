@@ -34,6 +34,20 @@ def add_arrays(df: DataFrame, keys: Sequence[str], cols: Sequence[str], fan_in:
     return first.groupBy(*keys).applyInPandas(_adder(keys, cols, False), types).select(*order)
 
 
+def scatterer():
+    """Function that turns sparse rows (index arrays, value arrays) into a dense matrix; shipped by value."""
+
+    def scatter(index, values, width: int):
+        index, values = list(index), list(values)
+        out = np.zeros((len(index), width))
+        if index:
+            rows = np.repeat(np.arange(len(index)), [len(i) for i in index])
+            out[rows, np.concatenate(index).astype(int)] = np.concatenate(values)
+        return out
+
+    return scatter
+
+
 def pair_moments(pairs: DataFrame, dim: int) -> DataFrame:
     """Moments of z = (x, 1, y) per (pair, source, target), weighted and unweighted.
 
@@ -44,48 +58,42 @@ def pair_moments(pairs: DataFrame, dim: int) -> DataFrame:
     """
     size = 2 * dim + 1
 
-    def partial(batches):
-        import numpy as np
-        import pandas as pd
+    def regions_of(index, shares, vectors):
+        """region -> (rows, shares, vectors) of a batch."""
+        counts = [len(i) for i in index]
+        rows, region = np.repeat(np.arange(len(counts)), counts), np.concatenate(list(index))
+        share, vector = np.concatenate(list(shares)), np.concatenate(list(vectors)).reshape(-1, dim)
+        return {r: (rows[region == r], share[region == r], vector[region == r]) for r in np.unique(region)}
 
+    def partial(batches):
         acc: dict = {}
         for pdf in batches:
             for kind, part in pdf.groupby("pair", sort=False):
-                left = _by_region(part["s_vecs"].to_numpy(), dim)
-                right = _by_region(part["t_vecs"].to_numpy(), dim)
+                left, right = regions_of(part["sr"], part["sp"], part["sv"]), regions_of(part["tr"], part["tp"], part["tv"])
                 w = part["w"].to_numpy(dtype=float)
-                for i, (ps, xs, rows_i) in left.items():
-                    for j, (pt, ys, rows_j) in right.items():
+                for i, (rows_i, ps, xs) in left.items():
+                    for j, (rows_j, pt, ys) in right.items():
                         both, ai, bj = np.intersect1d(rows_i, rows_j, assume_unique=True, return_indices=True)
                         weight = w[both] * ps[ai] * pt[bj]
                         keep = weight > 0
                         if not keep.any():
                             continue
                         weight = weight[keep]
-                        z = np.hstack([xs[ai][keep], np.ones((keep.sum(), 1)), ys[bj][keep]])
+                        z = np.hstack([xs[ai][keep], np.ones((len(weight), 1)), ys[bj][keep]])
                         cell = acc.setdefault((kind, i, j), [np.zeros(3), np.zeros((size, size)), np.zeros((size, size))])
-                        cell[0] += [keep.sum(), weight.sum(), (weight * weight).sum()]
+                        cell[0] += [len(weight), weight.sum(), (weight * weight).sum()]
                         cell[1] += (z * weight[:, None]).T @ z
                         cell[2] += z.T @ z
         if acc:
             yield pd.DataFrame(
-                [(k[0], k[1], k[2], c[0].tolist(), c[1].ravel().tolist(), c[2].ravel().tolist()) for k, c in acc.items()],
+                [(k[0], int(k[1]), int(k[2]), c[0].tolist(), c[1].ravel().tolist(), c[2].ravel().tolist()) for k, c in acc.items()],
                 columns=["pair", "source", "target", "head", "mw", "mu"],
             )
 
-    def _by_region(lists, dim):
-        import numpy as np
-
-        found: dict = {}
-        for row, entries in enumerate(lists):
-            for e in entries:
-                found.setdefault(e["region"], []).append((row, e["p"], e["vector"]))
-        return {
-            r: (np.array([x[1] for x in v], dtype=float), np.stack([np.asarray(x[2], dtype=float) for x in v]),
-                np.array([x[0] for x in v]))
-            for r, v in found.items()
-        }
-
     schema = "pair string, source long, target long, head array<double>, mw array<double>, mu array<double>"
-    return add_arrays(pairs.select("pair", "w", "s_vecs", "t_vecs").mapInPandas(partial, schema),
+    flat = pairs.filter((F.size("s_vecs") > 0) & (F.size("t_vecs") > 0)).select("pair", "w", *[
+        c for side in "st" for c in (
+            F.col(f"{side}_vecs.region").alias(f"{side}r"), F.col(f"{side}_vecs.p").alias(f"{side}p"), F.flatten(F.col(f"{side}_vecs.vector")).alias(f"{side}v"))
+    ])
+    return add_arrays(flat.mapInPandas(partial, schema),
                       ["pair", "source", "target"], ["head", "mw", "mu"])

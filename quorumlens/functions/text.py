@@ -151,6 +151,11 @@ def trigrams(toks: Column) -> Column:
     return F.filter(F.zip_with(bigrams(toks), nxt, lambda a, b: F.concat(a, F.lit(" "), b)), lambda g: g.isNotNull())
 
 
+def neighbours_equal(toks: Column) -> Column:
+    """Per position whether the next token is the same; null at the last one."""
+    return F.zip_with(toks, F.slice(toks, F.lit(2), F.greatest(F.size(toks), F.lit(1))), lambda a, b: a == b)
+
+
 def duplicates(items: Column) -> Column:
     return F.size(items) - F.size(F.array_distinct(items))
 
@@ -203,7 +208,9 @@ def repetition_rules_a(c: Column, toks: Column, tri: Column) -> Column:
                     lambda s: F.trim(F.regexp_replace(F.lower(s), r"[^a-z0-9']+", " "))),
         lambda s: s != "",
     )
-    triple = F.exists(tri, lambda g: F.regexp_like(g, F.lit(r"^(\S+) \1 \1$")))
+    twice = neighbours_equal(toks)
+    after = F.slice(twice, F.lit(2), F.greatest(F.size(twice), F.lit(1)))
+    triple = F.coalesce(F.exists(F.zip_with(twice, after, lambda a, b: a & b), lambda x: x), F.lit(False))
     return triple | (duplicates(tri) > 0) | (duplicates(sentences) > 0)
 
 
@@ -218,7 +225,7 @@ def duplicate_rate(items: Column) -> Column:
     return F.when(F.size(items) > 0, duplicates(items) / F.size(items)).otherwise(0.0)
 
 
-def repetition_rules_d(toks: Column, bi: Column) -> Column:
+def repetition_rules_d(toks: Column) -> Column:
     """X11: a token at least three times, or twice in a row.
 
     Sorted tokens put copies side by side, so "three times" is a comparison two places apart.
@@ -226,7 +233,7 @@ def repetition_rules_d(toks: Column, bi: Column) -> Column:
     s = F.sort_array(toks)
     third = F.slice(s, F.lit(3), F.greatest(F.size(s), F.lit(1)))
     thrice = F.exists(F.zip_with(s, third, lambda a, b: a == b), lambda x: F.coalesce(x, F.lit(False)))
-    pair = F.exists(bi, lambda g: F.regexp_like(g, F.lit(r"^(\S+) \1$")))
+    pair = F.exists(neighbours_equal(toks), lambda x: x)
     return F.coalesce(thrice, F.lit(False)) | F.coalesce(pair, F.lit(False))
 
 

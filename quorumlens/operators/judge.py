@@ -11,7 +11,7 @@ from ..functions import dist as D
 from ..functions import ranking
 from ..functions.keys import hash60, small_side
 from ..functions.lineage import checkpointed
-from ..functions.moments import add_arrays
+from ..functions.moments import add_arrays, scatterer
 
 # Verdicts of a rater, and the normal quantile of a 95 % interval.
 REASONABLE, QUESTIONABLE, UNREASONABLE = "reasonable", "questionable_but_acceptable", "clearly_unreasonable"
@@ -323,14 +323,13 @@ def permutation_baseline(
     cells = q.groupBy("item", "label").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
     lists = cells.groupBy("item").agg(F.collect_list(F.struct("label", "a", "b")).alias("q")).join(stratum.select("item", "stratum"), "item")
 
+    scatter = scatterer()
+
     def partial(batches):
         cube = shared.value
         acc: dict = {}
         for pdf in batches:
-            a, b = np.zeros((len(pdf), vocabulary)), np.zeros((len(pdf), vocabulary))
-            for i, entries in enumerate(pdf["q"]):
-                for e in entries:
-                    a[i, e["label"]], b[i, e["label"]] = e["a"], e["b"]
+            a, b = scatter(pdf["l"], pdf["a"], vocabulary), scatter(pdf["l"], pdf["b"], vocabulary)
             names = pdf["stratum"].to_numpy()
             for p in range(len(cube)):
                 x, y = a @ cube[p], b @ cube[p]
@@ -347,7 +346,7 @@ def permutation_baseline(
         if acc:
             yield pd.DataFrame([(s, [float(c[1])], c[0].tolist()) for s, c in acc.items()], columns=["stratum", "n", "sums"])
 
-    summed = add_arrays(lists.select("q", "stratum").mapInPandas(partial, "stratum string, n array<double>, sums array<double>"), ["stratum"], ["n", "sums"])
+    summed = add_arrays(lists.select("stratum", F.col("q.label").alias("l"), F.col("q.a").alias("a"), F.col("q.b").alias("b")).mapInPandas(partial, "stratum string, n array<double>, sums array<double>"), ["stratum"], ["n", "sums"])
     every = summed.unionByName(add_arrays(summed.withColumn("stratum", F.lit("all")), ["stratum"], ["n", "sums"]))
     perm_ids = F.array(*[F.lit(int(p)).cast("long") for p in ids])
     return every.select("stratum", F.element_at("n", 1).alias("_n"), F.posexplode("sums").alias("_i", "_s")).select(

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dist as D
 from ..functions import ranking
-from ..functions.moments import add_arrays
+from ..functions.moments import add_arrays, scatterer
 from . import metrics as M
 
 # Parameter grids and prior strengths.
@@ -88,17 +88,15 @@ def dense_features(features: DataFrame, dim: int) -> DataFrame:
 
 def ridge_moments(lists: DataFrame, gold: str, dim: int, classes: int) -> DataFrame:
     """One row with X'X and X'Y of the bias-augmented features, added up by Arrow batch and task."""
+    scatter = scatterer()
 
     def partial(batches):
         gram = np.zeros((dim + 1, dim + 1))
         right = np.zeros((dim + 1, classes))
         n = 0
         for pdf in batches:
-            x = np.zeros((len(pdf), dim + 1))
+            x = scatter(pdf["bucket"], pdf["x"], dim + 1)
             x[:, dim] = 1.0
-            for row, entries in enumerate(pdf["f"]):
-                for e in entries:
-                    x[row, e["bucket"]] += e["x"]
             y = np.stack(pdf["q"].to_numpy()) if len(pdf) else np.zeros((0, classes))
             gram += x.T @ x
             right += x.T @ y
@@ -106,7 +104,7 @@ def ridge_moments(lists: DataFrame, gold: str, dim: int, classes: int) -> DataFr
         if n:
             yield pd.DataFrame([{"one": 1, "gram": gram.ravel().tolist(), "rhs": right.ravel().tolist()}])
 
-    rows = lists.select("f", F.col(gold).alias("q"))
+    rows = lists.select(F.col("f.bucket").alias("bucket"), F.col("f.x").alias("x"), F.col(gold).alias("q"))
     return add_arrays(rows.mapInPandas(partial, "one int, gram array<double>, rhs array<double>"), ["one"], ["gram", "rhs"])
 
 

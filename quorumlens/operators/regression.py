@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import dist as D
 from ..functions import ranking
 from ..functions.keys import small_side
+from ..functions.lineage import checkpointed
 from ..functions.moments import add_arrays, pair_moments
 
 # Ridge strength, multiplier under low support, support limits, output temperature and list length.
@@ -108,6 +109,7 @@ def fit_operators(
     the target centroid when there is none); effective support below `min_effective` raises the ridge.
     """
     solve, squared = _solver(dim)
+    moments = checkpointed(moments)  # parameter-sized, read three times
     shared = shared_operators(moments, dim, ridge).select(
         "pair", F.col("a").alias("sa"), F.col("b").alias("sb"), F.col("n").alias("sn")
     )

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import ranking
 from ..functions import text as X
-from ..functions.moments import add_arrays
+from ..functions.lineage import checkpointed
+from ..functions.moments import add_arrays, scatterer
 
 DIM = 256
 TAU = 50.0
@@ -31,13 +32,14 @@ def hashed_counts(docs: DataFrame, key: str, text: str, dim: int = DIM) -> DataF
 
 
 def bucket_idf(fit_counts: DataFrame, fit_docs: DataFrame) -> DataFrame:
-    """G1: ln((N + 1) / (df + 1)) + 1 per bucket; one row per bucket."""
+    """G1 fit: ln((N + 1) / (df + 1)) + 1 per bucket, written once: one row per bucket, read by every transform."""
     n = fit_docs.agg(F.count(F.lit(1)).alias("_n"))
     df = fit_counts.groupBy("bucket").agg(F.count(F.lit(1)).alias("_df"))
-    return df.crossJoin(F.broadcast(n)).select(  # one-row side
+    fitted = df.crossJoin(F.broadcast(n)).select(  # one-row side
         "bucket", (F.ln((F.greatest(F.col("_n"), F.lit(1)) + 1.0) / (F.col("_df") + 1.0)) + 1.0).alias("idf"),
         (F.ln(F.greatest(F.col("_n"), F.lit(1)) + 1.0) + 1.0).alias("unseen"),
     )
+    return checkpointed(fitted)
 
 
 def tfidf(counts: DataFrame, idf: DataFrame, key: str) -> DataFrame:
@@ -94,21 +96,19 @@ def gram(lists: DataFrame, vocabulary: int) -> DataFrame:
     `lists` has one array `q` of (l, x) per row; labels are integers below `vocabulary`, a bounded set.  A dense
     label x label block is added up per task, so pairs of labels never become rows before the sum.
     """
+    scatter = scatterer()
 
     def partial(batches):
         total = np.zeros((vocabulary, vocabulary))
         seen = False
         for pdf in batches:
-            q = np.zeros((len(pdf), vocabulary))
-            for row, entries in enumerate(pdf["q"]):
-                for e in entries:
-                    q[row, e["l"]] += e["x"]
+            q = scatter(pdf["l"], pdf["x"], vocabulary)
             total += q.T @ q
             seen = seen or len(pdf) > 0
         if seen:
             yield pd.DataFrame([{"one": 1, "m": total.ravel().tolist()}])
 
-    one = add_arrays(lists.select("q").mapInPandas(partial, "one int, m array<double>"), ["one"], ["m"])
+    one = add_arrays(lists.select(F.col("q.l").alias("l"), F.col("q.x").alias("x")).mapInPandas(partial, "one int, m array<double>"), ["one"], ["m"])
     # From here on labels x labels cells.
     cells = one.select("m", F.posexplode("m").alias("pos", "raw"))
     at = lambda c: F.element_at("m", (c * (vocabulary + 1) + 1).cast("int"))
@@ -184,22 +184,21 @@ def nearest_examples(queries: DataFrame, stored: DataFrame, q_key: str, s_key: s
     spark = queries.sparkSession
     lists = lambda df, key: df.groupBy(key).agg(F.collect_list(F.struct("bucket", "x")).alias("f"))
     q = lists(queries, q_key)
-    s = lists(stored, s_key).select(F.col(s_key).alias("s"), "f")
-    parts = []
-    if q.limit(block + 1).count() <= block:
-        bounds = [(None, None)]
+    s = lists(stored, s_key).select(F.col(s_key).alias("s"), F.col("f.bucket").alias("bucket"), F.col("f.x").alias("x"))
+    scatter = scatterer()
+    head = q.limit(block + 1).collect()  # at most block + 1 sparse vectors
+    if len(head) <= block:
+        blocks = [head]
     else:
-        # Block borders only: one key per block comes back to the driver.
+        # One border key per block comes back to the driver, then one block of queries at a time.
         placed = ranking.positions(q.select(q_key), [], [q_key], F.floor(F.col(q_key) / 4096), "_pos")
         starts = [r[0] for r in placed.filter(F.col("_pos") % block == 0).select(q_key).orderBy(q_key).collect()]
-        bounds = list(zip(starts, [*starts[1:], None]))
-    for low, high in bounds:
-        part = q
-        if low is not None:
-            part = part.filter(F.col(q_key) >= low)
-        if high is not None:
-            part = part.filter(F.col(q_key) < high)
-        rows = part.select(q_key, "f").collect()  # at most `block` sparse vectors
+        ends = [*starts[1:], None]
+        blocks = (
+            q.filter((F.col(q_key) >= low) & (F.lit(high is None) | (F.col(q_key) < F.lit(high)))).collect() for low, high in zip(starts, ends)
+        )
+    parts = []
+    for rows in blocks:
         keys = np.array([r[0] for r in rows])
         dense = np.zeros((len(rows), dim))
         for i, r in enumerate(rows):
@@ -210,13 +209,10 @@ def nearest_examples(queries: DataFrame, stored: DataFrame, q_key: str, s_key: s
         def best(batches, shared=shared):
             names, matrix = shared.value
             for pdf in batches:
-                x = np.zeros((len(pdf), dim))
-                for i, entries in enumerate(pdf["f"]):
-                    for e in entries:
-                        x[i, e["bucket"]] = e["x"]
+                x = scatter(pdf["bucket"], pdf["x"], dim)
                 sims = np.round(matrix @ x.T, 12)
                 stored_keys = pdf["s"].to_numpy()
-                order = np.lexsort((np.broadcast_to(stored_keys, sims.shape), -sims), axis=1)[:, :k]
+                order = np.lexsort((np.broadcast_to(stored_keys, sims.shape), -sims), axis=1)[:, :k]  # k best of the batch
                 r, c = np.repeat(np.arange(len(names)), order.shape[1]), order.ravel()
                 yield pd.DataFrame({"q": names[r], "s": stored_keys[c], "score": sims[r, c]})
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import ranking
 from ..functions.keys import small_side
+from ..functions.lineage import checkpointed
 
 # Agreement buckets from closest to widest.
 BUCKETS = ["4_of_4", "3_of_4", "2_of_4", "all_different"]
@@ -208,13 +209,13 @@ def agreement_rollup(items: DataFrame, groups: Sequence[str] = ("split", "role")
         "entropy", *[F.col("_g")[g].alias(g) for g in groups]
     )
     med = ranking.median_of(cubed, groups, "entropy", 0.01, "median_entropy")
-    named = stats.select(*[F.coalesce(F.col(g).cast("string"), F.lit("all")).alias(g) for g in groups],
-                         *[c for c in stats.columns if c not in groups])
+    # The aggregate is a few rows per group; the dense grid is drawn from it instead of from the items.
+    named = checkpointed(stats.select(*[F.coalesce(F.col(g).cast("string"), F.lit("all")).alias(g) for g in groups],
+                                      *[c for c in stats.columns if c not in groups]))
     grid = None
     for g in groups:
-        vals = items.select(F.col(g).cast("string").alias(g)).distinct()
-        side = vals.unionByName(items.sparkSession.createDataFrame([("all",)], f"{g} string"))
-        grid = side if grid is None else grid.crossJoin(F.broadcast(side))  # distinct group names only
+        side = named.select(g).distinct()
+        grid = side if grid is None else grid.crossJoin(F.broadcast(side))  # group names only
     full = grid.join(named, groups, "left").join(med, groups, "left")
     rates = [(F.col("n_" + b) / F.col("n")).alias("rate_" + b) for b in BUCKETS]
     filled = full.fillna(0, ["n", *["n_" + b for b in BUCKETS]])

@@ -201,7 +201,7 @@ def diagnostics(rows: DataFrame, keys: Sequence[str], response: str) -> DataFram
     agg = t.groupBy(*keys).agg(
         F.avg(F.size("toks")).alias("mean_length"),
         F.avg(X.generic_rules_d(F.col(response)).cast("double")).alias("generic_rate"),
-        F.avg(X.repetition_rules_d(F.col("toks"), F.col("bi")).cast("double")).alias("repetition_rate"),
+        F.avg(X.repetition_rules_d(F.col("toks")).cast("double")).alias("repetition_rate"),
         F.avg((F.size("toks") < 3).cast("double")).alias("too_short_rate"),
     )
     return join_all([agg, distinct_n(rows, keys, response, 1), distinct_n(rows, keys, response, 2)], keys).fillna(

@@ -61,6 +61,12 @@ class Tables:
     def read(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
+    @property
+    def documents(self) -> DataFrame:
+        """Texts, spread over all cores when the file has fewer splits than that (no change on large input)."""
+        docs, cores = self.read("documents"), self.spark.sparkContext.defaultParallelism
+        return docs.repartition(cores) if docs.rdd.getNumPartitions() < cores else docs
+
     @stored
     def turns(self) -> DataFrame:
         spoken = self.read("conversations").filter(F.col("role").isin("user", "assistant"))

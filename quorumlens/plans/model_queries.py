@@ -343,8 +343,14 @@ CTES["cosines"] = ("text_features instances", """
     GROUP BY f.item, c.region""")
 
 
+def targets(t: Tables) -> DataFrame:
+    """A2B pairs keyed by the target item with its gold distribution."""
+    p = t.preds.select(F.col("item").alias("t_item"), "split", "gold")
+    return t.pairs.filter("pair = 'A2B'").select("s_item", "t_item").join(p, "t_item").withColumnRenamed("t_item", "item")
+
+
 def text_features(t: Tables, dim: int = 64) -> DataFrame:
-    i = instances(t)
+    i = targets(t)
     docs = i.select("item", "s_item", "split").join(t.turns.select(F.col("item").alias("s_item"), "text"), "s_item")
     return sim.tfidf_fit_transform(docs, "item", "text", F.col("split") == "train", dim)
 
@@ -356,7 +362,7 @@ CENTROID_LOGIT = "cos / {tau} + 0.15::double * ln(class_prior)"
     SELECT item, region, round(exp(l) / sum(exp(l)) OVER (PARTITION BY item), 6) AS pred FROM (
       SELECT item, region, {CENTROID_LOGIT.format(tau="0.15::double")} AS l FROM cosines JOIN label_prior USING (region))""")
 def centroid_classifier(t: Tables) -> DataFrame:
-    i, f = instances(t), text_features(t)
+    i, f = targets(t), text_features(t)
     train = i.filter("split = 'train'")
     c = P.centroid_cosines(f, P.class_centroids(f, train, "gold", REGIONS), REGIONS)
     p = P.centroid_probabilities(c, P.class_prior(train, "gold", REGIONS), 0.15)
@@ -365,7 +371,7 @@ def centroid_classifier(t: Tables) -> DataFrame:
 
 @query("ridge_classifier_C2")
 def ridge_classifier(t: Tables) -> DataFrame:
-    i, f = instances(t), text_features(t)
+    i, f = targets(t), text_features(t)
     train, valid = i.filter("split = 'train'"), i.filter("split = 'valid'")
     lists = P.dense_features(f, 64).join(train.select("item", "gold"), "item")
     w = P.ridge_weights(P.ridge_moments(lists, "gold", 64, REGIONS), 64, REGIONS)
@@ -380,7 +386,7 @@ def ridge_classifier(t: Tables) -> DataFrame:
       JOIN instances USING (item, region) WHERE split = 'valid' GROUP BY tau)
     SELECT tau, round(ce, 6) AS ce FROM ce ORDER BY round(ce, 12), tau LIMIT 1""")
 def choose_tau(t: Tables) -> DataFrame:
-    i, f = instances(t), text_features(t)
+    i, f = targets(t), text_features(t)
     train = i.filter("split = 'train'")
     c = P.centroid_cosines(f, P.class_centroids(f, train, "gold", REGIONS), REGIONS)
     return P.choose_tau(c, P.class_prior(train, "gold", REGIONS), i.filter("split = 'valid'"), "gold").select("tau", r6("ce"))
@@ -390,7 +396,7 @@ def choose_tau(t: Tables) -> DataFrame:
     WITH tops AS (SELECT item, arg_min(region, (-gold, region)) AS k FROM instances WHERE split = 'train' GROUP BY item)
     SELECT k AS majority, count(*) AS n FROM (SELECT DISTINCT item FROM instances) CROSS JOIN (SELECT k FROM tops GROUP BY k ORDER BY count(*) DESC, k LIMIT 1) GROUP BY k""")
 def majority(t: Tables) -> DataFrame:
-    i = instances(t)
+    i = targets(t)
     m = P.majority_baseline(i.filter("split = 'train'"), i.select("item"), "gold", REGIONS)
     return m.groupBy(D.top_index(F.col("pred")).alias("majority")).agg(F.count(F.lit(1)).alias("n"))
 
@@ -678,7 +684,7 @@ CTES.update({
     SELECT doc_id, bucket, round(s * idf / sqrt(sum(s * idf * s * idf) OVER (PARTITION BY doc_id)), 6) + 0.0 AS x FROM (
       SELECT doc_id, bucket, s, coalesce(ln((n + 1.0::double) / (df + 1.0::double)) + 1, ln(n + 1.0::double) + 1) AS idf FROM c LEFT JOIN f USING (bucket) CROSS JOIN n) WHERE true""")
 def tfidf(t: Tables) -> DataFrame:
-    d = t.read("documents").select("doc_id", "text", "lang")
+    d = t.documents.select("doc_id", "text", "lang")
     x = sim.tfidf_fit_transform(d, "doc_id", "text", F.col("lang") == "en")
     return x.select("doc_id", "bucket", r6("x"))
 
@@ -755,7 +761,7 @@ def degrees(t: Tables) -> DataFrame:
     s AS (SELECT item_id, doc_id, round(sum(qx.x * cx.x), 9) AS score FROM qx JOIN cx USING (bucket) GROUP BY ALL)
     SELECT item_id, rank, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s) WHERE rank <= 5""")
 def nearest_examples(t: Tables) -> DataFrame:
-    docs, queries = t.read("documents").select("doc_id", "text"), t.read("benchmark").select("item_id", "text")
+    docs, queries = t.documents.select("doc_id", "text"), t.read("benchmark").select("item_id", "text")
     counts = sim.hashed_counts(docs, "doc_id", "text")
     idf = sim.bucket_idf(counts, docs)
     stored = sim.tfidf(counts, idf, "doc_id")

@@ -452,7 +452,7 @@ def unknown_labels(t: Tables) -> DataFrame:
     SELECT min(doc_id) AS doc_id, trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')) AS content FROM documents GROUP BY 2""")
 def first_by_content(t: Tables) -> DataFrame:
     key = F.trim(F.regexp_replace(F.lower("text"), "[^a-z0-9]+", " "))
-    docs = t.read("documents").select("doc_id", F.col("doc_id").alias("row_id"), key.alias("content"))
+    docs = t.documents.select("doc_id", F.col("doc_id").alias("row_id"), key.alias("content"))
     return seq.first_by_content(docs, "doc_id", ["content"], "row_id").select("doc_id", "content")
 
 
@@ -641,7 +641,7 @@ def qualitative(t: Tables) -> DataFrame:
     SELECT doc_id, token FROM documents CROSS JOIN (SELECT unnest(['license', 'http', 'password']) AS token)
     WHERE contains(lower(text), token)""")
 def leaked_tokens(t: Tables) -> DataFrame:
-    docs = t.read("documents").select("doc_id", "text")
+    docs = t.documents.select("doc_id", "text")
     return Q.leaked_tokens(docs, "doc_id", ["license", "http", "password"])
 
 

@@ -99,7 +99,7 @@ def confidence_bin(t: Tables) -> DataFrame:
     SELECT doc_id, 'ed_' || substr(sha1(lang || chr(10) || source || chr(10) || text), 1, 16) AS stable_id, sha256(text) AS text_hash
     FROM documents""")
 def stable_id(t: Tables) -> DataFrame:
-    return t.read("documents").select(
+    return t.documents.select(
         "doc_id", K.stable_id("ed", F.col("lang"), F.col("source"), F.col("text")).alias("stable_id"),
         F.sha2("text", 256).alias("text_hash"))
 
@@ -131,7 +131,7 @@ MATCH_SQL = "trim(regexp_replace(lower(" + CLEAN_SQL + "), '[^a-z0-9'']+', ' ',
 @query("clean_text_X5_X6", sql=f"""
     SELECT doc_id, md5({CLEAN_SQL.format("text")}) AS clean_md5, md5({MATCH_SQL.format("text")}) AS match_md5 FROM documents""")
 def clean_text(t: Tables) -> DataFrame:
-    return t.read("documents").select(
+    return t.documents.select(
         "doc_id", F.md5(X.clean(F.col("text"))).alias("clean_md5"), F.md5(X.match_text(F.col("text"))).alias("match_md5"))
 
 
@@ -151,7 +151,7 @@ def content_key(t: Tables) -> DataFrame:
       len(list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '')) AS spaced
     FROM (SELECT doc_id, text, {TOKS.format("text")} AS h FROM documents)""")
 def tokens(t: Tables) -> DataFrame:
-    d = t.read("documents").select("doc_id", X.words_by_space(F.col("text")).alias("spaced"), X.tokens(F.col("text")).alias("h"))
+    d = t.documents.select("doc_id", X.words_by_space(F.col("text")).alias("spaced"), X.tokens(F.col("text")).alias("h"))
     return d.select("doc_id", F.size("h").cast("long").alias("words"), F.size(X.bigrams(F.col("h"))).cast("long").alias("bigrams"),
                     F.size(F.array_distinct("h")).cast("long").alias("vocabulary"), "spaced")
 
@@ -175,7 +175,7 @@ def clean_evaluation(t: Tables) -> DataFrame:
     SELECT doc_id, contains(text, '?') OR contains(text, '？') OR regexp_matches(text,
       '(?i)^[\\s"''“”‘’(\\[]*(?:{"|".join(X.QUESTION_WORDS)})\\b') AS is_question FROM documents""")
 def question_flag(t: Tables) -> DataFrame:
-    return t.read("documents").select("doc_id", X.is_question(F.col("text")).alias("is_question"))
+    return t.documents.select("doc_id", X.is_question(F.col("text")).alias("is_question"))
 
 
 def any_regex(col: str, patterns: list[str]) -> str:
@@ -198,7 +198,7 @@ def flag_docs(t: Tables) -> DataFrame:
         F.when(k == 0, F.lit("I'm sorry to hear that!")).when(k == 1, F.concat(F.lit("That sounds "), "text"))
         .when(k == 2, F.concat(F.lit("yeah "), F.substring("source", 1, 30), F.lit(" i hope it goes"))).otherwise(F.col("text"))
     )
-    return t.read("documents").select("doc_id", txt.alias("text"))
+    return t.documents.select("doc_id", txt.alias("text"))
 
 
 @query("generic_flags_X10", sql=f"""
@@ -234,11 +234,11 @@ GRAM_LISTS_SQL = """
         lambda x: trim(regexp_replace(lower(x), '[^a-z0-9'']+', ' ', 'g'))), lambda x: x <> '') AS s
       FROM (SELECT doc_id, text, {TOKS.format("text")} AS h FROM documents))""")
 def repetition(t: Tables) -> DataFrame:
-    d = TM.text_columns(t.read("documents").select("doc_id", "text"), "text")
+    d = TM.text_columns(t.documents.select("doc_id", "text"), "text")
     toks, bi, tri = F.col("toks"), F.col("bi"), F.col("tri")
     return d.select("doc_id", X.repetition_rules_a(F.col("text"), toks, tri).alias("repeated_a"),
                     r6(X.repetition_share(bi, tri), "share_b"), r6(X.duplicate_rate(toks), "rate_c"),
-                    X.repetition_rules_d(toks, bi).alias("repeated_d"))
+                    X.repetition_rules_d(toks).alias("repeated_d"))
 
 
 @query("leak_flags_X12", uses="responses", sql=f"""
@@ -334,7 +334,7 @@ def distinct_sql(n: int, table: str, key: str, toks: str) -> str:
     SELECT lang, round(a.d, 6) AS distinct_1, round(b.d, 6) AS distinct_2 FROM ({distinct_sql(1, "d", "lang", "h")}) a
     JOIN ({distinct_sql(2, "d", "lang", "h")}) b USING (lang)""")
 def distinct_n(t: Tables) -> DataFrame:
-    d = t.read("documents").select("lang", "text")
+    d = t.documents.select("lang", "text")
     both = TM.distinct_n(d, ["lang"], "text", 1).join(TM.distinct_n(d, ["lang"], "text", 2), "lang")
     return both.select("lang", r6("distinct_1"), r6("distinct_2"))
 
@@ -396,7 +396,7 @@ def quality_block(t: Tables) -> DataFrame:
         lambda i: h[i] = h[i+1])) IS TRUE)::int), 6) AS repetition_rate, round(any_value(d1.d), 6) AS distinct_1
     FROM x JOIN d1 USING (lang) GROUP BY lang""")
 def diagnostics(t: Tables) -> DataFrame:
-    d = TM.diagnostics(t.read("documents").select("lang", "text"), ["lang"], "text")
+    d = TM.diagnostics(t.documents.select("lang", "text"), ["lang"], "text")
     return d.select("lang", r6("mean_length"), r6("too_short_rate"), r6("repetition_rate"), r6("distinct_1"))
 
 
