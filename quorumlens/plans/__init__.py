@@ -11,6 +11,7 @@ MODULES = [
     "space_queries",
     "text_queries",
     "model_queries",
+    "graph_queries",
     "selection_queries",
     "source_queries",
 ]

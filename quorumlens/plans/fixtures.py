@@ -268,4 +268,6 @@ def with_ctes(uses: str, body: str) -> str:
     text = body.strip()
     if not parts:
         return text
+    if text[:14].upper() == "WITH RECURSIVE":
+        return f"WITH RECURSIVE {parts}, {text[15:]}"
     return f"WITH {parts}, {text[5:]}" if text[:5].upper() == "WITH " else f"WITH {parts} {text}"
