@@ -22,6 +22,8 @@ EPS = 1e-12
 MODULARITY_WEIGHT, SINGLETON_WEIGHT, COARSE_STEP, OVERSIZE_FROM, OVERSIZE_WEIGHT = 0.5, 2.0, 0.25, 0.35, 2.0
 RESOLUTIONS = [0.4, 0.6, 0.8, 1.0, 1.2, 1.4, 1.6]
 SPECTRAL_SIZES = list(range(6, 17))
+# Products with the matrix between two orthonormalisations.
+HOPS = 3
 
 
 def both_ways(edges: DataFrame) -> DataFrame:
@@ -113,16 +115,17 @@ def named(assignment: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     return assignment.join(ids.select(*keys, "c", "region"), [*keys, "c"]).select(*keys, "label", "region")
 
 
-def community_scan(edges: DataFrame, labels: DataFrame, resolutions: Sequence[float] = tuple(RESOLUTIONS)) -> DataFrame:
+def community_scan(edges: DataFrame, labels: DataFrame, resolutions: Sequence[float] = tuple(RESOLUTIONS), refine: int = 6) -> DataFrame:
     """One named assignment per resolution (solution, resolution, label, region)."""
+    edges = checkpointed(edges)
     out = None
     for r in resolutions:
-        part = named(communities(edges, labels, r)).select(F.lit(f"resolution={r}").alias("solution"), F.lit(float(r)).alias("resolution"), "label", "region")
+        part = named(communities(edges, labels, r, refine)).select(F.lit(f"resolution={r}").alias("solution"), F.lit(float(r)).alias("resolution"), "label", "region")
         out = part if out is None else out.unionByName(part)
     return out
 
 
-def spectral_rows(affinity: DataFrame, k: int, rounds: int = 60) -> tuple[DataFrame, np.ndarray]:
+def spectral_rows(affinity: DataFrame, k: int, rounds: int = 12) -> tuple[DataFrame, np.ndarray]:
     """The k leading eigenvectors of D^-1/2 A D^-1/2 as one array per label, with their eigenvalues.
 
     Subspace iteration on (N + I) / 2, whose eigenvalues are ordered like those of N and not negative.  A product
@@ -156,12 +159,18 @@ def spectral_rows(affinity: DataFrame, k: int, rounds: int = 60) -> tuple[DataFr
     x = checkpointed(orthonormal(x))
     last = np.zeros(k)
     for _ in range(rounds):
-        y = checkpointed(applied(x).select("label", F.col("y").alias("x")))
-        x = checkpointed(orthonormal(y))
-        ritz = np.sort(np.linalg.eigvalsh(gram(applied(x), "y")))[::-1]
-        if np.abs(ritz - last).max() < 1e-10:
+        y = x
+        for _ in range(HOPS):
+            y = applied(y).select("label", F.col("y").alias("x"))
+        y = checkpointed(y)
+        g = gram(y, "x")
+        values, vectors = np.linalg.eigh(g)
+        x = times(y, vectors / np.sqrt(np.maximum(values, 1e-300)))
+        # The Gram matrix of N^HOPS X settles together with the subspace.
+        if np.abs(values - last).max() < 1e-8:
             break
-        last = ritz
+        last = values
+    x = checkpointed(x)
     values, vectors = np.linalg.eigh(gram(applied(x), "y"))
     order = np.argsort(values)[::-1]
     return checkpointed(times(x, vectors[:, order])), 2 * values[order] - 1
@@ -169,7 +178,7 @@ def spectral_rows(affinity: DataFrame, k: int, rounds: int = 60) -> tuple[DataFr
 
 def spectral_scan(affinity: DataFrame, sizes: Sequence[int] = tuple(SPECTRAL_SIZES), restarts: int = 8, seed: int = 13) -> DataFrame:
     """K-means on the row-normalised leading eigenvectors, best of several seeded starts, for every k."""
-    rows, _ = spectral_rows(affinity, max(sizes))
+    rows, _ = spectral_rows(checkpointed(affinity), max(sizes))
     out = None
     for k in sizes:
         part = F.slice("x", 1, k)
