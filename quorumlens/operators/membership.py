@@ -394,3 +394,36 @@ def most_mixed(conditioned: DataFrame, keys: Sequence[str], n: int = 8) -> DataF
     return mixed.orderBy(
         F.desc(F.round("contribution_entropy", 9)), F.desc(F.round("r", 9)), *keys, "region"
     ).limit(n)
+
+
+# Labels that stand for another one, characters that take a text selector, skin tones, gender signs.
+ALIASES = {"🌜": "🌛", "😗": "😚", "😙": "😚", "😶\u200d🌫": "😶\u200d🌫️"}
+SELECTOR = "\ufe0f"
+TEXT_PRESENTATION = "[\u2639\u263a\u2642\u2640\U0001F32B]"
+SKIN_TONES = "[\U0001F3FB-\U0001F3FF]"
+GENDER = "\u200d?[\u2642\u2640]"
+
+
+def resolve_labels(labels: DataFrame, membership: DataFrame, label: str = "label") -> DataFrame:
+    """Membership row of every label, by the first rule that finds one: exact, then an alias or a form with
+    selectors, skin tones or gender signs changed (`unicode_alias`), else uniform over the regions.
+
+    Returns label, region, m, source, alias.  Labels and regions are bounded dimensions.
+    """
+    x = F.col(label)
+    bare, plain = F.replace(x, F.lit(SELECTOR), F.lit("")), F.regexp_replace(F.regexp_replace(x, SKIN_TONES, ""), GENDER, "")
+    shown = lambda c: F.regexp_replace(c, f"({TEXT_PRESENTATION})", "$1" + SELECTOR)
+    manual = F.lit(None).cast("string")
+    for a, b in ALIASES.items():
+        manual = F.when(x == a, F.lit(b)).otherwise(manual)
+    forms = F.array(x, manual, bare, shown(x), shown(bare), plain, shown(plain))
+    known = membership.select(F.col(label).alias("form")).distinct()
+    tried = labels.select(label).distinct().select(label, F.posexplode(forms).alias("rule", "form")).filter("form IS NOT NULL AND form <> ''")
+    hit = tried.join(small_side(known), "form").groupBy(label).agg(F.min(F.struct("rule", "form")).alias("h"))
+    found = labels.select(label).distinct().join(hit, label, "left").select(label, F.col("h.form").alias("form"), F.col("h.rule").alias("rule"))
+    rows = found.filter("form IS NOT NULL").join(small_side(membership.select(F.col(label).alias("form"), "region", "m")), "form").select(
+        label, "region", "m", F.when(F.col("rule") == 0, "exact").otherwise("unicode_alias").alias("source"), F.when(F.col("rule") > 0, F.col("form")).alias("alias"))
+    regions = membership.agg(F.sort_array(F.collect_set("region")).alias("_r"))  # a handful
+    uniform = found.filter("form IS NULL").crossJoin(F.broadcast(regions)).select(label, F.explode("_r").alias("region"), "_r").select(
+        label, "region", (F.lit(1.0) / F.size("_r")).alias("m"), F.lit("unobserved_uniform").alias("source"), F.lit(None).cast("string").alias("alias"))
+    return rows.unionByName(uniform)

@@ -541,8 +541,7 @@ def choices(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
     letters = F.array(*[F.lit(o) for o in ("A", "B", "C", "Z")], F.lit(None).cast("string"))
     pick = lambda task: F.struct(F.lit(task).alias("task"), F.element_at(letters, (hash60(F.lit("c"), F.lit(task), F.col("example")) % 5 + 1).cast("int")).alias("selected"))
     rows = t.examples.select("example", F.array(pick("best"), pick("worst")).alias("tasks"))
-    info = t.examples.limit(1).select(F.explode(F.array(F.struct(F.lit("best").alias("task"), F.lit("positive").alias("polarity")),
-                                                       F.struct(F.lit("worst").alias("task"), F.lit("negative").alias("polarity")))).alias("x")).select("x.*")
+    info = t.spark.createDataFrame([("best", "positive"), ("worst", "negative")], "task string, polarity string")
     return rows, options, info
 
 

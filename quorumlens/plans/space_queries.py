@@ -709,3 +709,22 @@ def alignment_errors(t: Tables) -> DataFrame:
     x = t.turns
     frames = {"a": x.filter("turn % 5 <> 0"), "b": x.filter("turn % 3 <> 1"), "c": x.filter("NOT (role = 'B' AND turn > 4)")}
     return Q.alignment_errors(frames, ["conv_id", "turn"])
+
+
+# ---- label aliases ---------------------------------------------------------------------------------------
+
+@query("resolve_labels_X16", uses="votes membership", sql="""
+    WITH l AS (SELECT label, chr((128512 + label)::int) || CASE label % 4 WHEN 1 THEN chr(65039) WHEN 2 THEN chr(127997) WHEN 3 THEN '?' ELSE '' END AS name, chr((128512 + label)::int) AS base
+      FROM (SELECT DISTINCT label FROM votes))
+    SELECT l.name AS label, m.region, round(m.m, 6) AS m, CASE WHEN l.label % 4 = 0 THEN 'exact' ELSE 'unicode_alias' END AS source, CASE WHEN l.label % 4 > 0 THEN base END AS alias
+    FROM l JOIN membership m USING (label) WHERE l.label % 4 < 3
+    UNION ALL SELECT name, region, round(1.0::double / 6, 6), 'unobserved_uniform', NULL FROM l CROSS JOIN (SELECT unnest(range(0, 6)) AS region) WHERE label % 4 = 3""")
+def resolve_labels(t: Tables) -> DataFrame:
+    faces = F.array(*[F.lit(chr(0x1F600 + i)) for i in range(LABELS)])
+    base = F.element_at(faces, (F.col("label") + 1).cast("int"))
+    k = F.col("label") % 4
+    name = F.concat(base, F.when(k == 1, "\ufe0f").when(k == 2, "\U0001F3FD").when(k == 3, "?").otherwise(""))
+    m = t.membership.withColumn("label", base)
+    used = t.votes.select("label").distinct().select(name.alias("label"))
+    r = mem.resolve_labels(used, m)
+    return r.select("label", "region", r6("m"), "source", "alias")
