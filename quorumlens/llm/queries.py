@@ -27,7 +27,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 SUBSTRING_SQL = r"""
 WITH words AS (
-  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), x -> x <> '') AS w
+  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
   FROM documents),
 places AS (
   SELECT doc_id, i, md5(array_to_string(w[i:i + 19], ' ')) AS h
@@ -39,7 +39,7 @@ gone AS (
 lost AS (SELECT doc_id, count(*) AS n, list(i) AS at FROM gone GROUP BY doc_id)
 SELECT words.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n, 0) AS n_removed,
   sha256(CASE WHEN n IS NULL THEN array_to_string(w, ' ')
-    ELSE array_to_string(list_filter(w, (x, i) -> NOT list_contains(at, i)), ' ') END) AS kept_sha256
+    ELSE array_to_string(list_transform(list_filter(range(1, len(w) + 1), lambda i: NOT list_contains(at, i)), lambda i: w[i]), ' ') END) AS kept_sha256
 FROM words LEFT JOIN lost ON lost.doc_id = words.doc_id
 """
 
@@ -50,3 +50,50 @@ def substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     found = drop_repeats(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_words", "n_removed", F.sha2(F.encode("kept_text", "UTF-8"), 256).alias("kept_sha256"))
+
+
+@query("op2_near_duplicates")
+def near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each document: doc_id, class_id (its least doc_id), class_size, n_texts (different texts in the class)."""
+    from .neardup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+DECONTAMINATION_SQL = r"""
+WITH RECURSIVE low AS (
+  SELECT 'd' AS kind, CAST(doc_id AS VARCHAR) AS id, doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t
+  FROM documents
+  UNION ALL
+  SELECT 'b', coalesce(CAST(item_id AS VARCHAR), ''), NULL,
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') FROM benchmark),
+words AS (
+  SELECT kind, id, doc_id, regexp_extract_all(t, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM low),
+asked AS (
+  SELECT DISTINCT id, len(part) AS n, array_to_string(part, ' ') AS phrase
+  FROM (SELECT id, w[i:i + least(13, len(w)) - 1] AS part
+        FROM (SELECT id, w, unnest(range(1, greatest(len(w) - 12, 1) + 1)) AS i FROM words WHERE kind = 'b' AND len(w) > 0))),
+lengths AS (SELECT DISTINCT n FROM asked),
+places AS (
+  SELECT doc_id, i, n, array_to_string(w[i:i + n - 1], ' ') AS phrase
+  FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM words, lengths WHERE kind = 'd' AND len(w) >= n)),
+found AS (SELECT doc_id, i, places.n, id FROM places JOIN asked ON asked.phrase = places.phrase AND asked.n = places.n),
+hit AS (SELECT doc_id, count(*) AS n_hit FROM (
+  SELECT DISTINCT doc_id, i + k FROM (SELECT doc_id, i, unnest(range(n)) AS k FROM found) AS x(doc_id, i, k)) GROUP BY doc_id),
+items AS (SELECT doc_id, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids
+  FROM (SELECT DISTINCT doc_id, id FROM found) GROUP BY doc_id)
+SELECT words.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM words LEFT JOIN hit ON hit.doc_id = words.doc_id LEFT JOIN items ON items.doc_id = words.doc_id
+WHERE kind = 'd'
+"""
+
+
+@query("op1_benchmark_decontamination", DECONTAMINATION_SQL)
+def decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontaminate import contamination, is_contaminated
+
+    found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.encode(F.array_join("items", ","), "UTF-8"), 256).alias("items_sha256"), is_contaminated().alias("contaminated"))
