@@ -36,10 +36,10 @@ marked AS (
   SELECT doc_id, i, row_number() OVER (PARTITION BY h ORDER BY doc_id, i) > 1 AS again FROM places),
 gone AS (
   SELECT DISTINCT doc_id, i + k AS i FROM (SELECT doc_id, i, unnest(range(20)) AS k FROM marked WHERE again)),
-lost AS (SELECT doc_id, count(*) AS n, list(i) AS at FROM gone GROUP BY doc_id)
+lost AS (SELECT doc_id, count(*) AS n, list(i) AS spots FROM gone GROUP BY doc_id)
 SELECT words.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n, 0) AS n_removed,
   sha256(CASE WHEN n IS NULL THEN array_to_string(w, ' ')
-    ELSE array_to_string(list_transform(list_filter(range(1, len(w) + 1), lambda i: NOT list_contains(at, i)), lambda i: w[i]), ' ') END) AS kept_sha256
+    ELSE array_to_string(list_transform(list_filter(range(1, len(w) + 1), lambda i: NOT list_contains(spots, i)), lambda i: w[i]), ' ') END) AS kept_sha256
 FROM words LEFT JOIN lost ON lost.doc_id = words.doc_id
 """
 
@@ -97,3 +97,27 @@ def decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(
         "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
         F.sha2(F.encode(F.array_join("items", ","), "UTF-8"), 256).alias("items_sha256"), is_contaminated().alias("contaminated"))
+
+
+@query("op6_best_fit_packing")
+def best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each piece; the tokens can't be made in SQL."""
+    from .pack import pack
+    from .tokens import VOCABULARY
+
+    return pack(table(spark, sf_dir, "documents"), VOCABULARY)
+
+
+@query("op5_jump_sharding")
+def jump_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each document; DuckDB has neither crc32 nor the hash of the keys."""
+    from .shard import shard_documents
+
+    return shard_documents(table(spark, sf_dir, "documents"), 8)
+
+
+@query("op10_string_kernel_language")
+def string_kernel_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .langid import identify
+
+    return identify(table(spark, sf_dir, "documents"))
