@@ -121,3 +121,11 @@ def string_kernel_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .langid import identify
 
     return identify(table(spark, sf_dir, "documents"))
+
+
+@query("op7_projected_neighbours")
+def projected_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest of every fiftieth vector; approximate, so the test compares with brute force."""
+    from .ann import nearest
+
+    return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, 5)
