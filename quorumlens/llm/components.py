@@ -20,15 +20,16 @@ def components(edges: DataFrame) -> DataFrame:
     turn = 0
     while not live.isEmpty():
         turn += 1
-        order = lambda c: F.struct(F.xxhash64(F.lit(turn), c).alias("h"), c.alias("id"))
+        # The first order is that of the ids, so that stars around their least node need one round.
+        order = lambda c: F.struct((c if turn == 1 else F.xxhash64(F.lit(turn), c)).alias("h"), c.alias("id"))
         both = live.union(live.select("b", "a")).toDF("a", "b")
         least = both.groupBy("a").agg(F.min(order(F.col("b"))).alias("other"))
-        choice = stored(least.select("a", F.least(F.col("other"), order(F.col("a"))).getField("id").alias("to")))
+        choice = least.select("a", F.least(F.col("other"), order(F.col("a"))).getField("id").alias("to"))
         # Two steps at once: the choice of the choice.
         jump = stored(choice.alias("x").join(choice.alias("y"), F.col("x.to") == F.col("y.a"), "left").select(
             F.col("x.a").alias("a"), F.coalesce("y.to", "x.to").alias("to")))
-        names = stored(names.join(jump.withColumnRenamed("a", "component"), "component", "left").select(
-            "node", F.coalesce("to", "component").alias("component")))
+        names = names.join(jump.select(F.col("a").alias("component"), "to"), "component", "left").select(
+            "node", F.coalesce("to", "component").alias("component"))
         one = live.join(jump, "a").select(F.col("to").alias("a"), "b")
         two = one.join(jump.select(F.col("a").alias("b"), F.col("to").alias("to_b")), "b").select("a", F.col("to_b").alias("b"))
         live = stored(two.filter("a <> b").distinct())

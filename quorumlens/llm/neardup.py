@@ -1,7 +1,7 @@
 """MinHash near-dedup: improved consistent weighted sampling over TF-IDF shingles, banded, verified by weighted Jaccard.
 
 A document is a vector: a weight tf * idf for each shingle of five words (lower-cased A-Z; a text of one to four words is
-one shingle), idf = 1 + ln((1 + N) / (1 + df)) / ln(1 + N), with df counted over all N documents.  Two documents are
+one shingle), idf = 1 + ln((1 + N) / (1 + df)) / (2 ln(1 + N)), with df counted over all N documents.  Two documents are
 linked if the sum of the smaller weights is at least `threshold` times the sum of the larger ones.  Documents with the
 same words are one text; classes are the connected components of texts.
 
@@ -9,9 +9,10 @@ same words are one text; classes are the connected components of texts.
 2. A shingle that no other document has can't be shared, so a document with more than 1 - threshold of its weight in such
    shingles has no partner.  The others, one for each distinct text, get signatures: `bands` keys of `rows` samples each.
    Texts of similarity s share a key with chance 1 - (1 - s**rows)**bands; at 0.8 all but 7 pairs in a million.
-3. A bucket of equal keys isn't expanded into pairs: all members are compared with its least member.  1 - similarity is a
-   metric, so what can be linked past that pivot is known from the distances to it; only those members stay for the next
-   round with a new pivot, until no bucket has two left.  No link between candidates is lost.
+3. A bucket of equal keys isn't expanded into pairs: all members are compared with one pivot, which then leaves.  A bucket
+   whose members are all in one component by then is done.  In the others, pivots from the smallest components (a growing
+   number in each round) are compared with the members of other components, until no bucket has two components left.  So
+   every two candidates have been compared or are in one component.
 
 Nulls and texts without words are in no class but their own.  Rows that share a doc_id and a text are one class.
 """
@@ -20,7 +21,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import exchange as ex
@@ -33,9 +34,11 @@ THRESHOLD = 0.8
 BANDS, ROWS = 30, 5
 # Texts compared with one pivot in one task.
 GROUP_ROWS = 500
+# Pivots of a bucket in one round: 1, then this many times as many in each round.
+PIVOT_GROWTH = 64
 SLACK = 1e-9
 
-VECTOR = "doc_id long, digest long, hashes binary, weights binary, keys array<long>"
+VECTOR = "doc_id long, digest long, hashes binary, weights binary, keys array<long>, whole double, shared double"
 TEXT_BASE = np.uint64(0xA0761D6478BD642F)
 SEEN_BEFORE = np.uint64(1 << 63)
 
@@ -106,7 +109,7 @@ def digests(words: Words) -> np.ndarray:
 
 
 def inverse_frequency(df: np.ndarray, total: int) -> np.ndarray:
-    return 1.0 + np.log((1.0 + total) / (1.0 + df)) / np.log(1.0 + total)
+    return 1.0 + np.log((1.0 + total) / (1.0 + df)) / (2.0 * np.log(1.0 + total))
 
 
 def _sender(width: int, buckets: int):
@@ -192,10 +195,12 @@ def _vectorizer(width: int, total: int, threshold: float, bands: int, rows: int)
                 "hashes": pa.array([None if k is None else h[starts[k]:ends[k]].tobytes() for k in at], pa.binary()),
                 "weights": pa.array([None if k is None else w[starts[k]:ends[k]].tobytes() for k in at], pa.binary()),
                 "keys": pa.array([None if k is None else keys[k].view(np.int64) for k in at], pa.list_(pa.int64())),
+                "whole": pa.array(whole, pa.float64()), "shared": pa.array(whole - alone, pa.float64()),
             }))
         return pa.concat_tables(tables) if tables else pa.table({
             "doc_id": pa.array([], pa.int64()), "digest": pa.array([], pa.int64()), "hashes": pa.array([], pa.binary()),
-            "weights": pa.array([], pa.binary()), "keys": pa.array([], pa.list_(pa.int64()))})
+            "weights": pa.array([], pa.binary()), "keys": pa.array([], pa.list_(pa.int64())),
+            "whole": pa.array([], pa.float64()), "shared": pa.array([], pa.float64())})
 
     return vectors
 
@@ -242,40 +247,53 @@ def verify(pairs: DataFrame, vecs: DataFrame) -> DataFrame:
         lambda key, members, pivots: _similarities(key, members, pivots), "member long, pivot long, similarity double")
 
 
-def links(vecs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """Verified pairs (member, pivot, similarity) of digests that connect all texts with a link between candidates."""
-    spark = vecs.sparkSession
+def linked_texts(vecs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """digest, component of every text that is linked to another."""
     content = vecs.select("digest", "hashes", "weights")
-    waiting = vecs.select("digest", F.posexplode("keys").alias("band", "key"))
-    known = None
+    keys = vecs.select("digest", "whole", "shared", F.posexplode("keys").alias("band", "key"))
+    shared = keys.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    waiting = stored(keys.join(shared, ["band", "key"]).withColumn("component", F.col("digest")).withColumn("size", F.lit(1).cast("long")))
+    known, found, names, pivots_each = None, None, None, 1
     while True:
-        # Bands in which the same members wait under the same pivot ask for the same pairs.
-        pivots = waiting.groupBy("band", "key").agg(F.min("digest").alias("pivot"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-        asked = stored(waiting.join(pivots.drop("n"), ["band", "key"]).filter("digest <> pivot").withColumnRenamed("digest", "member"))
-        if asked.isEmpty():
+        mixed = waiting.groupBy("band", "key").agg(F.min("component").alias("a"), F.max("component").alias("b")).filter("a <> b")
+        live = stored(waiting.join(mixed.select("band", "key"), ["band", "key"]))
+        if live.isEmpty():
             break
-        pairs = asked.select("member", "pivot").distinct()
-        new = pairs if known is None else pairs.join(known, ["member", "pivot"], "left_anti")
-        new = stored(verify(new, content))
-        known = new if known is None else known.unionByName(new)
-        far = F.lit(1.0) - F.col("similarity")
-        limit = 1.0 - threshold
-        met = asked.join(known, ["member", "pivot"]).withColumn("d", far)
-        gray = met.filter((F.col("d") > limit + SLACK) & (F.col("d") <= 2 * limit + SLACK)).groupBy("band", "key").agg(F.min("d").alias("gray"))
-        waiting = met.join(gray, ["band", "key"], "left").filter(
-            (F.col("d") > limit + SLACK) | (F.col("d") >= F.col("gray") - limit - SLACK)).select(F.col("member").alias("digest"), "band", "key")
-    if known is None:
-        return spark.createDataFrame([], "member long, pivot long, similarity double")
-    return known.filter(F.col("similarity") >= threshold - SLACK)
+        first = Window.partitionBy("band", "key").orderBy("size", "digest")
+        pivots = stored(live.withColumn("turn", F.row_number().over(first)).filter(F.col("turn") <= pivots_each).select(
+            "band", "key", F.col("digest").alias("pivot"), F.col("component").alias("p_component"),
+            F.col("whole").alias("p_whole"), F.col("shared").alias("p_shared")))
+        # Neither can share more than what it has in common with any document at all.
+        most = F.least("shared", "p_shared")
+        possible = most >= (threshold - SLACK) * (F.col("whole") + F.col("p_whole") - most) - 1e-6 * F.col("whole")
+        asked = live.join(pivots, ["band", "key"]).filter((F.col("component") != F.col("p_component")) & possible).select(F.col("digest").alias("member"), "pivot").distinct()
+        asked = asked.withColumn("low", F.least("member", "pivot")).withColumn("high", F.greatest("member", "pivot"))
+        if known is not None:
+            asked = asked.join(known, ["low", "high"], "left_anti")
+        new = stored(verify(stored(asked.select("member", "pivot")), content))
+        pairs = new.select(F.least("member", "pivot").alias("low"), F.greatest("member", "pivot").alias("high"))
+        known = pairs if known is None else known.unionByName(pairs)
+        linked = new.filter(F.col("similarity") >= threshold - SLACK).select("member", "pivot")
+        found = linked if found is None else found.unionByName(linked)
+        names = components(found.select(F.col("member").alias("a"), F.col("pivot").alias("b")))
+        sizes = names.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
+        names = stored(names.join(sizes, "component").withColumnRenamed("node", "digest"))
+        left = live.drop("component", "size").join(pivots.select("band", "key", F.col("pivot").alias("digest")), ["band", "key", "digest"], "left_anti")
+        waiting = stored(left.join(names, "digest", "left").select(
+            "digest", "whole", "shared", "band", "key", F.coalesce("component", "digest").alias("component"), F.coalesce("size", F.lit(1).cast("long")).alias("size")))
+        pivots_each *= PIVOT_GROWTH
+    if names is None:
+        return vecs.select("digest", F.col("digest").alias("component")).limit(0)
+    return names.select("digest", "component")
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, segment_rows: int = ex.SEGMENT_ROWS) -> DataFrame:
     """doc_id, class_id (the least doc_id of its class), class_size, n_texts (different texts in the class)."""
     base = stored(vectors(docs, threshold, segment_rows))
-    vecs = base.filter("hashes IS NOT NULL").select("digest", "hashes", "weights", "keys")
-    joined = components(links(vecs, threshold).select(F.col("member").alias("a"), F.col("pivot").alias("b")))
+    vecs = base.filter("hashes IS NOT NULL").drop("doc_id")
+    joined = linked_texts(vecs, threshold)
     texts = base.filter("digest IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n"))
-    labelled = texts.join(joined.withColumnRenamed("node", "digest"), "digest", "left").withColumn("root", F.coalesce("component", "digest"))
+    labelled = texts.join(joined, "digest", "left").withColumn("root", F.coalesce("component", "digest"))
     classes = labelled.groupBy("root").agg(F.min("least").alias("class_id"), F.sum("n").alias("class_size"), F.count(F.lit(1)).alias("n_texts"))
     of_text = labelled.join(classes, "root").select("digest", "class_id", "class_size", "n_texts")
     found = base.filter("digest IS NOT NULL").select("doc_id", "digest").join(of_text, "digest").drop("digest")
