@@ -1,12 +1,74 @@
-"""From raw documents to packed training sequences, as stages of the operators in `quorumlens.llm`."""
+"""From raw documents to packed training sequences, as stages of the operators in `quorumlens.llm`.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of `docs`.  `run`
+writes the rows of a stage as Parquet in the shared folder and reads them back for the next.  Columns beyond doc_id, text,
+lang and n_chars pass through unchanged; n_chars, if it is there, follows the text.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from quorumlens.llm.decontaminate import contamination, is_contaminated
+from quorumlens.llm.langid import UNKNOWN, identify
+from quorumlens.llm.linededup import drop_repeated_lines
+from quorumlens.llm.neardup import near_duplicates
+from quorumlens.llm.pack import pack
+from quorumlens.llm.store import stored
+from quorumlens.llm.tokens import VOCABULARY
+
+# Documents whose best language has a smaller share of the score are rejected; with four languages chance is 0.25.
+LEAST_SCORE = 0.3
+
+
+def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
+    """Documents whose id is not among the rejected; a null id is never rejected."""
+    return docs.join(rejected.select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents without a letter, and those that resemble no language of the labelled ones."""
+    found = identify(docs)
+    return _without(docs, found.filter((F.col("lang_pred") == UNKNOWN) | (F.col("score") < LEAST_SCORE)))
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Deletes later copies of repeated runs of lines; a document of which only blank lines are left goes."""
+    found = drop_repeated_lines(docs).filter((F.col("n_removed") == 0) | (F.trim(F.regexp_replace("text", r"\s+", " ")) != ""))
+    if "n_chars" in docs.columns:
+        size = F.length("text").cast(docs.schema["n_chars"].dataType)
+        found = found.withColumn("n_chars", F.when(F.col("n_removed") == 0, F.col("n_chars")).otherwise(size))
+    return found.select(*docs.columns)
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each class of near duplicates the document with the least doc_id stays; rows without an id all stay."""
+    kept = near_duplicates(docs).filter("doc_id = class_id").select("doc_id").distinct()
+    first = Window.partitionBy("doc_id").orderBy("doc_id")
+    found = docs.filter("doc_id IS NOT NULL").join(kept, "doc_id", "left_semi").withColumn("_copy", F.row_number().over(first)).filter("_copy = 1")
+    return found.select(*docs.columns).unionByName(docs.filter("doc_id IS NULL"))
+
+
+def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents of which a twentieth of the words or more stands in windows of benchmark items."""
+    items = spark.read.parquet(f"{sf_dir.rstrip('/')}/benchmark.parquet")
+    return _without(docs, contamination(docs, items).filter(is_contaminated()))
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of the documents with their places in sequences of 2048 tokens."""
+    return pack(docs, VOCABULARY)
+
+
+STAGES = [("language", language), ("line_dedup", lines), ("near_dedup", near_copies), ("decontamination", benchmark), ("packing", packing)]
 
-STAGES: list = []
+# Weighted sampling, kernels and tokens can't be expressed in SQL; tests compare the stages with brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet")
+    for _, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

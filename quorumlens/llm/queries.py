@@ -129,3 +129,14 @@ def projected_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .ann import nearest
 
     return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, 5)
+
+
+@query("op3_line_dedup")
+def line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_lines, n_removed, the removed runs of lines, and the SHA-256 of the text that is left."""
+    from .linededup import drop_repeated_lines
+
+    found = drop_repeated_lines(table(spark, sf_dir, "documents").select("doc_id", "text", F.size(F.split("text", "\n")).alias("n_lines")))
+    return found.select("doc_id", F.col("n_lines").cast("long").alias("n_lines"), "n_removed", F.array_join(
+        F.transform("runs", lambda r: F.concat_ws("-", r["start"], r["end"])), ",").alias("runs"),
+        F.sha2(F.encode(F.coalesce("text", F.lit("")), "UTF-8"), 256).alias("kept_sha256"))
