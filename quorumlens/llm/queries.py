@@ -140,3 +140,10 @@ def line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.col("n_lines").cast("long").alias("n_lines"), "n_removed", F.array_join(
         F.transform("runs", lambda r: F.concat_ws("-", r["start"], r["end"])), ",").alias("runs"),
         F.sha2(F.encode(F.coalesce("text", F.lit("")), "UTF-8"), 256).alias("kept_sha256"))
+
+
+@query("op4_attention_scores")
+def attention_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lm import score_documents
+
+    return score_documents(table(spark, sf_dir, "documents"))
