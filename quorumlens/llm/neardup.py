@@ -1,13 +1,13 @@
 """MinHash near-dedup: improved consistent weighted sampling over TF-IDF shingles, banded, verified by weighted Jaccard.
 
 A document is a vector: a weight tf * idf for each shingle of five words (lower-cased A-Z; a text of one to four words is
-one shingle), idf = 1 + ln((1 + N) / (1 + df)) / (2 ln(1 + N)), with df counted over all N documents.  Two documents are
+one shingle), idf = 1 + ln((1 + N) / (1 + df)) / (2 ln(1 + N)), with df counted over all N texts.  Two documents are
 linked if the sum of the smaller weights is at least `threshold` times the sum of the larger ones.  Documents with the
-same words are one text; classes are the connected components of texts.
+same words are one text; counts N and df count each text once; classes are the connected components of texts.
 
 1. Segments send their shingle hashes to buckets, which answer with document frequencies (see `exchange`).
-2. A shingle that no other document has can't be shared, so a document with more than 1 - threshold of its weight in such
-   shingles has no partner.  The others, one for each distinct text, get signatures: `bands` keys of `rows` samples each.
+2. A shingle that no other text has can't be shared, so a text with more than 1 - threshold of its weight in such
+   shingles has no partner.  The others get signatures: `bands` keys of `rows` samples each.
    Texts of similarity s share a key with chance 1 - (1 - s**rows)**bands; at 0.8 all but 7 pairs in a million.
 3. A bucket of equal keys isn't expanded into pairs: all members are compared with one pivot, which then leaves.  A bucket
    whose members are all in one component by then is done.  In the others, pivots from the smallest components (a growing
@@ -38,9 +38,8 @@ GROUP_ROWS = 500
 PIVOT_GROWTH = 64
 SLACK = 1e-9
 
-VECTOR = "doc_id long, digest long, hashes binary, weights binary, keys array<long>, whole double, shared double"
+VECTOR = "digest long, hashes binary, weights binary, keys array<long>, whole double, shared double"
 TEXT_BASE = np.uint64(0xA0761D6478BD642F)
-SEEN_BEFORE = np.uint64(1 << 63)
 
 QUANTILES = 1 << 16
 
@@ -112,20 +111,52 @@ def inverse_frequency(df: np.ndarray, total: int) -> np.ndarray:
     return 1.0 + np.log((1.0 + total) / (1.0 + df)) / (2.0 * np.log(1.0 + total))
 
 
+def text_digests(docs: DataFrame) -> DataFrame:
+    """doc_id and the digest of the words of each document, null if it has none."""
+
+    def digest(batches):
+        for batch in batches:
+            for part in chunks(batch, "text"):
+                words = Words(part.column("text"), PLAIN, lower=True)
+                yield pa.RecordBatch.from_pydict({"doc_id": part.column("doc_id"), "digest": pa.array(
+                    digests(words).view(np.int64), pa.int64(), mask=words.counts == 0)})
+
+    return docs.mapInArrow(digest, "doc_id long, digest long")
+
+
+class Texts:
+    """The documents of a segment that stand for their texts: all but those named in `copies`, and the first of repeated rows."""
+
+    def __init__(self, copies: pa.Table) -> None:
+        self.copies = {i for ids in copies.column("ids").to_pylist() if ids is not None for i in ids}
+        self.seen: set[int] = set()
+
+    def fresh(self, part: pa.RecordBatch, words: Words) -> tuple[np.ndarray, np.ndarray]:
+        digest = digests(words)
+        out = np.zeros(part.num_rows, bool)
+        for d, doc_id in enumerate(part.column("doc_id").to_pylist()):
+            if words.counts[d] and doc_id not in self.copies:
+                out[d] = int(digest[d]) not in self.seen
+                self.seen.add(int(digest[d]))
+        return out, digest
+
+
 def _sender(width: int, buckets: int):
-    def send(key, table):
-        found = []
+    def send(key, table, copies):
+        texts, found = Texts(copies), []
         for part in chunks(table, "text"):
             words = Words(part.column("text"), PLAIN, lower=True)
-            found += [shingle_counts(words, width)[0], np.unique(digests(words)[words.counts > 0])]
+            fresh, _ = texts.fresh(part, words)
+            hashes, owner, _ = shingle_counts(words, width)
+            found.append(hashes[fresh[owner]])
         hashes, n = np.unique(np.concatenate(found) if found else np.zeros(0, np.uint64), return_counts=True)
-        return ex.messages(key[0].as_py(), hashes, buckets, n.astype("<u4"))
+        return ex.messages(table.column("segment")[0].as_py() if table.num_rows else 0, hashes, buckets, n.astype("<u4"))
 
     return send
 
 
 def _count(table):
-    """For each segment, those of its hashes that two or more documents have: how many, and if an earlier segment has it."""
+    """For each segment, those of its hashes that two or more texts have, and how many."""
     rows = sorted(ex.rows_of(table, "segment", "hashes", "extra"))
     parts = [unpack_sorted(r[1]) for r in rows]
     owner = np.repeat(np.arange(len(rows), dtype=np.int32), [len(p) for p in parts])
@@ -137,9 +168,6 @@ def _count(table):
     sizes = np.diff(np.append(opens, len(ranked)))
     df = np.empty(len(hashes), np.uint64)
     df[order] = np.repeat(sums, sizes)
-    later = np.ones(len(hashes), bool)
-    later[order[opens]] = False
-    df[later] |= SEEN_BEFORE
     keep = df > 1
     at = np.concatenate([[0], np.cumsum([len(p) for p in parts])])
     full, told, extra = [], [], []
@@ -155,28 +183,18 @@ def _count(table):
 def _vectorizer(width: int, total: int, threshold: float, bands: int, rows: int):
     def vectors(key, docs, told):
         sampler = Sampler(bands, rows)
-        heard = list(ex.rows_of(told, "hashes", "extra"))
+        heard = [r for r in ex.rows_of(told, "hashes", "extra") if r[0] is not None]
         known = np.concatenate([unpack_sorted(h) for h, _ in heard] or [np.zeros(0, np.uint64)])
         extra = np.concatenate([np.frombuffer(e, "<u8") for _, e in heard] or [np.zeros(0, "<u8")])
         order = np.argsort(known)
         known, extra = np.append(known[order], np.uint64(2**64 - 1)), np.append(extra[order], np.uint64(0))
-
-        def look_up(hashes: np.ndarray) -> np.ndarray:
-            at = np.searchsorted(known, hashes)
-            return np.where(known[at] == hashes, extra[at], np.uint64(1))
-
-        seen: set[int] = set()
-        tables = []
+        texts, tables = Texts(told), []
         for part in chunks(docs, "text"):
             words = Words(part.column("text"), PLAIN, lower=True)
+            fresh, digest = texts.fresh(part, words)
             hashes, owner, n = shingle_counts(words, width)
-            digest = digests(words)
-            before = (look_up(digest) & SEEN_BEFORE) > 0
-            fresh = np.zeros(part.num_rows, bool)
-            for d in np.flatnonzero(~before & (words.counts > 0)):
-                fresh[d] = int(digest[d]) not in seen
-                seen.add(int(digest[d]))
-            df = (look_up(hashes) & ~SEEN_BEFORE).astype(np.int64)
+            at = np.searchsorted(known, hashes)
+            df = np.where(known[at] == hashes, extra[at], np.uint64(1)).astype(np.int64)
             weights = (n * inverse_frequency(df, total)).astype("<f4")
             whole = np.bincount(owner, weights, part.num_rows)
             alone = np.bincount(owner, weights * (df == 1), part.num_rows)
@@ -187,33 +205,34 @@ def _vectorizer(width: int, total: int, threshold: float, bands: int, rows: int)
             docs_in, starts = np.unique(o, return_index=True)
             ends = np.append(starts[1:], len(o))
             keys = sampler.keys(h, w, starts) if len(docs_in) else np.zeros((0, bands), np.uint64)
-            place = {int(d): k for k, d in enumerate(docs_in)}
-            at = [place.get(d) for d in range(part.num_rows)]
             tables.append(pa.table({
-                "doc_id": part.column("doc_id"),
-                "digest": pa.array([int(x) if c else None for x, c in zip(digest.view(np.int64), words.counts)], pa.int64()),
-                "hashes": pa.array([None if k is None else h[starts[k]:ends[k]].tobytes() for k in at], pa.binary()),
-                "weights": pa.array([None if k is None else w[starts[k]:ends[k]].tobytes() for k in at], pa.binary()),
-                "keys": pa.array([None if k is None else keys[k].view(np.int64) for k in at], pa.list_(pa.int64())),
-                "whole": pa.array(whole, pa.float64()), "shared": pa.array(whole - alone, pa.float64()),
+                "digest": pa.array(digest[docs_in].view(np.int64), pa.int64()),
+                "hashes": pa.array([h[a:b].tobytes() for a, b in zip(starts, ends)], pa.binary()),
+                "weights": pa.array([w[a:b].tobytes() for a, b in zip(starts, ends)], pa.binary()),
+                "keys": pa.array(list(keys.view(np.int64)), pa.list_(pa.int64())),
+                "whole": pa.array(whole[docs_in], pa.float64()), "shared": pa.array((whole - alone)[docs_in], pa.float64()),
             }))
-        return pa.concat_tables(tables) if tables else pa.table({
-            "doc_id": pa.array([], pa.int64()), "digest": pa.array([], pa.int64()), "hashes": pa.array([], pa.binary()),
-            "weights": pa.array([], pa.binary()), "keys": pa.array([], pa.list_(pa.int64())),
-            "whole": pa.array([], pa.float64()), "shared": pa.array([], pa.float64())})
+        none = pa.table({"digest": pa.array([], pa.int64()), "hashes": pa.array([], pa.binary()), "weights": pa.array([], pa.binary()),
+                         "keys": pa.array([], pa.list_(pa.int64())), "whole": pa.array([], pa.float64()), "shared": pa.array([], pa.float64())})
+        return pa.concat_tables(tables) if tables else none
 
     return vectors
 
 
-def vectors(docs: DataFrame, threshold: float = THRESHOLD, segment_rows: int = ex.SEGMENT_ROWS,
+def vectors(docs: DataFrame, base: DataFrame, threshold: float = THRESHOLD, segment_rows: int = ex.SEGMENT_ROWS,
             bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """doc_id and digest of each document; vector and band keys of the first with its digest that may have a partner."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    total = texts.count()
-    segments = max(1, -(-total // segment_rows))
-    parts = texts.withColumn("segment", ex.hashed(F.struct("doc_id", F.length("text")), segments))
-    sent = parts.groupBy("segment").applyInArrow(_sender(SHINGLE_WORDS, ex.bucket_count(segments)), ex.MESSAGE)
-    told = sent.groupBy("bucket").applyInArrow(_count, ex.ANSWER)
+    """Vector and band keys of each text that may have a partner; `base` has the digests of all documents."""
+    worded = base.filter("digest IS NOT NULL")
+    first = worded.groupBy("digest").agg(F.min("doc_id").alias("first"))
+    total = max(2, first.count())
+    segments = ex.segment_count(docs, segment_rows)
+    segment = ex.hashed(F.col("doc_id"), segments).alias("segment")
+    copies = worded.join(first, "digest").filter(~F.col("doc_id").eqNullSafe(F.col("first"))).select(segment, "doc_id")
+    copies = stored(copies.groupBy("segment").agg(F.collect_list("doc_id").alias("ids")))
+    parts = docs.select("doc_id", "text", segment)
+    sent = parts.groupBy("segment").cogroup(copies.groupBy("segment")).applyInArrow(_sender(SHINGLE_WORDS, ex.bucket_count(segments)), ex.MESSAGE)
+    told = sent.groupBy("bucket").applyInArrow(_count, ex.ANSWER).withColumn("ids", F.lit(None).cast("array<long>"))
+    told = told.unionByName(copies.select("segment", F.lit(None).cast("binary").alias("hashes"), F.lit(None).cast("binary").alias("extra"), "ids"))
     make = _vectorizer(SHINGLE_WORDS, total, threshold, bands, rows)
     return parts.groupBy("segment").cogroup(told.groupBy("segment")).applyInArrow(make, VECTOR)
 
@@ -289,8 +308,9 @@ def linked_texts(vecs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, segment_rows: int = ex.SEGMENT_ROWS) -> DataFrame:
     """doc_id, class_id (the least doc_id of its class), class_size, n_texts (different texts in the class)."""
-    base = stored(vectors(docs, threshold, segment_rows))
-    vecs = base.filter("hashes IS NOT NULL").drop("doc_id")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    base = stored(text_digests(rows))
+    vecs = stored(vectors(rows, base, threshold, segment_rows))
     joined = linked_texts(vecs, threshold)
     texts = base.filter("digest IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n"))
     labelled = texts.join(joined, "digest", "left").withColumn("root", F.coalesce("component", "digest"))
