@@ -147,3 +147,15 @@ def attention_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .lm import score_documents
 
     return score_documents(table(spark, sf_dir, "documents"))
+
+
+@query("op9_license_scan")
+def license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each document: paragraphs, confirmed licences, their families and the paragraphs they stand in."""
+    from .license import scan
+
+    found = scan(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id", "n_paragraphs", F.size("licences").cast("long").alias("n_licences"),
+        F.array_join(F.array_sort(F.array_distinct(F.transform("licences", lambda x: x["family"]))), ",").alias("families"),
+        F.array_join(F.transform("licences", lambda x: x["paragraph"].cast("string")), ",").alias("paragraphs"))
