@@ -233,7 +233,7 @@ def classes(stream: np.ndarray, size: int) -> np.ndarray:
     count = np.bincount(stream, minlength=size)
     common = np.argsort(-count, kind="stable")[:127]
     column = np.full(size, 127)
-    column[common] = np.arange(127)
+    column[common] = np.arange(len(common))
     known = np.flatnonzero(count >= 5)
     out = np.arange(size) % CLASSES
     if len(known) < CLASSES:
