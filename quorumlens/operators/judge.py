@@ -1,5 +1,7 @@
 """Aggregation of human judgements and their statistics."""
 
+import hashlib
+import math
 from collections.abc import Sequence
 
 import numpy as np
@@ -41,33 +43,48 @@ def proportions(items: DataFrame, groups: Sequence[str], package: str = "package
         share("ambiguous").alias("p_ambiguous"), share("invalid").alias("p_invalid"), share("valid", "ambiguous").alias("p_plausible"))
 
 
-def draws(units: DataFrame, n: int, replicates: int, seed: object) -> DataFrame:
-    """Bootstrap draws (rep, pos): n draws with replacement per replicate from n positions.
+# A prime modulus, so that rank-one products of two smaller numbers stay inside 64 bits.
+PRIME = 2**31 - 1
+# Upper ends of the Poisson(1) classes 0, 1, 2, ... in the range of the hash.
+POISSON_ENDS = [int(PRIME * sum(math.exp(-1) / math.factorial(j) for j in range(k + 1))) for k in range(12)]
 
-    The table is generated in parallel and its draws are merged per position before they meet the data.
+
+def _number(*parts: object) -> int:
+    return int(hashlib.md5("|".join(map(str, parts)).encode()).hexdigest()[:15], 16)
+
+
+def resampled_sums(units: DataFrame, keys: Sequence[str], sums: Sequence[str], replicates: int, seed: object) -> DataFrame:
+    """Per replicate the sums of columns over resampled units.  units: one row per unit, named by `keys`.
+
+    A unit occurs in a replicate as often as the Poisson(1) quantile of a seeded hash of both says; no draw is ever a
+    row.  A task adds up its units batch by batch and sends one row per replicate.
     """
-    total = units.sparkSession.range(n * replicates).select(
-        F.floor(F.col("id") / n).alias("rep"), (F.col("id") % n).alias("draw"))
-    pos = hash60(F.lit(str(seed)), F.col("rep"), F.col("draw")) % n
-    return total.groupBy("rep", pos.alias("pos")).agg(F.count(F.lit(1)).alias("times"))
+    sums = list(sums)
+    times = np.array([_number(seed, "m", r) % (PRIME - 1) + 1 for r in range(replicates)])
+    plus = np.array([_number(seed, "c", r) % PRIME for r in range(replicates)])
+    ends = np.array(POISSON_ENDS)
 
+    def add(batches):
+        total = np.zeros((replicates, len(sums)))
+        for pdf in batches:
+            unit, values = pdf["_unit"].to_numpy(), pdf[sums].to_numpy(dtype=float)
+            for at in range(0, len(unit), 128):
+                drawn = np.searchsorted(ends, (unit[at:at + 128, None] * times + plus) % PRIME, "right")
+                total += drawn.T.astype(float) @ values[at:at + 128]
+        yield pd.DataFrame(total, columns=sums).assign(rep=np.arange(replicates))[["rep", *sums]]
 
-def resampled_sums(units: DataFrame, order: Sequence[str], sums: Sequence[str], block: Column, replicates: int, seed: object) -> DataFrame:
-    """Per replicate the sums of columns over units drawn with replacement.  units: one row per unit."""
-    units = checkpointed(units)  # read three times below
-    placed = ranking.positions(units, [], list(order), block, "pos")
-    n = units.count()
-    drawn = draws(units, n, replicates, seed).join(placed.select("pos", *sums), "pos")
-    return drawn.groupBy("rep").agg(*[F.sum(F.col("times") * F.col(s)).alias(s) for s in sums])
+    hashed = units.select((hash60(F.lit(str(seed)), *[F.col(k) for k in keys]) % PRIME).alias("_unit"), *[F.col(s).cast("double").alias(s) for s in sums])
+    partial = hashed.mapInPandas(add, "rep long, " + ", ".join(f"{s} double" for s in sums))
+    return partial.groupBy("rep").agg(*[F.sum(s).alias(s) for s in sums])
 
 
-def cluster_bootstrap(items: DataFrame, package: str, replicates: int, seed: object, block: Column) -> DataFrame:
+def cluster_bootstrap(items: DataFrame, package: str, replicates: int, seed: object) -> DataFrame:
     """Packages drawn with replacement; 95 % interval of each share by floor index of the sorted replicates."""
     flag = lambda *o: F.sum(F.col("outcome").isin(*o).cast("long"))
     per = items.groupBy(package).agg(F.count(F.lit(1)).alias("n"), flag("valid").alias("p_valid"), flag("ambiguous").alias("p_ambiguous"),
                                      flag("invalid").alias("p_invalid"), flag("valid", "ambiguous").alias("p_plausible"))
     names = ["p_valid", "p_ambiguous", "p_invalid", "p_plausible"]
-    s = resampled_sums(per, [package], ["n", *names], block, replicates, seed)
+    s = resampled_sums(per, [package], ["n", *names], replicates, seed).filter("n > 0")
     long = s.select("rep", *[(F.col(c) / F.col("n")).alias(c) for c in names]).unpivot(["rep"], names, "measure", "share")
     return floor_interval(long, ["measure"], "share", replicates)
 
@@ -200,10 +217,10 @@ def missing_choices(choices: DataFrame, options: DataFrame) -> DataFrame:
     return none.unionByName(unknown)
 
 
-def bootstrap_mean(values: DataFrame, value: str, order: Sequence[str], block: Column, replicates: int, seed: object) -> DataFrame:
+def bootstrap_mean(values: DataFrame, value: str, keys: Sequence[str], replicates: int, seed: object) -> DataFrame:
     """Mean with an interval from interpolated percentiles of resampled means."""
     units = values.withColumn("_one", F.lit(1))
-    s = resampled_sums(units, order, [value, "_one"], block, replicates, seed)
+    s = resampled_sums(units, keys, [value, "_one"], replicates, seed).filter("_one > 0")
     reps = s.select((F.col(value) / F.col("_one")).alias("m"))
     q = reps.agg(F.percentile("m", F.array(F.lit(0.025), F.lit(0.975))).alias("q"))  # one row per replicate
     mean = values.agg(F.avg(value).alias("mean"), F.count(F.lit(1)).alias("n"))
@@ -220,7 +237,7 @@ def wilson(successes: Column, n: Column, z: float = Z95) -> tuple[Column, Column
 
 
 def paired_bootstrap(
-    scores: DataFrame, system_a: str, system_b: str, metric: str, replicates: int, seed: object, block: Column,
+    scores: DataFrame, system_a: str, system_b: str, metric: str, replicates: int, seed: object,
     convention: str = "linear_both",
 ) -> DataFrame:
     """Difference of two systems on their common examples with a bootstrap interval and p-value.
@@ -232,7 +249,7 @@ def paired_bootstrap(
     pick = lambda s, n: finite.filter(F.col("system") == s).select("example", F.col(metric).alias(n))
     j = checkpointed(pick(system_a, "a").join(pick(system_b, "b"), "example").withColumn("delta", F.col("a") - F.col("b")))
     units = j.withColumn("_one", F.lit(1))
-    s = resampled_sums(units, ["example"], ["delta", "_one"], block, replicates, seed)
+    s = resampled_sums(units, ["example"], ["delta", "_one"], replicates, seed).filter("_one > 0")
     reps = s.select((F.col("delta") / F.col("_one")).alias("d"))
     low = F.avg((F.col("d") <= 0).cast("double"))
     high = F.avg((F.col("d") >= 0).cast("double"))
@@ -275,7 +292,7 @@ def sample_agreement(
         region("a").alias("_ra"), region("b").alias("_rb"))
     a, b = F.col("_ra"), F.col("_rb")
     out = agg.withColumns({"region_jsd": D.jensen_shannon(a, b, base2=True), "region_overlap": D.overlap(a, b), "region_top": D.shares_top(a, b, 1e-9)})
-    return out.withColumn("projection_delta", F.col("label_jsd") - F.col("region_jsd")).drop("_ra", "_rb")
+    return out.withColumn("projection_delta", F.col("region_jsd") - F.col("label_jsd")).drop("_ra", "_rb")
 
 
 def agreement_by_stratum(rows: DataFrame, stratum: str) -> DataFrame:

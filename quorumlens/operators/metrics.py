@@ -210,9 +210,9 @@ def spearman(df: DataFrame, x: str, y: str, width_x: float, width_y: float) -> D
 
 
 def perplexity(losses: DataFrame, keys: Sequence[str], nll: str, tokens: str) -> DataFrame:
-    """Token-weighted mean loss and its exponential, infinite from 50 on."""
-    m = losses.groupBy(*keys).agg((F.sum(nll) / F.sum(tokens)).alias("loss"))
-    return m.withColumn("perplexity", F.when(F.col("loss") < 50, F.exp("loss")).otherwise(F.lit(float("inf"))))
+    """Token-weighted mean loss and its exponential, infinite from 50 on; both null for a group without tokens."""
+    m = losses.groupBy(*keys).agg(F.try_divide(F.sum(nll), F.sum(tokens)).alias("loss"))
+    return m.withColumn("perplexity", F.when(F.col("loss") < 50, F.exp("loss")).when(F.col("loss").isNotNull(), F.lit(float("inf"))))
 
 
 def norm_summary(df: DataFrame, keys: Sequence[str], vec: str, width: float = 0.01) -> DataFrame:

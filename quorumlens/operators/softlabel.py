@@ -202,37 +202,44 @@ def agreement_rollup(items: DataFrame, groups: Sequence[str] = ("split", "role")
         F.avg("majority_fraction").alias("mean_majority"),
         F.avg("top_p").alias("mean_top_p"),
         F.avg("unique_labels").alias("mean_unique"),
+        *[F.grouping(g).cast("int").alias(f"_total_{g}") for g in groups],
     )
+    stats = stats.withColumns({g: F.when(F.col(f"_total_{g}") == 1, F.lit("all")).otherwise(F.col(g).cast("string")) for g in groups})
     # Medians on the same cube: merge equal entropies first, expand the cube on the merged rows.
+    total = [f"_total_{g}" for g in groups]
     slim = items.select(*groups, "entropy")
-    cubed = slim.select("entropy", F.explode(_cube_keys(groups)).alias("_g")).select(
-        "entropy", *[F.col("_g")[g].alias(g) for g in groups]
-    )
-    med = ranking.median_of(cubed, groups, "entropy", 0.01, "median_entropy")
+    cubed = slim.select("entropy", F.explode(_cube_keys(groups)).alias("_g")).select("entropy", "_g.*")
+    keyed = [*groups, *total]
+    med = ranking.median_of(cubed.withColumns({f"_null_{g}": F.col(g).isNull() for g in groups}).fillna("", groups),
+                            [*keyed, *[f"_null_{g}" for g in groups]], "entropy", 0.01, "median_entropy")
+    med = med.select(*[F.when(~F.col(f"_null_{g}"), F.col(g)).alias(g) for g in groups], *total, "median_entropy")
     # The aggregate is a few rows per group; the dense grid is drawn from it instead of from the items.
-    named = checkpointed(stats.select(*[F.coalesce(F.col(g).cast("string"), F.lit("all")).alias(g) for g in groups],
-                                      *[c for c in stats.columns if c not in groups]))
+    named = checkpointed(stats)
     grid = None
-    for g in groups:
-        side = named.select(g).distinct()
+    for g, t in zip(groups, total):
+        side = named.select(g, t).distinct()
         grid = side if grid is None else grid.crossJoin(F.broadcast(side))  # group names only
-    full = grid.join(named, groups, "left").join(med, groups, "left")
-    rates = [(F.col("n_" + b) / F.col("n")).alias("rate_" + b) for b in BUCKETS]
+
+    def attach(left: DataFrame, right: DataFrame) -> DataFrame:
+        """Null groups are groups of their own, and the total of a group is never one of its values."""
+        renamed = right.select(*[F.col(c).alias(f"_r{c}" if c in keyed else c) for c in right.columns])
+        on = [F.col(c).eqNullSafe(F.col(f"_r{c}")) for c in keyed]
+        return left.join(renamed, on, "left").drop(*[f"_r{c}" for c in keyed])
+
+    full = attach(attach(grid, named), med)
+    rates = [F.when(F.col("n") > 0, F.col("n_" + b) / F.col("n")).otherwise(0.0).alias("rate_" + b) for b in BUCKETS]
     filled = full.fillna(0, ["n", *["n_" + b for b in BUCKETS]])
-    return filled.select(*filled.columns, *rates)
+    return filled.select(*filled.columns, *rates).drop(*total)
 
 
 def _cube_keys(groups: Sequence[str]) -> Column:
     combos: list[Column] = []
     for mask in range(2 ** len(groups)):
-        combos.append(
-            F.struct(
-                *[
-                    (F.col(g).cast("string") if mask >> i & 1 else F.lit("all")).alias(g)
-                    for i, g in enumerate(groups)
-                ]
-            )
-        )
+        cells = []
+        for i, g in enumerate(groups):
+            kept = bool(mask >> i & 1)
+            cells += [(F.col(g).cast("string") if kept else F.lit("all")).alias(g), F.lit(0 if kept else 1).alias(f"_total_{g}")]
+        combos.append(F.struct(*cells))
     return F.array(*combos)
 
 

@@ -478,10 +478,10 @@ def model_pair(t: Tables) -> tuple[DataFrame, DataFrame]:
       FROM records WHERE top_a <> target_top AND top_b = target_top),
     u AS (SELECT 'hurt' AS kind, item, split, ce_a, ce_b, row_number() OVER (ORDER BY (split <> 'test')::int, round(abs(ce_a - ce_b), 9) DESC, item) AS r
       FROM records WHERE top_a = target_top AND top_b <> target_top)
-    SELECT kind, item, split, round(ce_a, 6) AS ce_a, round(ce_b, 6) AS ce_b FROM (SELECT * FROM h UNION ALL SELECT * FROM u) WHERE r <= 20""")
+    SELECT kind, item, split, round(ce_a, 6) AS ce_a, round(ce_b, 6) AS ce_b FROM (SELECT * FROM h UNION ALL SELECT * FROM u) WHERE r <= 80""")
 def helped_hurt(t: Tables) -> DataFrame:
     a, b = model_pair(t)
-    return P.helped_hurt(a, b, ["item"], 20).select("kind", "item", "split", r6("ce_a"), r6("ce_b"))
+    return P.helped_hurt(a, b, ["item"], 80).select("kind", "item", "split", r6("ce_a"), r6("ce_b"))
 
 
 @query("target_deltas_C10", uses="records", sql="""

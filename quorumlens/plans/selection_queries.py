@@ -462,15 +462,27 @@ def proportions(t: Tables) -> DataFrame:
     return p.select("grp", "value", "packages", "items", r6("p_valid"), r6("p_ambiguous"), r6("p_invalid"), r6("p_plausible"))
 
 
-@query("cluster_bootstrap_J3", uses="outcomes", sql=f"""
-    WITH u AS (SELECT package_id, row_number() OVER (ORDER BY package_id) - 1 AS pos, count(*) AS n, count(*) FILTER (WHERE outcome = 'valid') AS v FROM outcomes GROUP BY package_id),
-    d AS (SELECT rep, {HASH.format("concat_ws('|', '11', rep, draw)")} % m AS pos FROM (SELECT unnest(range(0, 60)) AS rep), (SELECT count(*) AS m FROM u), (SELECT unnest(range(0, (SELECT count(*) FROM u))) AS draw)),
-    r AS (SELECT rep, sum(v) / sum(n) AS s FROM d JOIN u USING (pos) GROUP BY rep),
-    o AS (SELECT s, row_number() OVER (ORDER BY s) - 1 AS k FROM r)
-    SELECT 'p_valid' AS measure, round(max(s) FILTER (WHERE k = 1), 6) AS ci_low, round(max(s) FILTER (WHERE k = 57), 6) AS ci_high FROM o""")
+def drawn(seed: int, replicates: int, key: str, table: str) -> str:
+    """SQL for (rep, every column of `table`, k): how often a unit occurs in a replicate."""
+    hashed = lambda *parts: HASH.format(f"concat_ws('|', '{seed}', {', '.join(parts)})")
+    steps = " + ".join(f"(x >= {end})::int" for end in J.POISSON_ENDS)
+    return f"""SELECT *, {steps} AS k FROM (SELECT u.*, rep, (h * m + c) % {J.PRIME} AS x FROM (SELECT *, {hashed(key)} % {J.PRIME} AS h FROM {table}) u,
+      (SELECT rep, {hashed("'m'", "rep")} % {J.PRIME - 1} + 1 AS m, {hashed("'c'", "rep")} % {J.PRIME} AS c FROM (SELECT unnest(range(0, {replicates})) AS rep)))"""
+
+
+CTES["packages"] = ("outcomes", """
+    SELECT package_id, count(*) AS n, count(*) FILTER (WHERE outcome = 'valid') AS p_valid, count(*) FILTER (WHERE outcome = 'ambiguous') AS p_ambiguous,
+      count(*) FILTER (WHERE outcome = 'invalid') AS p_invalid, count(*) FILTER (WHERE outcome IN ('valid', 'ambiguous')) AS p_plausible FROM outcomes GROUP BY package_id""")
+
+
+@query("cluster_bootstrap_J3", uses="packages", sql=f"""
+    WITH d AS ({drawn(11, 10_000, "package_id", "packages")}),
+    r AS (SELECT rep, unnest(['p_valid', 'p_ambiguous', 'p_invalid', 'p_plausible']) AS measure,
+      unnest([sum(k * p_valid) / sum(k * n), sum(k * p_ambiguous) / sum(k * n), sum(k * p_invalid) / sum(k * n), sum(k * p_plausible) / sum(k * n)]) AS s FROM d GROUP BY rep),
+    o AS (SELECT measure, s, row_number() OVER (PARTITION BY measure ORDER BY s) - 1 AS i FROM r)
+    SELECT measure, round(max(s) FILTER (WHERE i = 249), 6) AS ci_low, round(max(s) FILTER (WHERE i = 9749), 6) AS ci_high FROM o GROUP BY measure""")
 def cluster_bootstrap(t: Tables) -> DataFrame:
-    c = J.cluster_bootstrap(outcomes(t), "package_id", 60, 11, F.floor(F.col("package_id") / 4096))
-    return c.filter("measure = 'p_valid'").select("measure", r6("ci_low"), r6("ci_high"))
+    return J.cluster_bootstrap(outcomes(t), "package_id", 10_000, 11).select("measure", r6("ci_low"), r6("ci_high"))
 
 
 @query("agreement_statistics_J4", uses="outcomes", sql="""
@@ -568,26 +580,20 @@ def missing_choices(t: Tables) -> DataFrame:
 CTES["deltas"] = ("cands", """
     SELECT a.example, a.gold_ce AS a, b.gold_ce AS b, a.gold_ce - b.gold_ce AS delta, row_number() OVER (ORDER BY a.example) - 1 AS pos FROM cands a JOIN cands b USING (example) WHERE a.system = 'echo' AND b.system = 'trim'""")
 CTES["delta_reps"] = ("deltas", f"""
-    SELECT rep, avg(delta) AS d FROM (SELECT rep, {HASH.format("concat_ws('|', '12', rep, draw)")} % m AS pos FROM (SELECT unnest(range(0, 80)) AS rep), (SELECT count(*) AS m FROM deltas),
-      (SELECT unnest(range(0, (SELECT count(*) FROM deltas))) AS draw)) JOIN deltas USING (pos) GROUP BY rep""")
+    SELECT rep, sum(k * delta) / sum(k) AS d FROM ({drawn(12, 10_000, "example", "deltas")}) GROUP BY rep""")
 
 
 def ce_scores(t: Tables) -> DataFrame:
     return scored_candidates(t).select("system", "example", "gold_ce")
 
 
-def text_block() -> Column:
-    """Block of the key order: example keys are texts, so a prefix follows their order."""
-    return F.substring("example", 1, 9)
-
-
 @query("bootstrap_mean_J9", uses="deltas delta_reps", sql="""
     SELECT (SELECT count(*) FROM deltas) AS n, round((SELECT avg(delta) FROM deltas), 6) + 0.0 AS mean, round(quantile_cont(d, 0.025), 6) + 0.0 AS ci_low, round(quantile_cont(d, 0.975), 6) + 0.0 AS ci_high FROM delta_reps""")
 def bootstrap_mean(t: Tables) -> DataFrame:
     s = ce_scores(t)
     a, b = (s.filter(F.col("system") == n).select("example", F.col("gold_ce").alias(n)) for n in ("echo", "trim"))
     d = a.join(b, "example").withColumn("delta", F.col("echo") - F.col("trim"))
-    m = J.bootstrap_mean(d, "delta", ["example"], text_block(), 80, 12)
+    m = J.bootstrap_mean(d, "delta", ["example"], 10_000, 12)
     return m.select("n", r6("mean"), r6("ci_low"), r6("ci_high"))
 
 
@@ -607,18 +613,25 @@ PAIRED_HEAD = """SELECT (SELECT count(*) FROM deltas) AS n, round((SELECT avg(a)
 @query("paired_bootstrap_J11", uses="deltas delta_reps", sql=PAIRED_HEAD + """
     round(quantile_cont(d, 0.025), 6) + 0.0 AS ci_low, round(quantile_cont(d, 0.975), 6) + 0.0 AS ci_high, round(least(1.0, 2 * least(avg((d <= 0)::int), avg((d >= 0)::int))), 6) AS p_value FROM delta_reps""")
 def paired_bootstrap(t: Tables) -> DataFrame:
-    p = J.paired_bootstrap(ce_scores(t), "echo", "trim", "gold_ce", 80, 12, text_block())
+    p = J.paired_bootstrap(ce_scores(t), "echo", "trim", "gold_ce", 10_000, 12)
     return p.select("n", *[r6(c) for c in ("mean_a", "mean_b", "delta", "ci_low", "ci_high", "p_value")])
 
 
 @query("paired_bootstrap_floor_J11", uses="deltas delta_reps", sql=PAIRED_HEAD + """
-    round(list_sort(list(d))[2], 6) + 0.0 AS ci_low, round(list_sort(list(d))[78], 6) + 0.0 AS ci_high,
+    round(list_sort(list(d))[250], 6) + 0.0 AS ci_low, round(list_sort(list(d))[9750], 6) + 0.0 AS ci_high,
     round(least(1.0, 2 * CASE WHEN (SELECT avg(delta) FROM deltas) >= 0 THEN avg((d <= 0)::int) ELSE avg((d >= 0)::int) END), 6) AS p_value FROM delta_reps""")
 def paired_bootstrap_floor(t: Tables) -> DataFrame:
-    p = J.paired_bootstrap(ce_scores(t), "echo", "trim", "gold_ce", 80, 12, text_block(), "floor_tail")
+    p = J.paired_bootstrap(ce_scores(t), "echo", "trim", "gold_ce", 10_000, 12, "floor_tail")
     return p.select("n", *[r6(c) for c in ("mean_a", "mean_b", "delta", "ci_low", "ci_high", "p_value")])
 
 
+@query("paired_bootstrap_interval_J11", uses="deltas delta_reps", sql=PAIRED_HEAD + """
+    round(quantile_cont(d, 0.025), 6) + 0.0 AS ci_low, round(quantile_cont(d, 0.975), 6) + 0.0 AS ci_high, NULL::double AS p_value FROM delta_reps""")
+def paired_bootstrap_interval(t: Tables) -> DataFrame:
+    p = J.paired_bootstrap(ce_scores(t), "echo", "trim", "gold_ce", 10_000, 12, "linear_only")
+    return p.select("n", *[r6(c) for c in ("mean_a", "mean_b", "delta", "ci_low", "ci_high")], "p_value")
+
+
 CTES["two_sides"] = ("votes soft", """
     SELECT item, label, sum(a) AS a, sum(b) AS b FROM (SELECT item, label, p AS a, 0.0 AS b FROM soft
       UNION ALL SELECT item, label, 0.0, count(*) / 3 FROM votes WHERE annotator > 0 GROUP BY item, label) GROUP BY item, label""")
@@ -649,7 +662,7 @@ def sample_agreement(t: Tables) -> DataFrame:
 
 
 @query("agreement_by_stratum_J12", uses="agreement_rows strata", sql="""
-    SELECT grp, count(*) AS n, round(avg(label_jsd), 6) AS mean_label_jsd, round(avg(region_jsd), 6) AS mean_region_jsd, round(avg(label_jsd - region_jsd), 6) + 0.0 AS mean_projection_delta,
+    SELECT grp, count(*) AS n, round(avg(label_jsd), 6) AS mean_label_jsd, round(avg(region_jsd), 6) AS mean_region_jsd, round(avg(region_jsd - label_jsd), 6) + 0.0 AS mean_projection_delta,
       round(avg(region_top::int), 6) AS top_rate FROM (SELECT *, unnest(['all', stratum]) AS grp FROM agreement_rows JOIN strata USING (item)) GROUP BY grp""")
 def agreement_by_stratum(t: Tables) -> DataFrame:
     rows = agreement_rows(t).join(strata(t).select("item", "stratum"), "item")

@@ -98,10 +98,10 @@ def missing_mass(t: Tables) -> DataFrame:
 
 
 @query("item_vector_P2", uses="soft label_vectors", sql="""
-    SELECT item, d::int AS d, round(sum(p * x), 6) + 0.0 AS z FROM soft JOIN label_vectors USING (label) GROUP BY item, d""")
+    SELECT item, d::int AS d, round(sum(p * x), 9) + 0.0 AS z FROM soft JOIN label_vectors USING (label) GROUP BY item, d""")
 def item_vector(t: Tables) -> DataFrame:
     z = mem.item_vectors(t.soft, t.label_vectors, ITEM, 4)
-    return z.select("item", F.posexplode("z").alias("d", "z")).select("item", "d", r6("z"))
+    return z.select("item", F.posexplode("z").alias("d", "z")).select("item", "d", (F.round("z", 9) + F.lit(0.0)).alias("z"))
 
 
 def uncertain(t: Tables) -> DataFrame:

@@ -106,3 +106,31 @@ def test_divergence_bounds(spark):
                               (D.jensen_shannon(a, c) - D.jensen_shannon(c, a)).alias("s"),
                               D.overlap(F.array(F.lit(0.7), F.lit(0.3)), F.array(F.lit(0.2), F.lit(0.8))).alias("o")).first()
     assert r.m == pytest.approx(1) and r.z == pytest.approx(0) and r.s == pytest.approx(0) and r.o == pytest.approx(0.5)
+
+
+def test_rollup_keeps_null_and_all_groups_apart(spark):
+    from quorumlens.operators import softlabel as sl
+
+    rows = [("train", None, "2_of_4"), ("all", "B", "4_of_4"), (None, "B", "4_of_4")]
+    items = spark.createDataFrame([(*r, "p", 0.5, 0.5, 0.5, 2) for r in rows],
+                                  "split string, role string, bucket string, pattern string, entropy double, majority_fraction double, top_p double, unique_labels long")
+    got = [(r["split"], r["role"], r["n"], r["rate_2_of_4"]) for r in sl.agreement_rollup(items).collect()]
+    assert ("all", "all", 3, 1 / 3) in got and ("all", "all", 1, 0.0) in got and (None, "all", 1, 0.0) in got
+    assert ("train", "B", 0, 0.0) in got and len(got) == 12
+
+
+def test_perplexity_without_tokens(spark):
+    from quorumlens.operators import metrics
+
+    rows = spark.createDataFrame([("a", 0.0, 0), ("b", 2.0, 2)], "g string, nll double, tokens long")
+    got = {r["g"]: (r["loss"], r["perplexity"]) for r in metrics.perplexity(rows, ["g"], "nll", "tokens").collect()}
+    assert got["a"] == (None, None) and got["b"][0] == 1.0
+
+
+def test_poisson_resampling_is_centred(spark):
+    from quorumlens.operators import judge
+
+    units = spark.range(400).selectExpr("id", "cast(id as double) v", "1 AS one")
+    rows = judge.resampled_sums(units, ["id"], ["v", "one"], 2000, 7).collect()
+    mean = sum(r["one"] for r in rows) / len(rows)
+    assert len(rows) == 2000 and abs(mean - 400) < 2 and 15 < (sum((r["one"] - mean) ** 2 for r in rows) / len(rows)) ** 0.5 < 25
