@@ -271,8 +271,9 @@ def linked_texts(vecs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     content = vecs.select("digest", "hashes", "weights")
     keys = vecs.select("digest", "whole", "shared", F.posexplode("keys").alias("band", "key"))
     shared = keys.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    waiting = stored(keys.join(shared, ["band", "key"]).withColumn("component", F.col("digest")).withColumn("size", F.lit(1).cast("long")))
-    known, found, names, pivots_each = None, None, None, 1
+    waiting = stored(keys.join(shared, ["band", "key"]).withColumn("component", F.col("digest")).withColumn("size", F.lit(1).cast("long")).withColumn(
+        "away", F.lit(None).cast("double")))
+    known, linked, names, pivots_each = None, None, None, 1
     while True:
         mixed = waiting.groupBy("band", "key").agg(F.min("component").alias("a"), F.max("component").alias("b")).filter("a <> b")
         live = stored(waiting.join(mixed.select("band", "key"), ["band", "key"]))
@@ -281,25 +282,40 @@ def linked_texts(vecs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         first = Window.partitionBy("band", "key").orderBy("size", "digest")
         pivots = stored(live.withColumn("turn", F.row_number().over(first)).filter(F.col("turn") <= pivots_each).select(
             "band", "key", F.col("digest").alias("pivot"), F.col("component").alias("p_component"),
-            F.col("whole").alias("p_whole"), F.col("shared").alias("p_shared")))
+            F.col("whole").alias("p_whole"), F.col("shared").alias("p_shared"), F.col("away").alias("p_away")))
         # Neither can share more than what it has in common with any document at all.
         most = F.least("shared", "p_shared")
         possible = most >= (threshold - SLACK) * (F.col("whole") + F.col("p_whole") - most) - 1e-6 * F.col("whole")
-        asked = live.join(pivots, ["band", "key"]).filter((F.col("component") != F.col("p_component")) & possible).select(F.col("digest").alias("member"), "pivot").distinct()
+        met, at = live, pivots
+        if known is not None:
+            # 1 - similarity is a metric: distances to the first pivot of the bucket bound the distance of the two.
+            possible &= F.coalesce(F.abs(F.col("away") - F.col("p_away")) <= 1.0 - threshold + SLACK, F.lit(True))
+            # A pair that shares several keys meets in its first bucket only; there it is asked, or was.
+            met = live.join(vecs.select("digest", "keys"), "digest")
+            at = pivots.join(vecs.select(F.col("digest").alias("pivot"), F.col("keys").alias("p_keys")), "pivot")
+            before = F.arrays_zip(F.slice("keys", F.lit(1), F.col("band")), F.slice("p_keys", F.lit(1), F.col("band")))
+            possible &= ~F.exists(before, lambda x: x["0"] == x["1"])
+        found = met.join(at, ["band", "key"]).filter((F.col("component") != F.col("p_component")) & possible).select(
+            "band", "key", F.col("digest").alias("member"), "pivot")
+        met = stored(found)
+        asked = met.select("member", "pivot").distinct()
         asked = asked.withColumn("low", F.least("member", "pivot")).withColumn("high", F.greatest("member", "pivot"))
         if known is not None:
             asked = asked.join(known, ["low", "high"], "left_anti")
         new = stored(verify(stored(asked.select("member", "pivot")), content))
         pairs = new.select(F.least("member", "pivot").alias("low"), F.greatest("member", "pivot").alias("high"))
         known = pairs if known is None else known.unionByName(pairs)
-        linked = new.filter(F.col("similarity") >= threshold - SLACK).select("member", "pivot")
-        found = linked if found is None else found.unionByName(linked)
-        names = components(found.select(F.col("member").alias("a"), F.col("pivot").alias("b")))
+        more = new.filter(F.col("similarity") >= threshold - SLACK).select("member", "pivot")
+        linked = more if linked is None else linked.unionByName(more)
+        names = components(linked.select(F.col("member").alias("a"), F.col("pivot").alias("b")))
         sizes = names.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
         names = stored(names.join(sizes, "component").withColumnRenamed("node", "digest"))
+        if pivots_each == 1:
+            away = met.join(new, ["member", "pivot"]).select("band", "key", F.col("member").alias("digest"), (1.0 - F.col("similarity")).alias("away"))
+            live = live.drop("away").join(away, ["band", "key", "digest"], "left")
         left = live.drop("component", "size").join(pivots.select("band", "key", F.col("pivot").alias("digest")), ["band", "key", "digest"], "left_anti")
         waiting = stored(left.join(names, "digest", "left").select(
-            "digest", "whole", "shared", "band", "key", F.coalesce("component", "digest").alias("component"), F.coalesce("size", F.lit(1).cast("long")).alias("size")))
+            "digest", "whole", "shared", "away", "band", "key", F.coalesce("component", "digest").alias("component"), F.coalesce("size", F.lit(1).cast("long")).alias("size")))
         pivots_each *= PIVOT_GROWTH
     if names is None:
         return vecs.select("digest", F.col("digest").alias("component")).limit(0)
