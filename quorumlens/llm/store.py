@@ -2,22 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def folder(spark: SparkSession) -> str:
-    """The folder named by `spark.checkpoint.dir`; a local session without the setting gets one of its own."""
+    """The folder named by `spark.checkpoint.dir`; without the setting one below the warehouse, which is shared as well."""
     sc = spark.sparkContext
     set_to = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if set_to:
-        return set_to.rstrip("/")
-    if not sc.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    sc.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
-    return sc.getCheckpointDir()
+    return (set_to or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints").rstrip("/")
 
 
 def stored(df: DataFrame) -> DataFrame:
