@@ -55,53 +55,64 @@ def _scalar(df: DataFrame) -> float:
     return float(row[0]) if row is not None and row[0] is not None else 0.0
 
 
-def communities(edges: DataFrame, labels: DataFrame, resolution: float, refine: int = 6) -> DataFrame:
-    """Regions of one resolution by merging and moving, without random choices.
+def communities(edges: DataFrame, labels: DataFrame, resolutions: Sequence[float]) -> DataFrame:
+    """(resolution, label, c) by merging and moving, without random choices; all resolutions go through the rounds together.
 
     Communities that are each other's best partner (largest modularity gain, then smallest id) merge in parallel
     until no merge gains.  Then labels move to the community with the best gain, half of them per round; a round
-    counts only if modularity rises.
+    counts for a resolution only if its modularity rises, and its moving ends when neither half has a round that counts.
     """
     e = checkpointed(edges.select("src", "dst", "w"))
     m = _scalar(e.agg(F.sum("w")))
-    current = checkpointed(labels.select("label").distinct().withColumn("c", F.col("label")))
+    levels = F.explode(F.array(*[F.lit(float(r)) for r in resolutions]))
+    current = checkpointed(labels.select("label").distinct().select(levels.alias("resolution"), "label", F.col("label").alias("c")))
     if m <= 0:
         return current
     degree = checkpointed(both_ways(e).groupBy("v").agg(F.sum("w").alias("k")))
-    own = lambda a: a.select(F.col("label").alias("v"), "c")
+    own = lambda a: a.select("resolution", F.col("label").alias("v"), "c")
+    masses = lambda a: degree.join(own(a), "v").groupBy("resolution", "c").agg(F.sum("k").alias("d"))
     while True:
-        mass = degree.join(own(current), "v").groupBy("c").agg(F.sum("k").alias("d"))
+        mass = masses(current)
         links = both_ways(e).join(own(current), "v").withColumnRenamed("c", "a").join(
-            current.select(F.col("label").alias("u"), F.col("c").alias("b")), "u").filter("a <> b").groupBy("a", "b").agg(F.sum("w").alias("w"))
-        j = links.join(mass.select(F.col("c").alias("a"), F.col("d").alias("da")), "a").join(mass.select(F.col("c").alias("b"), F.col("d").alias("db")), "b")
-        gain = F.round(F.col("w") / m - resolution * F.col("da") * F.col("db") / (2 * m * m), 12)
+            current.select("resolution", F.col("label").alias("u"), F.col("c").alias("b")), ["resolution", "u"]).filter("a <> b").groupBy("resolution", "a", "b").agg(F.sum("w").alias("w"))
+        j = links.join(mass.select("resolution", F.col("c").alias("a"), F.col("d").alias("da")), ["resolution", "a"]).join(
+            mass.select("resolution", F.col("c").alias("b"), F.col("d").alias("db")), ["resolution", "b"])
+        gain = F.round(F.col("w") / m - F.col("resolution") * F.col("da") * F.col("db") / (2 * m * m), 12)
         scored = j.withColumn("g", gain).filter(F.col("g") > EPS)
         # Ties by the unordered pair, so the best pair overall is always mutual.
         order = F.struct((-F.col("g")).alias("n"), F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"))
-        best = checkpointed(scored.groupBy("a").agg(F.min_by("b", order).alias("b")))
-        mutual = best.join(best.select(F.col("a").alias("b"), F.col("b").alias("_back")), "b").filter("_back = a AND a < b").select(F.col("b").alias("c"), F.col("a").alias("into"))
-        moved = checkpointed(current.join(mutual, "c", "left").select("label", F.coalesce("into", "c").alias("c"), F.col("into").isNotNull().alias("_m")))
+        best = checkpointed(scored.groupBy("resolution", "a").agg(F.min_by("b", order).alias("b")))
+        mutual = best.join(best.select("resolution", F.col("a").alias("b"), F.col("b").alias("_back")), ["resolution", "b"]).filter("_back = a AND a < b").select(
+            "resolution", F.col("b").alias("c"), F.col("a").alias("into"))
+        moved = checkpointed(current.join(mutual, ["resolution", "c"], "left").select("resolution", "label", F.coalesce("into", "c").alias("c"), F.col("into").isNotNull().alias("_m")))
         changed = not moved.filter("_m").isEmpty()
-        current = moved.select("label", "c")
+        current = moved.select("resolution", "label", "c")
         if not changed:
             break
-    score, idle, turn = _scalar(modularity(e, current, resolution)), 0, 0
-    while idle < 2 and turn < refine:
-        mass = degree.join(own(current), "v").groupBy("c").agg(F.sum("k").alias("d"))
-        around = both_ways(e).join(current.select(F.col("label").alias("u"), "c"), "u").groupBy("v", "c").agg(F.sum("w").alias("kc"))
-        stay = current.select(F.col("label").alias("v"), "c", F.lit(0.0).alias("kc"))
-        options = around.unionByName(stay).groupBy("v", "c").agg(F.sum("kc").alias("kc"))
-        o = options.join(mass, "c").join(degree, "v").join(current.select(F.col("label").alias("v"), F.col("c").alias("own")), "v")
+
+    def scores(a: DataFrame) -> dict[float, float]:
+        return {r["resolution"]: r["modularity"] or 0.0 for r in modularity(e, a, F.col("resolution"), ["resolution"]).collect()}  # a row for each resolution
+
+    score, turn = scores(current), 0
+    idle = dict.fromkeys(score, 0)
+    while any(n < 2 for n in idle.values()):
+        around = both_ways(e).join(current.select("resolution", F.col("label").alias("u"), "c"), "u").groupBy("resolution", "v", "c").agg(F.sum("w").alias("kc"))
+        stay = current.select("resolution", F.col("label").alias("v"), "c", F.lit(0.0).alias("kc"))
+        options = around.unionByName(stay).groupBy("resolution", "v", "c").agg(F.sum("kc").alias("kc"))
+        o = options.join(masses(current), ["resolution", "c"]).join(degree, "v").join(
+            current.select("resolution", F.col("label").alias("v"), F.col("c").alias("own")), ["resolution", "v"])
         rest = F.col("d") - F.when(F.col("c") == F.col("own"), F.col("k")).otherwise(0.0)
-        value = F.round(F.col("kc") - resolution * F.col("k") * rest / (2 * m), 12)
-        best = o.withColumn("g", value).groupBy("v").agg(F.min_by("c", F.struct((-F.col("g")).alias("n"), F.when(F.col("c") == F.col("own"), 0).otherwise(1).alias("x"), F.col("c").alias("y"))).alias("best"))
+        value = F.round(F.col("kc") - F.col("resolution") * F.col("k") * rest / (2 * m), 12)
+        best = o.withColumn("g", value).groupBy("resolution", F.col("v").alias("label")).agg(
+            F.min_by("c", F.struct((-F.col("g")).alias("n"), F.when(F.col("c") == F.col("own"), 0).otherwise(1).alias("x"), F.col("c").alias("y"))).alias("best"))
         mine = (hash60(F.col("label")) + turn) % 2 == 0
-        after = checkpointed(current.join(best, current["label"] == best["v"], "left").select("label", F.when(mine, F.coalesce("best", "c")).otherwise(F.col("c")).alias("c")))
-        new = _scalar(modularity(e, after, resolution))
-        if new > score + EPS:
-            current, score, idle = after, new, 0
-        else:
-            idle += 1
+        after = checkpointed(current.join(best, ["resolution", "label"], "left").select(
+            "resolution", "label", "c", F.when(mine, F.coalesce("best", "c")).otherwise(F.col("c")).alias("to")))
+        new = scores(after.select("resolution", "label", F.col("to").alias("c")))
+        risen = [r for r in score if idle[r] < 2 and new[r] > score[r] + EPS]
+        idle = {r: n if n >= 2 else 0 if r in risen else n + 1 for r, n in idle.items()}
+        score |= {r: new[r] for r in risen}
+        current = after.select("resolution", "label", F.when(F.col("resolution").isin(risen), F.col("to")).otherwise(F.col("c")).alias("c"))
         turn += 1
     return current
 
@@ -115,21 +126,18 @@ def named(assignment: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     return assignment.join(ids.select(*keys, "c", "region"), [*keys, "c"]).select(*keys, "label", "region")
 
 
-def community_scan(edges: DataFrame, labels: DataFrame, resolutions: Sequence[float] = tuple(RESOLUTIONS), refine: int = 6) -> DataFrame:
+def community_scan(edges: DataFrame, labels: DataFrame, resolutions: Sequence[float] = tuple(RESOLUTIONS)) -> DataFrame:
     """One named assignment per resolution (solution, resolution, label, region)."""
-    edges = checkpointed(edges)
-    out = None
-    for r in resolutions:
-        part = named(communities(edges, labels, r, refine)).select(F.lit(f"resolution={r}").alias("solution"), F.lit(float(r)).alias("resolution"), "label", "region")
-        out = part if out is None else out.unionByName(part)
-    return out
+    found = named(checkpointed(communities(edges, labels, resolutions)), ["resolution"])
+    return found.select(F.concat(F.lit("resolution="), F.col("resolution").cast("string")).alias("solution"), "resolution", "label", "region")
 
 
-def spectral_rows(affinity: DataFrame, k: int, rounds: int = 12) -> tuple[DataFrame, np.ndarray]:
+def spectral_rows(affinity: DataFrame, k: int, rounds: int = 500, tolerance: float = 1e-8) -> tuple[DataFrame, np.ndarray]:
     """The k leading eigenvectors of D^-1/2 A D^-1/2 as one array per label, with their eigenvalues.
 
     Subspace iteration on (N + I) / 2, whose eigenvalues are ordered like those of N and not negative.  A product
-    with N is a join and a sum; the k x k Gram matrix is one aggregate and is factored on the driver.
+    with N is a join and a sum; the k x k Gram matrix is one aggregate and is factored on the driver.  The iteration ends when
+    the eigenvalues move by less than `tolerance`; if they still move after `rounds` rounds, that is an error.
     """
     a = affinity.filter("src <> dst AND w > 0").select("src", "dst", "w")
     deg = a.groupBy("src").agg(F.sum("w").alias("d"))
@@ -167,9 +175,11 @@ def spectral_rows(affinity: DataFrame, k: int, rounds: int = 12) -> tuple[DataFr
         values, vectors = np.linalg.eigh(g)
         x = times(y, vectors / np.sqrt(np.maximum(values, 1e-300)))
         # The Gram matrix of N^HOPS X settles together with the subspace.
-        if np.abs(values - last).max() < 1e-8:
+        if np.abs(values - last).max() < tolerance:
             break
         last = values
+    else:
+        raise RuntimeError(f"eigenvalues still move by {tolerance} after {rounds} rounds")
     x = checkpointed(x)
     values, vectors = np.linalg.eigh(gram(applied(x), "y"))
     order = np.argsort(values)[::-1]

@@ -37,12 +37,12 @@ def modularity(t: Tables) -> DataFrame:
 
 @query("communities_G11")
 def communities(t: Tables) -> DataFrame:
-    return G.community_scan(graph(t), t.membership, [1.6], refine=2).select("solution", "label", "region")
+    return G.community_scan(graph(t), t.membership).select("solution", "label", "region")
 
 
 @query("spectral_G12")
 def spectral(t: Tables) -> DataFrame:
-    return G.spectral_scan(fused(t), [6], restarts=1).select("solution", "label", "region")
+    return G.spectral_scan(fused(t)).select("solution", "label", "region")
 
 
 @query("solution_summary_G13", uses="sol_summary", sql="SELECT solution, regions, singletons, largest, smallest, round(modularity, 6) + 0.0 AS modularity FROM sol_summary")

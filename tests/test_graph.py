@@ -11,7 +11,7 @@ def test_two_cliques_are_two_communities(spark):
     e = [(a, b, 1.0) for s in (0, 4) for a in range(s, s + 4) for b in range(a + 1, s + 4)] + [(3, 4, 0.1)]
     edges = spark.createDataFrame(e, "src long, dst long, w double")
     labels = spark.createDataFrame([(i,) for i in range(9)], "label long")
-    got = G.named(G.communities(edges, labels, 1.0, refine=1)).collect()
+    got = G.named(G.communities(edges, labels, [1.0]).drop("resolution")).collect()
     region = {r.label: r.region for r in got}
     assert {region[i] for i in range(4)} == {"cluster_00"} and {region[i] for i in range(4, 8)} == {"cluster_01"} and region[8] == "cluster_02"
     q = G.modularity(edges, spark.createDataFrame([(i, i // 4) for i in range(8)], "label long, c long")).first().modularity

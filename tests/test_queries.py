@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from pathlib import Path
 
 import pytest
@@ -11,7 +12,7 @@ from compare import compare, connect
 from quorumlens.plans import all_queries
 
 SF = "/root/testdata/sf0.001"
-# One or two per module; `python tests/compare.py DIR` runs all of them.
+# One or two per module; ALL_QUERIES=1, or `python tests/compare.py DIR`, runs all of them.
 SAMPLE = [
     "soft_label_L1", "agreement_rollup_L9", "region_projection_P1", "next_turn_features_W1", "conditionals_T3", "metric_block_M6_M7_M14",
     "bleu_E1_E2", "generic_flags_X10", "best_of_n_K2", "entropy_tertiles_A1", "majority_J1", "over_seeds_B1", "nested_scan_S1_S3", "knn_graph_G8",
@@ -25,7 +26,7 @@ def con():
     return connect(SF)
 
 
-@pytest.mark.parametrize("name", SAMPLE)
+@pytest.mark.parametrize("name", sorted(all_queries()) if os.environ.get("ALL_QUERIES") else SAMPLE)
 def test_query(spark, con, name):
     ok, note = compare(spark, con, SF, name, all_queries()[name])
     assert ok, note
