@@ -13,12 +13,14 @@ from .keys import canonical_role
 # ---- Fixed values -----------------------------------------------------------------------------------------
 
 TOKEN = "([a-z0-9']+)"
-QUESTION_WORDS = (
-    "who what when where why how do does did is are am was were can could would should will have has had may might"
-).split()
+QUESTION_WORDS = [
+    "who", "what", "when", "where", "why", "how", "do", "does", "did", "is", "are", "am", "was", "were", "can", "could",
+    "would", "should", "will", "have", "has", "had", "may", "might",
+]
 PREDICTION_PREFIXES = [
     "Response:", "Reply:", "Assistant:", "Listener:", "Speaker:", "Generated response:", "Mistral-Sibyl Response:", "B:", "A:",
 ]
+RESPONSE_PREFIXES = ["Response:", "Reply:", "Assistant:", "Listener:", "Speaker:", "Generated response:", "B:", "A:"]
 NEXT_TURN_MARKERS = ["\nA:", "\nB:", "\nUser:", "\nAssistant:", "\nSpeaker:", "\nListener:"]
 EVAL_PREFIXES = ["Rewritten reply:", "Expanded reply:", "Shortened reply:", "Reply:", "A:", "B:"]
 EVAL_MARKERS = [
@@ -97,6 +99,12 @@ def clean_prediction(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.trim(cut), r'^"+|"+$', ""))
 
 
+def clean_response(c: Column) -> Column:
+    """Third form: stacked prefixes stripped as they are written, edge quotes trimmed, later turns kept."""
+    text = F.regexp_replace(clean(c), f"^(?:(?:{_alternatives(RESPONSE_PREFIXES)})\\s*)+", "")
+    return F.trim(F.regexp_replace(F.trim(text), r'^"+|"+$', ""))
+
+
 def clean_evaluation(c: Column) -> Column:
     """Second form: each prefix once in a fixed order, cut at layout markers, trailing word counts removed."""
     edge = lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")

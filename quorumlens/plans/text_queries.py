@@ -163,6 +163,13 @@ def clean_prediction(t: Tables) -> DataFrame:
     return t.turns.select("item", F.md5(X.clean_prediction(F.concat(head, "text"))).alias("prediction_md5"))
 
 
+@query("clean_response_X8", uses="turns", sql=f"""
+    SELECT item, md5(trim(trim(CASE WHEN turn % 3 = 2 THEN 'reply:A: ' ELSE '' END || {CLEAN_SQL.format("text")}, '"'))) AS response_md5 FROM turns""")
+def clean_response(t: Tables) -> DataFrame:
+    head = F.when(F.col("turn") % 3 == 0, "Response: B:  ").when(F.col("turn") % 3 == 1, '"').otherwise(" reply:A: ")
+    return t.turns.select("item", F.md5(X.clean_response(F.concat(head, "text"))).alias("response_md5"))
+
+
 @query("clean_evaluation_X8", uses="turns", sql="""
     SELECT item, md5(trim(CASE WHEN contains(text, chr(10)) THEN text ELSE text END, E' \\n')) AS evaluation_md5 FROM turns""")
 def clean_evaluation(t: Tables) -> DataFrame:
