@@ -39,22 +39,25 @@ def seed_summary(rows: DataFrame, keys: Sequence[str], response: str) -> DataFra
     return TM.join_all([agg, med, TM.distinct_n(rows, keys, response, 2)], keys)
 
 
-def flatten_metrics(trees: DataFrame, keys: Sequence[str], json_col: str, depth: int = 4) -> DataFrame:
-    """JSON objects to (keys, path, value) with dotted paths; numbers only, nesting up to `depth` levels.
+def flatten_metrics(trees: DataFrame, keys: Sequence[str], json_col: str) -> DataFrame:
+    """JSON objects to (keys, path, value, text) with dotted paths, at any depth; text holds what is no number.
 
-    One level is unfolded at a time as a map of raw JSON, so keys need not be known beforehand.
+    One level is unfolded at a time as a map of raw JSON, so keys need not be known beforehand, until no object is left.
     """
     level = trees.select(*keys, F.lit("").alias("path"), F.col(json_col).alias("v"))
     done = []
-    for _ in range(depth):
+    while True:
         entry = F.explode(F.from_json("v", "map<string,string>")).alias("k", "x")
         opened = level.select(*keys, "path", entry)
         path = F.when(F.col("path") == "", F.col("k")).otherwise(F.concat("path", F.lit("."), "k"))
         opened = opened.select(*keys, path.alias("path"), F.col("x").alias("v"))
         nested = F.startswith("v", F.lit("{"))
-        done.append(opened.filter(~nested).select(*keys, "path", F.col("v").try_cast("double").alias("value")))
+        number = F.col("v").try_cast("double")
+        done.append(opened.filter(~nested).select(*keys, "path", number.alias("value"), F.when(number.isNull(), F.col("v")).alias("text")))
         level = opened.filter(nested)
-    return reduce(lambda a, b: a.unionByName(b), done).filter("value is not null")
+        if level.isEmpty():
+            break
+    return reduce(lambda a, b: a.unionByName(b), done)
 
 
 def wide_rows(long: DataFrame, keys: Sequence[str], paths: Sequence[str]) -> DataFrame:

@@ -753,7 +753,7 @@ def metric_trees(t: Tables) -> DataFrame:
     SELECT system, split || '.vs_gold.ce' AS path, round(ce, 6) AS value FROM run_metrics UNION ALL SELECT system, split || '.vs_gold.accuracy', round(accuracy, 6) FROM run_metrics
     UNION ALL SELECT system, split || '.control_ce', round(control_ce, 6) FROM run_metrics""")
 def flatten_metrics(t: Tables) -> DataFrame:
-    return B.flatten_metrics(metric_trees(t), ["system"], "tree").select("system", "path", r6("value"))
+    return B.flatten_metrics(metric_trees(t), ["system"], "tree").filter("value IS NOT NULL").select("system", "path", r6("value"))
 
 
 @query("run_rollup_B3", uses="run_metrics", sql="""

@@ -161,12 +161,14 @@ def exported(t: Tables) -> DataFrame:
 
 
 @query("metadata_export_S13", uses="votes", sql="""
-    SELECT 'm' || annotator AS annotator, split, count(DISTINCT conv_id) AS conversations, count(*) AS turns, min('U+' || lpad(upper(hex(chr((65 + label)::int)::varchar)), 4, '0')) AS first_code,
-      sum(confidence)::bigint AS confidence FROM votes WHERE NOT (annotator = 3 AND turn = 2) GROUP BY annotator, split""")
+    SELECT 'm' || annotator AS annotator, split, count(DISTINCT conv_id) AS conversations, count(*) FILTER (WHERE kept) AS turns,
+      min('U+' || lpad(upper(hex(chr((65 + label)::int)::varchar)), 4, '0')) FILTER (WHERE kept) AS first_code,
+      sum(confidence) FILTER (WHERE kept)::bigint AS confidence FROM (SELECT *, NOT (annotator = 3 AND turn = 2) AS kept FROM votes) GROUP BY annotator, split""")
 def metadata_export(t: Tables) -> DataFrame:
     turns = exported(t)
     m = W.manifest(W.metadata_records(turns))
-    per = turns.groupBy("annotator", "split").agg(F.count(F.lit(1)).alias("turns"), F.min("unicode").alias("first_code"), F.sum("confidence").alias("confidence"))
+    per = turns.groupBy("annotator", "split").agg(
+        F.count("label").alias("turns"), F.min("unicode").alias("first_code"), F.sum(F.when(F.col("label").isNotNull(), F.col("confidence"))).alias("confidence"))
     return m.drop("content_sha256").join(per, ["annotator", "split"])
 
 

@@ -24,12 +24,12 @@ def write_matrix(wide: DataFrame, path: str) -> None:
 
 
 def metadata_turns(votes: DataFrame) -> DataFrame:
-    """Text-free rows of labelled turns: annotator, split, conversation, turn, speaker, label, code, confidence."""
+    """Text-free rows of turns: annotator, split, conversation, turn, speaker, label, code, confidence; label and code may be null."""
     # UTF-32 with the leading byte-order mark dropped: eight hex digits per character.
     hexed = F.regexp_replace(F.hex(F.encode(F.col("label").cast("string"), "UTF-32")), "^0000FEFF", "")
     points = F.regexp_extract_all(hexed, F.lit("([0-9A-F]{8})"), F.lit(1))
     code = F.array_join(F.transform(points, lambda p: F.concat(F.lit("U+"), F.regexp_replace(p, "^0{1,4}", ""))), " ")
-    return votes.filter(F.col("label").isNotNull()).select(
+    return votes.select(
         "annotator", "split", "conv_id", "turn", F.col("role").alias("speaker"), "label", code.alias("unicode"), "confidence")
 
 
@@ -50,8 +50,8 @@ def forbidden_columns(df: DataFrame) -> list[str]:
 
 
 def metadata_records(turns: DataFrame) -> DataFrame:
-    """One JSON line per (annotator, split, conversation) with its turns in order."""
-    entry = F.struct("turn", "speaker", "label", "unicode", "confidence")
+    """One JSON line per (annotator, split, conversation) with its labelled turns in order; the list may be empty."""
+    entry = F.when(F.col("label").isNotNull(), F.struct("turn", "speaker", "label", "unicode", "confidence"))
     rec = turns.groupBy("annotator", "split", "conv_id").agg(F.sort_array(F.collect_list(entry)).alias("turn_annotations"))  # one conversation
     return rec.withColumn("line", F.to_json(F.struct(F.col("conv_id").alias("dialogue_id"), "split", "turn_annotations")))
 

@@ -134,3 +134,20 @@ def test_poisson_resampling_is_centred(spark):
     rows = judge.resampled_sums(units, ["id"], ["v", "one"], 2000, 7).collect()
     mean = sum(r["one"] for r in rows) / len(rows)
     assert len(rows) == 2000 and abs(mean - 400) < 2 and 15 < (sum((r["one"] - mean) ** 2 for r in rows) / len(rows)) ** 0.5 < 25
+
+
+def test_nested_metrics_at_any_depth(spark):
+    from quorumlens.operators import tables
+
+    rows = spark.createDataFrame([("r", '{"a":{"b":{"c":{"d":{"e":{"f":1.5}}}}},"name":"x","n":2}')], "run string, tree string")
+    got = {(r["path"], r["value"], r["text"]) for r in tables.flatten_metrics(rows, ["run"], "tree").collect()}
+    assert got == {("a.b.c.d.e.f", 1.5, None), ("name", None, "x"), ("n", 2.0, None)}
+
+
+def test_unlabelled_conversations_are_exported(spark):
+    from quorumlens.sources import sinks
+
+    rows = spark.createDataFrame([("m1", "train", 1, 0, "A", None, 3), ("m1", "train", 2, 0, "A", "x", 3)],
+                                 "annotator string, split string, conv_id long, turn int, role string, label string, confidence int")
+    got = {r["conv_id"]: len(r["turn_annotations"]) for r in sinks.metadata_records(sinks.metadata_turns(rows)).collect()}
+    assert got == {1: 0, 2: 1}
