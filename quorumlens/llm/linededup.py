@@ -1,9 +1,9 @@
 """Line dedup with a suffix array over line ids, built by distributed prefix doubling.
 
 A document is its sequence of lines (cut at line feeds, white space at the ends ignored, blank lines left out).  A run is
-reportable if it has at least `min_words` words; from each line, the shortest reportable run is its window of lines.  A
-line is deleted if it lies in a window that starts earlier elsewhere: in a smaller doc_id, or in the same document before.
-Adjoining deleted lines are one maximal repeated run.
+reportable if it has at least `min_words` words.  A line is deleted if it lies in a reportable run that starts earlier
+elsewhere: in a smaller doc_id, or in the same document before; so from each line the longest run with an earlier start goes
+whole, with trailing lines that have too few words by themselves.  Adjoining deleted lines are one maximal repeated run.
 
 * Line ids: a hash of the line; lines that occur once end every repeated run, so only the others become suffixes.
 * Doubling: suffixes are ranked by their first 1, 2, 4, ... lines.  The rank by 2h lines is the rank of the pair (rank by h
@@ -11,7 +11,11 @@ Adjoining deleted lines are one maximal repeated run.
   third of all rows hold is one row there; ranks come from a range sort and the sizes of its partitions.
 * Suffixes with a common prefix of a given length are one interval of the array (its inner longest-common-prefix values
   reach that length).  A window of l lines is named by two ranks of a power of two that cover it; of each interval all
-  places but the first are later copies.  Doubling stops at the longest window, so long copies need no more rounds.
+  places but the first are later copies.
+* Windows: from each line the shortest reportable run, and each longer one that is not reportable without its first line.
+  They cover what all runs cover: take a line of a repeated run, and the last start up to that line from which the run, to
+  its end, is reportable.  If that is the line, its shortest run is repeated; if not, the rest after that start is too short,
+  so it is a window.  A window has at most `min_words` lines, and doubling stops there however long the copies are.
 
 Nulls and texts without such runs stay as they are.  doc_id names a document: rows that share one are taken as one
 document's occurrence of each place and get the same result.
@@ -38,20 +42,30 @@ def _words(line: Column) -> Column:
 
 
 def sequences(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """doc_id, pos, line (its hash and length), span (the line numbers of the shortest reportable run, empty if there is none)."""
+    """doc_id, pos, line (its hash and length), least (lines of the shortest reportable run, 0 if there is none) and span (the line numbers of the longest window)."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _lines(F.col("text").cast("string")).alias("lines"))
     kept = F.filter(F.transform("lines", lambda x, i: F.struct(i.alias("line_no"), x.alias("text"))), lambda s: s["text"] != "")
-    # The walk keeps at most min_words lines of the run that ends in the current line; a line has a word at least.
+    # The walks take at most min_words lines of the run that starts in the current line; a line has a word at least.
     rows = rows.filter("doc_id IS NOT NULL").select("doc_id", kept.alias("kept")).select(
         "doc_id", F.transform("kept", lambda s: _words(s["text"])).alias("words"),
         F.transform("kept", lambda s: F.struct(s["line_no"], F.xxhash64(s["text"]).alias("h"), F.length(s["text"]).alias("n"))).alias("kept"))
-    reach = F.transform("words", lambda _, i: F.aggregate(
-        F.slice("words", i + 1, F.lit(min_words)), F.struct(F.lit(0).alias("lines"), F.lit(0).alias("words")),
-        lambda acc, w: F.when(acc["words"] >= min_words, acc).otherwise(F.struct((acc["lines"] + 1).alias("lines"), (acc["words"] + w).alias("words"))),
-        lambda acc: F.when(acc["words"] >= min_words, acc["lines"]).otherwise(F.lit(0))))
-    span = F.transform(reach, lambda n, i: F.transform(F.slice("kept", i + 1, n), lambda s: s["line_no"]))
-    flat = rows.select("doc_id", F.posexplode(F.arrays_zip("kept", span.alias("span"))).alias("pos", "s"))
-    return flat.select("doc_id", "pos", F.struct("s.kept.h", "s.kept.n").alias("line"), F.col("s.span").alias("span"))
+
+    def walk(start: Column, most: int) -> Column:
+        """Lines, and their words, from a place on until there are min_words words."""
+        return F.aggregate(
+            F.slice("words", start, F.lit(most)), F.struct(F.lit(0).alias("lines"), F.lit(0).alias("words")),
+            lambda acc, w: F.when(acc["words"] >= min_words, acc).otherwise(F.struct((acc["lines"] + 1).alias("lines"), (acc["words"] + w).alias("words"))))
+
+    least = F.transform("words", lambda _, i: F.aggregate(
+        F.array(walk(i + 1, min_words)), F.lit(0), lambda _, a: F.when(a["words"] >= min_words, a["lines"]).otherwise(F.lit(0))))
+    # The first line and those after it that have fewer than min_words words together.
+    longest = F.transform("words", lambda _, i: F.aggregate(
+        F.array(walk(i + 2, min_words)), F.lit(0), lambda _, a: F.when(a["words"] >= min_words, a["lines"]).otherwise(a["lines"] + 1)))
+    rows = rows.withColumn("least", least).withColumn("longest", longest)
+    span = F.transform("least", lambda n, i: F.transform(
+        F.slice("kept", i + 1, F.when(n == 0, F.lit(0)).otherwise(F.greatest(n, F.get("longest", i)))), lambda s: s["line_no"]))
+    flat = rows.select("doc_id", F.posexplode(F.arrays_zip("kept", "least", span.alias("span"))).alias("pos", "s"))
+    return flat.select("doc_id", "pos", F.struct("s.kept.h", "s.kept.n").alias("line"), F.col("s.least").alias("least"), F.col("s.span").alias("span"))
 
 
 def ranked(keys: DataFrame, columns: list[str]) -> DataFrame:
@@ -89,15 +103,17 @@ def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """doc_id and line_nos (from 0, ascending) of the lines to delete, for documents that lose any."""
     places = stored(sequences(docs, min_words))
     longest = places.agg(F.max(F.size("span"))).first()[0] or 1
-    reach = F.size("span")
+    reach = F.col("reach")
     named = None
     for k, level in enumerate(suffix_ranks(places, longest)):
         # Two runs of 2**k lines, the first and the last, cover a window.
-        windows = places.filter((reach >= (1 << k)) & (reach < (2 << k))).select("doc_id", "pos", "span")
+        low, high = F.greatest("least", F.lit(1 << k)), F.least(F.size("span"), F.lit((2 << k) - 1))
+        windows = places.filter((F.col("least") > 0) & (low <= high)).select("doc_id", "pos", "span", low.alias("low"), high.alias("high"))
         found = windows.join(level.withColumnRenamed("rank", "a"), ["doc_id", "pos"])
+        found = found.select("doc_id", "pos", "span", "a", F.explode(F.sequence("low", "high")).alias("reach"))
         last = level.select(F.col("doc_id"), F.col("pos").alias("last_pos"), F.col("rank").alias("b"))
         found = found.withColumn("b", F.col("a")) if k == 0 else found.withColumn("last_pos", F.col("pos") + reach - (1 << k)).join(last, ["doc_id", "last_pos"])
-        found = found.select("doc_id", "pos", "span", reach.alias("reach"), "a", "b")
+        found = found.select("doc_id", "pos", F.slice("span", F.lit(1), reach).alias("span"), "reach", "a", "b")
         named = found if named is None else named.unionByName(found)
     named = stored(named)
     intervals = named.groupBy("reach", "a", "b").agg(F.min(F.struct("doc_id", "pos")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")

@@ -15,7 +15,7 @@ from compare import compare, connect
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from quorumlens.llm import lm, neardup
+from quorumlens.llm import linededup, lm, neardup
 from quorumlens.llm.decontaminate import contamination, is_contaminated
 from quorumlens.llm.queries import QUERIES, SQL
 from quorumlens.llm.shard import jump_hash
@@ -108,6 +108,44 @@ def test_line_dedup(spark, sample):
         assert (found[i]["n_removed"], found[i]["kept_sha256"]) == (len(gone), hashlib.sha256(kept.encode()).hexdigest())
 
 
+def longest_runs(docs, least=10):
+    """The lines of each text in the longest run from some line that starts earlier too, if it has `least` words."""
+    seen, out = [], {}
+    for i, text in sorted(docs.items()):
+        lines = [(n, x.strip()) for n, x in enumerate((text or "").split("\n")) if x.strip()]
+        flat, gone = [x for _, x in lines], set()
+        for p in range(len(flat)):
+            size = 0
+            for other, q in seen:
+                k = 0
+                while p + k < len(flat) and q + k < len(other) and flat[p + k] == other[q + k]:
+                    k += 1
+                size = max(size, k)
+            if sum(len(x.split()) for x in flat[p:p + size]) >= least:
+                gone |= {n for n, _ in lines[p:p + size]}
+            seen.append((flat, p))
+        out[i] = gone
+    return out
+
+
+def test_line_dedup_takes_whole_runs(spark):
+    one, rng = "a b c d e f g h i j k l", np.random.default_rng(3)
+    docs = {1: f"{one}\nm n o\nother", 2: f"x\n{one}\n\nm n o\nlast", 3: f"{one}\nm n o"}
+    for i in range(4, 60):  # short lines, so that runs of many lines repeat, and overlap themselves
+        docs[i] = "\n".join(rng.choice(["p", "p q", "p q r s", "p q r s t u v", one, ""], int(rng.integers(1, 25))))
+    docs[60] = "\n".join(["p q r"] * 30)
+    rows = linededup.drop_repeated_lines(spark.createDataFrame(list(docs.items()), "doc_id long, text string")).collect()
+    found = {r["doc_id"]: {n for s in r["runs"] for n in range(s["start"], s["end"])} for r in rows}
+    assert found[2] == {1, 3} and found[3] == {0, 1}
+    assert found == longest_runs(docs)
+
+
+def test_line_dedup_of_the_sample_takes_whole_runs(spark, sample):
+    docs = texts(sample)
+    rows = {r["doc_id"]: r["n_removed"] for r in QUERIES["op3_line_dedup"](spark, SF).collect()}
+    assert rows == {i: len(gone) for i, gone in longest_runs(docs).items()}
+
+
 def test_scores(spark, sample):
     found, docs = {r["doc_id"]: r for r in QUERIES["op4_attention_scores"](spark, SF).collect()}, texts(sample)
     tokens = {i: [*lower(t).split(), b" end"] for i, t in docs.items()}
