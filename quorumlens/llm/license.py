@@ -1,12 +1,17 @@
-"""Licence scans with a trained paragraph classifier and a comparison with templates.
+"""Licence scans with a trained classifier of word windows and a comparison with templates.
 
-A paragraph is a line.  Its features are the word 1- and 2-grams (A-Z lower-cased) that some template has, counted and divided
-by the root of the paragraph's words.  Multinomial logistic regression over them gives a family, or unknown.  It is trained on
-templates, whole, in parts and between words of the corpus, against paragraphs of at most `NEGATIVE_DOCS` documents and
-shuffled template words.  A temperature fitted on rows kept back calibrates the probabilities.  A family is reported if
-its probability is at least `LEAST_SCORE` and a template of it has at least `LEAST_COVER` of its 2-grams in the paragraph.
+A paragraph ends at a line without words; wrapped lines are joined.  In it, every stretch of words from one 2-gram of a
+template to another, at most `SLACK` words longer than the template, is a window if it has at least `LEAST_COVER` of the
+template's 2-grams.  Its features are the word 1- and 2-grams (A-Z lower-cased) that some template has, counted and divided by
+the root of its words.  Multinomial logistic regression over them gives a family, or unknown.  It is trained on templates,
+whole, in parts and between words of the corpus, against lines of at most `NEGATIVE_DOCS` documents and shuffled template
+words.  A temperature fitted on rows kept back calibrates the probabilities.
 
-Null and empty texts have no paragraphs.  Equal texts get equal results; every paragraph of every row is classified.
+Each window whose family has a probability of at least `LEAST_SCORE` is a notice, those with most 2-grams for their words first;
+notices of one family don't overlap.  A window that overlaps notices of other families is judged by its other words, and needs a 2-gram
+among them that no other family has.  A notice is reported with the number of its first line.
+
+Null and empty texts have no paragraphs.  Equal texts get equal results; every window of every row is looked at.
 """
 
 from __future__ import annotations
@@ -22,6 +27,8 @@ from .words import PLAIN, Words, chunks, windows
 
 NEGATIVE_DOCS = 300
 LEAST_SCORE, LEAST_COVER = 0.5, 0.7
+# As many words as training puts around a template.
+SLACK = 22
 UNKNOWN = "unknown"
 SCANNED = ("doc_id long, n_paragraphs long, licences array<struct<paragraph: long, family: string, score: double, cover: double>>")
 
@@ -38,9 +45,11 @@ TEMPLATES = {
     "cc-by-sa": ["Licensed under CC BY-SA 4.0", "licensed under a Creative Commons Attribution-ShareAlike 4.0 International License"],
     "cc0": ["CC0 1.0 Universal", "dedicated to the public domain under CC0", "released into the public domain"],
     "gpl": ["This work is licensed under the GNU General Public License, version 3", "released under the GNU GPL version 2 or later",
-            "redistribute it and/or modify it under the terms of the GNU General Public License", "SPDX-License-Identifier: GPL-3.0-only"],
+            "redistribute it and/or modify it under the terms of the GNU General Public License",
+            "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License", "SPDX-License-Identifier: GPL-3.0-only"],
     "isc": ["licensed under the ISC License", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"],
-    "lgpl": ["licensed under the GNU Lesser General Public License", "under the terms of the GNU LGPL version 2.1"],
+    "lgpl": ["licensed under the GNU Lesser General Public License", "under the terms of the GNU LGPL version 2.1",
+             "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License"],
     "mit": ["Released under the MIT License", "licensed under the MIT license", "SPDX-License-Identifier: MIT",
             "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"],
     "mpl": ["licensed under the Mozilla Public License, version 2.0", "subject to the terms of the Mozilla Public License, v. 2.0"],
@@ -49,14 +58,12 @@ TEMPLATES = {
 
 
 def _paragraphs(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For paragraphs with words: bounds in the words, document, and line number in the document."""
-    breaks = np.cumsum(words.data == 10)
+    """For paragraphs with words: bounds in the words and document; for each word its line number in the document."""
+    breaks = np.concatenate([[0], np.cumsum(words.data == 10)])
     doc = np.repeat(np.arange(len(words.counts)), words.counts)
-    line = breaks[words.starts] if len(words.starts) else np.zeros(0, np.int64)
-    first = np.flatnonzero(np.diff(line + doc, prepend=-1)) if len(doc) else np.zeros(0, np.int64)
-    opens = words.offsets[doc[first]]
-    before = np.concatenate([[0], breaks])[opens]
-    return np.append(first, len(doc)), doc[first], line[first] - before
+    line = breaks[words.starts] - breaks[words.offsets[doc]] if len(doc) else np.zeros(0, np.int64)
+    first = np.flatnonzero((np.diff(doc, prepend=-1) != 0) | (np.diff(line, prepend=0) > 1))
+    return np.append(first, len(doc)), doc[first], line
 
 
 @dataclass
@@ -85,6 +92,83 @@ class Model:
         p = np.exp(logits - logits.max(axis=1, keepdims=True))
         return p / p.sum(axis=1, keepdims=True)
 
+    def __post_init__(self) -> None:
+        templates = [(k, t) for k, f in enumerate(self.families) if k for t in self.covers[f]]
+        self.family = np.array([k for k, _ in templates])
+        self.pairs = np.unique(np.concatenate([t for _, t in templates]))
+        self.has = np.stack([np.isin(self.pairs, t) for _, t in templates])  # template by 2-gram
+        self.sizes = self.has.sum(axis=1)
+        owners = np.stack([self.has[self.family == k].any(axis=0) for k in range(1, len(self.families))])
+        self.only = np.where(owners.sum(axis=0) == 1, owners.argmax(axis=0) + 1, 0)  # the family that alone has the 2-gram
+
+    def notices(self, hashes: np.ndarray, bounds: np.ndarray) -> list[tuple[int, int, int, float, float]]:
+        """Paragraph, first word, family, probability and cover of each notice."""
+        pairs, starts = windows(hashes, bounds, 2)
+        gram = np.minimum(np.searchsorted(self.pairs, pairs), len(self.pairs) - 1)
+        hit = self.pairs[gram] == pairs
+        gram, starts = gram[hit], starts[hit]
+        owner = np.searchsorted(bounds, starts, "right") - 1
+        out = []
+        for k in np.unique(owner):
+            a, b = np.searchsorted(owner, [k, k + 1])
+            enough = np.flatnonzero(self.has[:, np.unique(gram[a:b])].sum(axis=1) >= LEAST_COVER * self.sizes)
+            if len(enough):
+                out += [(int(k), *x) for x in self._accepted(hashes, self._covered(gram[a:b], starts[a:b], enough), gram[a:b], starts[a:b])]
+        return out
+
+    def _covered(self, gram: np.ndarray, starts: np.ndarray, templates: np.ndarray) -> list[tuple[bool, int, int, int, int, float]]:
+        """Windows: if no 2-gram is its family's alone, words less twice the 2-grams, words, first word, family, cover; in the order of judging."""
+        found = set()
+        for t in templates:
+            k, size = int(self.family[t]), int(self.sizes[t])
+            mine = np.flatnonzero(self.has[t, gram])
+            at, own, alone = starts[mine].tolist(), gram[mine].tolist(), (self.only[gram[mine]] == k).tolist()
+            for i in range(len(at)):
+                seen, exclusive = set(), False
+                for j in range(i, len(at)):
+                    words = at[j] + 2 - at[i]
+                    if words > size + 1 + SLACK:
+                        break
+                    exclusive |= alone[j]
+                    if own[j] not in seen:
+                        seen.add(own[j])
+                        if len(seen) >= LEAST_COVER * size:
+                            found.add((not exclusive, words - 2 * len(seen), words, at[i], k, len(seen) / size))
+                    if len(seen) == size:
+                        break
+        return sorted(found)
+
+    def _accepted(self, hashes: np.ndarray, covered: list, gram: np.ndarray, starts: np.ndarray) -> list[tuple[int, int, float, float]]:
+        if not covered:
+            return []
+        base = min(x[3] for x in covered)
+        taken = np.zeros(max(x[3] + x[2] for x in covered) - base, np.int64)  # a bit for each family
+        cuts = np.concatenate([[0], np.cumsum([x[2] for x in covered])])
+        p = self.probabilities(np.concatenate([hashes[x[3]:x[3] + x[2]] for x in covered]), cuts)
+        waiting, out, more = list(enumerate(covered)), [], True
+        while more:
+            more, left = False, []
+            for n, x in waiting:
+                _, _, words, at, k, cover = x
+                own = taken[at - base:at - base + words]
+                if (own & (1 << k)).any():
+                    continue
+                score, first = float(p[n, k]), at
+                if own.any():
+                    free = own == 0
+                    here = starts[(starts >= at) & (starts < at + words - 1) & (self.only[gram] == k)] - at
+                    if not (free[here] & free[here + 1]).any():
+                        continue
+                    score, first = float(self.probabilities(hashes[at:at + words][free], np.array([0, int(free.sum())]))[0, k]), at + int(free.argmax())
+                if score < LEAST_SCORE:
+                    left.append((n, x))
+                    continue
+                own |= np.where(own == 0, 1 << k, 0)
+                out.append((first, k, score, cover))
+                more = True
+            waiting = left
+        return sorted(out)
+
     def cover(self, family: str, hashes: np.ndarray) -> float:
         own = windows(hashes, np.array([0, len(hashes)]), 2)[0]
         return max(float(np.isin(t, own).mean()) for t in self.covers[family])
@@ -157,7 +241,7 @@ def negative_paragraphs(docs: DataFrame, most: int = NEGATIVE_DOCS) -> list[str]
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """doc_id, n_paragraphs (with words) and the confirmed `licences` of each row."""
+    """doc_id, n_paragraphs (with words) and the confirmed `licences` of each row; `paragraph` is the first line of the notice."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sent = docs.sparkSession.sparkContext.broadcast(fit(negative_paragraphs(rows)))
 
@@ -168,14 +252,9 @@ def scan(docs: DataFrame) -> DataFrame:
                 words = Words(part.column("text"), PLAIN, lower=True)
                 hashes = words.hashes()
                 bounds, doc, line = _paragraphs(words)
-                p = m.probabilities(hashes, bounds)
                 found: list[list[dict]] = [[] for _ in range(part.num_rows)]
-                best = p.argmax(axis=1) if len(p) else np.zeros(0, np.int64)
-                for k in np.flatnonzero((best > 0) & (p.max(axis=1, initial=0) >= LEAST_SCORE)):
-                    family = m.families[best[k]]
-                    cover = m.cover(family, hashes[bounds[k]:bounds[k + 1]])
-                    if cover >= LEAST_COVER:
-                        found[doc[k]].append({"paragraph": int(line[k]), "family": family, "score": float(p[k, best[k]]), "cover": cover})
+                for k, first, family, score, cover in m.notices(hashes, bounds):
+                    found[doc[k]].append({"paragraph": int(line[first]), "family": m.families[family], "score": score, "cover": cover})
                 yield pa.RecordBatch.from_pydict({
                     "doc_id": part.column("doc_id"), "n_paragraphs": pa.array(np.bincount(doc, minlength=part.num_rows), pa.int64()),
                     "licences": pa.array(found, pa.list_(pa.struct([("paragraph", pa.int64()), ("family", pa.string()), ("score", pa.float64()), ("cover", pa.float64())])))})

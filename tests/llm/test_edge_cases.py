@@ -117,6 +117,31 @@ def test_substrings(edge):
     assert got[10]["n_removed"] == 20000 - 10 and [tuple(s) for s in got[14]["spans"]] == [(0, 23)]
 
 
+MIT_TEXT = """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights"""
+GPL_TEXT = """ * This program is free software; you can redistribute it and/or modify
+ * it under the terms of the GNU General Public License as published by
+ * the Free Software Foundation; either version 2 of the License"""
+
+
+def test_licences_across_lines_and_in_long_lines(spark):
+    far = " ".join(f"plain{i} word" for i in range(1500))
+    texts = {
+        1: ("Some words.\n\n" + MIT_TEXT, [(2, "mit")]), 2: (GPL_TEXT, [(0, "gpl")]),
+        3: ("Licensed under the MIT license or the Apache License, Version 2.0", [(0, "apache"), (0, "mit")]),
+        4: ("Licensed under the Apache License, Version 2.0 or the MIT license", [(0, "apache"), (0, "mit")]),
+        5: (f"{far} released under the MIT License {far}", [(0, "mit")]),
+        6: (GPL_TEXT.replace("GNU General", "GNU Affero General"), [(0, "agpl")]),
+        7: (GPL_TEXT.replace("GNU General", "GNU Lesser General"), [(0, "lgpl")]),
+        8: ("Licensed under CC BY-NC 4.0.", [(0, "cc-by-nc")]), 9: ("Released under\n\nthe MIT License", []),
+        10: ("All rights reserved.\nReleased under the MIT License.\nReleased under the MIT License.", [(0, "reserved"), (1, "mit"), (2, "mit")]),
+        11: (far, [])}
+    rows = by_id(license.scan(spark.createDataFrame([(i, t) for i, (t, _) in texts.items()], "doc_id long, text string")).collect())
+    assert {i: sorted((x["paragraph"], x["family"]) for x in rows[i]["licences"]) for i in texts} == {i: want for i, (_, want) in texts.items()}
+    assert rows[1]["n_paragraphs"] == 2
+
+
 def test_licences(edge, spark):
     assert {r["n_paragraphs"] for r in license.scan(edge).collect() if r["doc_id"] in (3, 4, 5)} == {0}
     docs = spark.createDataFrame([(1, "Some words.\nReleased under the MIT License.\n\nOther words."), (2, None), (3, "the license of a dog")], "doc_id long, text string")
