@@ -11,8 +11,9 @@ A text is its words between white space, A-Z lower-cased, and one end.  Both mod
 * The model's probability of a word is COUNTED_SHARE times that of the baseline, which counts whole words but knows no
   context and has one value for all unseen words, and the rest times that of the attention model.
 
-Classes and first weights come from at most `SAMPLE_DOCS` training documents.  The weights are then trained on in every
-task, on one of `TRAIN_EVERY` training documents, chosen by a hash at any size, and averaged by the windows seen.
+Classes, and the ids with rows of their own, come from counts over all training documents: of ids, and of ids by the common
+id before them.  The weights start from at most `SAMPLE_DOCS` training documents and are then trained on all of them, in every
+task on its own documents in batches of at most `TRAIN_BYTES` of text, and averaged by the windows seen.
 
 Documents with crc32(doc_id) mod 7 = 2 are held out; a null id is crc32 of the empty text.  Null texts are empty: one end.
 Equal texts get equal scores.  Without training documents the counts are zero and the weights stay as drawn.
@@ -20,7 +21,7 @@ Equal texts get equal scores.  Without training documents the counts are zero an
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +35,7 @@ from .words import SPACED, Words, chunks, pack_sorted, unpack_sorted
 
 CONTEXT, OVERLAP = 32, 8
 WIDTH, CLASSES, OWN_IDS = 16, 64, 4096
-SAMPLE_DOCS, TRAIN_EVERY = 400, 32
+SAMPLE_DOCS, TRAIN_BYTES = 400, 4 << 20
 BATCH_WINDOWS = 256
 # Segments whose id counts are added up in one task.
 ID_SEGMENTS = 64
@@ -205,12 +206,25 @@ class Model:
 MASK = np.tri(CONTEXT, dtype=np.float32)
 
 
-def train(model: Model, stream: np.ndarray, starts: np.ndarray, epochs: int, rate: float = RATE) -> int:
-    """Adam steps over shuffled windows; returns how many windows there are."""
+@dataclass
+class Moments:
+    """What Adam keeps from step to step."""
+
+    first: dict[str, np.ndarray]
+    second: dict[str, np.ndarray]
+    turn: int = 0
+
+    @classmethod
+    def of(cls, model: Model) -> Moments:
+        return cls(*({n: np.zeros_like(getattr(model, n)) for n in PARTS} for _ in range(2)))
+
+
+def train(model: Model, stream: np.ndarray, starts: np.ndarray, epochs: int, rate: float = RATE, moments: Moments | None = None) -> int:
+    """Adam steps over shuffled windows, from `moments` on; returns how many windows there are."""
     begin, end, _ = window_starts(starts)
-    first = {n: np.zeros_like(getattr(model, n)) for n in PARTS}
-    second = {n: np.zeros_like(getattr(model, n)) for n in PARTS}
-    rng, turn = np.random.default_rng(5), 0
+    moments = moments or Moments.of(model)
+    first, second, turn = moments.first, moments.second, moments.turn
+    rng = np.random.default_rng(5)
     for _ in range(epochs):
         order = rng.permutation(len(begin))
         for at in range(0, len(order), BATCH_WINDOWS // 4):
@@ -225,24 +239,39 @@ def train(model: Model, stream: np.ndarray, starts: np.ndarray, epochs: int, rat
                 second[n] += np.float32(0.01) * (g * g - second[n])
                 step = first[n] / np.float32(1 - 0.9**turn) / (np.sqrt(second[n] / np.float32(1 - 0.99**turn)) + np.float32(1e-7))
                 getattr(model, n)[...] -= np.float32(rate) * step
+    moments.turn = turn
     return len(begin)
 
 
-def classes(stream: np.ndarray, size: int) -> np.ndarray:
-    """A class for every id: k-means over the ids that stand before it; ids that are too rare share classes by their number."""
-    count = np.bincount(stream, minlength=size)
+def columns(count: np.ndarray) -> np.ndarray:
+    """For each id its place among the 127 most common ones, else 127."""
     common = np.argsort(-count, kind="stable")[:127]
-    column = np.full(size, 127)
+    column = np.full(len(count), 127)
     column[common] = np.arange(len(common))
+    return column
+
+
+def pairs_of(stream: np.ndarray, starts: np.ndarray, column: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """128 * id + column of the id before it, and how often that stands in the documents."""
+    inner = np.ones(len(stream), bool)
+    inner[starts[:-1]] = False
+    at = np.flatnonzero(inner)
+    return np.unique(stream[at] * 128 + column[stream[at - 1]], return_counts=True)
+
+
+def classes(count: np.ndarray, pairs: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """A class for every id: k-means over the ids that stand before it; ids that are too rare share classes by their number."""
+    size = len(count)
     known = np.flatnonzero(count >= 5)
     out = np.arange(size) % CLASSES
     if len(known) < CLASSES:
         return out
     row = np.full(size, -1)
     row[known] = np.arange(len(known))
-    pair = row[stream[1:]] >= 0
+    keys, n = pairs
+    pair = row[keys // 128] >= 0
     seen = np.zeros((len(known), 128))
-    np.add.at(seen, (row[stream[1:]][pair], column[stream[:-1]][pair]), 1)
+    seen[row[keys[pair] // 128], keys[pair] % 128] = n[pair]
     seen = np.sqrt(seen / np.maximum(seen.sum(axis=1, keepdims=True), 1))
     weight = count[known].astype(float)
     centre = seen[np.argsort(-weight, kind="stable")[:CLASSES]].copy()
@@ -255,12 +284,15 @@ def classes(stream: np.ndarray, size: int) -> np.ndarray:
     return out
 
 
-def fresh(stream: np.ndarray, size: int) -> Model:
-    """A model with drawn weights; classes and the ids with rows of their own come from a sample of streams."""
+def fresh(stream: np.ndarray, size: int, count: np.ndarray | None = None, pairs: tuple[np.ndarray, np.ndarray] | None = None) -> Model:
+    """A model with drawn weights; classes and the ids with rows of their own come from the counts, or else those of the stream."""
     rng = np.random.default_rng(3)
-    class_of = classes(stream, size) if len(stream) else np.arange(size) % CLASSES
+    if count is None or pairs is None:
+        count = np.bincount(stream, minlength=size)
+        pairs = pairs_of(stream, np.array([0, len(stream)]), columns(count)) if len(stream) else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+    class_of = classes(count, pairs)
     row_of = OWN_IDS + class_of
-    common = np.argsort(-np.bincount(stream, minlength=size), kind="stable")[:OWN_IDS]
+    common = np.argsort(-count, kind="stable")[:OWN_IDS]
     row_of[common] = np.arange(len(common))
     draw = lambda *shape: rng.normal(0, 0.1, shape).astype(np.float32)
     return Model(draw(OWN_IDS + CLASSES, WIDTH), draw(CONTEXT, WIDTH), draw(WIDTH, WIDTH), draw(WIDTH, WIDTH), draw(WIDTH, WIDTH),
@@ -379,31 +411,48 @@ def _scorer(model, vocabulary: str, docs_n: int, tokens: int, types: int):
     return score
 
 
-def fit(train_docs: DataFrame, n_docs: int, vocabulary: str) -> Model:
-    """Classes and weights from a bounded sample, trained further in every task, and id shares from all training documents."""
+def id_pairs(train_docs: DataFrame, count: np.ndarray, vocabulary: str) -> tuple[np.ndarray, np.ndarray]:
+    """`pairs_of` all training documents, added up inside the tasks first; at most 128 rows an id of the vocabulary."""
+    sent = train_docs.sparkSession.sparkContext.broadcast(columns(count))
+
+    def pairs(batches):
+        keys, n = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        for batch in batches:
+            for part in chunks(batch, "text", TRAIN_BYTES):
+                more, m = pairs_of(*streams(subwords(pa.Table.from_batches([part]), vocabulary), end_id(vocabulary)), sent.value)
+                keys, at = np.unique(np.concatenate([keys, more]), return_inverse=True)
+                n = np.bincount(at, np.concatenate([n, m]), len(keys)).astype(np.int64)
+        yield pa.RecordBatch.from_pydict({"key": pa.array(keys, pa.int64()), "n": pa.array(n, pa.int64())})
+
+    found = train_docs.select("text").mapInArrow(pairs, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).toArrow()
+    return found.column("key").to_numpy(), found.column("n").to_numpy()
+
+
+def fit(train_docs: DataFrame, count: np.ndarray, vocabulary: str) -> Model:
+    """Classes from counts over all training documents; first weights from a bounded sample, trained further on all documents."""
     spark = train_docs.sparkSession
     size = end_id(vocabulary) + 1
-    draw = F.pmod(F.xxhash64(F.lit("lm"), "doc_id"), F.lit(1 << 30))
-    share = min(1.0, 1.5 * SAMPLE_DOCS / max(n_docs, 1))
-    texts = [r["text"] for r in train_docs.filter(draw < int(share * (1 << 30))).select("text", "doc_id").limit(SAMPLE_DOCS).collect()]
+    draw = F.xxhash64(F.lit("lm"), "doc_id")
+    texts = [r["text"] for r in train_docs.orderBy(draw, "doc_id", "text").limit(SAMPLE_DOCS).select("text").collect()]
     stream, starts = streams(subwords(pa.table({"text": pa.array(texts, pa.string())}), vocabulary), end_id(vocabulary))
-    model = fresh(stream, size)
+    model = fresh(stream, size, count, id_pairs(train_docs, count, vocabulary))
     if len(texts):
         train(model, stream, starts, EPOCHS)
     sent = spark.sparkContext.broadcast(model)
 
     def train_on(batches):
-        mine, tables = sent.value, []
+        # A worker keeps what was broadcast from task to task, so each trains weights of its own.
+        mine, n = replace(sent.value, **{x: getattr(sent.value, x).copy() for x in PARTS}), 0
+        moments = Moments.of(mine)
         for batch in batches:
-            tables.append(batch)
-        if tables and sum(t.num_rows for t in tables):
-            stream, starts = streams(subwords(pa.Table.from_batches(tables), vocabulary), end_id(vocabulary))
-            n = train(mine, stream, starts, 1, RATE / 3)
+            for part in chunks(batch, "text", TRAIN_BYTES):
+                stream, starts = streams(subwords(pa.Table.from_batches([part]), vocabulary), end_id(vocabulary))
+                n += train(mine, stream, starts, 1, RATE / 3, moments)
+        if n:
             flat = mine.flat().astype(np.float64) * n
             yield pa.RecordBatch.from_pydict({"at": pa.array(np.arange(len(flat) + 1), pa.int32()), "value": pa.array(np.append(flat, n), pa.float64())})
 
-    chosen = train_docs.filter(F.pmod(F.xxhash64(F.lit("lm-train"), "doc_id"), F.lit(TRAIN_EVERY)) == 0).select("text")
-    sums = chosen.mapInArrow(train_on, "at int, value double").groupBy("at").agg(F.sum("value").alias("value")).toPandas()  # one row a weight
+    sums = train_docs.select("text").mapInArrow(train_on, "at int, value double").groupBy("at").agg(F.sum("value").alias("value")).toPandas()  # one row a weight
     if len(sums):
         values = sums.sort_values("at")["value"].to_numpy()
         model.set(values[:-1] / values[-1])
@@ -443,7 +492,8 @@ def score_documents(docs: DataFrame, vocabulary: str = VOCABULARY, segment_rows:
     told = stored(sent.groupBy("bucket").applyInArrow(_count, f"{ex.ANSWER}, tokens long, types long"))
     sums = told.agg(F.sum("tokens"), F.sum("types")).first()
     tokens, types = (sums[0] or 0) + n_train, (sums[1] or 0) + (n_train > 0)
-    model = fit(train_docs, n_train, vocabulary)
-    with_emission(model, id_counts(told, end_id(vocabulary) + 1))
+    count = id_counts(told, end_id(vocabulary) + 1)
+    model = fit(train_docs, count, vocabulary)
+    with_emission(model, count)
     score = _scorer(spark.sparkContext.broadcast(model), vocabulary, n_train, tokens, types)
     return parts.groupBy("segment").cogroup(told.filter("segment >= 0").drop("tokens", "types").groupBy("segment")).applyInArrow(score, SCORED)
