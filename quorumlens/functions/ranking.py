@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .keys import hash60
+from .lineage import checkpointed
 
 # Rows per block for dense integer positions.
 BLOCK = 4096
@@ -54,6 +55,31 @@ def positions(
     )
 
 
+def range_positions(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], out: str = "pos", total: str | None = None) -> DataFrame:
+    """Exact 0-based rank inside `keys` under `order`, and the size of the group as `total`, whatever the values are.
+
+    Rows are range-partitioned over keys and order together, so the borders are drawn by Spark's sample of the whole sort
+    key: a key, or one value of the order, that a large part of the rows share is cut by the columns after it.  Ranks are offsets
+    of (key, partition) plus the place in the partition.  The order should end in an id; rows alike in all of it stay together
+    and tie arbitrarily.  Null keys are a group.  The sorted rows are checkpointed, so the ranks survive a lost executor.
+    """
+    keys = list(keys)
+    sort = [*[F.col(k) for k in keys], *[_order_col(c) for c in order]]
+    placed = checkpointed(df.repartitionByRange(*sort).sortWithinPartitions(*sort).withColumn("_at", F.monotonically_increasing_id()))
+    part = F.shiftright("_at", 33)  # the upper bits of the id are the partition
+    pieces = placed.groupBy(*keys, part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_first"))
+    group = Window.partitionBy(*keys)  # a row for each key and partition
+    before = F.coalesce(F.sum("_n").over(group.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    pieces = pieces.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_part").alias("_p"), "_first", before.alias("_before"), F.sum("_n").over(group).alias("_total"))
+    same = F.col("_p") == part
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    ranked = placed.join(pieces, same).withColumn(out, F.col("_before") + F.col("_at") - F.col("_first"))
+    if total:
+        ranked = ranked.withColumn(total, F.col("_total"))
+    return ranked.select(*df.columns, out, *([total] if total else []))
+
+
 def hash_positions(
     df: DataFrame, keys: Sequence[str], seed: object, ids: Sequence[str], out: str = "pos"
 ) -> DataFrame:
