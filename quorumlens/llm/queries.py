@@ -159,3 +159,64 @@ def license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_paragraphs", F.size("licences").cast("long").alias("n_licences"),
         F.array_join(F.array_sort(F.array_distinct(F.transform("licences", lambda x: x["family"]))), ",").alias("families"),
         F.array_join(F.transform("licences", lambda x: x["paragraph"].cast("string")), ",").alias("paragraphs"))
+
+
+# Unsigned CRC-32 (IEEE) of the ASCII text `s`, for use in SQL that has a table crc_table(t).
+CRC_TABLE = """crc_table AS MATERIALIZED (SELECT list(c ORDER BY i) AS t FROM (SELECT i, list_reduce(list_prepend(i, [0, 0, 0, 0, 0, 0, 0, 0]),
+  lambda c, b: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) AS c FROM range(256) x(i)))"""
+
+
+def crc_sql(text: str) -> str:
+    codes = f"list_transform(string_split({text}, ''), lambda x: CAST(ascii(x) AS BIGINT))"
+    return f"xor(list_reduce(list_prepend(4294967295, {codes}), lambda c, b: xor(c // 256, t[CAST(xor(c % 256, b) AS INT) + 1])), 4294967295)"
+
+
+def _merkle_leaf(text: str) -> str:
+    fields = ["CAST(doc_id AS VARCHAR)", "source", "lang", "CAST(n_chars AS VARCHAR)", text]
+    return "sha256(" + " || ".join(f"coalesce(strlen({x}) || ':' || {x}, '-')" for x in fields) + ")"
+
+
+MANIFEST_SQL = f"""
+WITH RECURSIVE {CRC_TABLE},
+leaves AS (
+  SELECT row_number() OVER () AS id, doc_id, coalesce('=' || source, '-') AS part, {_merkle_leaf("text")} AS leaf,
+    CASE WHEN {crc_sql("CAST(doc_id AS VARCHAR)")} % 5 = 0
+      THEN {_merkle_leaf("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} END AS changed
+  FROM documents, crc_table),
+placed AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY part ORDER BY doc_id NULLS FIRST, leaf) - 1 AS place FROM leaves),
+nodes AS (
+  SELECT part, 0 AS level, place AS idx, leaf AS h FROM placed
+  UNION ALL
+  SELECT part, level + 1, idx // 16, sha256(string_agg(h, '' ORDER BY idx)) FROM (
+    SELECT *, count(*) OVER (PARTITION BY part) AS n FROM nodes) WHERE n > 1 GROUP BY part, level, idx // 16),
+tops AS MATERIALIZED (SELECT part, max(level) AS height, arg_max(h, level) AS subroot FROM nodes GROUP BY part),
+ordered AS (SELECT part, height, subroot, row_number() OVER (ORDER BY part) - 1 AS place FROM tops),
+upper AS (
+  SELECT 0 AS level, place AS idx, subroot AS h FROM ordered
+  UNION ALL
+  SELECT level + 1, idx // 16, sha256(string_agg(h, '' ORDER BY idx)) FROM (SELECT *, count(*) OVER () AS n FROM upper) WHERE n > 1 GROUP BY level, idx // 16),
+summit AS (SELECT max(level) AS top, arg_max(h, level) AS root FROM upper),
+beside AS MATERIALIZED (
+  SELECT part, level, idx, coalesce(string_agg(h, '') OVER (PARTITION BY part, level, idx // 16 ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l,
+    coalesce(string_agg(h, '') OVER (PARTITION BY part, level, idx // 16 ORDER BY idx ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r
+  FROM (SELECT nodes.* FROM nodes JOIN tops USING (part) WHERE level < height
+    UNION ALL SELECT '', level, idx, h FROM upper, summit WHERE level < top)),
+steps AS (
+  SELECT id, level AS k, l, r FROM placed JOIN tops USING (part) JOIN beside b ON b.part = placed.part AND b.level < height AND b.idx = place // CAST(pow(16, b.level) AS BIGINT)
+  UNION ALL
+  SELECT id, height + level, l, r FROM placed JOIN ordered o USING (part) JOIN beside b ON b.part = '' AND b.idx = o.place // CAST(pow(16, b.level) AS BIGINT)),
+walks AS (SELECT id, list(l || '|' || r ORDER BY k) AS walk, string_agg(l || r, '' ORDER BY k) AS proof FROM steps GROUP BY id),
+done AS (
+  SELECT doc_id, leaf, subroot, root, sha256(coalesce(proof, '')) AS proof_sha256,
+    list_reduce(list_prepend(coalesce(changed, leaf), coalesce(walk, [])), lambda a, x: sha256(split_part(x, '|', 1) || a || split_part(x, '|', 2))) AS folded_root
+  FROM placed JOIN ordered USING (part) LEFT JOIN walks USING (id), summit)
+SELECT *, folded_root = root AS verified FROM done
+"""
+
+
+@query("op13_merkle_manifest", MANIFEST_SQL)
+def merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The manifest of the documents, and whether each still leads to the root after every fifth was tampered with."""
+    from .merkle import verify
+
+    return verify(table(spark, sf_dir, "documents"), F.crc32(F.encode(F.col("doc_id").cast("string"), "UTF-8")) % 5 == 0)
