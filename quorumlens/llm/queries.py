@@ -220,3 +220,65 @@ def merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .merkle import verify
 
     return verify(table(spark, sf_dir, "documents"), F.crc32(F.encode(F.col("doc_id").cast("string"), "UTF-8")) % 5 == 0)
+
+
+# Edits of the role grammar by automaton: states 0 start, 1 after system, 2 after user, 3 after assistant.
+REPAIR_SQL = f"""
+WITH RECURSIVE {CRC_TABLE},
+base AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    {crc_sql("(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '))")} % 20 AS kind
+  FROM conversations, crc_table),
+hurt AS (
+  SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+    CASE WHEN kind = 1 THEN '' WHEN kind = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM (SELECT *, unnest(CASE WHEN kind = 3 THEN [0, 1] ELSE [0] END) AS copy FROM base WHERE kind <> 0)),
+placed AS MATERIALIZED (
+  SELECT dense_rank() OVER (ORDER BY conv_id NULLS FIRST) AS conv, *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i FROM hurt),
+numbered AS MATERIALIZED (
+  SELECT *, row_number() OVER (PARTITION BY conv, role, text ORDER BY i) > 1 AS again,
+    regexp_extract(text, '([^\x20\x09-\x0D])[\x20\x09-\x0D]*$', 1) AS final FROM placed),
+judged AS MATERIALIZED (
+  SELECT *, left(role, 1) AS initial, CASE WHEN final = '' THEN 'blank' WHEN again THEN 'duplicate' WHEN final NOT IN ('.', '!', '?') THEN 'truncated' ELSE 'fine' END AS fault FROM numbered),
+inserts(p, q, pre, cost, lines) AS (VALUES (0, 0, '', 0, ''), (1, 1, '', 0, ''), (2, 2, '', 0, ''), (3, 3, '', 0, ''), (0, 2, 'I', 3, 'user:
+'), (1, 2, 'I', 3, 'user:
+'),
+  (2, 3, 'I', 3, 'assistant:
+'), (3, 2, 'I', 3, 'user:
+'), (0, 3, 'II', 6, 'user:
+assistant:
+'), (1, 3, 'II', 6, 'user:
+assistant:
+')),
+edits(q, s, own, edit, cost, role) AS (VALUES (0, 0, '*', 'D', 4, NULL), (1, 1, '*', 'D', 4, NULL), (2, 2, '*', 'D', 4, NULL), (3, 3, '*', 'D', 4, NULL),
+  (0, 1, 's', 'K', 0, '='), (0, 2, 'u', 'K', 0, '='), (1, 2, 'u', 'K', 0, '='), (3, 2, 'u', 'K', 0, '='), (2, 3, 'a', 'K', 0, '='),
+  (0, 2, '*', 'R', 3, 'user'), (1, 2, '*', 'R', 3, 'user'), (3, 2, '*', 'R', 3, 'user'), (2, 3, '*', 'R', 3, 'assistant')),
+ways AS MATERIALIZED (SELECT p, s, own, pre || edit AS edit, i.cost + e.cost AS cost, lines, role FROM inserts i JOIN edits e USING (q)),
+walk AS (
+  SELECT DISTINCT conv, CAST(0 AS BIGINT) AS i, 0 AS s, {{'cost': CAST(0 AS BIGINT), 'audit': '', 'body': ''}} AS best FROM judged
+  UNION ALL
+  SELECT w.conv, j.i, y.s, min({{'cost': w.best.cost + y.cost + CASE WHEN j.fault = 'truncated' AND y.role IS NOT NULL THEN 3 ELSE 0 END, 'audit': w.best.audit || y.edit,
+    'body': w.best.body || y.lines || CASE y.role WHEN '=' THEN j.role || ':' || j.text || chr(10) ELSE coalesce(y.role || ':' || j.text || chr(10), '') END}})
+  FROM walk w JOIN judged j ON j.conv = w.conv AND j.i = w.i + 1 JOIN ways y ON y.p = w.s
+    AND y.own IN ('*', j.initial) AND (y.role IS NULL OR j.fault NOT IN ('blank', 'duplicate'))
+  GROUP BY w.conv, j.i, y.s),
+ended AS (
+  SELECT conv, min({{'cost': best.cost + n.cost, 'audit': best.audit || n.pre, 'body': best.body || n.lines}}) AS best
+  FROM walk w JOIN (SELECT conv, max(i) AS i FROM judged GROUP BY conv) USING (conv, i) JOIN inserts n ON n.p = w.s AND n.q IN (0, 3) GROUP BY conv),
+counted AS (
+  SELECT conv, any_value(conv_id) AS conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE fault = 'blank') AS blank,
+    count(*) FILTER (WHERE fault = 'duplicate') AS duplicate, count(*) FILTER (WHERE fault = 'truncated') AS truncated,
+    count(*) FILTER (WHERE before IS NOT NULL AND before || initial NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM (SELECT *, lag(initial) OVER (PARTITION BY conv ORDER BY i) AS before FROM judged) GROUP BY conv)
+SELECT o.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+  coalesce(illegal, 0) AS illegal, coalesce(best.cost, 0) AS cost, coalesce(best.audit, '') AS audit, sha256(coalesce(best.body[:-2], '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN counted c ON c.conv_id IS NOT DISTINCT FROM o.conv_id LEFT JOIN ended ON ended.conv = c.conv
+"""
+
+
+@query("op12_conversation_repair", REPAIR_SQL)
+def conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cheapest repair of every conversation after every row was damaged as its checksum says."""
+    from .turns import damaged, repair
+
+    return repair(damaged(table(spark, sf_dir, "conversations")))
