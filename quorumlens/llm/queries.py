@@ -282,3 +282,11 @@ def conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .turns import damaged, repair
 
     return repair(damaged(table(spark, sf_dir, "conversations")))
+
+
+@query("op11_quality_classifier")
+def quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each document; a fitted model is not SQL, so tests measure held-out documents."""
+    from .fm import classify
+
+    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
