@@ -1,29 +1,25 @@
 """Regions of the label graph: communities, spectral regions, choice of a solution, spanning trees.
 
-Edges are (src, dst, w) with src < dst and assignments (label, c).  Rounds are joins and aggregates over
-edges and labels; each ends in a checkpoint.  Only single numbers and matrices of at most k x k come to the driver.
+Edges are (src, dst, w) with src < dst and assignments (label, c); labels are of any type.  Rounds are joins and aggregates over
+edges and labels; each ends in a checkpoint.  Communities are in `louvain`, eigenvectors and k-means in `spectral`.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.keys import hash60
-from ..functions.lineage import checkpointed
+from ..functions.dictionary import decoded, dictionary, encoded
+from ..functions.lineage import written
+from .louvain import louvain
+from .spectral import spectral_regions
 
-EPS = 1e-12
 # Weights of the choice score and the resolutions and sizes scanned.
 MODULARITY_WEIGHT, SINGLETON_WEIGHT, COARSE_STEP, OVERSIZE_FROM, OVERSIZE_WEIGHT = 0.5, 2.0, 0.25, 0.35, 2.0
 RESOLUTIONS = [0.4, 0.6, 0.8, 1.0, 1.2, 1.4, 1.6]
 SPECTRAL_SIZES = list(range(6, 17))
-# Products with the matrix between two orthonormalisations.
-HOPS = 3
 
 
 def both_ways(edges: DataFrame) -> DataFrame:
@@ -50,71 +46,28 @@ def modularity(edges: DataFrame, assignment: DataFrame, resolution: Column | flo
     return j.groupBy(*keys).agg(F.sum(part).alias("modularity"))
 
 
-def _scalar(df: DataFrame) -> float:
-    row = df.first()
-    return float(row[0]) if row is not None and row[0] is not None else 0.0
-
-
 def communities(edges: DataFrame, labels: DataFrame, resolutions: Sequence[float]) -> DataFrame:
-    """(resolution, label, c) by merging and moving, without random choices; all resolutions go through the rounds together.
-
-    Communities that are each other's best partner (largest modularity gain, then smallest id) merge in parallel
-    until no merge gains.  Then labels move to the community with the best gain, half of them per round; a round
-    counts for a resolution only if its modularity rises, and its moving ends when neither half has a round that counts.
-    """
-    e = checkpointed(edges.select("src", "dst", "w"))
-    m = _scalar(e.agg(F.sum("w")))
-    levels = F.explode(F.array(*[F.lit(float(r)) for r in resolutions]))
-    current = checkpointed(labels.select("label").distinct().select(levels.alias("resolution"), "label", F.col("label").alias("c")))
-    if m <= 0:
-        return current
-    degree = checkpointed(both_ways(e).groupBy("v").agg(F.sum("w").alias("k")))
-    own = lambda a: a.select("resolution", F.col("label").alias("v"), "c")
-    masses = lambda a: degree.join(own(a), "v").groupBy("resolution", "c").agg(F.sum("k").alias("d"))
-    while True:
-        mass = masses(current)
-        links = both_ways(e).join(own(current), "v").withColumnRenamed("c", "a").join(
-            current.select("resolution", F.col("label").alias("u"), F.col("c").alias("b")), ["resolution", "u"]).filter("a <> b").groupBy("resolution", "a", "b").agg(F.sum("w").alias("w"))
-        j = links.join(mass.select("resolution", F.col("c").alias("a"), F.col("d").alias("da")), ["resolution", "a"]).join(
-            mass.select("resolution", F.col("c").alias("b"), F.col("d").alias("db")), ["resolution", "b"])
-        gain = F.round(F.col("w") / m - F.col("resolution") * F.col("da") * F.col("db") / (2 * m * m), 12)
-        scored = j.withColumn("g", gain).filter(F.col("g") > EPS)
-        # Ties by the unordered pair, so the best pair overall is always mutual.
-        order = F.struct((-F.col("g")).alias("n"), F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"))
-        best = checkpointed(scored.groupBy("resolution", "a").agg(F.min_by("b", order).alias("b")))
-        mutual = best.join(best.select("resolution", F.col("a").alias("b"), F.col("b").alias("_back")), ["resolution", "b"]).filter("_back = a AND a < b").select(
-            "resolution", F.col("b").alias("c"), F.col("a").alias("into"))
-        moved = checkpointed(current.join(mutual, ["resolution", "c"], "left").select("resolution", "label", F.coalesce("into", "c").alias("c"), F.col("into").isNotNull().alias("_m")))
-        changed = not moved.filter("_m").isEmpty()
-        current = moved.select("resolution", "label", "c")
-        if not changed:
-            break
-
-    def scores(a: DataFrame) -> dict[float, float]:
-        return {r["resolution"]: r["modularity"] or 0.0 for r in modularity(e, a, F.col("resolution"), ["resolution"]).collect()}  # a row for each resolution
-
-    score, turn = scores(current), 0
-    idle = dict.fromkeys(score, 0)
-    while any(n < 2 for n in idle.values()):
-        around = both_ways(e).join(current.select("resolution", F.col("label").alias("u"), "c"), "u").groupBy("resolution", "v", "c").agg(F.sum("w").alias("kc"))
-        stay = current.select("resolution", F.col("label").alias("v"), "c", F.lit(0.0).alias("kc"))
-        options = around.unionByName(stay).groupBy("resolution", "v", "c").agg(F.sum("kc").alias("kc"))
-        o = options.join(masses(current), ["resolution", "c"]).join(degree, "v").join(
-            current.select("resolution", F.col("label").alias("v"), F.col("c").alias("own")), ["resolution", "v"])
-        rest = F.col("d") - F.when(F.col("c") == F.col("own"), F.col("k")).otherwise(0.0)
-        value = F.round(F.col("kc") - F.col("resolution") * F.col("k") * rest / (2 * m), 12)
-        best = o.withColumn("g", value).groupBy("resolution", F.col("v").alias("label")).agg(
-            F.min_by("c", F.struct((-F.col("g")).alias("n"), F.when(F.col("c") == F.col("own"), 0).otherwise(1).alias("x"), F.col("c").alias("y"))).alias("best"))
-        mine = (hash60(F.col("label")) + turn) % 2 == 0
-        after = checkpointed(current.join(best, ["resolution", "label"], "left").select(
-            "resolution", "label", "c", F.when(mine, F.coalesce("best", "c")).otherwise(F.col("c")).alias("to")))
-        new = scores(after.select("resolution", "label", F.col("to").alias("c")))
-        risen = [r for r in score if idle[r] < 2 and new[r] > score[r] + EPS]
-        idle = {r: n if n >= 2 else 0 if r in risen else n + 1 for r, n in idle.items()}
-        score |= {r: new[r] for r in risen}
-        current = after.select("resolution", "label", F.when(F.col("resolution").isin(risen), F.col("to")).otherwise(F.col("c")).alias("c"))
-        turn += 1
-    return current
+    """(resolution, label, c) by multilevel moves without random choices; labels of any type, c is an id."""
+    ids = dictionary((labels, "label"), (edges, "src"), (edges, "dst"))
+    found = louvain(encoded(edges.select("src", "dst", "w"), ids, ["src", "dst"]), ids.select(F.col("id").alias("v")), resolutions)
+    return decoded(found.select("resolution", F.col("v").alias("label"), "c"), ids, ["label"])
+
+
+def move_gains(edges: DataFrame, assignment: DataFrame) -> DataFrame:
+    """(resolution, label, gain): the most that the modularity times m rises if one label moves to a neighbour's community or to one of its own."""
+    two_m = edges.agg((2 * F.sum("w")).alias("_mm"))
+    both = both_ways(edges)
+    degree = both.groupBy("v").agg(F.sum("w").alias("k"))
+    at = lambda n, c: assignment.select("resolution", F.col("label").alias(n), F.col("c").alias(c))
+    size = at("v", "c").join(degree, "v").groupBy("resolution", "c").agg(F.sum("k").alias("d"))
+    links = both.join(at("u", "c"), "u").groupBy("resolution", "v", "c").agg(F.sum("w").alias("kc"))
+    stay = at("v", "c").join(degree.select("v"), "v").select("resolution", "v", "c", F.lit(0.0).alias("kc"))
+    options = links.unionByName(stay).groupBy("resolution", "v", "c").agg(F.sum("kc").alias("kc"))
+    o = options.join(size, ["resolution", "c"]).join(degree, "v").join(at("v", "_own"), ["resolution", "v"]).crossJoin(F.broadcast(two_m))  # one-row side
+    mine = F.col("c") == F.col("_own")
+    value = F.col("kc") - F.col("resolution") * F.col("k") * (F.col("d") - F.when(mine, F.col("k")).otherwise(0.0)) / F.col("_mm")
+    best = o.groupBy("resolution", F.col("v").alias("label")).agg(F.max(value).alias("_best"), F.max(F.when(mine, value)).alias("_stay"))
+    return best.select("resolution", "label", (F.greatest("_best", F.lit(0.0)) - F.col("_stay")).alias("gain"))
 
 
 def named(assignment: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
@@ -128,79 +81,14 @@ def named(assignment: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
 
 def community_scan(edges: DataFrame, labels: DataFrame, resolutions: Sequence[float] = tuple(RESOLUTIONS)) -> DataFrame:
     """One named assignment per resolution (solution, resolution, label, region)."""
-    found = named(checkpointed(communities(edges, labels, resolutions)), ["resolution"])
+    found = named(written(communities(edges, labels, resolutions)), ["resolution"])
     return found.select(F.concat(F.lit("resolution="), F.col("resolution").cast("string")).alias("solution"), "resolution", "label", "region")
 
 
-def spectral_rows(affinity: DataFrame, k: int, rounds: int = 500, tolerance: float = 1e-8) -> tuple[DataFrame, np.ndarray]:
-    """The k leading eigenvectors of D^-1/2 A D^-1/2 as one array per label, with their eigenvalues.
-
-    Subspace iteration on (N + I) / 2, whose eigenvalues are ordered like those of N and not negative.  A product
-    with N is a join and a sum; the k x k Gram matrix is one aggregate and is factored on the driver.  The iteration ends when
-    the eigenvalues move by less than `tolerance`; if they still move after `rounds` rounds, that is an error.
-    """
-    a = affinity.filter("src <> dst AND w > 0").select("src", "dst", "w")
-    deg = a.groupBy("src").agg(F.sum("w").alias("d"))
-    n = checkpointed(a.join(deg, "src").join(deg.select(F.col("src").alias("dst"), F.col("d").alias("d2")), "dst").select(
-        "src", "dst", (F.col("w") / F.sqrt(F.col("d") * F.col("d2"))).alias("w")))
-    labels = affinity.select(F.col("src").alias("label")).distinct()
-    start = [(hash60(F.lit("s"), F.col("label"), F.lit(j)) % 2000).cast("double") / 1000.0 - 1.0 for j in range(k)]
-    x = checkpointed(labels.select("label", F.array(*start).alias("x")))
-
-    def gram(left: DataFrame, right: str) -> np.ndarray:
-        cells = left.agg(*[F.sum(F.element_at("x", i + 1) * F.element_at(right, j + 1)) for i in range(k) for j in range(k)])
-        return np.array(cells.first(), dtype=float).reshape(k, k)
-
-    def times(df: DataFrame, m: np.ndarray) -> DataFrame:
-        col = lambda j: sum((F.element_at("x", i + 1) * float(m[i, j]) for i in range(k)), F.lit(0.0))
-        return df.select("label", F.array(*[col(j) for j in range(k)]).alias("x"))
-
-    def applied(df: DataFrame) -> DataFrame:
-        hop = n.join(df.select(F.col("label").alias("dst"), "x"), "dst").groupBy("src").agg(*[F.sum(F.col("w") * F.element_at("x", j + 1)).alias(f"y{j}") for j in range(k)])
-        both = df.join(hop, df["label"] == hop["src"], "left")
-        return both.select("label", "x", F.array(*[(F.coalesce(f"y{j}", F.lit(0.0)) + F.element_at("x", j + 1)) / 2 for j in range(k)]).alias("y"))
-
-    def orthonormal(df: DataFrame) -> DataFrame:
-        values, vectors = np.linalg.eigh(gram(df, "x"))
-        return times(df, vectors / np.sqrt(np.maximum(values, 1e-300)))
-
-    x = checkpointed(orthonormal(x))
-    last = np.zeros(k)
-    for _ in range(rounds):
-        y = x
-        for _ in range(HOPS):
-            y = applied(y).select("label", F.col("y").alias("x"))
-        y = checkpointed(y)
-        g = gram(y, "x")
-        values, vectors = np.linalg.eigh(g)
-        x = times(y, vectors / np.sqrt(np.maximum(values, 1e-300)))
-        # The Gram matrix of N^HOPS X settles together with the subspace.
-        if np.abs(values - last).max() < tolerance:
-            break
-        last = values
-    else:
-        raise RuntimeError(f"eigenvalues still move by {tolerance} after {rounds} rounds")
-    x = checkpointed(x)
-    values, vectors = np.linalg.eigh(gram(applied(x), "y"))
-    order = np.argsort(values)[::-1]
-    return checkpointed(times(x, vectors[:, order])), 2 * values[order] - 1
-
-
 def spectral_scan(affinity: DataFrame, sizes: Sequence[int] = tuple(SPECTRAL_SIZES), restarts: int = 8, seed: int = 13) -> DataFrame:
-    """K-means on the row-normalised leading eigenvectors, best of several seeded starts, for every k."""
-    rows, _ = spectral_rows(checkpointed(affinity), max(sizes))
-    out = None
-    for k in sizes:
-        part = F.slice("x", 1, k)
-        norm = F.sqrt(F.aggregate(part, F.lit(0.0), lambda s, v: s + v * v))
-        unit = F.transform(part, lambda v: F.when(norm > 0, v / norm).otherwise(0.0))
-        data = checkpointed(rows.select("label", array_to_vector(unit).alias("features")))
-        fits = [KMeans(k=k, seed=seed + r, maxIter=100).fit(data) for r in range(restarts)]
-        best = min(fits, key=lambda f: f.summary.trainingCost)
-        part = named(best.transform(data).select("label", F.col("prediction").alias("c")))
-        part = part.select(F.lit(f"K={k}").alias("solution"), F.lit(1.0).alias("resolution"), "label", "region")
-        out = part if out is None else out.unionByName(part)
-    return out
+    """K-means on the row-normalised leading eigenvectors, best of several seeded starts, for every k up to the number of labels."""
+    found = named(written(spectral_regions(affinity, sizes, restarts, seed).select("k", "label", "c")), ["k"])
+    return found.select(F.concat(F.lit("K="), F.col("k").cast("string")).alias("solution"), F.lit(1.0).alias("resolution"), "label", "region")
 
 
 def solution_summary(edges: DataFrame, solutions: DataFrame) -> DataFrame:
@@ -213,7 +101,10 @@ def solution_summary(edges: DataFrame, solutions: DataFrame) -> DataFrame:
 
 
 def choose_solutions(summary: DataFrame, labels: int, top: int = 3) -> DataFrame:
-    """The best solutions by modularity minus penalties for singletons, granularity, coarseness and size."""
+    """The best solutions by modularity minus penalties for singletons, granularity, coarseness and size.
+
+    If the summary has a column method, solutions of method "community" are the pool when there are any, the others only without them.
+    """
     n = max(labels, 1)
     target = min(12, max(6, round(n**0.5)))
     single, share = F.col("singletons") / n, F.col("largest") / n
@@ -221,6 +112,9 @@ def choose_solutions(summary: DataFrame, labels: int, top: int = 3) -> DataFrame
         MODULARITY_WEIGHT * F.coalesce("modularity", F.lit(0.0)) - SINGLETON_WEIGHT * single - F.abs(F.col("regions") - target) / target
         - F.greatest(F.lit(0), 5 - F.col("regions")) * COARSE_STEP - F.greatest(F.lit(0.0), share - OVERSIZE_FROM) * OVERSIZE_WEIGHT)
     s = summary.withColumn("score", score)
+    if "method" in summary.columns:
+        found = summary.agg(F.coalesce(F.max(F.col("method") == "community"), F.lit(False)).alias("_any"))
+        s = s.crossJoin(F.broadcast(found)).filter(~F.col("_any") | (F.col("method") == "community")).drop("_any")  # one-row side
     return s.orderBy(F.desc(F.round("score", 12)), F.asc("singletons"), F.asc("regions"), "solution").limit(top)
 
 
@@ -232,28 +126,28 @@ def spanning_trees(affinity: DataFrame, assignment: DataFrame) -> DataFrame:
     """
     a = assignment.select(F.col("label").alias("src"), F.col("region").alias("region"))
     b = assignment.select(F.col("label").alias("dst"), F.col("region").alias("_r"))
-    e = checkpointed(affinity.filter("src < dst").join(a, "src").join(b, "dst").filter("region = _r").select("region", "src", "dst", "w"))
-    comp = checkpointed(assignment.select("label", F.col("label").alias("c")))
+    e = written(affinity.filter("src < dst").join(a, "src").join(b, "dst").filter("region = _r").select("region", "src", "dst", "w"))
+    comp = written(assignment.select("label", F.col("label").alias("c")))
     tree = None
     while True:
         outgoing = e.join(comp.select(F.col("label").alias("src"), F.col("c").alias("cs")), "src").join(
             comp.select(F.col("label").alias("dst"), F.col("c").alias("cd")), "dst").filter("cs <> cd")
         sides = F.explode(F.array(F.struct(F.col("cs").alias("c"), F.col("cd").alias("o")), F.struct(F.col("cd").alias("c"), F.col("cs").alias("o")))).alias("s")
         flat = outgoing.select("region", "src", "dst", "w", sides).select("region", "src", "dst", "w", "s.c", "s.o")
-        best = checkpointed(flat.groupBy("c").agg(F.min(F.struct((-F.col("w")).alias("n"), "src", "dst", "region", "o")).alias("b")).select(
+        best = written(flat.groupBy("c").agg(F.min(F.struct((-F.col("w")).alias("n"), "src", "dst", "region", "o")).alias("b")).select(
             "c", "b.o", "b.src", "b.dst", "b.region", (-F.col("b.n")).alias("w")))
         if best.isEmpty():
             break
         chosen = best.select("region", "src", "dst", "w").distinct()
         tree = chosen if tree is None else tree.unionByName(chosen)
         back = best.select(F.col("c").alias("o"), F.col("o").alias("_back"))
-        parent = checkpointed(best.join(back, "o", "left").select("c", F.when((F.col("_back") == F.col("c")) & (F.col("c") < F.col("o")), F.col("c")).otherwise(F.col("o")).alias("p")))
+        parent = written(best.join(back, "o", "left").select("c", F.when((F.col("_back") == F.col("c")) & (F.col("c") < F.col("o")), F.col("c")).otherwise(F.col("o")).alias("p")))
         while True:
             up = parent.select(F.col("c").alias("p"), F.col("p").alias("pp"))
-            jumped = checkpointed(parent.join(up, "p", "left").select("c", F.coalesce("pp", "p").alias("p"), (F.col("pp") != F.col("p")).alias("_m")))
+            jumped = written(parent.join(up, "p", "left").select("c", F.coalesce("pp", "p").alias("p"), (F.col("pp") != F.col("p")).alias("_m")))
             moving = not jumped.filter("_m").isEmpty()
             parent = jumped.select("c", "p")
             if not moving:
                 break
-        comp = checkpointed(comp.join(parent, "c", "left").select("label", F.coalesce("p", "c").alias("c")))
+        comp = written(comp.join(parent, "c", "left").select("label", F.coalesce("p", "c").alias("c")))
     return tree if tree is not None else e.limit(0)
