@@ -15,7 +15,7 @@ from ..functions import dist as D
 from ..functions import ranking
 from ..functions.keys import small_side
 from ..functions.lineage import checkpointed
-from ..functions.moments import add_arrays, pair_moments
+from ..functions.moments import TILE, add_tiles, assembler, pair_moments
 
 # Ridge strength, multiplier under low support, support limits, output temperature and list length.
 RIDGE, STRONG, MIN_EFFECTIVE, MIN_SOFT = 1.0, 10.0, 30.0, 5.0
@@ -70,17 +70,17 @@ def _solver(dim: int):
 
 def shared_operators(moments: DataFrame, dim: int, ridge: float = RIDGE) -> DataFrame:
     """R2: one operator per pair type, from the moments summed over all source and target regions."""
-    total = add_arrays(moments.select("pair", "head", "mw", "mu"), ["pair"], ["head", "mw", "mu"])
+    total = add_tiles(moments, ["pair"])
     solve, squared = _solver(dim)
+    assembled = assembler(2 * dim + 1)
 
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        r = pdf.iloc[0]
-        n, sw, sw2 = r["head"]
-        coef = solve(r["mw"], ridge)
+    def fit(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        (n, sw, sw2), mw, mu = assembled(pdf)
+        coef = solve(mw, ridge)
         return pd.DataFrame([{
-            "pair": r["pair"], "a": coef[:-1].ravel().tolist(), "b": coef[-1].tolist(), "n": int(n), "soft_support": sw,
+            "pair": key[0], "a": coef[:-1].ravel().tolist(), "b": coef[-1].tolist(), "n": int(n), "soft_support": sw,
             "effective_support": sw * sw / sw2 if sw2 > 0 else 0.0,
-            "mse": squared(r["mu"], coef) / n, "weighted_mse": squared(r["mw"], coef) / sw if sw > 0 else 0.0,
+            "mse": squared(mu, coef) / n, "weighted_mse": squared(mw, coef) / sw if sw > 0 else 0.0,
         }])
 
     schema = ("pair string, a array<double>, b array<double>, n long, soft_support double, effective_support double, "
@@ -89,36 +89,45 @@ def shared_operators(moments: DataFrame, dim: int, ridge: float = RIDGE) -> Data
 
 
 def target_centroids(moments: DataFrame, dim: int) -> DataFrame:
-    """Weighted mean of the target vectors per (pair type, target region)."""
-    ones = dim * (2 * dim + 1)
-    y = F.slice("mw", ones + dim + 2, dim)
-    long = moments.select("pair", "target", F.posexplode(y).alias("d", "x"), F.element_at("head", 2).alias("sw"))
-    s = long.groupBy("pair", "target", "d").agg((F.sum("x") / F.sum("sw")).alias("x"))
-    return s.groupBy("pair", "target").agg(
-        F.transform(F.sort_array(F.collect_list(F.struct("d", "x"))), lambda e: e["x"]).alias("centroid")
-    )
+    """Weighted mean of the target vectors per (pair type, target region); only the tiles beside the row of ones are read."""
+    at = dim // TILE
+    some = add_tiles(moments.filter((F.col("i") == at) | (F.col("j") == at) | (F.col("i") + F.col("j") == 0)), ["pair", "target"])
+    assembled = assembler(2 * dim + 1)
+
+    def mean(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        (_, sw, _), mw, _ = assembled(pdf)
+        return pd.DataFrame([{"pair": key[0], "target": key[1], "centroid": (mw[dim, dim + 1:] / sw).tolist()}])
+
+    return some.groupBy("pair", "target").applyInPandas(mean, "pair string, target long, centroid array<double>")
 
 
 def fit_operators(
     moments: DataFrame, dim: int, ridge: float = RIDGE, strong: float = STRONG,
-    min_effective: float = MIN_EFFECTIVE, min_soft: float = MIN_SOFT,
+    min_effective: float = MIN_EFFECTIVE, min_soft: float = MIN_SOFT, grid: DataFrame | None = None,
 ) -> DataFrame:
     """R1 + R4: weighted ridge per (pair, source, target) with support gating and back-off.
 
     Soft support below `min_soft` or fewer than two samples falls back to the shared operator of the type (or
     the target centroid when there is none); effective support below `min_effective` raises the ridge.
+    `grid` lists the cells (pair, source, target) to fit, with or without samples; without it only those that have samples.
     """
     solve, squared = _solver(dim)
+    assembled = assembler(2 * dim + 1)
     moments = checkpointed(moments)  # parameter-sized, read three times
     shared = shared_operators(moments, dim, ridge).select(
         "pair", F.col("a").alias("sa"), F.col("b").alias("sb"), F.col("n").alias("sn")
     )
-    # Four pair types and regions: sizes set by parameters.
-    joined = moments.join(F.broadcast(shared), "pair", "left").join(target_centroids(moments, dim), ["pair", "target"], "left")
-
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        r = pdf.iloc[0]
-        n, sw, sw2 = r["head"]
+    cells = moments.select("pair", "source", "target").distinct() if grid is None else grid.select("pair", "source", "target").distinct()
+    # What a cell falls back to is one row of its own, so that it does not travel with every tile.
+    rest = cells.join(shared, "pair", "left").join(target_centroids(moments, dim), ["pair", "target"], "left")
+    key = ["pair", "source", "target"]
+    rest = rest.select(*[F.col(k).alias(f"_{k}") for k in key], "sa", "sb", "sn", "centroid")
+
+    def fit(key: tuple, tiles: pd.DataFrame, other: pd.DataFrame) -> pd.DataFrame:
+        if not len(other):
+            return pd.DataFrame(columns=[c.split()[0] for c in FIT_SCHEMA.split(", ")])
+        r = other.iloc[0]
+        (n, sw, sw2), mw, mu = assembled(tiles)
         eff = sw * sw / sw2 if sw2 > 0 else 0.0
         lam, status, backoff = ridge, "learned", "none"
         if sw < min_soft or n < 2:
@@ -127,20 +136,20 @@ def fit_operators(
                 coef = np.vstack([np.reshape(r["sa"], (dim, dim)), np.reshape(r["sb"], (1, dim))])
                 backoff = "shared_operator"
             else:
-                coef = np.vstack([np.zeros((dim, dim)), np.reshape(r["centroid"], (1, dim))])
+                coef = np.vstack([np.zeros((dim, dim)), np.zeros((1, dim)) if r["centroid"] is None else np.reshape(r["centroid"], (1, dim))])
                 backoff = "target_centroid"
         else:
             if eff < min_effective:
                 lam, status = ridge * strong * min_effective / max(eff, 1e-12), "learned_strong_ridge"
-            coef = solve(r["mw"], lam)
+            coef = solve(mw, lam)
         return pd.DataFrame([{
-            "pair": r["pair"], "source": r["source"], "target": r["target"], "status": status, "backoff": backoff,
+            "pair": key[0], "source": key[1], "target": key[2], "status": status, "backoff": backoff,
             "n": int(n), "soft_support": sw, "effective_support": eff, "ridge": lam,
             "a": coef[:-1].ravel().tolist(), "b": coef[-1].tolist(),
-            "mse": squared(r["mu"], coef) / n if n else 0.0, "weighted_mse": squared(r["mw"], coef) / sw if sw > 0 else 0.0,
+            "mse": squared(mu, coef) / n if n else 0.0, "weighted_mse": squared(mw, coef) / sw if sw > 0 else 0.0,
         }])
 
-    return joined.groupBy("pair", "source", "target").applyInPandas(fit, FIT_SCHEMA)
+    return moments.groupBy(*key).cogroup(rest.groupBy(*[f"_{k}" for k in key])).applyInPandas(fit, FIT_SCHEMA)
 
 
 def applied(x: Column, a: Column, b: Column, dim: int) -> Column:
@@ -215,19 +224,20 @@ def affine_maps(rows: DataFrame, dim: int, ridge: float = AFFINE_RIDGE) -> DataF
     rows: pair, x, y.  The null pair in the result is the global map, for role pairs never seen in training.
     """
     one = lambda c: F.array(F.struct(F.lit(0).cast("long").alias("region"), F.lit(1.0).alias("p"), F.col(c).alias("vector")))
-    m = pair_moments(rows.select("pair", F.lit(1.0).alias("w"), one("x").alias("s_vecs"), one("y").alias("t_vecs")), dim)
-    # The moments are small from here on: one row per role pair.
-    every = add_arrays(m.select(F.lit("*").alias("pair"), "head", "mw"), ["pair"], ["head", "mw"])
+    m = checkpointed(pair_moments(rows.select("pair", F.lit(1.0).alias("w"), one("x").alias("s_vecs"), one("y").alias("t_vecs")), dim))
+    # The moments are small from here on: the tiles of each role pair.
+    every = add_tiles(m.withColumn("pair", F.lit("*")), ["pair"])
     solve, _ = _solver(dim)
+    assembled = assembler(2 * dim + 1)
     least = max(4, dim // 2)
 
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        r = pdf.iloc[0]
-        coef = solve(r["mw"], ridge)
-        return pd.DataFrame([{"pair": r["pair"], "n": int(r["head"][0]), "a": coef[:-1].ravel().tolist(), "b": coef[-1].tolist()}])
+    def fit(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        (n, _, _), mw, _ = assembled(pdf)
+        coef = solve(mw, ridge)
+        return pd.DataFrame([{"pair": key[0], "n": int(n), "a": coef[:-1].ravel().tolist(), "b": coef[-1].tolist()}])
 
     schema = "pair string, n long, a array<double>, b array<double>"
-    own = m.select("pair", "head", "mw").unionByName(every).groupBy("pair").applyInPandas(fit, schema)
+    own = m.select("pair", "i", "j", "head", "mw", "mu").unionByName(every).groupBy("pair").applyInPandas(fit, schema)
     glob = own.filter("pair = '*'").select(F.col("a").alias("_ga"), F.col("b").alias("_gb"))
     few = F.col("n") < least
     return own.crossJoin(F.broadcast(glob)).select(  # one-row side

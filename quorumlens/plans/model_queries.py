@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dist as D
 from ..functions import moments as MO
+from ..functions.lineage import checkpointed
 from ..operators import membership as mem
 from ..operators import metrics as M
 from ..operators import predict as P
@@ -152,10 +153,9 @@ def perplexity(t: Tables) -> DataFrame:
 @query("norm_summary_M15", sql="""
     SELECT label, round(avg(n), 6) AS mean_norm, round(stddev_pop(n), 6) AS std_norm, round(quantile_cont(n, 0.05), 6) AS p05,
       round(quantile_cont(n, 0.5), 6) AS p50, round(quantile_cont(n, 0.95), 6) AS p95 FROM (
-      SELECT label::bigint AS label, sqrt(list_sum(list_transform(embedding[1:20], lambda x: x::double * x::double))) AS n FROM embeddings) GROUP BY label""")
+      SELECT label::bigint AS label, sqrt(list_sum(list_transform(embedding, lambda x: x::double * x::double))) AS n FROM embeddings) GROUP BY label""")
 def norm_summary(t: Tables) -> DataFrame:
-    e = embedding_rows(t).withColumn("z", F.slice("z", 1, 20))
-    s = M.norm_summary(e, ["label"], "z")
+    s = M.norm_summary(embedding_rows(t), ["label"], "z")
     return s.select("label", r6("mean_norm"), r6("std_norm"), r6("p05"), r6("p50"), r6("p95"))
 
 
@@ -219,10 +219,101 @@ def target_centroids(t: Tables) -> DataFrame:
 
 
 def vector_fits(t: Tables) -> DataFrame:
-    return R.fit_operators(MO.pair_moments(pair_samples(t), 4), 4)
-
-
-@query("operator_scores_R5")
+    regions = lambda c: t.spark.range(REGIONS).withColumnRenamed("id", c)
+    grid = t.pairs.filter("lag = 1").select("pair").distinct().crossJoin(regions("source")).crossJoin(regions("target"))  # four pair types and regions
+    return R.fit_operators(MO.pair_moments(pair_samples(t), 4), 4, grid=grid)
+
+
+# Whole vectors: samples z = (x, 1, y), the moments of a group as rows of a list, and Gauss-Jordan steps that solve (X'WX + ridge) C = X'WY.
+CTES["vsamples"] = ("pairs contrib local_vec uncertain", """
+    SELECT p.pair, a.region AS source, b.region AS target, list_concat(list_append(a.v, 1.0::double), b.v) AS z, a.r * b.r * sqrt(ua.reliability * ub.reliability) AS w
+    FROM pairs p JOIN cvd a ON a.item = p.s_item JOIN cvd b ON b.item = p.t_item JOIN uncertain ua ON ua.item = p.s_item JOIN uncertain ub ON ub.item = p.t_item WHERE lag = 1""")
+CTES["cvd"] = ("contrib local_vec", """
+    SELECT item, region, any_value(r) AS r, list(v ORDER BY d) AS v FROM (
+      SELECT item, c.region, d, any_value(r) AS r, sum(w * x) / (any_value(r) + 1e-12) AS v FROM contrib c JOIN local_vec l ON l.label = c.label AND l.region = c.region GROUP BY item, c.region, d)
+    GROUP BY item, region""")
+CTES["vsamples"] = (CTES["vsamples"][0] + " cvd", CTES["vsamples"][1])
+CTES["vmoments"] = ("vsamples", """
+    SELECT pair, source, target, list(row ORDER BY i) AS m FROM (
+      SELECT pair, source, target, i, list(x ORDER BY j) AS row FROM (
+        SELECT pair, source, target, i, j, sum(w * z[i] * z[j]) AS x FROM vsamples CROSS JOIN range(1, 6) a(i) CROSS JOIN range(1, 10) b(j) WHERE w > 0 GROUP BY ALL)
+      GROUP BY pair, source, target, i) GROUP BY pair, source, target""")
+
+
+def solved_sql(systems: str, keys: str) -> str:
+    """CTE text `solved` (keys, coef): solutions of `systems` (keys, ridge, m), m five rows of nine columns."""
+    return f"""
+    steps AS (
+      SELECT {keys}, 0 AS k, list_transform(m, lambda row, i: list_transform(row, lambda x, j: x + CASE WHEN i = j AND i < 5 THEN ridge ELSE 0 END)) AS m FROM {systems}
+      UNION ALL
+      SELECT {keys}, k + 1, list_transform(m, lambda row, i: CASE WHEN i = k + 1 THEN list_transform(row, lambda x: x / row[k + 1])
+        ELSE list_transform(row, lambda x, j: x - row[k + 1] * m[k + 1][j] / m[k + 1][k + 1]) END) FROM steps WHERE k < 5),
+    solved AS (SELECT {keys}, list_transform(m, lambda row: row[6:9]) AS coef FROM steps WHERE k = 5)"""
+
+
+SUMMED = "(SELECT {keys}, 1.0::double AS ridge, list(row ORDER BY i) AS m FROM (SELECT {keys}, i, list(x ORDER BY j) AS row FROM (SELECT {keys}, i, j, sum(m[i][j]) AS x FROM vmoments CROSS JOIN range(1, 6) a(i) CROSS JOIN range(1, 10) b(j) GROUP BY ALL) GROUP BY {keys}, i) GROUP BY {keys})"
+
+
+FITS_SQL = f"""
+    WITH RECURSIVE head AS (SELECT pair, source, target, count(*) AS n, sum(w) AS sw, sum(w * w) AS sw2 FROM vsamples WHERE w > 0 GROUP BY ALL),
+    gates AS (SELECT *, CASE WHEN sw < 5 OR n < 2 THEN 'low_support' WHEN sw * sw / sw2 < 30 THEN 'learned_strong_ridge' ELSE 'learned' END AS status FROM head),
+    shared AS {SUMMED.format(keys="pair")},
+    systems AS (SELECT pair, source, target, CASE status WHEN 'learned' THEN 1.0::double ELSE 10 * 30 / (sw * sw / sw2) END AS ridge, m FROM gates JOIN vmoments USING (pair, source, target) WHERE status <> 'low_support'
+      UNION ALL SELECT pair, -1, -1, ridge, m FROM shared),
+    {solved_sql("systems", "pair, source, target")},
+    grid AS (SELECT pair, s AS source, t AS target FROM (SELECT DISTINCT pair FROM vmoments) CROSS JOIN range(0, 6) a(s) CROSS JOIN range(0, 6) b(t)),
+    cells AS (SELECT g.pair, g.source, g.target, coalesce(status, 'low_support') AS status, coalesce(n, 0) AS n, coalesce(sw, 0) AS sw, coalesce(a.coef, o.coef) AS coef
+      FROM grid g LEFT JOIN gates USING (pair, source, target) LEFT JOIN solved a ON a.pair = g.pair AND a.source = g.source AND a.target = g.target
+      JOIN solved o ON o.pair = g.pair AND o.source = -1),
+    loss AS (SELECT pair, source, target, avg(e) AS mse, sum(w * e) / sum(w) AS weighted_mse FROM (
+      SELECT pair, source, target, w, list_sum(list_transform(range(1, 5), lambda d: pow(z[5 + d] - list_sum(list_transform(range(1, 6), lambda i: z[i] * coef[i][d])), 2))) AS e
+      FROM vsamples JOIN cells USING (pair, source, target) WHERE w > 0) GROUP BY ALL)
+"""
+SCORES_SQL = FITS_SQL + "SELECT pair, source, target, n, round(mse, 6) AS mse, round(weighted_mse, 6) AS weighted_mse FROM loss JOIN cells USING (pair, source, target)"
+
+
+@query("ridge_vectors_R1_R4", uses="vmoments", sql=FITS_SQL + f"""
+    SELECT pair, source, target, status, n, round(sw, 6) AS soft_support, round(coalesce(mse, 0), 6) AS mse, round(coalesce(weighted_mse, 0), 6) AS weighted_mse,
+      {", ".join(f"round(coef[{i}][{d}], 6) + 0.0 AS c{i}{d}" for i in range(1, 6) for d in range(1, 5))} FROM cells LEFT JOIN loss USING (pair, source, target)""")
+def ridge_vectors(t: Tables) -> DataFrame:
+    """Whole operators of all types and region pairs, those without samples too: c{i}{d} is the weight of component i (5: the constant) for component d."""
+    coef = [r6(F.element_at("a", (i - 1) * 4 + d) if i < 5 else F.element_at("b", d), f"c{i}{d}") for i in range(1, 6) for d in range(1, 5)]
+    return vector_fits(t).select("pair", "source", "target", "status", "n", r6("soft_support"), r6("mse"), r6("weighted_mse"), *coef)
+
+
+@query("shared_vectors_R2_R3", uses="vmoments", sql=f"""
+    WITH RECURSIVE systems AS {SUMMED.format(keys="pair")}, {solved_sql("systems", "pair")},
+    means AS (SELECT pair, target, list_transform(range(1, 5), lambda d: sy[d] / sw) AS y FROM (
+      SELECT pair, target, sum(m[5][5]) AS sw, [sum(m[5][6]), sum(m[5][7]), sum(m[5][8]), sum(m[5][9])] AS sy FROM vmoments GROUP BY pair, target))
+    SELECT pair, target, {", ".join(f"round(y[{d}], 6) + 0.0 AS y{d}" for d in range(1, 5))},
+      {", ".join(f"round(coef[{i}][{d}], 6) + 0.0 AS c{i}{d}" for i in range(1, 6) for d in range(1, 5))} FROM solved JOIN means USING (pair)""")
+def shared_vectors(t: Tables) -> DataFrame:
+    """Whole shared operators of the types beside the centroids of their targets."""
+    m = checkpointed(MO.pair_moments(pair_samples(t), 4))
+    coef = [r6(F.element_at("a", (i - 1) * 4 + d) if i < 5 else F.element_at("b", d), f"c{i}{d}") for i in range(1, 6) for d in range(1, 5)]
+    found = R.target_centroids(m, 4).join(R.shared_operators(m, 4), "pair")
+    return found.select("pair", "target", *[r6(F.element_at("centroid", d), f"y{d}") for d in range(1, 5)], *coef)
+
+
+CTES["zlist"] = ("soft label_vectors", "SELECT item, list(z ORDER BY d) AS z FROM (SELECT item, d, sum(p * x) AS z FROM soft JOIN label_vectors USING (label) GROUP BY item, d) GROUP BY item")
+
+
+@query("affine_vectors_R8", uses="pairs zlist", sql=f"""
+    WITH RECURSIVE s AS (SELECT pair, list_concat(list_append(a.z, 1.0::double), b.z) AS z FROM pairs JOIN zlist a ON a.item = s_item JOIN zlist b ON b.item = t_item),
+    u AS (SELECT * FROM s UNION ALL SELECT '*', z FROM s),
+    systems AS (SELECT pair, 0.01::double AS ridge, list(row ORDER BY i) AS m FROM (SELECT pair, i, list(x ORDER BY j) AS row FROM (
+      SELECT pair, i, j, sum(z[i] * z[j]) AS x FROM u CROSS JOIN range(1, 6) a(i) CROSS JOIN range(1, 10) b(j) GROUP BY ALL) GROUP BY pair, i) GROUP BY pair),
+    {solved_sql("systems", "pair")}
+    SELECT pair, (SELECT count(*) FROM u WHERE u.pair = solved.pair) AS n, {", ".join(f"round(coef[{i}][{d}], 6) + 0.0 AS c{i}{d}" for i in range(1, 6) for d in range(1, 5))} FROM solved""")
+def affine_vectors(t: Tables) -> DataFrame:
+    z = mem.item_vectors(t.soft, t.label_vectors, ITEM, 4).select("item", "z")
+    x, y = z.select(F.col("item").alias("s_item"), F.col("z").alias("x")), z.select(F.col("item").alias("t_item"), F.col("z").alias("y"))
+    m = R.affine_maps(t.pairs.join(x, "s_item").join(y, "t_item").select("pair", "x", "y"), 4)
+    coef = [r6(F.element_at("a", (i - 1) * 4 + d) if i < 5 else F.element_at("b", d), f"c{i}{d}") for i in range(1, 6) for d in range(1, 5)]
+    return m.select("pair", "n", *coef)
+
+
+@query("operator_scores_R5", uses="vmoments", sql=SCORES_SQL)
 def operator_scores(t: Tables) -> DataFrame:
     samples = exploded_samples(t)
     return R.score_operators(samples, vector_fits(t), ["pair", "source", "target"], 4).select(
