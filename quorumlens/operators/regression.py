@@ -205,8 +205,7 @@ def transition_examples(
     vector and its output distribution.  samples: pair, s_item, t_item, source, x, w."""
     n_ab = total * 2 // 3
     quota = F.when(F.col("pair") == "A2B", n_ab).when(F.col("pair") == "B2A", total - n_ab).otherwise(0)
-    block = F.floor(-F.col("w") * 4096)
-    ranked = ranking.positions(samples, ["pair"], [F.desc("w"), "s_item", "t_item"], block, "_pos")
+    ranked = ranking.range_positions(samples, ["pair"], [F.desc("w"), "s_item", "t_item"], "_pos")
     picked = ranked.filter(F.col("_pos") < quota)
     w = Window.partitionBy("pair", "source").orderBy(F.desc(F.round("cond", 9)), "target")  # grid rows only
     likely = cond.withColumn("_r", F.row_number().over(w)).filter("_r = 1").select("pair", "source", "target")

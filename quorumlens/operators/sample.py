@@ -16,11 +16,12 @@ from ..functions.keys import hash60
 from ..functions.lineage import checkpointed
 
 
-def entropy_tertiles(rows: DataFrame, entropy: str, ids: Sequence[str], width: float = 0.001) -> DataFrame:
-    """A1: low, medium and high thirds in (entropy, ids) order; sizes differ by at most one, extras first."""
-    placed = ranking.positions(rows, [], [entropy, *ids], F.floor(F.col(entropy) / width), "_pos")
-    n = rows.agg(F.count(F.lit(1)).alias("_n"))
-    j = placed.crossJoin(F.broadcast(n))  # one-row side
+def entropy_tertiles(rows: DataFrame, entropy: str, ids: Sequence[str]) -> DataFrame:
+    """A1: low, medium and high thirds in (entropy, ids) order; sizes differ by at most one, extras first.
+
+    Half of all items may have entropy 0: the borders of the ranges are drawn over entropy and ids.
+    """
+    j = ranking.range_positions(rows, [], [entropy, *ids], "_pos", "_n")
     base, extra = F.floor(F.col("_n") / 3), F.col("_n") % 3
     first = base + F.when(extra > 0, 1).otherwise(0)
     second = first + base + F.when(extra > 1, 1).otherwise(0)

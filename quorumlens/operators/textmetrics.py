@@ -115,41 +115,40 @@ def distinct_n(rows: DataFrame, keys: Sequence[str], text: str, n: int, out: str
 
 
 def self_bleu(
-    rows: DataFrame, keys: Sequence[str], row_id: str, text: str, sample: int, upto: int, smoothed: bool, seed: object = 0
+    rows: DataFrame, keys: Sequence[str], row_id: str, text: str, sample: int | None, upto: int, smoothed: bool, seed: object = 0
 ) -> DataFrame:
-    """Mean BLEU of each response against all others of a bounded sample per group.
+    """Mean BLEU of each response against all others of its group, or of a seeded sample of `sample` of them.
 
-    Per n-gram the two largest counts of the sample are enough to know the largest among the others, and the
-    closest other length is a neighbour in length order.  The sample size is the operator's parameter, so
-    both windows are bounded by it.
+    Against all others an n-gram of a response is clipped only where it is more frequent in that response than in any other; so
+    the overlap is the number of n-grams less, for each n-gram whose largest count one response alone has, the distance
+    to the second largest count.  Both come from aggregates that combine: rows per (n-gram, count), then the two largest counts per
+    n-gram.  The closest other length comes from the table of lengths.  No response meets another one.
     """
     keys = list(keys)
-    picked = ranking.hash_positions(rows.select(*keys, row_id, text), keys, seed, [row_id], "_pos")
-    picked = picked.filter(F.col("_pos") < sample)
+    picked = rows.select(*keys, row_id, text)
+    if sample is not None:
+        picked = ranking.hash_positions(picked, keys, seed, [row_id], "_pos").filter(F.col("_pos") < sample)
     toks = picked.select(*keys, row_id, X.tokens(F.col(text)).alias("toks"))
     lengths = toks.select(*keys, row_id, F.size("toks").cast("long").alias("len"))
-    by_len = Window.partitionBy(*keys).orderBy("len", row_id)
     usable = lengths if not smoothed else lengths.filter("len > 0")
-    near = F.array_compact(F.array(F.lag("len").over(by_len), F.lead("len").over(by_len)))
-    closest = usable.withColumn("_near", near).withColumn(
-        "ref_len", F.array_min(F.transform("_near", lambda x: F.struct(F.abs(x - F.col("len")).alias("d"), x.alias("l"))))["l"]
-    )
+    by_len = Window.partitionBy(*keys).orderBy("len")  # one row per length
+    table = usable.groupBy(*keys, "len").agg(F.count(F.lit(1)).alias("_m"))
+    near = F.array_compact(F.array(F.when(F.col("_m") > 1, F.col("len")), F.lag("len").over(by_len), F.lead("len").over(by_len)))
+    table = table.withColumn("_near", near).select(
+        *keys, "len", F.array_min(F.transform("_near", lambda x: F.struct(F.abs(x - F.col("len")).alias("d"), x.alias("l"))))["l"].alias("ref_len"))
     grams = toks.select(*keys, row_id, X.gram_rows(F.col("toks"), upto).alias("g"))
     orders = F.explode(F.array(*[F.struct(F.lit(n).alias("n"), X.gram("g", n).alias("gram")) for n in range(1, upto + 1)]))
     flat = grams.select(*keys, row_id, orders.alias("x")).select(*keys, row_id, "x.n", "x.gram").filter("gram is not null")
     counted = flat.groupBy(*keys, row_id, "n", "gram").agg(F.count(F.lit(1)).alias("c"))
-    per_gram = Window.partitionBy(*keys, "n", "gram").orderBy(F.desc("c"), row_id)
-    ranked = counted.withColumn("_r", F.row_number().over(per_gram))
-    every = Window.partitionBy(*keys, "n", "gram")
-    best = F.max(F.when(F.col("_r") == 1, F.col("c"))).over(every)
-    second = F.coalesce(F.max(F.when(F.col("_r") == 2, F.col("c"))).over(every), F.lit(0))
-    clipped = ranked.withColumn("_o", F.least("c", F.when(F.col("_r") == 1, second).otherwise(best)))
-    sums = []
+    ties = counted.groupBy(*keys, "n", "gram", "c").agg(F.count(F.lit(1)).alias("m"), F.min(row_id).alias("row"))
+    # As many entries as the n-gram has different counts.
+    top = ties.groupBy(*keys, "n", "gram").agg(F.slice(F.sort_array(F.collect_list(F.struct("c", "m", "row")), False), 1, 2).alias("t"))
+    first, second = F.get("t", F.lit(0)), F.get("t", F.lit(1))
+    lost = top.filter(first["m"] == 1).select(*keys, first["row"].alias(row_id), "n", (first["c"] - F.coalesce(second["c"], F.lit(0))).alias("d"))
+    stats = lost.groupBy(*keys, row_id).agg(*[F.sum(F.when(F.col("n") == n, F.col("d")).otherwise(0)).alias(f"d{n}") for n in range(1, upto + 1)])
+    scored = usable.join(table, [*keys, "len"]).join(stats, [*keys, row_id], "left").withColumn("r1", F.col("ref_len"))
     for n in range(1, upto + 1):
-        here = F.col("n") == n
-        sums += [F.sum(F.when(here, F.col("_o")).otherwise(0)).alias(f"o{n}"), F.sum(F.when(here, F.col("c")).otherwise(0)).alias(f"h{n}")]
-    stats = clipped.groupBy(*keys, row_id).agg(*sums)
-    scored = closest.join(stats, [*keys, row_id], "left").withColumn("r1", F.col("ref_len"))
+        scored = scored.withColumn(f"h{n}", F.greatest(F.col("len") - (n - 1), F.lit(0))).withColumn(f"o{n}", F.col(f"h{n}") - F.coalesce(f"d{n}", F.lit(0)))
     score = bleu_smoothed() if smoothed else bleu_floored(upto)
     score = F.when(F.col("ref_len").isNull(), 0.0).otherwise(score)
     total = picked.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))

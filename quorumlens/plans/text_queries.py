@@ -346,9 +346,8 @@ def distinct_n(t: Tables) -> DataFrame:
     return both.select("lang", r6("distinct_1"), r6("distinct_2"))
 
 
-SELF_SAMPLE_SQL = """
-    p AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY system ORDER BY
-        ('0x'||substr(md5('0|' || rid),1,15))::bigint, rid) AS k FROM resp_toks) WHERE k <= {sample}),
+SELF_SQL = """
+    p AS (SELECT * FROM resp_toks),
     g AS (SELECT rid, system, n, gram, count(*) AS c FROM (SELECT rid, system, n, array_to_string(h[i:i+n-1], ' ') AS gram
       FROM (SELECT rid, system, h, n, unnest(range(1, len(h) - n + 2)) AS i FROM p, (SELECT unnest(range(1, {upto} + 1)) AS n))) GROUP BY ALL),
     o AS (SELECT *, coalesce(CASE WHEN row_number() OVER w = 1 THEN nth_value(c, 2) OVER f ELSE first_value(c) OVER f END, 0) AS other FROM g
@@ -360,21 +359,21 @@ SELF_SAMPLE_SQL = """
 
 
 @query("self_bleu_E7", uses="resp_toks", sql=f"""
-    WITH {SELF_SAMPLE_SQL.format(sample=40, upto=2, filled="")}
+    WITH {SELF_SQL.format(upto=2, filled="")}
     SELECT system, round(avg(CASE WHEN h1 = 0 OR r1 IS NULL THEN 0.0 ELSE (CASE WHEN h1 > r1 THEN 1.0 ELSE exp(1 - r1 / h1) END)
       * exp((SELECT sum(ln(greatest(coalesce(ov / t, 0), 1e-9))) / 2 FROM (SELECT unnest([1, 2]) AS n) q
         LEFT JOIN st ON st.rid = r.rid AND st.n = q.n)) END), 6) AS self_bleu FROM r GROUP BY system""")
 def self_bleu(t: Tables) -> DataFrame:
-    return TM.self_bleu(scored(t), ["system"], "rid", "response", 40, 2, False).select("system", r6("self_bleu"))
+    return TM.self_bleu(scored(t), ["system"], "rid", "response", None, 2, False).select("system", r6("self_bleu"))
 
 
 @query("self_bleu_smoothed_E7", uses="resp_toks", sql=f"""
-    WITH {SELF_SAMPLE_SQL.format(sample=60, upto=4, filled="AND len(b.h) > 0")}
+    WITH {SELF_SQL.format(upto=4, filled="AND len(b.h) > 0")}
     SELECT system, round(avg(CASE WHEN h1 = 0 OR r1 IS NULL THEN 0.0 ELSE (CASE WHEN h1 > r1 THEN 1.0 ELSE exp(1 - r1 / h1) END)
       * exp((SELECT sum(ln(CASE WHEN t IS NULL THEN 1.0 ELSE (ov + 1) / (t + 1) END)) / 4 FROM (SELECT unnest([1, 2, 3, 4]) AS n) q
         LEFT JOIN st ON st.rid = r.rid AND st.n = q.n)) END), 6) AS self_bleu FROM r GROUP BY system""")
 def self_bleu_smoothed(t: Tables) -> DataFrame:
-    return TM.self_bleu(scored(t), ["system"], "rid", "response", 60, 4, True).select("system", r6("self_bleu"))
+    return TM.self_bleu(scored(t), ["system"], "rid", "response", None, 4, True).select("system", r6("self_bleu"))
 
 
 BLOCK_SQL = """avg(len(h)) AS mean_words"""
