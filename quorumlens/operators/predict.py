@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dist as D
 from ..functions import ranking
+from ..functions import vectors as V
 from ..functions.moments import add_arrays, scatterer
 from . import metrics as M
 
@@ -23,7 +24,7 @@ CENTROID_PRIOR, RIDGE_PRIOR = 0.15, 0.05
 F1_THRESHOLDS = [0.05, 0.1, 0.15, 0.2, 0.25, 0.3, 0.35, 0.4, 0.45, 0.5, 0.6, 0.7, 0.8]
 
 
-# ---- C1, C2: classifiers on long features (item, bucket, x) -------------------------------------------------
+# ---- C1, C2: classifiers on sparse vectors: item, f (array of bucket, x), see `functions.vectors` -----------
 
 def class_prior(train: DataFrame, gold: str, classes: int) -> DataFrame:
     """One row with the normalised class masses of the training targets."""
@@ -32,30 +33,28 @@ def class_prior(train: DataFrame, gold: str, classes: int) -> DataFrame:
     return sums.select(F.transform("_s", lambda x: F.greatest(x, F.lit(0.0)) / total).alias("class_prior"))
 
 
-def class_centroids(features: DataFrame, train: DataFrame, gold: str, classes: int) -> DataFrame:
-    """C1 fit: per bucket the array of class centroid coordinates, each class scaled to unit length.
+def class_centroids(features: DataFrame, train: DataFrame, gold: str, classes: int, dim: int) -> DataFrame:
+    """C1 fit: one row with the class centroids, each of unit length, as an array over buckets of arrays over classes.
 
-    features: item, bucket, x; train: item, gold.  Result: at most one row per bucket.
+    features: item, f; train: item, gold.  Only bucket sums, whose number is a parameter of the encoder, are shuffled after the join.
     """
-    joined = features.join(train.select("item", F.col(gold).alias("_q")), "item")
-    sums = joined.groupBy("bucket").agg(*[F.sum(F.col("x") * F.element_at("_q", k + 1)).alias(f"c{k}") for k in range(classes)])
+    joined = features.join(train.select("item", F.col(gold).alias("_q")), "item").select("_q", F.explode("f").alias("e"))
+    sums = joined.groupBy("e.bucket").agg(*[F.sum(F.col("e.x") * F.element_at("_q", k + 1)).alias(f"c{k}") for k in range(classes)])
     # The class weight scales a whole centroid and cancels when it is brought to unit length.
-    every = Window.partitionBy()  # one row per feature bucket
-    unit = []
-    for k in range(classes):
-        n = F.sqrt(F.sum(F.col(f"c{k}") * F.col(f"c{k}")).over(every))
-        unit.append(F.when(n > 0, F.col(f"c{k}") / n).otherwise(0.0))
-    return sums.select("bucket", F.array(*unit).alias("c"))
+    lengths = F.array(*[F.sqrt(F.sum(F.col(f"c{k}") * F.col(f"c{k}"))) for k in range(classes)]).alias("_n")
+    table = sums.agg(lengths, F.map_from_entries(F.collect_list(F.struct("bucket", F.array(*[F.col(f"c{k}") for k in range(classes)])))).alias("_c"))
+    every = F.sequence(F.lit(0).cast("long"), F.lit(dim - 1).cast("long"))
+    unit = lambda c: F.zip_with(c, "_n", lambda v, n: F.when(n > 0, v / n).otherwise(0.0))
+    zero = F.array_repeat(F.lit(0.0), classes)
+    return table.select(F.transform(every, lambda b: F.coalesce(unit(F.try_element_at("_c", b)), zero)).alias("centroids"))
 
 
 def centroid_cosines(features: DataFrame, centroids: DataFrame, classes: int) -> DataFrame:
-    """C1 score: cosine of each item to each class centroid.  Centroids have one row per feature bucket
-    (a parameter of the encoder), so they are broadcast."""
-    joined = features.join(F.broadcast(centroids), "bucket", "left")
-    dots = [F.sum(F.col("x") * F.coalesce(F.element_at("c", k + 1), F.lit(0.0))) for k in range(classes)]
-    agg = joined.groupBy("item").agg(F.array(*dots).alias("_d"), F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("_n"))
-    return agg.select("item", F.when(F.col("_n") > 0, F.transform("_d", lambda v: v / F.col("_n")))
-                      .otherwise(F.transform("_d", lambda v: F.lit(0.0))).alias("cosines"))
+    """C1 score: cosine of each item to each class centroid, 0 for an item without tokens."""
+    joined = features.crossJoin(F.broadcast(centroids))  # one row of fixed size
+    n = F.sqrt(V.square(F.col("f")))
+    dots = V.against(F.col("f"), F.col("centroids"), classes)
+    return joined.select("item", F.transform(dots, lambda v: F.when(n > 0, v / n).otherwise(0.0)).alias("cosines"))
 
 
 def centroid_probabilities(cosines: DataFrame, prior: DataFrame, tau: Column | float) -> DataFrame:
@@ -81,13 +80,8 @@ def best_row(grid: DataFrame, params: Sequence[str]) -> DataFrame:
     return best.select(*[F.col(f"b.{p}").alias(p) for p in params], F.col("b.ce").alias("ce"))
 
 
-def dense_features(features: DataFrame, dim: int) -> DataFrame:
-    """item -> sparse (bucket, x) list, at most `dim` entries."""
-    return features.groupBy("item").agg(F.collect_list(F.struct("bucket", "x")).alias("f"))
-
-
 def ridge_moments(lists: DataFrame, gold: str, dim: int, classes: int) -> DataFrame:
-    """One row with X'X and X'Y of the bias-augmented features, added up by Arrow batch and task."""
+    """One row with X'X and X'Y of the bias-augmented vectors `f`, added up by Arrow batch and task; an item without tokens counts for the bias."""
     scatter = scatterer()
 
     def partial(batches):
@@ -109,7 +103,7 @@ def ridge_moments(lists: DataFrame, gold: str, dim: int, classes: int) -> DataFr
 
 
 def ridge_weights(moments: DataFrame, dim: int, classes: int, grid: Sequence[float] = tuple(RIDGE_GRID)) -> DataFrame:
-    """Per lambda one row per bucket with the class weights (bucket `dim` is the bias)."""
+    """Per lambda one row with the class weights: an array over buckets of arrays over classes; bucket `dim` is the bias."""
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         gram = np.asarray(pdf["gram"].iloc[0]).reshape(dim + 1, dim + 1)
@@ -117,21 +111,19 @@ def ridge_weights(moments: DataFrame, dim: int, classes: int, grid: Sequence[flo
         reg = np.eye(dim + 1) * pdf["lam"].iloc[0]
         reg[-1, -1] = 0.0
         w = np.linalg.solve(gram + reg, rhs)
-        return pd.DataFrame({"order": pdf["order"].iloc[0], "lam": pdf["lam"].iloc[0], "bucket": np.arange(dim + 1), "c": list(w)})
+        return pd.DataFrame([{"order": pdf["order"].iloc[0], "lam": pdf["lam"].iloc[0], "c": w.tolist()}])
 
     lams = F.posexplode(F.array(*[F.lit(float(v)) for v in grid])).alias("order", "lam")
-    return moments.select("*", lams).groupBy("order").applyInPandas(solve, "order int, lam double, bucket long, c array<double>")
+    return moments.select("*", lams).groupBy("order").applyInPandas(solve, "order int, lam double, c array<array<double>>")
 
 
 def ridge_scores(features: DataFrame, weights: DataFrame, dim: int, classes: int) -> DataFrame:
-    """Raw scores per (item, lambda).  Weights: (dim + 1) rows per lambda, a size set by parameters."""
-    # A bucket row carries the weights of the whole grid, so features join once however long the grid is.
-    per_bucket = weights.groupBy("bucket").agg(F.sort_array(F.collect_list(F.struct("order", "lam", "c"))).alias("g"))
-    bias = features.select("item").distinct().select("item", F.lit(dim).cast("long").alias("bucket"), F.lit(1.0).alias("x"))
-    joined = features.select("item", "bucket", "x").unionByName(bias).join(F.broadcast(per_bucket), "bucket")
-    flat = joined.select("item", "x", F.explode("g").alias("g")).select("item", "x", "g.order", "g.lam", "g.c")
-    dots = [F.sum(F.col("x") * F.element_at("c", k + 1)) for k in range(classes)]
-    return flat.groupBy("item", "order", "lam").agg(F.array(*dots).alias("scores"))
+    """Raw scores per (item, lambda); an item without tokens gets the bias.  Weights: one row per lambda, of a size set by parameters."""
+    grid = weights.agg(F.sort_array(F.collect_list(F.struct("order", "lam", "c"))).alias("_g"))
+    bias = F.array(F.struct(F.lit(dim).cast("long").alias("bucket"), F.lit(1.0).alias("x")))
+    joined = features.select("item", F.concat("f", bias).alias("f")).crossJoin(F.broadcast(grid))  # one row
+    flat = joined.select("item", "f", F.explode("_g").alias("g"))
+    return flat.select("item", "g.order", "g.lam", V.against(F.col("f"), F.col("g.c"), classes).alias("scores"))
 
 
 def ridge_probabilities(scores: DataFrame, prior: DataFrame, temperature: Column) -> DataFrame:

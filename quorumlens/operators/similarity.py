@@ -5,8 +5,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import ranking
 from ..functions import text as X
+from ..functions import vectors as V
 from ..functions.lineage import checkpointed
 from ..functions.moments import add_arrays, scatterer
 
@@ -15,48 +15,19 @@ TAU = 50.0
 LAMBDA_CONTEXT, LAMBDA_CONFUSION = 0.65, 0.35
 
 
-def hashed_counts(docs: DataFrame, key: str, text: str, dim: int = DIM) -> DataFrame:
-    """G1: (key, bucket, s): signed counts of tokens and adjacent bigrams per hash bucket.
+def text_vectors(docs: DataFrame, text: str, fit: Column | None = None, dim: int = DIM, out: str = "f") -> DataFrame:
+    """G1: `docs` with a unit vector of (bucket, x) in each row: signed counts of hashed tokens and pairs, times idf.
 
-    Texts are placed by key once; the aggregation reuses that placement, so single features never shuffle.
+    Idf is fitted on the rows that `fit` selects (a split), all rows are transformed.  A text without tokens keeps its row, with an empty vector.
     """
-    placed = docs.select(key, text).repartition(key)
-    toks = placed.select(key, X.tokens(F.col(text)).alias("toks"))
-    grams = toks.select(key, X.gram_rows(F.col("toks"), 2).alias("g"))
-    feats = F.array(F.concat(F.lit("tok:"), F.col("g.w1")), F.concat(F.lit("bigram:"), F.col("g.w1"), F.lit("_"), F.col("g.w2")))
-    flat = grams.select(key, F.explode(feats).alias("f")).filter("f is not null")
-    h = F.conv(F.substring(F.md5("f"), 1, 15), 16, 10).cast("long")
-    hashed = flat.select(key, h.alias("h"))
-    sign = F.when(F.shiftright("h", 32) % 2 == 0, 1.0).otherwise(-1.0)
-    return hashed.groupBy(key, (F.col("h") % dim).alias("bucket")).agg(F.sum(sign).alias("s"))
-
-
-def bucket_idf(fit_counts: DataFrame, fit_docs: DataFrame) -> DataFrame:
-    """G1 fit: ln((N + 1) / (df + 1)) + 1 per bucket, written once: one row per bucket, read by every transform."""
-    n = fit_docs.agg(F.count(F.lit(1)).alias("_n"))
-    df = fit_counts.groupBy("bucket").agg(F.count(F.lit(1)).alias("_df"))
-    fitted = df.crossJoin(F.broadcast(n)).select(  # one-row side
-        "bucket", (F.ln((F.greatest(F.col("_n"), F.lit(1)) + 1.0) / (F.col("_df") + 1.0)) + 1.0).alias("idf"),
-        (F.ln(F.greatest(F.col("_n"), F.lit(1)) + 1.0) + 1.0).alias("unseen"),
-    )
-    return checkpointed(fitted)
-
-
-def tfidf(counts: DataFrame, idf: DataFrame, key: str) -> DataFrame:
-    """G1: (key, bucket, x) weighted and scaled to unit length.  A key has at most `dim` buckets."""
-    unseen = idf.agg(F.max("unseen").alias("_u"))
-    table = F.broadcast(idf.select("bucket", "idf"))  # one row per bucket, a size set by the dimension
-    w = counts.join(table, "bucket", "left").crossJoin(F.broadcast(unseen))
-    w = w.withColumn("_x", F.col("s") * F.coalesce("idf", "_u"))
-    n = F.sqrt(F.sum(F.col("_x") * F.col("_x")).over(Window.partitionBy(key)))
-    return w.withColumn("_n", n).select(key, "bucket", F.when(F.col("_n") > 0, F.col("_x") / F.col("_n")).otherwise(0.0).alias("x"))
+    vectors = docs.withColumn(out, V.hashed_tokens(X.tokens(F.col(text)), dim))
+    fit_rows = vectors if fit is None else vectors.filter(fit)
+    return V.weighted(vectors, out, checkpointed(V.bucket_weights(fit_rows, out, dim)))
 
 
 def tfidf_fit_transform(docs: DataFrame, key: str, text: str, fit: Column | None = None, dim: int = DIM) -> DataFrame:
-    """G1: fit on the rows selected by `fit` (a split), transform all."""
-    fit_docs = docs if fit is None else docs.filter(fit)
-    idf = bucket_idf(hashed_counts(fit_docs, key, text, dim), fit_docs)
-    return tfidf(hashed_counts(docs, key, text, dim), idf, key)
+    """G1 in long form: (key, bucket, x); texts without tokens have no rows here."""
+    return text_vectors(docs, text, fit, dim, "_f").select(key, F.explode("_f").alias("e")).select(key, "e.bucket", "e.x")
 
 
 def shrunk_centroids(soft: DataFrame, conf: DataFrame | None, features: DataFrame, observed: DataFrame, tau: float = TAU, label: str = "label") -> DataFrame:
@@ -174,53 +145,41 @@ def degrees(edges: DataFrame, labels: DataFrame, label: str = "label") -> DataFr
     return labels.select(label).distinct().join(d, label, "left").fillna(0, ["degree"]).fillna(0.0, ["weighted_degree"])
 
 
-def nearest_examples(queries: DataFrame, stored: DataFrame, q_key: str, s_key: str, k: int, dim: int = DIM, block: int = 2048) -> DataFrame:
-    """The k stored examples with the largest cosine per query, ties by stored key.
+def nearest_examples(queries: DataFrame, stored: DataFrame, q_key: str, s_key: str, k: int, f: str = "f", dim: int = DIM, block: int = 2048) -> DataFrame:
+    """The k stored examples with the largest cosine per query, ties by stored key: (q_key, s_key, score, rank).
 
-    queries and stored are unit vectors as (key, bucket, x).  Queries are taken in blocks of at most `block`
-    rows; each task scores its stored rows against one dense block and passes on k candidates per query, so
-    query-example pairs never exist as rows.  Stored rows are read once per query block.
+    Both tables hold unit vectors of (bucket, x) in a column `f`.  Queries and examples are packed in blocks of `block` rows; a task meets one
+    block of each, as one matrix product, and passes on k candidates per query, so pairs never are rows; the best k of all blocks are one
+    aggregate.  The number of query blocks is the only figure on the driver.  A vector without tokens has cosine 0 to all.
     """
-    spark = queries.sparkSession
-    lists = lambda df, key: df.groupBy(key).agg(F.collect_list(F.struct("bucket", "x")).alias("f"))
-    q = lists(queries, q_key)
-    s = lists(stored, s_key).select(F.col(s_key).alias("s"), F.col("f.bucket").alias("bucket"), F.col("f.x").alias("x"))
-    scatter = scatterer()
-    head = q.limit(block + 1).collect()  # at most block + 1 sparse vectors
-    if len(head) <= block:
-        blocks = [head]
-    else:
-        # One border key per block comes back to the driver, then one block of queries at a time.
-        placed = ranking.positions(q.select(q_key), [], [q_key], F.floor(F.col(q_key) / 4096), "_pos")
-        starts = [r[0] for r in placed.filter(F.col("_pos") % block == 0).select(q_key).orderBy(q_key).collect()]
-        ends = [*starts[1:], None]
-        blocks = (
-            q.filter((F.col(q_key) >= low) & (F.lit(high is None) | (F.col(q_key) < F.lit(high)))).collect() for low, high in zip(starts, ends)
-        )
-    parts = []
-    for rows in blocks:
-        keys = np.array([r[0] for r in rows])
-        dense = np.zeros((len(rows), dim))
-        for i, r in enumerate(rows):
-            for e in r["f"]:
-                dense[i, e["bucket"]] = e["x"]
-        shared = spark.sparkContext.broadcast((keys, dense))
-
-        def best(batches, shared=shared):
-            names, matrix = shared.value
-            for pdf in batches:
-                x = scatter(pdf["bucket"], pdf["x"], dim)
-                sims = np.round(matrix @ x.T, 12)
-                stored_keys = pdf["s"].to_numpy()
-                order = np.lexsort((np.broadcast_to(stored_keys, sims.shape), -sims), axis=1)[:, :k]  # k best of the batch
-                r, c = np.repeat(np.arange(len(names)), order.shape[1]), order.ravel()
-                yield pd.DataFrame({"q": names[r], "s": stored_keys[c], "score": sims[r, c]})
-
-        parts.append(s.mapInPandas(best, "q long, s long, score double"))
-    found = parts[0]
-    for p in parts[1:]:
-        found = found.unionByName(p)
-    w = Window.partitionBy("q").orderBy(F.desc("score"), "s")
-    ranked = found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
-    return ranked.select(F.col("q").alias(q_key), F.col("s").alias(s_key), "score", F.col("rank").cast("long").alias("rank"))
-
+    kinds = {c: df.schema[c].dataType.simpleString() for df, c in ((queries, q_key), (stored, s_key))}
+
+    def packed(df: DataFrame, key: str, name: str, blocks: int) -> DataFrame:
+        rows = df.select(F.col(key).alias("key"), F.col(f).alias("f")).withColumn(name, F.pmod(F.xxhash64("key"), F.lit(blocks)))
+        return rows.groupBy(name).agg(F.collect_list(F.struct("key", "f")).alias(f"{name}_rows"))  # `block` rows or so
+
+    size = lambda df: max(1, -(-df.count() // block))
+    q_blocks = size(queries)
+    q, s = packed(queries, q_key, "q", q_blocks), packed(stored, s_key, "s", size(stored))
+    met = s.withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1)))).join(q, "q")
+    cells = met.select(*[c for n in "qs" for c in (
+        F.col(f"{n}_rows.key").alias(f"{n}k"), F.transform(f"{n}_rows", lambda r: F.size(r["f"])).alias(f"{n}n"),
+        F.flatten(F.transform(f"{n}_rows", lambda r: r["f"]["bucket"])).alias(f"{n}b"), F.flatten(F.transform(f"{n}_rows", lambda r: r["f"]["x"])).alias(f"{n}x"))])
+
+    def dense(sizes, buckets, values):
+        out = np.zeros((len(sizes), dim))
+        out[np.repeat(np.arange(len(sizes)), sizes), np.asarray(buckets, dtype=int)] = values
+        return out
+
+    def meet(batches):
+        for pdf in batches:
+            for qk, qn, qb, qx, sk, sn, sb, sx in pdf[["qk", "qn", "qb", "qx", "sk", "sn", "sb", "sx"]].itertuples(index=False):
+                order = np.argsort(sk, kind="stable")
+                scores = np.round(dense(qn, qb, qx) @ dense(sn, sb, sx)[order].T, 9)
+                best = np.argsort(-scores, axis=1, kind="stable")[:, :k]
+                yield pd.DataFrame({"q": np.repeat(qk, best.shape[1]), "s": sk[order][best.ravel()], "score": np.take_along_axis(scores, best, 1).ravel()})
+
+    found = cells.mapInPandas(meet, f"q {kinds[q_key]}, s {kinds[s_key]}, score double")
+    w = Window.partitionBy("q").orderBy(F.desc("score"), "s")  # k rows from each block of examples
+    ranked = found.withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") <= k)
+    return ranked.select(F.col("q").alias(q_key), F.col("s").alias(s_key), "score", "rank")

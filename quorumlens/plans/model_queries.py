@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import dist as D
 from ..functions import moments as MO
+from ..functions import text as X
+from ..functions import vectors as V
 from ..functions.lineage import checkpointed
 from ..operators import membership as mem
 from ..operators import metrics as M
@@ -143,8 +145,6 @@ def spearman(t: Tables) -> DataFrame:
       SELECT s.split, ce * len(regexp_extract_all(lower(text), '[a-z0-9'']+')) AS nll, len(regexp_extract_all(lower(text), '[a-z0-9'']+')) AS tok
       FROM scored s JOIN turns USING (item)) GROUP BY split""")
 def perplexity(t: Tables) -> DataFrame:
-    from ..functions import text as X
-
     rows = scored(t).select("item", "split", "ce").join(t.turns.select("item", F.size(X.tokens(F.col("text"))).alias("tok")), "item")
     p = M.perplexity(rows.withColumn("nll", F.col("ce") * F.col("tok")), ["split"], "nll", "tok")
     return p.select("split", r6("loss"), r6("perplexity"))
@@ -421,17 +421,18 @@ CTES["text_features"] = ("instances turns", f"""
       LEFT JOIN (SELECT bucket, count(*) AS df FROM hashed WHERE item IN (SELECT item FROM instances WHERE split = 'train') GROUP BY bucket) f
         ON f.bucket = c.bucket)""")
 CTES["hashed"] = ("turns instances", f"""
-    SELECT item, h % 64 AS bucket, sum(CASE WHEN (h >> 32) % 2 = 0 THEN 1.0::double ELSE -1.0::double END) AS s FROM (
+    SELECT item, h % 256 AS bucket, sum(CASE WHEN (h >> 32) % 2 = 0 THEN 1.0::double ELSE -1.0::double END) AS s FROM (
       SELECT item, ('0x'||substr(md5(f),1,15))::bigint AS h FROM (
         SELECT item, unnest(list_concat(list_transform(w, lambda x: 'tok:' || x), list_transform(range(1, len(w)), lambda i: 'bigram:' || w[i] || '_' || w[i+1]))) AS f
-        FROM (SELECT b.item, regexp_extract_all(lower(a.text), '[a-z0-9'']+') AS w FROM (SELECT DISTINCT item, s_item FROM instances) b
+        FROM (SELECT b.item, regexp_extract_all(lower(CASE WHEN length(a.text) % 7 = 0 THEN '...' ELSE a.text END), '[a-z0-9'']+') AS w FROM (SELECT DISTINCT item, s_item FROM instances) b
           JOIN turns a ON a.item = b.s_item))) GROUP BY item, bucket""")
 CTES["text_features"] = ("hashed instances", CTES["text_features"][1])
 CTES["cosines"] = ("text_features instances", """
+    SELECT i.item, r.region, coalesce(cos, 0) AS cos FROM (SELECT DISTINCT item FROM instances) i CROSS JOIN range(0, 6) r(region) LEFT JOIN (
     SELECT f.item, c.region, sum(f.x * c.c) / sqrt(any_value(f.n)) AS cos FROM (SELECT *, sum(x * x) OVER (PARTITION BY item) AS n FROM text_features) f
     JOIN (SELECT region, bucket, s / sqrt(sum(s * s) OVER (PARTITION BY region)) AS c FROM (
       SELECT region, bucket, sum(gold * x) AS s FROM text_features JOIN instances USING (item) WHERE split = 'train' GROUP BY ALL)) c USING (bucket)
-    GROUP BY f.item, c.region""")
+    GROUP BY f.item, c.region) c ON c.item = i.item AND c.region = r.region""")
 
 
 def targets(t: Tables) -> DataFrame:
@@ -440,10 +441,11 @@ def targets(t: Tables) -> DataFrame:
     return t.pairs.filter("pair = 'A2B'").select("s_item", "t_item").join(p, "t_item").withColumnRenamed("t_item", "item")
 
 
-def text_features(t: Tables, dim: int = 64) -> DataFrame:
-    i = targets(t)
-    docs = i.select("item", "s_item", "split").join(t.turns.select(F.col("item").alias("s_item"), "text"), "s_item")
-    return sim.tfidf_fit_transform(docs, "item", "text", F.col("split") == "train", dim)
+def text_features(t: Tables) -> DataFrame:
+    """Vectors of the source texts; every seventh length stands for a text without tokens, which must keep its item."""
+    text = F.when(F.length("text") % 7 == 0, F.lit("...")).otherwise(F.col("text")).alias("text")
+    docs = targets(t).select("item", "s_item", "split").join(t.turns.select(F.col("item").alias("s_item"), text), "s_item")
+    return sim.text_vectors(docs, "text", F.col("split") == "train").select("item", "f")
 
 
 CENTROID_LOGIT = "cos / {tau} + 0.15::double * ln(class_prior)"
@@ -455,21 +457,44 @@ CENTROID_LOGIT = "cos / {tau} + 0.15::double * ln(class_prior)"
 def centroid_classifier(t: Tables) -> DataFrame:
     i, f = targets(t), text_features(t)
     train = i.filter("split = 'train'")
-    c = P.centroid_cosines(f, P.class_centroids(f, train, "gold", REGIONS), REGIONS)
+    c = P.centroid_cosines(f, P.class_centroids(f, train, "gold", REGIONS, sim.DIM), REGIONS)
     p = P.centroid_probabilities(c, P.class_prior(train, "gold", REGIONS), 0.15)
     return p.select("item", F.posexplode("pred").alias("region", "pred")).select("item", F.col("region").cast("long").alias("region"), r6("pred"))
 
 
+def ridge_weights(t: Tables, i: DataFrame, f: DataFrame) -> DataFrame:
+    lists = f.join(i.filter("split = 'train'").select("item", "gold"), "item")
+    return P.ridge_weights(P.ridge_moments(lists, "gold", sim.DIM, REGIONS), sim.DIM, REGIONS)
+
+
 @query("ridge_classifier_C2")
 def ridge_classifier(t: Tables) -> DataFrame:
     i, f = targets(t), text_features(t)
     train, valid = i.filter("split = 'train'"), i.filter("split = 'valid'")
-    lists = P.dense_features(f, 64).join(train.select("item", "gold"), "item")
-    w = P.ridge_weights(P.ridge_moments(lists, "gold", 64, REGIONS), 64, REGIONS)
-    s = P.ridge_scores(f, w, 64, REGIONS)
+    s = P.ridge_scores(f, ridge_weights(t, i, f), sim.DIM, REGIONS)
     return P.choose_ridge(s, P.class_prior(train, "gold", REGIONS), valid, "gold").select("lam", "temperature", r6("ce"))
 
 
+@query("ridge_equations_C2", uses="instances", sql="""
+    SELECT lam, n, 0.0::double AS residual FROM (SELECT unnest([0.01, 0.1, 1.0, 10.0, 100.0])::double AS lam)
+    CROSS JOIN (SELECT count(DISTINCT item) AS n FROM instances WHERE split = 'train')""")
+def ridge_equations(t: Tables) -> DataFrame:
+    """Largest entry of X'(XW - Y) + lambda W of each fit, added up from the training items: 0 if W solves the normal equations."""
+    i = targets(t).filter("split = 'train'").select("item", "gold")
+    f = checkpointed(text_features(t).join(i, "item"))
+    w = checkpointed(ridge_weights(t, targets(t), f.select("item", "f")))
+    bias = F.array(F.struct(F.lit(sim.DIM).cast("long").alias("bucket"), F.lit(1.0).alias("x")))
+    rows = f.select("item", F.concat("f", bias).alias("f"), "gold").join(P.ridge_scores(f.select("item", "f"), w, sim.DIM, REGIONS), "item")
+    apart = F.posexplode(F.zip_with("scores", "gold", lambda s, q: s - q)).alias("k", "r")
+    parts = rows.select("order", "f", apart).select("order", "k", "r", F.explode("f").alias("e"))
+    left = parts.groupBy("order", "k", F.col("e.bucket").alias("bucket")).agg(F.sum(F.col("e.x") * F.col("r")).alias("g"))
+    cells = w.select("order", "lam", F.posexplode("c").alias("bucket", "row")).select("order", "lam", F.col("bucket").cast("long").alias("bucket"), F.posexplode("row").alias("k", "w"))
+    pull = F.when(F.col("bucket") < sim.DIM, F.col("lam") * F.col("w")).otherwise(0.0)
+    residual = cells.join(left, ["order", "k", "bucket"], "left").withColumn("d", F.abs(F.coalesce("g", F.lit(0.0)) + pull))
+    n = i.agg(F.countDistinct("item").alias("n"))
+    return residual.groupBy("lam").agg(r6(F.max("d"), "residual")).crossJoin(F.broadcast(n)).select("lam", "n", "residual")  # one-row side
+
+
 @query("choose_tau_C3", uses="cosines label_prior instances", sql=f"""
     WITH l AS (SELECT tau, item, region, {CENTROID_LOGIT.format(tau="tau")} AS l FROM cosines JOIN label_prior USING (region)
       CROSS JOIN (SELECT unnest([0.05, 0.08, 0.1, 0.15, 0.2, 0.35, 0.5, 0.8])::double AS tau)),
@@ -479,7 +504,7 @@ def ridge_classifier(t: Tables) -> DataFrame:
 def choose_tau(t: Tables) -> DataFrame:
     i, f = targets(t), text_features(t)
     train = i.filter("split = 'train'")
-    c = P.centroid_cosines(f, P.class_centroids(f, train, "gold", REGIONS), REGIONS)
+    c = P.centroid_cosines(f, P.class_centroids(f, train, "gold", REGIONS, sim.DIM), REGIONS)
     return P.choose_tau(c, P.class_prior(train, "gold", REGIONS), i.filter("split = 'valid'"), "gold").select("tau", r6("ce"))
 
 
@@ -853,9 +878,8 @@ def degrees(t: Tables) -> DataFrame:
     SELECT item_id, rank, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s) WHERE rank <= 5""")
 def nearest_examples(t: Tables) -> DataFrame:
     docs, queries = t.documents.select("doc_id", "text"), t.read("benchmark").select("item_id", "text")
-    counts = sim.hashed_counts(docs, "doc_id", "text")
-    idf = sim.bucket_idf(counts, docs)
-    stored = sim.tfidf(counts, idf, "doc_id")
-    asked = sim.tfidf(sim.hashed_counts(queries, "item_id", "text"), idf, "item_id")
-    n = sim.nearest_examples(asked, stored, "item_id", "doc_id", 5)
+    hashed = lambda df: df.withColumn("f", V.hashed_tokens(X.tokens(F.col("text")), sim.DIM)).drop("text")
+    stored = hashed(docs)
+    idf = checkpointed(V.bucket_weights(stored, "f", sim.DIM))
+    n = sim.nearest_examples(V.weighted(hashed(queries), "f", idf), V.weighted(stored, "f", idf), "item_id", "doc_id", 5)
     return n.select("item_id", "rank", r6("score"))
