@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions import vectors as V
-from ..functions.lineage import checkpointed
-from ..functions.moments import add_arrays, scatterer
+from ..functions.dictionary import decoded, dictionary
+from ..functions.lineage import checkpointed, written
 
 DIM = 256
 TAU = 50.0
@@ -61,44 +61,74 @@ def plain_centroids(soft: DataFrame, features: DataFrame, label: str = "label")
     return s.join(F.broadcast(total), label).select(label, "bucket", (F.col("s") / F.col("_t")).alias("x"))  # one row per label
 
 
-def gram(lists: DataFrame, vocabulary: int) -> DataFrame:
+# Labels of the edge of a tile, and bytes of tiles a task holds before it passes them on.
+GRAM_TILE, GRAM_BYTES = 512, 64 << 20
+
+
+def gram(entries: DataFrame, row: str, label: str, value: str) -> DataFrame:
     """Q'Q of a sparse row x label matrix as (src, dst, raw, w), w the cosine of two columns, diagonal 1.
 
-    `lists` has one array `q` of (l, x) per row; labels are integers below `vocabulary`, a bounded set.  A dense
-    label x label block is added up per task, so pairs of labels never become rows before the sum.
+    Labels are of any type.  A dictionary numbers them; a row with all its labels is one array, whose products are added to square tiles
+    of labels inside the tasks, so pairs of labels never become rows before the sum, and no task or group holds more than some tiles.
     """
-    scatter = scatterer()
+    known = written(entries.select(F.col(row).alias("_r"), F.col(label).alias("label"), F.col(value).alias("x")).filter("x IS NOT NULL AND label IS NOT NULL"))  # read three times
+    ids = dictionary((known, "label"))
+    coded = known.join(ids, "label")
+    lists = coded.groupBy("_r").agg(F.sort_array(F.collect_list(F.struct("id", "x"))).alias("q")).select(F.col("q.id").alias("l"), F.col("q.x").alias("x"))
+    n, edge, budget = ids.count(), GRAM_TILE, GRAM_BYTES
 
     def partial(batches):
-        total = np.zeros((vocabulary, vocabulary))
-        seen = False
+        acc: dict = {}
+
+        def emptied():
+            rows = [(i, j, m.astype("<f8").tobytes()) for (i, j), m in acc.items()]
+            acc.clear()
+            return pd.DataFrame(rows, columns=["i", "j", "m"])
+
+        for pdf in batches:
+            rows = np.repeat(np.arange(len(pdf)), [len(x) for x in pdf["l"]])
+            labels, values = np.concatenate([*pdf["l"], np.zeros(0)]).astype(int), np.concatenate([*pdf["x"], np.zeros(0)])
+            tile = labels // edge
+            parts = {}
+            for t in np.unique(tile):
+                dense = np.zeros((len(pdf), min(edge, n - t * edge)))
+                np.add.at(dense, (rows[tile == t], labels[tile == t] % edge), values[tile == t])
+                parts[int(t)] = dense
+            for i, left in parts.items():
+                for j, right in parts.items():
+                    acc[i, j] = acc.get((i, j), 0.0) + left.T @ right
+                    if len(acc) * 8 * edge * edge > budget:
+                        yield emptied()
+        if acc:
+            yield emptied()
+
+    def add(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame([(*key, np.sum([np.frombuffer(m, "<f8") for m in pdf["m"]], axis=0).astype("<f8").tobytes())], columns=["i", "j", "m"])
+
+    def cells(batches):
         for pdf in batches:
-            q = scatter(pdf["l"], pdf["x"], vocabulary)
-            total += q.T @ q
-            seen = seen or len(pdf) > 0
-        if seen:
-            yield pd.DataFrame([{"one": 1, "m": total.ravel().tolist()}])
-
-    one = add_arrays(lists.select(F.col("q.l").alias("l"), F.col("q.x").alias("x")).mapInPandas(partial, "one int, m array<double>"), ["one"], ["m"])
-    # From here on labels x labels cells.
-    cells = one.select("m", F.posexplode("m").alias("pos", "raw"))
-    at = lambda c: F.element_at("m", (c * (vocabulary + 1) + 1).cast("int"))
-    src, dst = F.floor(F.col("pos") / vocabulary), (F.col("pos") % vocabulary).cast("long")
-    placed = cells.select(src.alias("src"), dst.alias("dst"), "raw", at(src).alias("_a"), at(dst).alias("_b"))
-    w = F.when(F.col("src") == F.col("dst"), 1.0).otherwise(F.col("raw") / F.sqrt(F.col("_a") * F.col("_b")))
-    return placed.filter("_a > 0 AND _b > 0").select("src", "dst", "raw", w.alias("w"))
-
-
-def confusion_similarity(soft: DataFrame, vocabulary: int, label: str = "label") -> DataFrame:
-    """Cosine of the columns of the item x label matrix; a row lists the distinct labels of one item."""
-    rows = soft.groupBy("item").agg(F.collect_list(F.struct(F.col(label).alias("l"), F.col("p").alias("x"))).alias("q"))
-    return gram(rows, vocabulary)
-
-
-def context_similarity(centroids: DataFrame, vocabulary: int, value: str = "shrunk", label: str = "label", clip: bool = True) -> DataFrame:
-    """Cosine between label centroids (label, bucket, value), clipped to [0, 1]; a row lists one bucket."""
-    rows = centroids.groupBy("bucket").agg(F.collect_list(F.struct(F.col(label).alias("l"), F.col(value).alias("x"))).alias("q"))
-    g = gram(rows, vocabulary)
+            for i, j, m in zip(pdf["i"], pdf["j"], pdf["m"], strict=True):
+                m = np.frombuffer(m, "<f8").reshape(-1, min(edge, n - j * edge))
+                yield pd.DataFrame({"src": np.repeat(i * edge + np.arange(len(m)), m.shape[1]), "dst": np.tile(j * edge + np.arange(m.shape[1]), len(m)), "raw": m.ravel()})
+
+    tiles = lists.mapInPandas(partial, "i long, j long, m binary").groupBy("i", "j").applyInPandas(add, "i long, j long, m binary")
+    found = tiles.mapInPandas(cells, "src long, dst long, raw double")
+    own = checkpointed(coded.groupBy("id").agg(F.sum(F.col("x") * F.col("x")).alias("d")).filter("d > 0"))  # an entry is one row and label
+    # Labels that never meet have no tile cell; they count with 0.
+    every = own.select(F.col("id").alias("src"), F.col("d").alias("_a")).crossJoin(own.select(F.col("id").alias("dst"), F.col("d").alias("_b")))  # the result is labels x labels
+    w = F.when(F.col("src") == F.col("dst"), 1.0).otherwise(F.coalesce("raw", F.lit(0.0)) / F.sqrt(F.col("_a") * F.col("_b")))
+    whole = every.join(found, ["src", "dst"], "left").select("src", "dst", F.coalesce("raw", F.lit(0.0)).alias("raw"), w.alias("w"))
+    return decoded(whole, ids, ["src", "dst"])
+
+
+def confusion_similarity(soft: DataFrame, label: str = "label") -> DataFrame:
+    """Cosine of the columns of the item x label matrix."""
+    return gram(soft, "item", label, "p")
+
+
+def context_similarity(centroids: DataFrame, value: str = "shrunk", label: str = "label", clip: bool = True) -> DataFrame:
+    """Cosine between label centroids (label, bucket, value), clipped to [0, 1]."""
+    g = gram(centroids, "bucket", label, value)
     return g.withColumn("w", F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("w")))) if clip else g
 
 

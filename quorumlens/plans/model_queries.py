@@ -17,7 +17,7 @@ from ..operators import regression as R
 from ..operators import similarity as sim
 from ..operators import softlabel as sl
 from ..operators import transition as tr
-from .fixtures import CTES, ITEM, LABELS, REGIONS, Tables, r6
+from .fixtures import CTES, ITEM, REGIONS, Tables, r6
 from .registry import query
 from .space_queries import conditioned, conds, local_table, uncertain
 
@@ -828,16 +828,16 @@ def plain_centroids(t: Tables) -> DataFrame:
 
 @query("confusion_similarity_G4", uses="conf_sim", sql="SELECT src, dst, round(raw, 6) AS raw, round(w, 6) AS w FROM conf_sim")
 def confusion_similarity(t: Tables) -> DataFrame:
-    return sim.confusion_similarity(t.soft, LABELS).select("src", "dst", r6("raw"), r6("w"))
+    return sim.confusion_similarity(t.soft).select("src", "dst", r6("raw"), r6("w"))
 
 
 @query("context_similarity_G5", uses="ctx_sim", sql="SELECT src, dst, round(w, 6) AS w FROM ctx_sim")
 def context_similarity(t: Tables) -> DataFrame:
-    return sim.context_similarity(centroids(t), LABELS).select("src", "dst", r6("w"))
+    return sim.context_similarity(centroids(t)).select("src", "dst", r6("w"))
 
 
 def fused(t: Tables) -> DataFrame:
-    return sim.fused(sim.context_similarity(centroids(t), LABELS), sim.confusion_similarity(t.soft, LABELS))
+    return sim.fused(sim.context_similarity(centroids(t)), sim.confusion_similarity(t.soft))
 
 
 @query("fused_similarity_G6", uses="fused_sim", sql="SELECT src, dst, round(w, 6) AS w FROM fused_sim")

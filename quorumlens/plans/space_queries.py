@@ -220,7 +220,7 @@ def boundary_candidates(t: Tables) -> DataFrame:
 def label_cosines(t: Tables) -> DataFrame:
     """Cosine of every ordered pair of labels."""
     long = t.label_vectors.select("label", F.posexplode("v").alias("bucket", "x"))
-    return sim.context_similarity(long, LABELS, "x", clip=False)
+    return sim.context_similarity(long, "x", clip=False)
 
 
 def sharp(t: Tables) -> DataFrame:

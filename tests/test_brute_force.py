@@ -186,3 +186,18 @@ def test_rater_rotation(spark):
     assert (a.groupby("item_id").rater.nunique() == 3).all() and not a.duplicated(["context_id", "rater"]).any()
     assert (a.rater != a.held_out).all() and a.groupby("rater").size().pipe(lambda s: s.max() - s.min()) <= 9
     assert all(abs(2 * g.main_on_a.sum() - len(g)) <= 1 for _, g in a.groupby("comparison"))
+
+
+def test_label_similarity_of_texts_in_tiles(spark, monkeypatch):
+    monkeypatch.setattr(sim, "GRAM_TILE", 7)
+    monkeypatch.setattr(sim, "GRAM_BYTES", 2000)
+    rng = np.random.default_rng(8)
+    x = rng.random((50, 24)) * (rng.random((50, 24)) < 0.2)
+    x[:, 5] = 0
+    soft = spark.createDataFrame([(i, f"label {k:02d}", float(x[i, k])) for i in range(50) for k in range(24) if x[i, k]], "item long, label string, p double").repartition(4)
+    got = {(r.src, r.dst): (r.raw, r.w) for r in sim.confusion_similarity(soft).collect()}
+    raw, used = x.T @ x, [k for k in range(24) if k != 5]
+    assert set(got) == {(f"label {a:02d}", f"label {b:02d}") for a in used for b in used}
+    for a in used:
+        for b in used:
+            assert got[f"label {a:02d}", f"label {b:02d}"] == pytest.approx((raw[a, b], 1.0 if a == b else raw[a, b] / np.sqrt(raw[a, a] * raw[b, b])))
