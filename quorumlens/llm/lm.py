@@ -13,7 +13,7 @@ A text is its words between white space, A-Z lower-cased, and one end.  Both mod
 
 Classes, and the ids with rows of their own, come from counts over all training documents: of ids, and of ids by the common
 id before them.  The weights start from at most `SAMPLE_DOCS` training documents and are then trained on all of them, in every
-task on its own documents in batches of at most `TRAIN_BYTES` of text, and averaged by the windows seen.
+task on its own documents, segment by segment, and averaged by the windows seen.  The texts are encoded once and kept as ids in the shared folder.
 
 Documents with crc32(doc_id) mod 7 = 2 are held out; a null id is crc32 of the empty text.  Null texts are empty: one end.
 Equal texts get equal scores.  Without training documents the counts are zero and the weights stay as drawn.
@@ -35,15 +35,18 @@ from .words import SPACED, Words, chunks, pack_sorted, unpack_sorted
 
 CONTEXT, OVERLAP = 32, 8
 WIDTH, CLASSES, OWN_IDS = 16, 64, 4096
-SAMPLE_DOCS, TRAIN_BYTES = 400, 4 << 20
+SAMPLE_DOCS = 400
 BATCH_WINDOWS = 256
 # Segments whose id counts are added up in one task.
 ID_SEGMENTS = 64
 EPOCHS, RATE, SMOOTHING = 4, 1e-2, 0.1
+# Groups in which the weights of the tasks are added up.
+TREE = 16
 # The baseline's part of a word's probability.
 COUNTED_SHARE = 0.4
 
 SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+SCORED_TYPES = dict(zip([c.split()[0] for c in SCORED.split(", ")], [pa.int64(), pa.bool_(), *[pa.int64()] * 3, *[pa.float64()] * 2], strict=True))
 PARTS = ("embed", "place", "q", "k", "v", "o", "out", "bias")
 
 
@@ -96,6 +99,41 @@ def subwords(table: pa.Table, vocabulary: str) -> Subwords:
     return Subwords(distinct, number, np.cumsum(np.concatenate(counts)), ids, firsts)
 
 
+# One row a segment: its documents, and `Subwords` as bytes.
+ENCODED = ("segment int, doc_id array<bigint>, held_out array<boolean>, hashes binary, number binary, bounds binary, ids binary, sizes binary")
+
+
+def encode_segments(parts: DataFrame, vocabulary: str) -> DataFrame:
+    """The documents (doc_id, text, held_out, segment) as ids, so that the passes over them encode nothing again."""
+    def encode(key: tuple, table: pa.Table) -> pa.Table:
+        sub = subwords(table, vocabulary)
+        # Byte planes one after the other, so that the high ones compress.
+        planes = lambda a: a.astype("<u4").view(np.uint8).reshape(-1, 4).T
+        one = lambda a: pa.array([a.tobytes()], pa.binary())
+        listed = lambda name, kind: pa.ListArray.from_arrays(pa.array([0, table.num_rows], pa.int32()), table.column(name).combine_chunks().cast(kind))
+        return pa.table({
+            "segment": pa.array([key[0].as_py()], pa.int32()), "doc_id": listed("doc_id", pa.int64()), "held_out": listed("held_out", pa.bool_()),
+            "hashes": one(sub.hashes.astype("<u8")), "number": one(planes(sub.number)), "bounds": one(sub.bounds.astype("<i8")),
+            "ids": one(planes(sub.ids)), "sizes": one(planes(np.diff(sub.firsts)))})
+
+    return parts.groupBy("segment").applyInArrow(encode, ENCODED)
+
+
+def decoded(batch: pa.RecordBatch | pa.Table, at: int) -> tuple[Subwords, np.ndarray]:
+    """The subwords of the documents of one row, and which of them are held out."""
+    raw = {n: np.frombuffer(batch.column(n)[at].as_py(), np.uint8) for n in ("hashes", "number", "bounds", "ids", "sizes")}
+    whole = lambda n: np.ascontiguousarray(raw[n].reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
+    sub = Subwords(raw["hashes"].view("<u8"), whole("number"), raw["bounds"].view("<i8"), whole("ids"), np.concatenate([[0], np.cumsum(whole("sizes"))]))
+    return sub, np.array(batch.column("held_out")[at].as_py(), bool)
+
+
+def training_streams(batch: pa.RecordBatch, at: int, end: int) -> tuple[np.ndarray, np.ndarray]:
+    """`streams` of the training documents of one row."""
+    sub, out = decoded(batch, at)
+    words = np.repeat(~out, sub.counts)
+    return streams(Subwords(sub.hashes, sub.number[words], np.concatenate([[0], np.cumsum(sub.counts[~out])]), sub.ids, sub.firsts), end)
+
+
 _OPENS: dict[str, np.ndarray] = {}
 
 
@@ -131,10 +169,10 @@ def streams(sub: Subwords, end: int) -> tuple[np.ndarray, np.ndarray]:
     return out, starts
 
 
-def window_starts(starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def window_starts(starts: np.ndarray, overlap: int = OVERLAP) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Begin, end and document of every window.  A document of n predictions begins at its start; later windows overlap."""
     predictions = np.diff(starts) - 1
-    step = CONTEXT - OVERLAP
+    step = CONTEXT - overlap
     n = 1 + np.maximum(0, -(-(predictions - CONTEXT) // step))
     doc = np.repeat(np.arange(len(n)), n)
     turn = np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n)
@@ -154,12 +192,24 @@ class Model:
     class_of: np.ndarray
     row_of: np.ndarray
     emission: np.ndarray | None = None  # log of an id's share of its class
+    projected: tuple | None = None  # products of the embeddings and places with the projections, once weights are final
+
+    def settled(self) -> Model:
+        """The model with its projections made once; its weights no longer change."""
+        wide = np.hstack([np.eye(WIDTH, dtype=np.float32), self.k, self.v])
+        return replace(self, projected=((self.embed @ wide, self.place @ wide), (self.embed @ self.q, self.place @ self.q)))
 
     def forward(self, inputs: np.ndarray, skip: int = 0) -> tuple:
         """Logits of the classes after positions skip, skip + 1, ... of windows of ids.  Weights keep them small enough for exp."""
         rows = self.row_of[inputs]
-        x = self.embed[rows] + self.place[:inputs.shape[1]]
-        query, key, value = x[:, skip:] @ self.q, x @ self.k, x @ self.v
+        if self.projected is None:
+            x = self.embed[rows] + self.place[:inputs.shape[1]]
+            query, key, value = x[:, skip:] @ self.q, x @ self.k, x @ self.v
+        else:  # x, x @ k and x @ v side by side, x @ q apart, for every row and every place
+            wide, narrow = self.projected
+            both = wide[0][rows] + wide[1][:inputs.shape[1]]
+            x, key, value = both[..., :WIDTH], both[..., WIDTH:2 * WIDTH], both[..., 2 * WIDTH:]
+            query = narrow[0][rows[:, skip:]] + narrow[1][skip:inputs.shape[1]]
         s = (query * np.float32(WIDTH**-0.5)) @ key.transpose(0, 2, 1)
         np.exp(s, out=s)
         s *= MASK[skip:inputs.shape[1], :inputs.shape[1]]
@@ -188,8 +238,11 @@ class Model:
             grads[name] = flat(x).T @ flat(g)
         dx = dh + dquery @ self.q.T + dkey @ self.k.T + dvalue @ self.v.T
         grads["place"] = dx.sum(axis=0)
+        rows, dx = rows.reshape(-1), flat(dx)
+        order = np.argsort(rows, kind="stable")
+        touched, firsts = np.unique(rows[order], return_index=True)
         grads["embed"] = np.zeros_like(self.embed)
-        np.add.at(grads["embed"], rows.reshape(-1), flat(dx))
+        grads["embed"][touched] = np.add.reduceat(dx[order], firsts, axis=0)
         return grads
 
     def flat(self) -> np.ndarray:
@@ -219,16 +272,16 @@ class Moments:
         return cls(*({n: np.zeros_like(getattr(model, n)) for n in PARTS} for _ in range(2)))
 
 
-def train(model: Model, stream: np.ndarray, starts: np.ndarray, epochs: int, rate: float = RATE, moments: Moments | None = None) -> int:
-    """Adam steps over shuffled windows, from `moments` on; returns how many windows there are."""
-    begin, end, _ = window_starts(starts)
+def train(model: Model, stream: np.ndarray, starts: np.ndarray, epochs: int, rate: float = RATE, moments: Moments | None = None, batch: int = BATCH_WINDOWS // 4) -> int:
+    """Adam steps over shuffled windows, from `moments` on; returns how many windows there are.  Windows lie side by side: each id is learned once."""
+    begin, end, _ = window_starts(starts, 0)
     moments = moments or Moments.of(model)
     first, second, turn = moments.first, moments.second, moments.turn
     rng = np.random.default_rng(5)
     for _ in range(epochs):
         order = rng.permutation(len(begin))
-        for at in range(0, len(order), BATCH_WINDOWS // 4):
-            own = order[at:at + BATCH_WINDOWS // 4]
+        for at in range(0, len(order), batch):
+            own = order[at:at + batch]
             places = begin[own, None] + np.arange(CONTEXT)
             valid = places < end[own, None]
             places = np.minimum(places, len(stream) - 2)
@@ -328,29 +381,24 @@ def word_log_probabilities(values: np.ndarray, starts: np.ndarray, sub: Subwords
     doc = np.repeat(np.arange(len(sub.counts)), sub.counts)
     before = np.cumsum(sizes) - sizes
     first = np.concatenate([before + 2 * doc + 1, starts[1:] - 1])  # of words, then of ends
-    order = np.argsort(first, kind="stable")
-    sums = np.concatenate([[0.0], np.cumsum(values)])
-    last = np.concatenate([before + sizes + 2 * doc + 1, starts[1:]])
-    return (sums[last] - sums[first])[order]
-
-
-def _training_flags(table: pa.Table) -> np.ndarray:
-    return ~table.column("held_out").to_numpy()
+    # From each to the next; the start of a document, between an end and a word, has value 0.
+    return np.add.reduceat(values, np.sort(first)) if len(first) else np.zeros(0)
 
 
 def _sender(vocabulary: str, buckets: int):
-    def send(key, table):
-        sub = subwords(table, vocabulary)
-        doc = np.repeat(_training_flags(table), sub.counts)
-        n = np.bincount(sub.number[doc], minlength=len(sub.hashes))
-        end = end_id(vocabulary)
-        ids = np.bincount(sub.ids, np.repeat(n, np.diff(sub.firsts)), end + 1).astype("<i8")
-        ids[end] += int(_training_flags(table).sum())
-        segment, some = key[0].as_py(), np.flatnonzero(ids)
-        of_ids = pa.table({
-            "bucket": pa.array([buckets + segment // ID_SEGMENTS], pa.int32()), "segment": pa.array([-1 - segment], pa.int32()),
-            "hashes": pa.array([pack_sorted(some.astype(np.uint64))], pa.binary()), "extra": pa.array([ids[some].tobytes()], pa.binary())})
-        return pa.concat_tables([ex.messages(segment, sub.hashes, buckets, n.astype("<u4")), of_ids])
+    def send(batches):
+        for batch in batches:
+            for at, segment in enumerate(batch.column("segment").to_pylist()):
+                sub, out = decoded(batch, at)
+                n = np.bincount(sub.number[np.repeat(~out, sub.counts)], minlength=len(sub.hashes))
+                end = end_id(vocabulary)
+                ids = np.bincount(sub.ids, np.repeat(n, np.diff(sub.firsts)), end + 1).astype("<i8")
+                ids[end] += int((~out).sum())
+                some = np.flatnonzero(ids)
+                of_ids = pa.table({
+                    "bucket": pa.array([buckets + segment // ID_SEGMENTS], pa.int32()), "segment": pa.array([-1 - segment], pa.int32()),
+                    "hashes": pa.array([pack_sorted(some.astype(np.uint64))], pa.binary()), "extra": pa.array([ids[some].tobytes()], pa.binary())})
+                yield from pa.concat_tables([ex.messages(segment, sub.hashes, buckets, n.astype("<u4")), of_ids]).to_batches()
 
     return send
 
@@ -379,7 +427,9 @@ def _count(table):
 def _scorer(model, vocabulary: str, docs_n: int, tokens: int, types: int):
     def score(key, docs, told):
         m = model.value
-        sub = subwords(docs, vocabulary)
+        if not docs.num_rows:
+            return pa.table({n: pa.array([], t) for n, t in SCORED_TYPES.items()})
+        sub, _ = decoded(docs, 0)  # one row a segment
         heard = [(unpack_sorted(h), np.frombuffer(e, "<i8")) for h, e in ex.rows_of(told, "hashes", "extra")]
         known = np.concatenate([h for h, _ in heard] or [np.zeros(0, np.uint64)])
         n = np.concatenate([c for _, c in heard] or [np.zeros(0, np.int64)])
@@ -401,41 +451,46 @@ def _scorer(model, vocabulary: str, docs_n: int, tokens: int, types: int):
         is_word[ends] = False
         counted[is_word] = c[sub.number]
         word = np.logaddexp(np.log(COUNTED_SHARE * (counted + 1) / (tokens + types + 1)), np.log(1 - COUNTED_SHARE) + attention) / np.log(10)
-        sums = np.concatenate([[0.0], np.cumsum(word)])
+        opening = np.concatenate([[0], ends[:-1] + 1])
         return pa.table({
-            "doc_id": docs.column("doc_id"), "held_out": docs.column("held_out"), "n_tokens": pa.array(lengths, pa.int64()),
+            "doc_id": pa.array(docs.column("doc_id")[0].as_py(), pa.int64()), "held_out": pa.array(docs.column("held_out")[0].as_py(), pa.bool_()), "n_tokens": pa.array(lengths, pa.int64()),
             "n_known": pa.array(hit[sub.bounds[1:]] - hit[sub.bounds[:-1]] + (docs_n > 0), pa.int64()),
             "train_tokens": pa.array(np.full(len(lengths), tokens), pa.int64()), "base_score": pa.array(base, pa.float64()),
-            "score": pa.array(sums[ends + 1] - sums[np.concatenate([[0], ends[:-1] + 1])], pa.float64())})
+            "score": pa.array(np.add.reduceat(word, opening), pa.float64())})
 
     return score
 
 
-def id_pairs(train_docs: DataFrame, count: np.ndarray, vocabulary: str) -> tuple[np.ndarray, np.ndarray]:
+def id_pairs(encoded: DataFrame, count: np.ndarray, vocabulary: str) -> tuple[np.ndarray, np.ndarray]:
     """`pairs_of` all training documents, added up inside the tasks first; at most 128 rows an id of the vocabulary."""
-    sent = train_docs.sparkSession.sparkContext.broadcast(columns(count))
+    sent = encoded.sparkSession.sparkContext.broadcast(columns(count))
 
     def pairs(batches):
-        keys, n = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        end = end_id(vocabulary)
+        total = np.zeros(128 * (end + 1), np.int64)
         for batch in batches:
-            for part in chunks(batch, "text", TRAIN_BYTES):
-                more, m = pairs_of(*streams(subwords(pa.Table.from_batches([part]), vocabulary), end_id(vocabulary)), sent.value)
-                keys, at = np.unique(np.concatenate([keys, more]), return_inverse=True)
-                n = np.bincount(at, np.concatenate([n, m]), len(keys)).astype(np.int64)
-        yield pa.RecordBatch.from_pydict({"key": pa.array(keys, pa.int64()), "n": pa.array(n, pa.int64())})
+            for at in range(batch.num_rows):
+                keys, n = pairs_of(*training_streams(batch, at, end), sent.value)
+                total[keys] += n
+        keys = np.flatnonzero(total)
+        yield pa.RecordBatch.from_pydict({"key": pa.array(keys, pa.int64()), "n": pa.array(total[keys], pa.int64())})
 
-    found = train_docs.select("text").mapInArrow(pairs, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).toArrow()
+    found = encoded.mapInArrow(pairs, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).toArrow()
     return found.column("key").to_numpy(), found.column("n").to_numpy()
 
 
-def fit(train_docs: DataFrame, count: np.ndarray, vocabulary: str) -> Model:
+def _added(table: pa.Table) -> pa.Table:
+    return pa.table({"value": pa.array([np.sum([np.frombuffer(v.as_py(), "<f8") for v in table.column("value")], axis=0).tobytes()], pa.binary())})
+
+
+def fit(train_docs: DataFrame, encoded: DataFrame, count: np.ndarray, vocabulary: str) -> Model:
     """Classes from counts over all training documents; first weights from a bounded sample, trained further on all documents."""
     spark = train_docs.sparkSession
     size = end_id(vocabulary) + 1
     draw = F.xxhash64(F.lit("lm"), "doc_id")
     texts = [r["text"] for r in train_docs.orderBy(draw, "doc_id", "text").limit(SAMPLE_DOCS).select("text").collect()]
     stream, starts = streams(subwords(pa.table({"text": pa.array(texts, pa.string())}), vocabulary), end_id(vocabulary))
-    model = fresh(stream, size, count, id_pairs(train_docs, count, vocabulary))
+    model = fresh(stream, size, count, id_pairs(encoded, count, vocabulary))
     if len(texts):
         train(model, stream, starts, EPOCHS)
     sent = spark.sparkContext.broadcast(model)
@@ -445,16 +500,18 @@ def fit(train_docs: DataFrame, count: np.ndarray, vocabulary: str) -> Model:
         mine, n = replace(sent.value, **{x: getattr(sent.value, x).copy() for x in PARTS}), 0
         moments = Moments.of(mine)
         for batch in batches:
-            for part in chunks(batch, "text", TRAIN_BYTES):
-                stream, starts = streams(subwords(pa.Table.from_batches([part]), vocabulary), end_id(vocabulary))
-                n += train(mine, stream, starts, 1, RATE / 3, moments)
+            for at in range(batch.num_rows):
+                stream, starts = training_streams(batch, at, end_id(vocabulary))
+                if len(starts) > 1:
+                    n += train(mine, stream, starts, 1, RATE / 3, moments, BATCH_WINDOWS)
         if n:
-            flat = mine.flat().astype(np.float64) * n
-            yield pa.RecordBatch.from_pydict({"at": pa.array(np.arange(len(flat) + 1), pa.int32()), "value": pa.array(np.append(flat, n), pa.float64())})
+            yield pa.RecordBatch.from_pydict({"value": pa.array([np.append(mine.flat().astype("<f8") * n, n).tobytes()], pa.binary())})
 
-    sums = train_docs.select("text").mapInArrow(train_on, "at int, value double").groupBy("at").agg(F.sum("value").alias("value")).toPandas()  # one row a weight
-    if len(sums):
-        values = sums.sort_values("at")["value"].to_numpy()
+    # One row of weights a task, added up in groups of tasks before the driver adds the rest.
+    sums = encoded.mapInArrow(train_on, "value binary").withColumn("group", F.spark_partition_id() % TREE).groupBy("group").applyInArrow(
+        lambda table: _added(table), "value binary").collect()
+    if sums:
+        values = np.sum([np.frombuffer(r["value"], "<f8") for r in sums], axis=0)
         model.set(values[:-1] / values[-1])
     return model
 
@@ -488,12 +545,13 @@ def score_documents(docs: DataFrame, vocabulary: str = VOCABULARY, segment_rows:
     n_docs, n_train = rows.count(), docs.select("doc_id").filter(~held_out(F.col("doc_id"))).count()
     segments = max(1, -(-n_docs // segment_rows))
     parts = rows.withColumn("segment", ex.hashed(F.struct("doc_id", F.length("text")), segments))
-    sent = parts.groupBy("segment").applyInArrow(_sender(vocabulary, ex.bucket_count(segments)), ex.MESSAGE)
+    encoded = stored(encode_segments(parts, vocabulary))
+    sent = encoded.mapInArrow(_sender(vocabulary, ex.bucket_count(segments)), ex.MESSAGE)
     told = stored(sent.groupBy("bucket").applyInArrow(_count, f"{ex.ANSWER}, tokens long, types long"))
     sums = told.agg(F.sum("tokens"), F.sum("types")).first()
     tokens, types = (sums[0] or 0) + n_train, (sums[1] or 0) + (n_train > 0)
     count = id_counts(told, end_id(vocabulary) + 1)
-    model = fit(train_docs, count, vocabulary)
+    model = fit(train_docs, encoded, count, vocabulary)
     with_emission(model, count)
-    score = _scorer(spark.sparkContext.broadcast(model), vocabulary, n_train, tokens, types)
-    return parts.groupBy("segment").cogroup(told.filter("segment >= 0").drop("tokens", "types").groupBy("segment")).applyInArrow(score, SCORED)
+    score = _scorer(spark.sparkContext.broadcast(model.settled()), vocabulary, n_train, tokens, types)
+    return encoded.groupBy("segment").cogroup(told.filter("segment >= 0").drop("tokens", "types").groupBy("segment")).applyInArrow(score, SCORED)
