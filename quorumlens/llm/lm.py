@@ -25,6 +25,8 @@ from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,6 +39,8 @@ CONTEXT, OVERLAP = 32, 8
 WIDTH, CLASSES, OWN_IDS = 16, 64, 4096
 SAMPLE_DOCS = 400
 BATCH_WINDOWS = 256
+# Text of one segment.
+SEGMENT_BYTES = 8 << 20
 # Segments whose id counts are added up in one task.
 ID_SEGMENTS = 64
 EPOCHS, RATE, SMOOTHING = 4, 1e-2, 0.1
@@ -103,20 +107,38 @@ def subwords(table: pa.Table, vocabulary: str) -> Subwords:
 ENCODED = ("segment int, doc_id array<bigint>, held_out array<boolean>, hashes binary, number binary, bounds binary, ids binary, sizes binary")
 
 
-def encode_segments(parts: DataFrame, vocabulary: str) -> DataFrame:
-    """The documents (doc_id, text, held_out, segment) as ids, so that the passes over them encode nothing again."""
-    def encode(key: tuple, table: pa.Table) -> pa.Table:
+def encode_segments(rows: DataFrame, vocabulary: str, segment_rows: int) -> DataFrame:
+    """The documents (doc_id, text, held_out) as ids, so that the passes over them encode nothing again.
+
+    A segment is what a task reads one after the other, at most `segment_rows` documents and SEGMENT_BYTES of text (or one document);
+    no text is shuffled.
+    """
+    def encoded(segment: int, table: pa.Table) -> pa.RecordBatch:
         sub = subwords(table, vocabulary)
         # Byte planes one after the other, so that the high ones compress.
         planes = lambda a: a.astype("<u4").view(np.uint8).reshape(-1, 4).T
         one = lambda a: pa.array([a.tobytes()], pa.binary())
         listed = lambda name, kind: pa.ListArray.from_arrays(pa.array([0, table.num_rows], pa.int32()), table.column(name).combine_chunks().cast(kind))
-        return pa.table({
-            "segment": pa.array([key[0].as_py()], pa.int32()), "doc_id": listed("doc_id", pa.int64()), "held_out": listed("held_out", pa.bool_()),
+        return pa.RecordBatch.from_pydict({
+            "segment": pa.array([segment], pa.int32()), "doc_id": listed("doc_id", pa.int64()), "held_out": listed("held_out", pa.bool_()),
             "hashes": one(sub.hashes.astype("<u8")), "number": one(planes(sub.number)), "bounds": one(sub.bounds.astype("<i8")),
             "ids": one(planes(sub.ids)), "sizes": one(planes(np.diff(sub.firsts)))})
 
-    return parts.groupBy("segment").applyInArrow(encode, ENCODED)
+    def encode(batches):
+        segment, held, n, size = TaskContext.get().partitionId() << 12, [], 0, 0
+        for batch in batches:
+            for part in chunks(batch, "text"):
+                for at in range(0, part.num_rows, segment_rows):
+                    piece = part.slice(at, segment_rows)
+                    more = pc.sum(pc.binary_length(piece.column("text"))).as_py() or 0
+                    if held and (n + piece.num_rows > segment_rows or size + more > SEGMENT_BYTES):
+                        yield encoded(segment, pa.Table.from_batches(held))
+                        segment, held, n, size = segment + 1, [], 0, 0
+                    held, n, size = [*held, piece], n + piece.num_rows, size + more
+        if held:
+            yield encoded(segment, pa.Table.from_batches(held))
+
+    return rows.select("doc_id", "text", "held_out").mapInArrow(encode, ENCODED)
 
 
 def decoded(batch: pa.RecordBatch | pa.Table, at: int) -> tuple[Subwords, np.ndarray]:
@@ -544,8 +566,7 @@ def score_documents(docs: DataFrame, vocabulary: str = VOCABULARY, segment_rows:
     train_docs = rows.filter(~F.col("held_out"))
     n_docs, n_train = rows.count(), docs.select("doc_id").filter(~held_out(F.col("doc_id"))).count()
     segments = max(1, -(-n_docs // segment_rows))
-    parts = rows.withColumn("segment", ex.hashed(F.struct("doc_id", F.length("text")), segments))
-    encoded = stored(encode_segments(parts, vocabulary))
+    encoded = stored(encode_segments(rows, vocabulary, segment_rows))
     sent = encoded.mapInArrow(_sender(vocabulary, ex.bucket_count(segments)), ex.MESSAGE)
     told = stored(sent.groupBy("bucket").applyInArrow(_count, f"{ex.ANSWER}, tokens long, types long"))
     sums = told.agg(F.sum("tokens"), F.sum("types")).first()
