@@ -76,7 +76,7 @@ def test_scores(edge):
     assert len(rows) == N
     got = by_id(rows)
     assert got[3]["n_tokens"] == got[4]["n_tokens"] == 1 and got[10]["n_tokens"] == 20001
-    assert got[1]["score"] == pytest.approx(got[2]["score"], rel=1e-6) and all(np.isfinite(r["score"]) and r["score"] < 0 for r in rows)
+    assert got[1]["score"] == got[2]["score"] and all(np.isfinite(r["score"]) and r["score"] < 0 for r in rows)
 
 
 def test_attention_learns_from_all_training_documents(spark, monkeypatch):
@@ -85,12 +85,13 @@ def test_attention_learns_from_all_training_documents(spark, monkeypatch):
     used = np.zeros(lm.end_id(VOCABULARY) + 1)
     stream, starts = lm.streams(lm.subwords(docs.select("text").toArrow(), VOCABULARY), lm.end_id(VOCABULARY))
     np.add.at(used, stream, 1)
-    keys, n = lm.id_pairs(docs, used, VOCABULARY)
+    encoded = lambda d: lm.encode_segments(d.withColumn("held_out", F.lit(False)), VOCABULARY, 100)
+    keys, n = lm.id_pairs(encoded(docs), used, VOCABULARY)
     want, m = lm.pairs_of(stream, starts, lm.columns(used))
     assert dict(zip(keys.tolist(), n.tolist())) == dict(zip(want.tolist(), m.tolist())) and n.sum() == len(stream) - len(texts)
     other = docs.withColumn("text", F.when(F.xxhash64(F.lit("lm"), "doc_id") == docs.agg(F.max(F.xxhash64(F.lit("lm"), "doc_id"))).first()[0], "epsilon delta").otherwise(F.col("text")))
     monkeypatch.setattr(lm, "id_pairs", lambda *_: (keys, n))  # the same classes, so that only training differs
-    a, again, b = (lm.fit(d, used, VOCABULARY).flat() for d in (docs, docs, other))
+    a, again, b = (lm.fit(d, encoded(d), used, VOCABULARY).flat() for d in (docs, docs, other))
     assert np.allclose(a, again, rtol=0, atol=1e-6) and not np.allclose(a, b, rtol=0, atol=1e-6)  # the last document of the draw counts too
 
 
