@@ -16,7 +16,7 @@ HEADLINE = [
     "graph_prior_T10", "ridge_operators_R1_R4", "centroid_classifier_C1", "product_of_experts_C5", "metric_block_M6_M7_M14",
     "spearman_M12", "tokens_X7", "repetition_X11", "distinct_n_E6", "bleu_E1_E2", "rouge_l_E4", "per_example_E10", "best_of_n_K2",
     "align_K10", "stratified_A3", "cluster_bootstrap_J3", "sample_agreement_J12", "over_seeds_B1", "tfidf_G1", "confusion_similarity_G4",
-    "nearest_examples_G15",
+    "nearest_examples_G15", "communities_G11", "spectral_G12", "spanning_trees_G14", "ridge_vectors_R1_R4", "self_bleu_E7", "ridge_classifier_C2",
 ]
 
 
