@@ -15,6 +15,8 @@ from .softlabel import BUCKETS, bucket_of
 TOLERANCE = 1e-12
 VECTOR_EPS = 1e-12
 TEMPERATURE = 0.7
+# Mass that an item may have outside the membership.
+MASS_TOLERANCE = 1e-6
 BOUNDARY_FLOOR = 0.70
 BOUNDARY_SHARE = 0.85
 BOUNDARY_KEEP = 4
@@ -41,6 +43,28 @@ def project(
     return out.filter(F.col("p") > TOLERANCE)
 
 
+def project_complete(soft: DataFrame, membership: DataFrame, keys: Sequence[str], label: str = "label", tolerance: float = MASS_TOLERANCE) -> DataFrame:
+    """P1 over items whose labels all have a membership: (keys, region, p), p scaled to sum 1.
+
+    An item with more than `tolerance` of its mass outside the membership has no rows here; `projection_rejects` reports it.  One
+    aggregate per item decides both, so nothing is joined back.
+    """
+    known = membership.select(label, "region", "m")
+    joined = soft.select(*keys, label, "p").join(known, label, "left")
+    by_region = joined.groupBy(*keys, "region").agg(F.sum(F.col("p") * F.coalesce("m", F.lit(0.0))).alias("r"), F.sum(F.when(F.col("m").isNull(), F.col("p")).otherwise(0.0)).alias("out"))
+    item = Window.partitionBy(*keys)  # the regions of one item
+    placed = by_region.withColumns({"_out": F.sum("out").over(item), "_all": F.sum("r").over(item)})
+    kept = placed.filter((F.col("_out") <= tolerance) & (F.col("_all") > 0) & F.col("region").isNotNull())
+    return kept.select(*keys, "region", (F.col("r") / F.col("_all")).alias("p")).filter(F.col("p") > TOLERANCE)
+
+
+def projection_rejects(soft: DataFrame, membership: DataFrame, keys: Sequence[str], label: str = "label", tolerance: float = MASS_TOLERANCE) -> DataFrame:
+    """P1 report: (keys, missing_labels, missing_mass) of the items that `project_complete` leaves out."""
+    known = membership.select(label).distinct().withColumn("_known", F.lit(True))
+    lost = soft.select(*keys, label, "p").join(known, label, "left").filter("_known IS NULL AND p > 0")
+    return lost.groupBy(*keys).agg(F.count(F.lit(1)).alias("missing_labels"), F.sum("p").alias("missing_mass")).filter(F.col("missing_mass") > tolerance)
+
+
 def dense_regions(regional: DataFrame, keys: Sequence[str], size: int, out: str = "dist") -> DataFrame:
     """Region rows of an item folded into one dense array, one sum per region (no list of rows is built)."""
     sums = [F.sum(F.when(F.col("region") == r, F.col("p")).otherwise(0.0)) for r in range(size)]

@@ -97,6 +97,21 @@ def missing_mass(t: Tables) -> DataFrame:
     return mem.missing_mass(t.soft, t.membership.filter("label < 20")).select("label", r6("missing_mass"))
 
 
+@query("complete_projection_P1", uses="soft membership", sql="""
+    WITH known AS (SELECT * FROM membership WHERE label < 20), bad AS (SELECT DISTINCT item FROM soft WHERE label NOT IN (SELECT label FROM known) AND p > 0)
+    SELECT item, region, round(p / sum(p) OVER (PARTITION BY item), 6) AS p FROM (
+      SELECT item, region, sum(p * m) AS p FROM soft JOIN known USING (label) WHERE item NOT IN (SELECT item FROM bad) GROUP BY item, region)""")
+def complete_projection(t: Tables) -> DataFrame:
+    """Items with a label outside the membership are left out."""
+    return mem.project_complete(t.soft, t.membership.filter("label < 20"), ITEM).select("item", "region", r6("p"))
+
+
+@query("projection_rejects_P1", uses="soft", sql="""
+    SELECT item, count(*) AS missing_labels, round(sum(p), 6) AS missing_mass FROM soft WHERE label >= 20 GROUP BY item""")
+def projection_rejects(t: Tables) -> DataFrame:
+    return mem.projection_rejects(t.soft, t.membership.filter("label < 20"), ITEM).select("item", "missing_labels", r6("missing_mass"))
+
+
 @query("item_vector_P2", uses="soft label_vectors", sql="""
     SELECT item, d::int AS d, round(sum(p * x), 9) + 0.0 AS z FROM soft JOIN label_vectors USING (label) GROUP BY item, d""")
 def item_vector(t: Tables) -> DataFrame:
