@@ -8,7 +8,9 @@ from __future__ import annotations
 
 import hashlib
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,29 +19,27 @@ VECTOR = T.ArrayType(T.StructType([T.StructField("bucket", T.LongType()), T.Stru
 
 
 def hashed_tokens(tokens: Column, dim: int) -> Column:
-    """Signed counts of the tokens and of adjacent pairs per hash bucket; buckets whose counts cancel stay, with 0."""
-
-    @F.pandas_udf(VECTOR)
-    def hashed(batch: pd.Series) -> pd.Series:
-        known: dict[str, tuple[int, float]] = {}
-
-        def place(feature: str) -> tuple[int, float]:
-            if feature not in known:
-                h = int(hashlib.md5(feature.encode()).hexdigest()[:15], 16)
-                known[feature] = (h % dim, 1.0 if (h >> 32) % 2 == 0 else -1.0)
-            return known[feature]
-
-        out = []
-        for toks in batch:
-            toks = [] if toks is None else list(toks)
-            cells = [place(f"tok:{t}") for t in toks] + [place(f"bigram:{a}_{b}") for a, b in zip(toks, toks[1:], strict=False)]
-            total: dict[int, float] = {}
-            for bucket, sign in cells:
-                total[bucket] = total.get(bucket, 0.0) + sign
-            out.append([{"bucket": b, "x": total[b]} for b in sorted(total)])
-            if len(known) > 200_000:  # bounds what a batch of very long texts keeps
-                known.clear()
-        return pd.Series(out)
+    """Signed counts of the tokens and of adjacent pairs per hash bucket; buckets whose counts cancel stay, with 0.
+
+    A batch hashes each different token and pair once; the counts are numpy sums over the batch.
+    """
+
+    @F.arrow_udf(VECTOR)
+    def hashed(batch: pa.Array) -> pa.Array:
+        n = len(batch)
+        sizes = pc.fill_null(pc.list_value_length(batch), 0).to_numpy(zero_copy_only=False)
+        coded = pc.list_flatten(batch).dictionary_encode()
+        words, code = coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        row = np.repeat(np.arange(n), sizes)
+        number = lambda features: np.array([int(hashlib.md5(x.encode()).hexdigest()[:15], 16) for x in features], np.int64)
+        inner = row[1:] == row[:-1]
+        pairs, of = np.unique(code[:-1][inner] * len(words) + code[1:][inner], return_inverse=True)
+        first, second = np.divmod(pairs, max(len(words), 1))
+        h = np.concatenate([number(f"tok:{w}" for w in words)[code], number(f"bigram:{words[a]}_{words[b]}" for a, b in zip(first.tolist(), second.tolist(), strict=True))[of]])
+        cells, at = np.unique(np.concatenate([row, row[1:][inner]]) * dim + h % dim, return_inverse=True)
+        sums = np.bincount(at, np.where((h >> 32) % 2 == 0, 1.0, -1.0), len(cells))
+        offsets = np.concatenate([[0], np.cumsum(np.bincount(cells // dim, minlength=n))])
+        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays([pa.array(cells % dim, pa.int64()), pa.array(sums, pa.float64())], names=["bucket", "x"]))
 
     return hashed(tokens)
 
@@ -62,8 +62,10 @@ def weighted(vectors: DataFrame, f: str, weights: DataFrame) -> DataFrame:
     joined = vectors.crossJoin(F.broadcast(weights))  # one row of fixed size
     scaled = F.transform(f, lambda e: F.struct(e["bucket"].alias("bucket"), (e["x"] * F.get("_idf", e["bucket"].cast("int"))).alias("x")))
     joined = joined.withColumn(f, scaled).drop("_idf")
-    n = F.sqrt(F.aggregate(f, F.lit(0.0), lambda s, e: s + e["x"] * e["x"]))
-    return joined.withColumn(f, F.transform(f, lambda e: F.struct(e["bucket"].alias("bucket"), F.when(n > 0, e["x"] / n).otherwise(0.0).alias("x"))))
+    # The length is bound to a variable of its own: inside the inner lambda it would be computed for every entry.
+    whole = F.array(F.struct(F.sqrt(square(F.col(f))).alias("n"), F.col(f).alias("f")))
+    unit = F.transform(whole, lambda p: F.transform(p["f"], lambda e: F.struct(e["bucket"].alias("bucket"), F.when(p["n"] > 0, e["x"] / p["n"]).otherwise(0.0).alias("x"))))
+    return joined.withColumn(f, F.get(unit, F.lit(0)))
 
 
 def against(f: Column, table: Column, width: int) -> Column:
