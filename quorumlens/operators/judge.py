@@ -53,29 +53,53 @@ def _number(*parts: object) -> int:
     return int(hashlib.md5("|".join(map(str, parts)).encode()).hexdigest()[:15], 16)
 
 
-def resampled_sums(units: DataFrame, keys: Sequence[str], sums: Sequence[str], replicates: int, seed: object) -> DataFrame:
-    """Per replicate the sums of columns over resampled units.  units: one row per unit, named by `keys`.
+# Bytes of group sums a task holds before it passes them on.
+HELD_BYTES = 64 << 20
+
+
+def resampled_sums(
+    units: DataFrame, keys: Sequence[str], sums: Sequence[str], replicates: int, seed: object, groups: Sequence[str] = ()
+) -> DataFrame:
+    """Per group and replicate the sums of columns over resampled units.  units: one row per unit, named by `keys`.
 
     A unit occurs in a replicate as often as the Poisson(1) quantile of a seeded hash of both says; no draw is ever a
-    row.  A task adds up its units batch by batch and sends one row per replicate.
+    row.  A task adds up its units batch by batch and sends one row per group and replicate; it passes its sums on when
+    they reach HELD_BYTES, so any number of groups fits.  Group values come back as strings, null is a group.  A unit's
+    multiplicity doesn't depend on its group: sums of groups add up to those of their union.
     """
-    sums = list(sums)
+    sums, groups = list(sums), list(groups)
     times = np.array([_number(seed, "m", r) % (PRIME - 1) + 1 for r in range(replicates)])
     plus = np.array([_number(seed, "c", r) % PRIME for r in range(replicates)])
     ends = np.array(POISSON_ENDS)
+    most = max(1, HELD_BYTES // (8 * replicates * max(1, len(sums))))
+
+    def frames(held):
+        for key, total in held.items():
+            yield pd.DataFrame(total, columns=sums).assign(rep=np.arange(replicates), **dict(zip(groups, key)))[[*groups, "rep", *sums]]
 
     def add(batches):
-        total = np.zeros((replicates, len(sums)))
+        held: dict = {}
         for pdf in batches:
             unit, values = pdf["_unit"].to_numpy(), pdf[sums].to_numpy(dtype=float)
-            for at in range(0, len(unit), 128):
-                drawn = np.searchsorted(ends, (unit[at:at + 128, None] * times + plus) % PRIME, "right")
-                total += drawn.T.astype(float) @ values[at:at + 128]
-        yield pd.DataFrame(total, columns=sums).assign(rep=np.arange(replicates))[["rep", *sums]]
-
-    hashed = units.select((hash60(F.lit(str(seed)), *[F.col(k) for k in keys]) % PRIME).alias("_unit"), *[F.col(s).cast("double").alias(s) for s in sums])
-    partial = hashed.mapInPandas(add, "rep long, " + ", ".join(f"{s} double" for s in sums))
-    return partial.groupBy("rep").agg(*[F.sum(s).alias(s) for s in sums])
+            names = list(zip(*[[None if v is None or v != v else v for v in pdf[g]] for g in groups])) if groups else [()] * len(pdf)
+            places: dict = {}
+            for i, name in enumerate(names):
+                places.setdefault(name, []).append(i)
+            for name, own in places.items():
+                total = held.setdefault(name, np.zeros((replicates, len(sums))))
+                for at in range(0, len(own), 128):
+                    now = own[at:at + 128]
+                    drawn = np.searchsorted(ends, (unit[now, None] * times + plus) % PRIME, "right")
+                    total += drawn.T.astype(float) @ values[now]
+                if len(held) >= most:
+                    yield from frames(held)
+                    held = {}
+        yield from frames(held)
+
+    hashed = units.select(*[F.col(g).cast("string").alias(g) for g in groups], (hash60(F.lit(str(seed)), *[F.col(k) for k in keys]) % PRIME).alias("_unit"),
+                          *[F.col(s).cast("double").alias(s) for s in sums])
+    partial = hashed.mapInPandas(add, ", ".join([*[f"`{g}` string" for g in groups], "rep long", *[f"{s} double" for s in sums]]))
+    return partial.groupBy(*groups, "rep").agg(*[F.sum(s).alias(s) for s in sums])
 
 
 def cluster_bootstrap(items: DataFrame, package: str, replicates: int, seed: object) -> DataFrame:
@@ -295,14 +319,70 @@ def sample_agreement(
     return out.withColumn("projection_delta", F.col("region_jsd") - F.col("label_jsd")).drop("_ra", "_rb")
 
 
-def agreement_by_stratum(rows: DataFrame, stratum: str) -> DataFrame:
-    """Means and top-1 rates with Wilson intervals, per stratum and overall."""
-    stacked = rows.withColumn("grp", F.explode(F.array(F.lit("all"), F.col(stratum).cast("string"))))
-    agg = stacked.groupBy("grp").agg(
-        F.count(F.lit(1)).alias("n"), *[F.avg(c).alias("mean_" + c) for c in ("label_jsd", "label_overlap", "region_jsd", "region_overlap", "projection_delta")],
-        F.sum(F.col("region_top").cast("long")).alias("hits"))
-    low, high = wilson(F.col("hits"), F.col("n"))
-    return agg.select("*", (F.col("hits") / F.col("n")).alias("top_rate"), low.alias("top_low"), high.alias("top_high"))
+def leave_one_out(votes: DataFrame, membership_dense: DataFrame, keys: Sequence[str], regions: int, label: str = "label") -> DataFrame:
+    """Each rater of an item against the mean of the others; means over the raters, in label and in region space.
+
+    votes: one row per answer.  Raters with the same label have the same value, so an item is its label counts c of n:
+    the others hold s = (c - 1) / (n - 1) of the rater's label, which settles label divergence and overlap, and their
+    region vector is (sum of all - own) / (n - 1).  Votes are never gathered.  Items with fewer than two answers have
+    no value and are left out, as are answers without a known label.
+    """
+    counts = votes.groupBy(*keys, label).agg(F.count(F.lit(1)).alias("_c")).join(membership_dense.select(label, "m"), label)
+    item = Window.partitionBy(*keys)  # the labels of one item
+    n = F.sum("_c").over(item)
+    total = F.array(*[F.sum(F.col("_c") * F.element_at("m", r + 1)).over(item) for r in range(regions)])
+    cells = counts.withColumns({"_n": n, "_all": total}).filter("_n > 1")
+    s = (F.col("_c") - 1) / (F.col("_n") - 1)
+    rest = F.zip_with("_all", "m", lambda x, y: F.greatest(F.lit(0.0), x - y) / (F.col("_n") - 1))
+    cells = cells.withColumns({"_s": s, "_rest": rest})
+    s, own, rest = F.col("_s"), F.col("m"), F.col("_rest")
+    divergence = (F.log2(2 / (1 + s)) + F.when(s > 0, s * F.log2(2 * s / (1 + s))).otherwise(0.0) + (1 - s)) / 2
+    mean = lambda c: F.sum(F.col("_c") * c) / F.sum("_c")
+    return cells.groupBy(*keys).agg(
+        F.sum("_c").alias("raters"), F.greatest(F.lit(0.0), mean(divergence)).alias("loo_label_jsd"), mean(s).alias("loo_label_overlap"),
+        mean(D.jensen_shannon(own, rest, base2=True)).alias("loo_region_jsd"), mean(D.overlap(own, rest)).alias("loo_region_overlap"))
+
+
+def robustness_rows(
+    model: DataFrame, humans: dict[str, DataFrame], membership_dense: DataFrame, keys: Sequence[str], regions: int, label: str = "label"
+) -> DataFrame:
+    """One row per item and way of aggregating the human votes (`humans`: name -> distribution), compared in one pass."""
+    named = None
+    for name, human in humans.items():
+        rows = human.select(*keys, label, "p", F.lit(name).alias("human_aggregation"))
+        named = rows if named is None else named.unionByName(rows)
+    sides = model.select(*keys, label, "p", F.explode(F.array(*[F.lit(n) for n in humans])).alias("human_aggregation"))
+    out = sample_agreement(sides, named, membership_dense, [*keys, "human_aggregation"], regions, label)
+    return out.select(*keys, "human_aggregation", "label_jsd", "region_jsd", "label_overlap", "region_overlap")
+
+
+AGREEMENT_MEASURES = ["label_jsd", "region_jsd", "label_overlap", "region_overlap", "projection_delta"]
+
+
+def agreement_by_stratum(
+    rows: DataFrame, stratum: str, keys: Sequence[str], replicates: int = 10_000, seed: object = 0, measures: Sequence[str] = AGREEMENT_MEASURES
+) -> DataFrame:
+    """Per stratum and for `all`: mean_ with ci_low_ and ci_high_ of each measure, label and region top-1 rates with Wilson intervals.
+
+    All strata are resampled in one pass; as multiplicities belong to items, the replicates of `all` are sums of those of
+    the strata.  Intervals are interpolated percentiles of the resampled means.
+    """
+    measures, tops = list(measures), ["label_top", "region_top"]
+    rows = checkpointed(rows.select(F.col(stratum).cast("string").alias("grp"), *keys, *measures, *[F.col(c).cast("long").alias(c) for c in tops]).withColumn("_one", F.lit(1)))
+    sums = lambda df: df.groupBy("grp").agg(F.count(F.lit(1)).alias("n"), *[F.avg(c).alias("mean_" + c) for c in measures], *[F.sum(c).alias("_" + c) for c in tops])
+    given = sums(rows).unionByName(sums(rows.withColumn("grp", F.lit("all"))))
+    reps = resampled_sums(rows, keys, [*measures, "_one"], replicates, seed, ["grp"])
+    whole = reps.groupBy("rep").agg(*[F.sum(c).alias(c) for c in [*measures, "_one"]]).select(F.lit("all").alias("grp"), "rep", *measures, "_one")
+    bounds = reps.unionByName(whole).filter("_one > 0").groupBy("grp").agg(
+        *[F.percentile(F.col(c) / F.col("_one"), F.array(F.lit(0.025), F.lit(0.975))).alias("_q_" + c) for c in measures])  # one value per replicate
+    j = given.join(bounds.withColumnRenamed("grp", "_grp"), F.col("grp").eqNullSafe(F.col("_grp")), "left").drop("_grp")
+    out = ["grp", "n"]
+    for c in measures:
+        out += ["mean_" + c, F.element_at("_q_" + c, 1).alias("ci_low_" + c), F.element_at("_q_" + c, 2).alias("ci_high_" + c)]
+    for c in tops:
+        low, high = wilson(F.col("_" + c), F.col("n"))
+        out += [(F.col("_" + c) / F.col("n")).alias(c + "_rate"), low.alias(c + "_low"), high.alias(c + "_high")]
+    return j.select(*out)
 
 
 def permutations(labels: DataFrame, n: int, seed: object = 0, label: str = "label") -> DataFrame:
@@ -311,63 +391,96 @@ def permutations(labels: DataFrame, n: int, seed: object = 0, label: str = "labe
     Labels in plain order are matched with labels in seeded order; labels x permutations rows.
     """
     small = labels.select(label).distinct()
-    plain = small.withColumn("_r", F.row_number().over(Window.orderBy(label)))  # the vocabulary
+    plain = ranking.range_positions(small, [], [label], "_r", "_n").select(label, (F.col("_r") + 1).alias("_r"))
     perm = small.crossJoin(F.broadcast(labels.sparkSession.range(1, n + 1).withColumnRenamed("id", "perm")))
     h = hash60(F.lit(str(seed)), F.col("perm"), F.col(label))
     shuffled = perm.withColumn("_r", F.row_number().over(Window.partitionBy("perm").orderBy(h, label)))
     return plain.join(shuffled.withColumnRenamed(label, "source"), "_r").select("perm", label, "source")
 
 
-def permutation_baseline(
-    model: DataFrame, human: DataFrame, membership_dense: DataFrame, perms: DataFrame, stratum: DataFrame, vocabulary: int, regions: int
-) -> DataFrame:
-    """Mean region divergence per permutation and stratum; permutation 0 is the given membership.
+# Largest membership matrix (cells) and number of labels x permutations that a task makes for itself in J13.
+MATRIX_CELLS, SHUFFLED_LABELS = 8_000_000, 4_000_000
 
-    The permuted matrices are a parameter-sized block (permutations x labels x regions) that every task holds;
-    items stay rows and are never multiplied by permutations.  Labels are integers below `vocabulary`.
-    """
-    ident = membership_dense.select(F.lit(0).cast("long").alias("perm"), "label", "m")
-    shuffled = perms.join(membership_dense.select(F.col("label").alias("source"), "m"), "source").select("perm", "label", "m")
-    rows = small_side(ident.unionByName(shuffled), 20_000_000).collect()  # parameter-sized, see above
-    ids = sorted({r["perm"] for r in rows})
-    at = {p: i for i, p in enumerate(ids)}
-    cube = np.zeros((len(ids), vocabulary, regions))
-    for r in rows:
-        cube[at[r["perm"]], r["label"]] = r["m"]
-    shared = model.sparkSession.sparkContext.broadcast(cube)
-    q = model.select("item", "label", F.col("p").alias("a"), F.lit(0.0).alias("b")).unionByName(
-        human.select("item", "label", F.lit(0.0).alias("a"), F.col("p").alias("b")))
-    cells = q.groupBy("item", "label").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-    lists = cells.groupBy("item").agg(F.collect_list(F.struct("label", "a", "b")).alias("q")).join(stratum.select("item", "stratum"), "item")
 
+def _divergence_sums(names: Sequence[str], rows: Sequence, n: int, seed: object, regions: int):
+    """mapInPandas function: sums of the base-2 region divergence per stratum under each permutation of a membership matrix.
+
+    names: the labels as text, in plain order; rows: their region vectors.  A task derives the permutations from the seed.
+    """
+    matrix = np.array(rows, dtype=float).reshape(len(names), regions)
+    labels = len(names)
     scatter = scatterer()
 
+    def order(perm: int):
+        # Python sorts stably: equal hashes stay in plain order.
+        return sorted(range(labels), key=lambda i: _number(seed, perm, names[i]))
+
     def partial(batches):
-        cube = shared.value
+        sources = np.array([range(labels), *[order(p) for p in range(1, n + 1)]])
         acc: dict = {}
+        step = max(1, 2_000_000 // max(1, labels * regions))
         for pdf in batches:
-            a, b = scatter(pdf["l"], pdf["a"], vocabulary), scatter(pdf["l"], pdf["b"], vocabulary)
-            names = pdf["stratum"].to_numpy()
-            for p in range(len(cube)):
-                x, y = a @ cube[p], b @ cube[p]
-                mid = (x + y) / 2
-                with np.errstate(divide="ignore", invalid="ignore"):
-                    kl = np.where(x > 0, x * np.log2(x / mid), 0.0).sum(1) + np.where(y > 0, y * np.log2(y / mid), 0.0).sum(1)
-                jsd = np.clip(kl / 2, 0.0, 1.0)
-                for s in set(names):
-                    hit = names == s
-                    cell = acc.setdefault(s, [np.zeros(len(cube)), 0])
-                    cell[0][p] += jsd[hit].sum()
-            for s in set(names):
-                acc[s][1] += int((names == s).sum())
+            strata = [None if s is None or s != s else s for s in pdf["stratum"]]
+            for at in range(0, len(pdf), 512):
+                own = pdf.iloc[at:at + 512]
+                a, b = scatter(own["l"], own["a"], labels), scatter(own["l"], own["b"], labels)
+                sums = np.zeros((len(own), n + 1))
+                for lo in range(0, n + 1, step):
+                    cube = matrix[sources[lo:lo + step]].transpose(1, 0, 2).reshape(labels, -1)
+                    x, y = a @ cube, b @ cube
+                    mid = (x + y) / 2
+                    with np.errstate(divide="ignore", invalid="ignore"):
+                        kl = np.where(x > 0, x * np.log2(x / mid), 0.0) + np.where(y > 0, y * np.log2(y / mid), 0.0)
+                    sums[:, lo:lo + step] = np.clip(kl.reshape(len(own), -1, regions).sum(2) / 2, 0.0, 1.0)
+                places: dict = {}
+                for i, s in enumerate(strata[at:at + 512]):
+                    places.setdefault(s, []).append(i)
+                for s, i in places.items():
+                    cell = acc.setdefault(s, [0, np.zeros(n + 1)])
+                    cell[0] += len(i)
+                    cell[1] += sums[i].sum(0)
         if acc:
-            yield pd.DataFrame([(s, [float(c[1])], c[0].tolist()) for s, c in acc.items()], columns=["stratum", "n", "sums"])
+            yield pd.DataFrame([(s, [float(c)], t.tolist()) for s, (c, t) in acc.items()], columns=["stratum", "n", "sums"])
+
+    return partial
 
-    summed = add_arrays(lists.select("stratum", F.col("q.label").alias("l"), F.col("q.a").alias("a"), F.col("q.b").alias("b")).mapInPandas(partial, "stratum string, n array<double>, sums array<double>"), ["stratum"], ["n", "sums"])
+
+def permutation_baseline(
+    model: DataFrame, human: DataFrame, membership_dense: DataFrame, n: int, stratum: DataFrame, regions: int, seed: object = 0, matrix_cells: int = MATRIX_CELLS
+) -> DataFrame:
+    """Mean region divergence per permutation and stratum, and over all; permutation 0 is the given membership.
+
+    Tasks get the membership matrix and the seed, nothing else; items are never multiplied by permutations.  Only
+    matrices of at most `matrix_cells` go to the tasks; a larger one is joined as rows with the table of `permutations`,
+    with the same result.  Labels are of any type.  stratum: item, stratum.
+    """
+    q = model.select("item", "label", F.col("p").alias("a"), F.lit(0.0).alias("b")).unionByName(
+        human.select("item", "label", F.lit(0.0).alias("a"), F.col("p").alias("b")))
+    cells = q.groupBy("item", "label").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    names = stratum.select("item", F.col("stratum").cast("string").alias("stratum"))
+    most = min(matrix_cells // regions, SHUFFLED_LABELS // (n + 1))
+    # At most most + 1 rows reach the driver.
+    rows = membership_dense.select("label", F.col("label").cast("string").alias("name"), "m").limit(most + 1).collect()
+    if len(rows) > most:
+        ident = membership_dense.select(F.lit(0).cast("long").alias("perm"), "label", "m")
+        shuffled = permutations(membership_dense, n, seed).join(membership_dense.select(F.col("label").alias("source"), "m"), "source").select("perm", "label", "m")
+        region = lambda c: F.array(*[F.sum(F.col(c) * F.element_at("m", r + 1)) for r in range(regions)]).alias(c)
+        both = cells.join(ident.unionByName(shuffled), "label").groupBy("item", "perm").agg(region("a"), region("b"))
+        per = both.select("item", "perm", D.jensen_shannon(F.col("a"), F.col("b"), base2=True).alias("jsd")).join(names, "item")
+        # Strata first: `all` is the sum of their sums.
+        each = per.groupBy("stratum", "perm").agg(F.sum("jsd").alias("s"), F.count(F.lit(1)).alias("n"))
+        every = each.groupBy("perm").agg(F.sum("s").alias("s"), F.sum("n").alias("n")).withColumn("stratum", F.lit("all"))
+        return each.unionByName(every).select("stratum", "perm", (F.col("s") / F.col("n")).alias("mean_jsd"))
+    rows.sort(key=lambda r: r["label"])
+    places = cells.sparkSession.createDataFrame([(r["label"], i) for i, r in enumerate(rows)], cells.select("label", F.lit(0).alias("place")).schema)
+    placed = cells.join(F.broadcast(places), "label")  # at most `most` rows
+    lists = placed.groupBy("item").agg(F.collect_list(F.struct("place", "a", "b")).alias("q")).join(names, "item")  # distinct labels of an item
+    flat = lists.select("stratum", F.col("q.place").alias("l"), F.col("q.a").alias("a"), F.col("q.b").alias("b"))
+    task = _divergence_sums([r["name"] for r in rows], [r["m"] for r in rows], n, seed, regions)
+    summed = checkpointed(add_arrays(flat.mapInPandas(task, "stratum string, n array<double>, sums array<double>"), ["stratum"], ["n", "sums"]))
     every = summed.unionByName(add_arrays(summed.withColumn("stratum", F.lit("all")), ["stratum"], ["n", "sums"]))
-    perm_ids = F.array(*[F.lit(int(p)).cast("long") for p in ids])
-    return every.select("stratum", F.element_at("n", 1).alias("_n"), F.posexplode("sums").alias("_i", "_s")).select(
-        "stratum", F.element_at(perm_ids, F.col("_i") + 1).alias("perm"), (F.col("_s") / F.col("_n")).alias("mean_jsd"))
+    return every.select("stratum", F.element_at("n", 1).alias("_n"), F.posexplode("sums").alias("perm", "_s")).select(
+        "stratum", F.col("perm").cast("long").alias("perm"), (F.col("_s") / F.col("_n")).alias("mean_jsd"))
 
 
 def permutation_summary(baseline: DataFrame) -> DataFrame:

@@ -661,28 +661,83 @@ def sample_agreement(t: Tables) -> DataFrame:
     return agreement_rows(t).select("item", r6("label_jsd"), r6("label_overlap"), "label_top", r6("region_jsd"), r6("region_overlap"), "region_top")
 
 
-@query("agreement_by_stratum_J12", uses="agreement_rows strata", sql="""
-    SELECT grp, count(*) AS n, round(avg(label_jsd), 6) AS mean_label_jsd, round(avg(region_jsd), 6) AS mean_region_jsd, round(avg(region_jsd - label_jsd), 6) + 0.0 AS mean_projection_delta,
-      round(avg(region_top::int), 6) AS top_rate FROM (SELECT *, unnest(['all', stratum]) AS grp FROM agreement_rows JOIN strata USING (item)) GROUP BY grp""")
+CTES["loo_rows"] = ("votes membership", """
+    WITH h AS (SELECT item, row_number() OVER (PARTITION BY item ORDER BY annotator, label) AS annotator, label FROM votes WHERE annotator > 0),
+    z AS (SELECT h.item, h.annotator, g.region, coalesce(m.m, 0) AS x FROM h CROSS JOIN (SELECT DISTINCT region FROM membership) g LEFT JOIN membership m ON m.label = h.label AND m.region = g.region),
+    pairs AS (SELECT a.item, a.annotator, a.region, a.x, avg(b.x) AS y FROM z a JOIN z b ON a.item = b.item AND a.region = b.region AND a.annotator <> b.annotator GROUP BY ALL),
+    r AS (SELECT item, annotator, sum(CASE WHEN x > 0 THEN x * log2(2 * x / (x + y)) ELSE 0 END + CASE WHEN y > 0 THEN y * log2(2 * y / (x + y)) ELSE 0 END) / 2 AS region_jsd,
+      sum(least(x, y)) AS region_overlap FROM pairs GROUP BY ALL),
+    l AS (SELECT a.item, a.annotator, avg((a.label = b.label)::int) AS s FROM h a JOIN h b ON a.item = b.item AND a.annotator <> b.annotator GROUP BY ALL)
+    SELECT item, count(*)::bigint AS raters, avg((log2(2 / (1 + s)) + CASE WHEN s > 0 THEN s * log2(2 * s / (1 + s)) ELSE 0 END + 1 - s) / 2) AS loo_label_jsd, avg(s) AS loo_label_overlap,
+      avg(region_jsd) AS loo_region_jsd, avg(region_overlap) AS loo_region_overlap FROM l JOIN r USING (item, annotator) GROUP BY item""")
+LOO = ["loo_label_jsd", "loo_label_overlap", "loo_region_jsd", "loo_region_overlap"]
+
+
+@query("leave_one_out_J12", uses="loo_rows", sql="SELECT item, raters, " + ", ".join(f"round({c}, 6) + 0.0 AS {c}" for c in LOO) + " FROM loo_rows")
+def leave_one_out(t: Tables) -> DataFrame:
+    return J.leave_one_out(t.votes.filter("annotator > 0"), two_sides(t)[2], ITEM, REGIONS).select("item", "raters", *[r6(c) for c in LOO])
+
+
+CTES["weighted_sides"] = ("votes soft", """
+    SELECT item, label, sum(a) AS a, sum(b) AS b FROM (SELECT item, label, p AS a, 0.0 AS b FROM soft UNION ALL
+      SELECT item, label, 0.0, sum(confidence) / any_value(total) FROM (SELECT *, sum(confidence) OVER (PARTITION BY item) AS total FROM votes WHERE annotator > 0) GROUP BY item, label) GROUP BY item, label""")
+ROBUST = ["label_jsd", "region_jsd", "label_overlap", "region_overlap"]
+CTES["robust_rows"] = ("two_sides weighted_sides membership", f"""
+    WITH s AS (SELECT 'unweighted' AS how, * FROM two_sides UNION ALL SELECT 'confidence_weighted', * FROM weighted_sides)
+    SELECT * FROM (SELECT how, item, sum({TERM}) / 2 AS label_jsd, sum(least(a, b)) AS label_overlap FROM s GROUP BY how, item)
+    JOIN (SELECT how, item, sum({TERM}) / 2 AS region_jsd, sum(least(a, b)) AS region_overlap FROM (
+      SELECT how, item, region, sum(a * m) AS a, sum(b * m) AS b FROM s JOIN membership USING (label) GROUP BY how, item, region) GROUP BY how, item) USING (how, item)""")
+
+
+@query("agreement_robustness_J12", uses="robust_rows", sql="SELECT item, how AS human_aggregation, " + ", ".join(f"round({c}, 6) + 0.0 AS {c}" for c in ROBUST) + " FROM robust_rows")
+def agreement_robustness(t: Tables) -> DataFrame:
+    model, plain, dense = two_sides(t)
+    weighted = sl.strict_distribution(t.votes.filter("annotator > 0"), t.membership, ITEM)
+    return J.robustness_rows(model, {"unweighted": plain, "confidence_weighted": weighted}, dense, ITEM, REGIONS).select("item", "human_aggregation", *[r6(c) for c in ROBUST])
+
+
+def _interval_sql(c: str) -> str:
+    return f"round(quantile_cont({c}, 0.025), 6) + 0.0 AS ci_low_{c}, round(quantile_cont({c}, 0.975), 6) + 0.0 AS ci_high_{c}"
+
+
+def _rate_sql(c: str) -> str:
+    p, z = f"avg({c}::int)", J.Z95
+    centre, margin = f"({p} + {z * z} / (2 * count(*)))", f"{z} * sqrt(({p} * (1 - {p}) + {z * z} / (4 * count(*))) / count(*))"
+    return f"""round({p}, 6) AS {c}_rate, round(greatest(0, ({centre} - {margin}) / (1 + {z * z} / count(*))), 6) AS {c}_low,
+      round(least(1, ({centre} + {margin}) / (1 + {z * z} / count(*))), 6) AS {c}_high"""
+
+
+AGREEMENT_REPLICATES = 10_000
+CTES["agreement_strata"] = ("agreement_rows strata", "SELECT a.*, region_jsd - label_jsd AS projection_delta, stratum FROM agreement_rows a JOIN strata USING (item)")
+
+
+@query("agreement_by_stratum_J12", uses="agreement_strata", sql=f"""
+    WITH d AS ({drawn(14, AGREEMENT_REPLICATES, "item", "agreement_strata")}),
+    q AS (SELECT coalesce(stratum, 'all') AS grp, rep, {", ".join(f"sum(k * {c}) / sum(k) AS {c}" for c in J.AGREEMENT_MEASURES)} FROM d GROUP BY GROUPING SETS ((stratum, rep), (rep))),
+    i AS (SELECT grp, {", ".join(_interval_sql(c) for c in J.AGREEMENT_MEASURES)} FROM q GROUP BY grp),
+    g AS (SELECT coalesce(stratum, 'all') AS grp, count(*) AS n, {", ".join(f"round(avg({c}), 6) + 0.0 AS mean_{c}" for c in J.AGREEMENT_MEASURES)}, {_rate_sql("label_top")}, {_rate_sql("region_top")}
+      FROM agreement_strata GROUP BY GROUPING SETS ((stratum), ()))
+    SELECT * FROM g JOIN i USING (grp)""")
 def agreement_by_stratum(t: Tables) -> DataFrame:
     rows = agreement_rows(t).join(strata(t).select("item", "stratum"), "item")
-    a = J.agreement_by_stratum(rows, "stratum")
-    return a.select("grp", "n", r6("mean_label_jsd"), r6("mean_region_jsd"), r6("mean_projection_delta"), r6("top_rate"))
+    a = J.agreement_by_stratum(rows, "stratum", ITEM, AGREEMENT_REPLICATES, 14)
+    return a.select("grp", "n", *[r6(c) for c in a.columns[2:]])
 
 
+PERMUTATIONS = 1_000
 CTES["perm_base"] = ("two_sides membership strata", f"""
     SELECT stratum, perm, avg(jsd) AS mean_jsd FROM (SELECT i.item, unnest([s.stratum, 'all']) AS stratum, perm, jsd FROM (
       SELECT item, perm, least(1, greatest(0, sum({TERM}) / 2)) AS jsd FROM (
         SELECT item, perm, region, sum(a * m) AS a, sum(b * m) AS b FROM two_sides t JOIN (
           SELECT 0 AS perm, l AS label, l AS source FROM range(0, 24) r(l) UNION ALL
           SELECT perm, rk AS label, l AS source FROM (SELECT p AS perm, l, row_number() OVER (PARTITION BY p ORDER BY {HASH.format("concat_ws('|', '13', p, l)")}, l) - 1 AS rk
-            FROM range(1, 13) x(p) CROSS JOIN range(0, 24) y(l))) q ON q.label = t.label JOIN membership m ON m.label = q.source GROUP BY item, perm, region) GROUP BY item, perm) i JOIN strata s USING (item))
+            FROM range(1, {PERMUTATIONS + 1}) x(p) CROSS JOIN range(0, 24) y(l))) q ON q.label = t.label JOIN membership m ON m.label = q.source GROUP BY item, perm, region) GROUP BY item, perm) i JOIN strata s USING (item))
     GROUP BY stratum, perm""")
 
 
 def perm_base(t: Tables) -> DataFrame:
     model, human, dense = two_sides(t)
-    return J.permutation_baseline(model, human, dense, J.permutations(t.membership, 12, 13), strata(t), 24, REGIONS)
+    return J.permutation_baseline(model, human, dense, PERMUTATIONS, strata(t), REGIONS, 13)
 
 
 @query("permutation_baseline_J13", uses="perm_base", sql="SELECT stratum, perm::bigint AS perm, round(mean_jsd, 6) AS mean_jsd FROM perm_base")
