@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions.keys import canonical_role, canonical_split, finite_double, item_key, small_side, stable_id
+from . import splits
 
 # Aliases of columns, and keys that may wrap a list of records.
 CONVERSATION_IDS = ["dialogue_id", "dialog_id", "conv_id", "conversation_id", "id"]
@@ -41,19 +42,16 @@ def first_of(prefix: str, names: Sequence[str]) -> Column:
 
 
 def _file_columns(df: DataFrame) -> DataFrame:
-    path = F.col("_metadata.file_path")
+    path = F.col("_file")
     name = F.lower(F.element_at(F.split(path, "/"), -1))
     split = F.when(name.rlike("^(valid|dev)"), "dev").when(name.rlike("^test"), "test").otherwise("train")
-    return df.withColumns({"_annotator": F.element_at(F.split(path, "/"), -2), "_split": split, "_file": path})
+    return df.withColumns({"_annotator": F.element_at(F.split(path, "/"), -2), "_split": split})
 
 
 def read_dialogues(spark: SparkSession, path: str, pattern: str = "*.json", recursive: bool = False) -> DataFrame:
-    """JSON arrays of conversations.  One DataFrame for all files; the annotator is the parent folder and
-    the split comes from the file name."""
-    reader = spark.read.schema(NESTED_SCHEMA).option("multiLine", True).option("pathGlobFilter", pattern)
-    if recursive:
-        reader = reader.option("recursiveFileLookup", True)
-    return _file_columns(reader.json(path))
+    """JSON arrays of conversations.  One DataFrame for all files, large ones read by many tasks; the annotator is
+    the parent folder and the split comes from the file name."""
+    return _file_columns(splits.read_json(spark, path, NESTED_SCHEMA, pathGlobFilter=pattern, recursiveFileLookup=str(recursive).lower()))
 
 
 def read_annotations(spark: SparkSession, root: str) -> DataFrame:
@@ -85,16 +83,19 @@ def read_votes(spark: SparkSession, path: str, fmt: str) -> DataFrame:
     if fmt == "parquet":
         rows = spark.read.parquet(path)
     elif fmt == "csv":
-        rows = spark.read.schema(VOTE_SCHEMA).csv(path, header=True, enforceSchema=False, escape='"', multiLine=True)
+        rows = splits.read_csv(spark, path, VOTE_SCHEMA)
     elif fmt == "jsonl":
         rows = spark.read.schema(VOTE_SCHEMA).json(path)
     elif fmt == "json":
         fields = ", ".join(f.replace(" ", ": ", 1) for f in VOTE_SCHEMA.split(", "))
         wrapped = ", ".join(f"{w} array<struct<{fields}>>" for w in WRAPPERS)
-        raw = spark.read.schema(f"{VOTE_SCHEMA}, {wrapped}").option("multiLine", True).json(path)
         names = [f.split(" ")[0] for f in VOTE_SCHEMA.split(", ")]
-        plain = F.array(F.struct(*names))
-        rows = raw.select(F.inline(F.coalesce(*[F.col(w) for w in WRAPPERS], plain)))
+
+        def single(paths: list[str]) -> DataFrame:
+            raw = spark.read.schema(f"{VOTE_SCHEMA}, {wrapped}").option("multiLine", True).json(paths).withColumn("_file", F.col("_metadata.file_path"))
+            return raw.select(F.inline(F.coalesce(*[F.col(w) for w in WRAPPERS], F.array(F.struct(*names)))), "_file")
+
+        rows = splits.read_json(spark, path, VOTE_SCHEMA, WRAPPERS, single)
     else:
         raise ValueError(f"unknown format {fmt}")
     return as_votes(rows)
@@ -347,7 +348,7 @@ def from_context_texts(rows: DataFrame) -> DataFrame:
 def read_turn_csv(spark: SparkSession, path: str) -> DataFrame:
     """Turn CSV (conv_id, utterance_idx, prompt, utterance): odd indexes are A, even ones B."""
     schema = "conv_id string, utterance_idx long, speaker_idx string, prompt string, utterance string"
-    raw = spark.read.schema(schema).csv(path, header=True, enforceSchema=False, escape='"', multiLine=True)
+    raw = splits.read_csv(spark, path, schema)
     return raw.select("conv_id", F.col("utterance_idx").alias("turn"), F.when(F.col("utterance_idx") % 2 == 1, "A").otherwise("B").alias("role"),
                       F.col("utterance").alias("text"), F.col("prompt").alias("situation"))
 
