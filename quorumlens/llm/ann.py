@@ -74,6 +74,7 @@ class KdTree:
 class Index:
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, projection: np.ndarray) -> None:
         self.ids, self.vectors = ids, vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+        self.repeated = len(np.unique(ids)) < len(ids)
         self.projection = projection
         points = self.vectors @ projection
         self.tree = KdTree(points)
@@ -99,7 +100,11 @@ class Index:
             if len(best) == k:
                 better = scores >= best[-1][0]
                 scores, ids = scores[better], ids[better]
-            best = sorted(best + [(s, i) for s, i in zip(scores.tolist(), ids.tolist()) if i != own_id], key=lambda x: (-x[0], x[1]))[:k]
+            best = sorted(best + [(s, i) for s, i in zip(scores.tolist(), ids.tolist()) if i != own_id], key=lambda x: (-x[0], x[1]))
+            if self.repeated:
+                # Of rows that share an id the nearest counts.
+                best = sorted(((s, i) for i, s in {i: s for s, i in reversed(best)}.items()), key=lambda x: (-x[0], x[1]))
+            best = best[:k]
             if len(best) == k and bound >= enough * max(0.0, 2.0 - 2.0 * best[-1][0]):
                 break
         return best
@@ -140,13 +145,17 @@ def usable(vector: Column) -> Column:
 
 def nearest(rows: DataFrame, is_query: Column, k: int = 5, id_column: str = "vec_id", vector_column: str = "embedding", dims: int = DIMS,
             confidence: float = CONFIDENCE, block_points: int = BLOCK_POINTS) -> DataFrame:
-    """query_id, rank, vec_id, score: the k nearest rows found for each row for which `is_query` holds."""
+    """query_id, rank, vec_id, score: the k nearest ids found for each id with a row for which `is_query` holds.
+
+    Rows that share an id are one candidate, as near as the nearest of them; none of them is found for a query of that id.
+    """
     vectors = rows.withColumn("_ask", is_query).select(
         F.col(id_column).cast("long").alias("vec_id"), F.col(vector_column).cast("array<double>").alias("vector"), "_ask",
     ).filter(F.col("vec_id").isNotNull() & usable(F.col("vector"))).withColumn("dim", F.size("vector"))
     queries = vectors.filter("_ask").select(F.col("vec_id").alias("query_id"), F.col("vector").alias("q_vector"), F.col("dim").alias("q_dim"))
+    # Rows alike in id and vector are one candidate; of equal vectors the k + 1 smallest ids are enough.
     first = Window.partitionBy("vector").orderBy("vec_id")
-    kept = vectors.drop("_ask").withColumn("_copy", F.row_number().over(first)).filter(F.col("_copy") <= k + 1).drop("_copy")
+    kept = vectors.select("vec_id", "vector", "dim").distinct().withColumn("_copy", F.row_number().over(first)).filter(F.col("_copy") <= k + 1).drop("_copy")
     blocks = max(1, -(-rows.count() // block_points))
     groups = max(1, -(-queries.count() // GROUP_QUERIES))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
@@ -154,5 +163,7 @@ def nearest(rows: DataFrame, is_query: Column, k: int = 5, id_column: str = "vec
     right = queries.withColumn("q_group", F.pmod(F.xxhash64("query_id"), F.lit(groups)).cast("int")).withColumn("q_block", every(blocks))
     found = left.groupBy("dim", "block", "group").cogroup(right.groupBy("q_dim", "q_block", "q_group")).applyInArrow(
         _searcher(k, dims, confidence), NEAREST)
+    # A query that stands in several rows is asked with each of its vectors.
+    found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     ranked = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(ranked)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

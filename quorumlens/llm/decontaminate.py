@@ -278,10 +278,13 @@ def contamination(docs: DataFrame, items: DataFrame, width: int = WINDOW_WORDS,
     blocks = max(1, -(-size // block_bytes))
     numbered = words.withColumn("block", F.pmod(F.xxhash64("item_id"), F.lit(blocks)))
     results = []
+    # Results of several blocks are merged by document, named by its id and text, and handed back to every row.
+    named = F.xxhash64("doc_id", F.col("text").cast("string"))
+    texts = docs if blocks == 1 else docs.select(named.alias("doc_id"), "text")
     for b in range(blocks):
         ids, lists = _collected(numbered.filter(F.col("block") == b).drop("block"))
         vocabulary = np.unique(np.concatenate(lists)) if lists else np.zeros(1, np.uint64)
-        index = stored(build_index(docs, vocabulary))
+        index = stored(build_index(texts, vocabulary))
         frequency = {r.term: r.n for r in term_counts(index).collect()}  # at most the vocabulary of the block
         results.append(_search(index, Plan(ids, lists, frequency, width), near_terms, slop))
     if blocks == 1:
@@ -293,7 +296,9 @@ def contamination(docs: DataFrame, items: DataFrame, width: int = WINDOW_WORDS,
         found = all_found.groupBy("doc_id").agg(
             F.max("n_words").alias("n_words"), _union(F.flatten(F.collect_list("spans"))).alias("spans"),
             F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
-            F.flatten(F.collect_list("near")).alias("near"))
+            F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
+        rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), named.alias("_named"))
+        found = rows.join(found.withColumnRenamed("doc_id", "_named"), "_named").select("doc_id", "n_words", "spans", "items", "near")
     hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
     return found.withColumn("n_hit", hit)
 

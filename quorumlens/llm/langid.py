@@ -30,7 +30,7 @@ LONGEST = 3
 RIDGE = 1e-2
 SHARPNESS = 8.0
 UNKNOWN = "und"
-PREDICTED = "doc_id long, lang_pred string, score double"
+PREDICTED = "doc_id long, text_key long, lang_pred string, score double"
 # Documents of one presence matrix.
 BATCH_DOCS = 64
 
@@ -149,11 +149,11 @@ def sample(docs: DataFrame, per_language: int = PER_LANGUAGE, most_rows: int = M
 
 
 def predict(docs: DataFrame, model: Model | None) -> DataFrame:
-    """doc_id, lang_pred, score of each row."""
-    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    """doc_id, text_key (xxhash64 of the text), lang_pred, score of each row."""
+    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("text_key", F.xxhash64("text"))
     letter = has_letter(F.col("text"))
     if model is None:
-        return plain.select("doc_id", F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
+        return plain.select("doc_id", "text_key", F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def score(batches):
@@ -168,14 +168,14 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
                     share /= share.sum(axis=1, keepdims=True)
                     yes = some.column("letter").to_numpy(zero_copy_only=False)
                     yield pa.RecordBatch.from_pydict({
-                        "doc_id": some.column("doc_id"), "lang_pred": pa.array(np.where(yes, names[f.argmax(axis=1)], UNKNOWN), pa.string()),
+                        "doc_id": some.column("doc_id"), "text_key": some.column("text_key"), "lang_pred": pa.array(np.where(yes, names[f.argmax(axis=1)], UNKNOWN), pa.string()),
                         "score": pa.array(np.where(yes, share.max(axis=1), 0.0).astype(np.float64), pa.float64())})
 
     return plain.withColumn("letter", letter).mapInArrow(score, PREDICTED)
 
 
 def identify(docs: DataFrame) -> DataFrame:
-    """doc_id, held_out, lang_pred, score: fitted on the labelled rows of `docs` that aren't held out."""
+    """doc_id, held_out, lang_pred, score, text_key: fitted on the labelled rows of `docs` that aren't held out."""
     texts, labels = sample(docs)
     found = predict(docs, fit(texts, labels) if texts else None)
-    return found.select("doc_id", (~in_training(F.col("doc_id"))).alias("held_out"), "lang_pred", "score")
+    return found.select("doc_id", (~in_training(F.col("doc_id"))).alias("held_out"), "lang_pred", "score", "text_key")

@@ -17,8 +17,9 @@ whole, with trailing lines that have too few words by themselves.  Adjoining del
   its end, is reportable.  If that is the line, its shortest run is repeated; if not, the rest after that start is too short,
   so it is a window.  A window has at most `min_words` lines, and doubling stops there however long the copies are.
 
-Nulls and texts without such runs stay as they are.  doc_id names a document: rows that share one are taken as one
-document's occurrence of each place and get the same result.
+Nulls and texts without such runs stay as they are.  A document is named by its doc_id and the hash of its text: rows that
+share a doc_id but not the text are documents of their own, in the order of that hash; rows alike in both are one document
+and get the same result.  Rows without a doc_id come after all others.
 """
 
 from __future__ import annotations
@@ -30,6 +31,13 @@ from .store import stored
 
 MIN_WORDS = 10
 
+# What names a document, in its order.
+DOC = ["doc_id", "copy"]
+
+
+def _named(doc_id: Column, text: Column) -> list[Column]:
+    return [F.coalesce(doc_id.cast("long"), F.lit((1 << 63) - 1)).alias("doc_id"), F.xxhash64(text.cast("string")).alias("copy")]
+
 
 def _lines(text: Column) -> Column:
     """All lines, blank ones too, with their numbers and words."""
@@ -42,12 +50,12 @@ def _words(line: Column) -> Column:
 
 
 def sequences(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """doc_id, pos, line (its hash and length), least (lines of the shortest reportable run, 0 if there is none) and span (the line numbers of the longest window)."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _lines(F.col("text").cast("string")).alias("lines"))
+    """doc_id, copy, pos, line (its hash and length), least (lines of the shortest reportable run, 0 if there is none) and span (the line numbers of the longest window)."""
+    rows = docs.select(*_named(F.col("doc_id"), F.col("text")), _lines(F.col("text").cast("string")).alias("lines"))
     kept = F.filter(F.transform("lines", lambda x, i: F.struct(i.alias("line_no"), x.alias("text"))), lambda s: s["text"] != "")
     # The walks take at most min_words lines of the run that starts in the current line; a line has a word at least.
-    rows = rows.filter("doc_id IS NOT NULL").select("doc_id", kept.alias("kept")).select(
-        "doc_id", F.transform("kept", lambda s: _words(s["text"])).alias("words"),
+    rows = rows.select(*DOC, kept.alias("kept")).select(
+        *DOC, F.transform("kept", lambda s: _words(s["text"])).alias("words"),
         F.transform("kept", lambda s: F.struct(s["line_no"], F.xxhash64(s["text"]).alias("h"), F.length(s["text"]).alias("n"))).alias("kept"))
 
     def walk(start: Column, most: int) -> Column:
@@ -64,8 +72,8 @@ def sequences(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     rows = rows.withColumn("least", least).withColumn("longest", longest)
     span = F.transform("least", lambda n, i: F.transform(
         F.slice("kept", i + 1, F.when(n == 0, F.lit(0)).otherwise(F.greatest(n, F.get("longest", i)))), lambda s: s["line_no"]))
-    flat = rows.select("doc_id", F.posexplode(F.arrays_zip("kept", "least", span.alias("span"))).alias("pos", "s"))
-    return flat.select("doc_id", "pos", F.struct("s.kept.h", "s.kept.n").alias("line"), F.col("s.least").alias("least"), F.col("s.span").alias("span"))
+    flat = rows.select(*DOC, F.posexplode(F.arrays_zip("kept", "least", span.alias("span"))).alias("pos", "s"))
+    return flat.select(*DOC, "pos", F.struct("s.kept.h", "s.kept.n").alias("line"), F.col("s.least").alias("least"), F.col("s.span").alias("span"))
 
 
 def ranked(keys: DataFrame, columns: list[str]) -> DataFrame:
@@ -86,21 +94,22 @@ def ranked(keys: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def suffix_ranks(places: DataFrame, longest: int) -> list[DataFrame]:
-    """For each k with 2**k <= longest: doc_id, pos, rank by the first 2**k lines of the suffixes that share them with another."""
+    """For each k with 2**k <= longest: doc_id, copy, pos, rank by the first 2**k lines of the suffixes that share them with another."""
     first = ranked(places.groupBy("line").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("line"), ["line"])
-    levels = [stored(places.join(first, "line").select("doc_id", "pos", "rank"))]
+    # Rows of one document are one here, or each level would multiply them.
+    levels = [stored(places.join(first, "line").select(*DOC, "pos", "rank").dropDuplicates([*DOC, "pos"]))]
     while 2 << (len(levels) - 1) <= longest:
         h = 1 << (len(levels) - 1)
         now = levels[-1]
-        on = now.select("doc_id", (F.col("pos") - h).alias("pos"), F.col("rank").alias("next"))
-        paired = stored(now.withColumnRenamed("rank", "own").join(on, ["doc_id", "pos"]))
+        on = now.select(*DOC, (F.col("pos") - h).alias("pos"), F.col("rank").alias("next"))
+        paired = stored(now.withColumnRenamed("rank", "own").join(on, [*DOC, "pos"]))
         pairs = ranked(paired.groupBy("own", "next").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("own", "next"), ["own", "next"])
-        levels.append(stored(paired.join(pairs, ["own", "next"]).select("doc_id", "pos", "rank")))
+        levels.append(stored(paired.join(pairs, ["own", "next"]).select(*DOC, "pos", "rank")))
     return levels
 
 
 def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """doc_id and line_nos (from 0, ascending) of the lines to delete, for documents that lose any."""
+    """doc_id, copy and line_nos (from 0, ascending) of the lines to delete, for documents that lose any."""
     places = stored(sequences(docs, min_words))
     longest = places.agg(F.max(F.size("span"))).first()[0] or 1
     reach = F.col("reach")
@@ -108,23 +117,24 @@ def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     for k, level in enumerate(suffix_ranks(places, longest)):
         # Two runs of 2**k lines, the first and the last, cover a window.
         low, high = F.greatest("least", F.lit(1 << k)), F.least(F.size("span"), F.lit((2 << k) - 1))
-        windows = places.filter((F.col("least") > 0) & (low <= high)).select("doc_id", "pos", "span", low.alias("low"), high.alias("high"))
-        found = windows.join(level.withColumnRenamed("rank", "a"), ["doc_id", "pos"])
-        found = found.select("doc_id", "pos", "span", "a", F.explode(F.sequence("low", "high")).alias("reach"))
-        last = level.select(F.col("doc_id"), F.col("pos").alias("last_pos"), F.col("rank").alias("b"))
-        found = found.withColumn("b", F.col("a")) if k == 0 else found.withColumn("last_pos", F.col("pos") + reach - (1 << k)).join(last, ["doc_id", "last_pos"])
-        found = found.select("doc_id", "pos", F.slice("span", F.lit(1), reach).alias("span"), "reach", "a", "b")
+        windows = places.filter((F.col("least") > 0) & (low <= high)).select(*DOC, "pos", "span", low.alias("low"), high.alias("high"))
+        found = windows.join(level.withColumnRenamed("rank", "a"), [*DOC, "pos"])
+        found = found.select(*DOC, "pos", "span", "a", F.explode(F.sequence("low", "high")).alias("reach"))
+        last = level.select(*DOC, F.col("pos").alias("last_pos"), F.col("rank").alias("b"))
+        found = found.withColumn("b", F.col("a")) if k == 0 else found.withColumn("last_pos", F.col("pos") + reach - (1 << k)).join(last, [*DOC, "last_pos"])
+        found = found.select(*DOC, "pos", F.slice("span", F.lit(1), reach).alias("span"), "reach", "a", "b")
         named = found if named is None else named.unionByName(found)
     named = stored(named)
-    intervals = named.groupBy("reach", "a", "b").agg(F.min(F.struct("doc_id", "pos")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    later = named.join(intervals.drop("n"), ["reach", "a", "b"]).filter(F.struct("doc_id", "pos") > F.col("first"))
-    return later.groupBy("doc_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("span")))).alias("line_nos"))
+    intervals = named.groupBy("reach", "a", "b").agg(F.min(F.struct(*DOC, "pos")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    later = named.join(intervals.drop("n"), ["reach", "a", "b"]).filter(F.struct(*DOC, "pos") > F.col("first"))
+    return later.groupBy(*DOC).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("span")))).alias("line_nos"))
 
 
 def drop_repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """`docs` without the later copies of repeated runs: text, n_removed (lines) and runs, the deleted maximal runs."""
-    gone = repeated_lines(docs, min_words).select(F.col("doc_id").alias("_doc_id"), "line_nos")
-    found = docs.join(gone, F.col("doc_id").cast("long") == F.col("_doc_id"), "left").drop("_doc_id")
+    gone = repeated_lines(docs, min_words).select(F.col("doc_id").alias("_doc_id"), F.col("copy").alias("_copy"), "line_nos")
+    doc_id, copy = _named(F.col("doc_id"), F.col("text"))
+    found = docs.join(gone, (doc_id == F.col("_doc_id")) & (copy == F.col("_copy")), "left").drop("_doc_id", "_copy")
     lines = F.split("text", "\n")
     kept = F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "line_nos"), lambda i: F.get(lines, i)), "\n")
     after = F.transform("line_nos", lambda i: i + 1)

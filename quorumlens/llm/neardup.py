@@ -118,24 +118,24 @@ def text_digests(docs: DataFrame) -> DataFrame:
         for batch in batches:
             for part in chunks(batch, "text"):
                 words = Words(part.column("text"), PLAIN, lower=True)
-                yield pa.RecordBatch.from_pydict({"doc_id": part.column("doc_id"), "digest": pa.array(
+                yield pa.RecordBatch.from_pydict({"doc_id": part.column("doc_id"), "text_key": part.column("text_key"), "digest": pa.array(
                     digests(words).view(np.int64), pa.int64(), mask=words.counts == 0)})
 
-    return docs.mapInArrow(digest, "doc_id long, digest long")
+    return docs.withColumn("text_key", F.xxhash64("text")).mapInArrow(digest, "doc_id long, text_key long, digest long")
 
 
 class Texts:
-    """The documents of a segment that stand for their texts: all but those named in `copies`, and the first of repeated rows."""
+    """The rows of a segment that stand for their texts: all but those whose id and text are in `copies`, and the first of repeated rows."""
 
     def __init__(self, copies: pa.Table) -> None:
-        self.copies = {i for ids in copies.column("ids").to_pylist() if ids is not None for i in ids}
+        self.copies = {(i["doc_id"], i["digest"]) for ids in copies.column("ids").to_pylist() if ids is not None for i in ids}
         self.seen: set[int] = set()
 
     def fresh(self, part: pa.RecordBatch, words: Words) -> tuple[np.ndarray, np.ndarray]:
         digest = digests(words)
         out = np.zeros(part.num_rows, bool)
         for d, doc_id in enumerate(part.column("doc_id").to_pylist()):
-            if words.counts[d] and doc_id not in self.copies:
+            if words.counts[d] and (doc_id, int(digest[d].astype(np.int64))) not in self.copies:
                 out[d] = int(digest[d]) not in self.seen
                 self.seen.add(int(digest[d]))
         return out, digest
@@ -227,11 +227,11 @@ def vectors(docs: DataFrame, base: DataFrame, threshold: float = THRESHOLD, segm
     total = max(2, first.count())
     segments = ex.segment_count(docs, segment_rows)
     segment = ex.hashed(F.col("doc_id"), segments).alias("segment")
-    copies = worded.join(first, "digest").filter(~F.col("doc_id").eqNullSafe(F.col("first"))).select(segment, "doc_id")
-    copies = stored(copies.groupBy("segment").agg(F.collect_list("doc_id").alias("ids")))
+    copies = worded.join(first, "digest").filter(~F.col("doc_id").eqNullSafe(F.col("first"))).select(segment, "doc_id", "digest").distinct()
+    copies = stored(copies.groupBy("segment").agg(F.collect_list(F.struct("doc_id", "digest")).alias("ids")))
     parts = docs.select("doc_id", "text", segment)
     sent = parts.groupBy("segment").cogroup(copies.groupBy("segment")).applyInArrow(_sender(SHINGLE_WORDS, ex.bucket_count(segments)), ex.MESSAGE)
-    told = sent.groupBy("bucket").applyInArrow(_count, ex.ANSWER).withColumn("ids", F.lit(None).cast("array<long>"))
+    told = sent.groupBy("bucket").applyInArrow(_count, ex.ANSWER).withColumn("ids", F.lit(None).cast("array<struct<doc_id: bigint, digest: bigint>>"))
     told = told.unionByName(copies.select("segment", F.lit(None).cast("binary").alias("hashes"), F.lit(None).cast("binary").alias("extra"), "ids"))
     make = _vectorizer(SHINGLE_WORDS, total, threshold, bands, rows)
     return parts.groupBy("segment").cogroup(told.groupBy("segment")).applyInArrow(make, VECTOR)
@@ -323,7 +323,11 @@ def linked_texts(vecs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, segment_rows: int = ex.SEGMENT_ROWS) -> DataFrame:
-    """doc_id, class_id (the least doc_id of its class), class_size, n_texts (different texts in the class)."""
+    """doc_id, text_key (xxhash64 of the text), class_id (the least doc_id of its class), class_size, n_texts (different texts in the class), class_key.
+
+    One row for each row of `docs`; rows that share a doc_id but not the text belong each to the class of its own text, so
+    two classes may have one class_id; class_key tells them apart.
+    """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     base = stored(text_digests(rows))
     vecs = stored(vectors(rows, base, threshold, segment_rows))
@@ -331,8 +335,8 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, segment_rows:
     texts = base.filter("digest IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n"))
     labelled = texts.join(joined, "digest", "left").withColumn("root", F.coalesce("component", "digest"))
     classes = labelled.groupBy("root").agg(F.min("least").alias("class_id"), F.sum("n").alias("class_size"), F.count(F.lit(1)).alias("n_texts"))
-    of_text = labelled.join(classes, "root").select("digest", "class_id", "class_size", "n_texts")
-    found = base.filter("digest IS NOT NULL").select("doc_id", "digest").join(of_text, "digest").drop("digest")
-    empty = base.filter("digest IS NULL").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size"),
+    of_text = labelled.join(classes, "root").select("digest", F.col("root").alias("class_key"), "class_id", "class_size", "n_texts")
+    found = base.filter("digest IS NOT NULL").select("doc_id", "text_key", "digest").join(of_text, "digest").drop("digest")
+    empty = base.filter("digest IS NULL").select("doc_id", "text_key", F.col("text_key").alias("class_key"), F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size"),
                                                 F.lit(1).cast("long").alias("n_texts"))
     return found.unionByName(empty)

@@ -120,7 +120,7 @@ def jump_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 def string_kernel_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .langid import identify
 
-    return identify(table(spark, sf_dir, "documents"))
+    return identify(table(spark, sf_dir, "documents")).drop("text_key")
 
 
 @query("op7_projected_neighbours")
