@@ -7,7 +7,7 @@ lang and n_chars pass through unchanged; n_chars, if it is there, follows the te
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quorumlens.llm.decontaminate import contamination, is_contaminated
@@ -22,9 +22,15 @@ from quorumlens.llm.tokens import VOCABULARY
 LEAST_SCORE = 0.3
 
 
+def _same(a: DataFrame, b: DataFrame) -> Column:
+    """Whether a row of `a`, a document, is one of `b` (doc_id, text_key): a decision holds for the id, null too, and the text."""
+    return a["doc_id"].cast("long").eqNullSafe(b["doc_id"]) & (F.xxhash64(a["text"].cast("string")) == b["text_key"])
+
+
 def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
-    """Documents whose id is not among the rejected; a null id is never rejected."""
-    return docs.join(rejected.select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    """Documents whose id and text aren't among the rejected."""
+    gone = rejected.select("doc_id", "text_key").distinct()
+    return docs.join(gone, _same(docs, gone), "left_anti").select(*docs.columns)
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,17 +49,27 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near duplicates the document with the least doc_id stays; rows without an id all stay."""
-    kept = near_duplicates(docs).filter("doc_id = class_id").select("doc_id").distinct()
-    first = Window.partitionBy("doc_id").orderBy("doc_id")
-    found = docs.filter("doc_id IS NOT NULL").join(kept, "doc_id", "left_semi").withColumn("_copy", F.row_number().over(first)).filter("_copy = 1")
-    return found.select(*docs.columns).unionByName(docs.filter("doc_id IS NULL"))
+    """Of each class of near duplicates the document with the least doc_id stays; rows without an id all stay.
+
+    Rows that share a doc_id stand for themselves: one of another text than its class's stays.  Of rows alike in id and text
+    that have the least doc_id one stays, whatever their other columns hold.
+    """
+    found = near_duplicates(docs).filter("doc_id = class_id")
+    kept = found.groupBy("class_key", "doc_id").agg(F.min("text_key").alias("text_key")).select("doc_id", "text_key").distinct()
+    rows = docs.filter("doc_id IS NOT NULL")
+    alike = Window.partitionBy("doc_id", F.xxhash64(F.col("text").cast("string"))).orderBy(F.xxhash64(*docs.columns))
+    one = rows.join(kept, _same(rows, kept), "left_semi").withColumn("_copy", F.row_number().over(alike)).filter("_copy = 1")
+    return one.select(*docs.columns).unionByName(docs.filter("doc_id IS NULL"))
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents of which a twentieth of the words or more stands in windows of benchmark items."""
     items = spark.read.parquet(f"{sf_dir.rstrip('/')}/benchmark.parquet")
-    return _without(docs, contamination(docs, items).filter(is_contaminated()))
+    # The operator carries one name of a row through: here one of id and text.
+    name = F.xxhash64("doc_id", F.col("text").cast("string"))
+    found = contamination(docs.select(name.alias("doc_id"), "text"), items).filter(is_contaminated())
+    gone = found.select(F.col("doc_id").alias("_name")).distinct()
+    return docs.join(gone, name == F.col("_name"), "left_anti").select(*docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
