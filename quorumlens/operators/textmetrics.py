@@ -3,22 +3,79 @@
 from collections.abc import Sequence
 from functools import reduce
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import ranking
 from ..functions import text as X
+from ..functions.keys import small_side
+from ..functions.lineage import checkpointed
 
 FLOOR = 1e-9
+# Tokens that a task counts at a time.
+SLICE_TOKENS = 500_000
 
 
-def gram_stats(pairs: DataFrame, row_id: str, hyp: str, ref: str, upto: int = 4) -> DataFrame:
-    """Per row and order n: clipped overlap, hypothesis total and reference total, as columns o1..,h1..,r1..
+def _overlap_udf(upto: int):
+    """Arrow UDF of two token arrays: a struct of o1..,h1..,r1.., the clipped overlap and the totals of every order.
 
-    The texts are shuffled once by row id; every aggregation after that is keyed by the row id and
-    something else, so Spark reuses the partitioning and the n-grams never cross the network.
+    Tokens of a batch are numbered; an n-gram of a text is the number of its first n - 1 tokens, which names the row as well, and its last
+    token, so n-grams are never built as texts and the counts are exact.  Some rows at a time, so the arrays stay small.
     """
+    names = [f"{c}{n}" for n in range(1, upto + 1) for c in "ohr"]
+    kind = T.StructType([T.StructField(c, T.LongType()) for c in names])
+    most = SLICE_TOKENS
+
+    def counted(left: pa.Array, right: pa.Array) -> list[np.ndarray]:
+        n = len(left)
+        sizes = np.concatenate([pc.fill_null(pc.list_value_length(x), 0).to_numpy(zero_copy_only=False) for x in (left, right)])
+        code = pa.concat_arrays([pc.list_flatten(left), pc.list_flatten(right)]).dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        side = np.repeat(np.arange(2 * n), sizes)  # rows of the left side, then of the right one
+        words, at, gram, out = int(code.max(initial=0)) + 1, np.arange(len(code)), side % max(n, 1), []
+        for order in range(upto):
+            at, gram = (at, gram) if order == 0 else (x[(at + order < len(code)) & (side[np.minimum(at + order, len(code) - 1)] == side[at])] for x in (at, gram))
+            _, first, gram = np.unique(gram * words + code[at + order], return_index=True, return_inverse=True)
+            mine = side[at] < n
+            hyp, ref = np.bincount(gram[mine], minlength=len(first)), np.bincount(gram[~mine], minlength=len(first))
+            row = side[at][first] % max(n, 1)
+            out += [np.bincount(row, x, n).astype(np.int64) for x in (np.minimum(hyp, ref), hyp, ref)]
+        return out
+
+    @F.arrow_udf(kind)
+    def overlaps(left: pa.Array, right: pa.Array) -> pa.Array:
+        load = np.cumsum(sum(pc.fill_null(pc.list_value_length(x), 0).to_numpy(zero_copy_only=False).astype(np.int64) for x in (left, right)))
+        cuts = np.flatnonzero(np.diff(load // most)) + 1 if len(load) else load
+        edges = [0, *cuts.tolist(), len(left)]
+        parts = [counted(left.slice(a, b - a), right.slice(a, b - a)) for a, b in zip(edges, edges[1:])]
+        return pa.StructArray.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts, strict=True)], names=names)
+
+    return overlaps
+
+
+def _stat_names(upto: int) -> list[str]:
+    return [f"{c}{n}" for n in range(1, upto + 1) for c in "ohr"]
+
+
+def _split_by_id(rows: DataFrame, row_id: str) -> tuple[DataFrame, DataFrame]:
+    """Rows that have their id for themselves, and rows that share it (null is an id); only ids are shuffled, unless many are shared."""
+    shared = checkpointed(rows.groupBy(row_id).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select(F.col(row_id).alias("_shared")))
+    ids, same = small_side(shared), F.col(row_id).eqNullSafe(F.col("_shared"))
+    return rows.join(ids, same, "left_anti"), rows.join(ids, same, "left_semi")
+
+
+def _with_overlaps(rows: DataFrame, hyp: str, ref: str, upto: int) -> DataFrame:
+    """`rows` with o1..,h1..,r1.. of their own two texts, counted in the row."""
+    counted = rows.withColumn("_o", _overlap_udf(upto)(X.tokens(F.col(hyp)), X.tokens(F.col(ref))))
+    return counted.select(*rows.columns, *[F.col(f"_o.{c}").alias(c) for c in _stat_names(upto)])
+
+
+def _shared_stats(pairs: DataFrame, row_id: str, hyp: str, ref: str, upto: int) -> DataFrame:
+    """`gram_stats` of ids with any number of rows, over rows of n-grams: no task holds an id whole."""
     placed = pairs.select(row_id, hyp, ref).repartition(row_id)
     sides = placed.select(
         row_id, F.explode(F.array(F.struct(F.lit(1).alias("h"), F.col(hyp).alias("t")),
@@ -41,6 +98,17 @@ def gram_stats(pairs: DataFrame, row_id: str, hyp: str, ref: str, upto: int = 4)
     return counted.groupBy(row_id).agg(*sums)
 
 
+def gram_stats(pairs: DataFrame, row_id: str, hyp: str, ref: str, upto: int = 4) -> DataFrame:
+    """Per row id and order n: clipped overlap, hypothesis total and reference total, as columns o1..,h1..,r1..
+
+    An id of one row is counted inside that row, so neither its texts nor its n-grams are shuffled; the counts of ids that several rows
+    share are added up before they are clipped.  Ids without any token have no row here.
+    """
+    own, shared = _split_by_id(pairs.select(row_id, hyp, ref), row_id)
+    single = _with_overlaps(own, hyp, ref, upto).filter("h1 + r1 > 0").select(row_id, *_stat_names(upto))
+    return single.unionByName(_shared_stats(shared, row_id, hyp, ref, upto))
+
+
 def bleu_floored(upto: int) -> Column:
     """Geometric mean of precisions floored at 1e-9 with brevity penalty, from `gram_stats` columns."""
     logs = [F.ln(F.greatest(F.when(F.col(f"h{n}") > 0, F.col(f"o{n}") / F.col(f"h{n}")).otherwise(0.0), F.lit(FLOOR)))
@@ -209,9 +277,15 @@ def diagnostics(rows: DataFrame, keys: Sequence[str], response: str) -> DataFram
 
 
 def per_example(rows: DataFrame, row_id: str, response: str, reference: str, context: str, min_words: int = 3) -> DataFrame:
-    """One row per response with reference metrics and degeneration flags."""
-    grams = gram_stats(rows, row_id, response, reference)
-    t = text_columns(rows, response, context).join(grams, row_id, "left")
+    """One row per response with reference metrics and degeneration flags.
+
+    Responses that share an id have the counts of all of them; one without an id has none.
+    """
+    own, shared = _split_by_id(rows, row_id)
+    counted = _with_overlaps(own, response, reference, 4)
+    counted = counted.select(*rows.columns, *[F.when(F.col(row_id).isNotNull(), F.col(c)).alias(c) for c in _stat_names(4)])
+    joined = shared.join(_shared_stats(shared, row_id, response, reference, 4), row_id, "left").select(*counted.columns)
+    t = text_columns(counted.unionByName(joined), response, context)
     words = F.size("toks")
     scored = t.select(
         *rows.columns,
