@@ -15,32 +15,43 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+# Tokens that a task hashes at a time.
+SLICE_TOKENS = 200_000
+
 VECTOR = T.ArrayType(T.StructType([T.StructField("bucket", T.LongType()), T.StructField("x", T.DoubleType())]))
 
 
 def hashed_tokens(tokens: Column, dim: int) -> Column:
     """Signed counts of the tokens and of adjacent pairs per hash bucket; buckets whose counts cancel stay, with 0.
 
-    A batch hashes each different token and pair once; the counts are numpy sums over the batch.
+    Some texts of a batch at a time, so that the arrays stay small however many long texts a batch has; they hash each different token
+    and pair once, and the counts are numpy sums over them.
     """
+    most = SLICE_TOKENS
 
-    @F.arrow_udf(VECTOR)
-    def hashed(batch: pa.Array) -> pa.Array:
+    def counted(batch: pa.Array) -> pa.Array:
         n = len(batch)
         sizes = pc.fill_null(pc.list_value_length(batch), 0).to_numpy(zero_copy_only=False)
         coded = pc.list_flatten(batch).dictionary_encode()
         words, code = coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
         row = np.repeat(np.arange(n), sizes)
-        number = lambda features: np.array([int(hashlib.md5(x.encode()).hexdigest()[:15], 16) for x in features], np.int64)
+        number = lambda features, size: np.fromiter((int(hashlib.md5(x.encode()).hexdigest()[:15], 16) for x in features), np.int64, size)
         inner = row[1:] == row[:-1]
         pairs, of = np.unique(code[:-1][inner] * len(words) + code[1:][inner], return_inverse=True)
         first, second = np.divmod(pairs, max(len(words), 1))
-        h = np.concatenate([number(f"tok:{w}" for w in words)[code], number(f"bigram:{words[a]}_{words[b]}" for a, b in zip(first.tolist(), second.tolist(), strict=True))[of]])
+        bigrams = (f"bigram:{words[a]}_{words[b]}" for a, b in zip(first.tolist(), second.tolist(), strict=True))
+        h = np.concatenate([number((f"tok:{w}" for w in words), len(words))[code], number(bigrams, len(pairs))[of]])
         cells, at = np.unique(np.concatenate([row, row[1:][inner]]) * dim + h % dim, return_inverse=True)
         sums = np.bincount(at, np.where((h >> 32) % 2 == 0, 1.0, -1.0), len(cells))
         offsets = np.concatenate([[0], np.cumsum(np.bincount(cells // dim, minlength=n))])
         return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays([pa.array(cells % dim, pa.int64()), pa.array(sums, pa.float64())], names=["bucket", "x"]))
 
+    @F.arrow_udf(VECTOR)
+    def hashed(batch: pa.Array) -> pa.Array:
+        load = np.cumsum(pc.fill_null(pc.list_value_length(batch), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        edges = [0, *(np.flatnonzero(np.diff(load // most)) + 1).tolist(), len(batch)]
+        return pa.concat_arrays([counted(batch.slice(a, b - a)) for a, b in zip(edges, edges[1:])])
+
     return hashed(tokens)
 
 

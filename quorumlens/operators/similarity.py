@@ -205,9 +205,11 @@ def nearest_examples(queries: DataFrame, stored: DataFrame, q_key: str, s_key: s
         for pdf in batches:
             for qk, qn, qb, qx, sk, sn, sb, sx in pdf[["qk", "qn", "qb", "qx", "sk", "sn", "sb", "sx"]].itertuples(index=False):
                 order = np.argsort(sk, kind="stable")
-                scores = np.round(dense(qn, qb, qx) @ dense(sn, sb, sx)[order].T, 9)
-                best = np.argsort(-scores, axis=1, kind="stable")[:, :k]
-                yield pd.DataFrame({"q": np.repeat(qk, best.shape[1]), "s": sk[order][best.ravel()], "score": np.take_along_axis(scores, best, 1).ravel()})
+                left, right = dense(qn, qb, qx), dense(sn, sb, sx)[order].T
+                for at in range(0, len(left), 128):  # products of some queries at a time
+                    scores = np.round(left[at:at + 128] @ right, 9)
+                    best = np.argsort(-scores, axis=1, kind="stable")[:, :k]
+                    yield pd.DataFrame({"q": np.repeat(qk[at:at + 128], best.shape[1]), "s": sk[order][best.ravel()], "score": np.take_along_axis(scores, best, 1).ravel()})
 
     found = cells.mapInPandas(meet, f"q {kinds[q_key]}, s {kinds[s_key]}, score double")
     w = Window.partitionBy("q").orderBy(F.desc("score"), "s")  # k rows from each block of examples
