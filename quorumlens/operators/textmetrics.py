@@ -57,15 +57,46 @@ def _overlap_udf(upto: int):
     return overlaps
 
 
+def _gram_counts_udf(upto: int):
+    """Arrow UDF of a token array: (n, at, c) for each different n-gram, its first place from 1 and its count."""
+    kind = T.ArrayType(T.StructType([T.StructField("n", T.IntegerType()), T.StructField("at", T.IntegerType()), T.StructField("c", T.LongType())]))
+    most = SLICE_TOKENS
+
+    def counted(texts: pa.Array) -> pa.Array:
+        sizes = pc.fill_null(pc.list_value_length(texts), 0).to_numpy(zero_copy_only=False)
+        code = pc.list_flatten(texts).dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        row, begin = np.repeat(np.arange(len(texts)), sizes), np.concatenate([[0], np.cumsum(sizes)])
+        words, at, gram, found = int(code.max(initial=0)) + 1, np.arange(len(code)), row, []
+        for order in range(upto):
+            at, gram = (at, gram) if order == 0 else (x[(at + order < len(code)) & (row[np.minimum(at + order, len(code) - 1)] == row[at])] for x in (at, gram))
+            _, first, gram = np.unique(gram * words + code[at + order], return_index=True, return_inverse=True)
+            found.append((np.full(len(first), order + 1), at[first], np.bincount(gram, minlength=len(first))))
+        n, place, c = (np.concatenate(x) for x in zip(*found, strict=True))
+        by_row = np.argsort(row[place], kind="stable")
+        n, place, c = n[by_row], place[by_row], c[by_row]
+        offsets = np.concatenate([[0], np.cumsum(np.bincount(row[place], minlength=len(texts)))])
+        values = [pa.array(n, pa.int32()), pa.array(place - begin[row[place]] + 1, pa.int32()), pa.array(c, pa.int64())]
+        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays(values, names=["n", "at", "c"]))
+
+    @F.arrow_udf(kind)
+    def counts(texts: pa.Array) -> pa.Array:
+        load = np.cumsum(pc.fill_null(pc.list_value_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        edges = [0, *(np.flatnonzero(np.diff(load // most)) + 1).tolist(), len(texts)]
+        return pa.concat_arrays([counted(texts.slice(a, b - a)) for a, b in zip(edges, edges[1:])])
+
+    return counts
+
+
 def _stat_names(upto: int) -> list[str]:
     return [f"{c}{n}" for n in range(1, upto + 1) for c in "ohr"]
 
 
-def _split_by_id(rows: DataFrame, row_id: str) -> tuple[DataFrame, DataFrame]:
+def _split_by_id(rows: DataFrame, *ids: str) -> tuple[DataFrame, DataFrame]:
     """Rows that have their id for themselves, and rows that share it (null is an id); only ids are shuffled, unless many are shared."""
-    shared = checkpointed(rows.groupBy(row_id).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select(F.col(row_id).alias("_shared")))
-    ids, same = small_side(shared), F.col(row_id).eqNullSafe(F.col("_shared"))
-    return rows.join(ids, same, "left_anti"), rows.join(ids, same, "left_semi")
+    named = [F.col(c).alias(f"_shared_{c}") for c in ids]
+    shared = checkpointed(rows.groupBy(*ids).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select(*named))
+    few, same = small_side(shared), reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_shared_{c}")) for c in ids])
+    return rows.join(few, same, "left_anti"), rows.join(few, same, "left_semi")
 
 
 def _with_overlaps(rows: DataFrame, hyp: str, ref: str, upto: int) -> DataFrame:
@@ -190,7 +221,8 @@ def self_bleu(
     Against all others an n-gram of a response is clipped only where it is more frequent in that response than in any other; so
     the overlap is the number of n-grams less, for each n-gram whose largest count one response alone has, the distance
     to the second largest count.  Both come from aggregates that combine: rows per (n-gram, count), then the two largest counts per
-    n-gram.  The closest other length comes from the table of lengths.  No response meets another one.
+    n-gram.  The closest other length comes from the table of lengths.  No response meets another one.  The n-grams of a response
+    are counted inside its row; rows that share an id are added up as rows of n-grams.
     """
     keys = list(keys)
     picked = rows.select(*keys, row_id, text)
@@ -204,10 +236,13 @@ def self_bleu(
     near = F.array_compact(F.array(F.when(F.col("_m") > 1, F.col("len")), F.lag("len").over(by_len), F.lead("len").over(by_len)))
     table = table.withColumn("_near", near).select(
         *keys, "len", F.array_min(F.transform("_near", lambda x: F.struct(F.abs(x - F.col("len")).alias("d"), x.alias("l"))))["l"].alias("ref_len"))
-    grams = toks.select(*keys, row_id, X.gram_rows(F.col("toks"), upto).alias("g"))
+    own, shared = _split_by_id(picked, *keys, row_id)
+    single = own.select(*keys, row_id, X.tokens(F.col(text)).alias("toks")).select(*keys, row_id, "toks", F.explode(_gram_counts_udf(upto)("toks")).alias("x"))
+    single = single.select(*keys, row_id, "x.n", F.array_join(F.slice("toks", F.col("x.at"), F.col("x.n")), " ").alias("gram"), "x.c")
+    grams = shared.select(*keys, row_id, X.gram_rows(X.tokens(F.col(text)), upto).alias("g"))
     orders = F.explode(F.array(*[F.struct(F.lit(n).alias("n"), X.gram("g", n).alias("gram")) for n in range(1, upto + 1)]))
     flat = grams.select(*keys, row_id, orders.alias("x")).select(*keys, row_id, "x.n", "x.gram").filter("gram is not null")
-    counted = flat.groupBy(*keys, row_id, "n", "gram").agg(F.count(F.lit(1)).alias("c"))
+    counted = single.unionByName(flat.groupBy(*keys, row_id, "n", "gram").agg(F.count(F.lit(1)).alias("c")))
     ties = counted.groupBy(*keys, "n", "gram", "c").agg(F.count(F.lit(1)).alias("m"), F.min(row_id).alias("row"))
     # As many entries as the n-gram has different counts.
     top = ties.groupBy(*keys, "n", "gram").agg(F.slice(F.sort_array(F.collect_list(F.struct("c", "m", "row")), False), 1, 2).alias("t"))
