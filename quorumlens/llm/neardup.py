@@ -9,10 +9,10 @@ same words are one text; counts N and df count each text once; classes are the c
 2. A shingle that no other text has can't be shared, so a text with more than 1 - threshold of its weight in such
    shingles has no partner.  The others get signatures: `bands` keys of `rows` samples each.
    Texts of similarity s share a key with chance 1 - (1 - s**rows)**bands; at 0.8 all but 7 pairs in a million.
-3. A bucket of equal keys isn't expanded into pairs: all members are compared with one pivot, which then leaves.  A bucket
-   whose members are all in one component by then is done.  In the others, pivots from the smallest components (a growing
-   number in each round) are compared with the members of other components, until no bucket has two components left.  So
-   every two candidates have been compared or are in one component.
+3. A bucket of equal keys isn't expanded into rows of pairs: all members are compared with one pivot, which then leaves.  A
+   bucket whose members are all in one component by then is done.  In the others blocks of members are compared inside a
+   task, through the shingles they share, and only links that join components come out.  So every two candidates have
+   been compared or are in one component.
 
 Nulls and texts without words are in no class but their own.  Rows that share a doc_id and a text are one class.
 """
@@ -32,10 +32,14 @@ from .words import PLAIN, Words, chunks, mix, span_sums, unpack_sorted, windows
 SHINGLE_WORDS = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 30, 5
-# Texts compared with one pivot in one task.
+# Texts compared with one pivot in one task, and texts of a block.
 GROUP_ROWS = 500
-# Pivots of a bucket in one round: 1, then this many times as many in each round.
-PIVOT_GROWTH = 64
+# Shingle hashes of a block.
+BLOCK_BYTES = 8 << 20
+# Blocks that a text is sent to, on average, before more pivots are asked.
+MANY_BLOCKS = 8
+# Shared shingles that are added up at once.
+MEETINGS = 1 << 20
 SLACK = 1e-9
 
 VECTOR = "digest long, hashes binary, weights binary, keys array<long>, whole double, shared double"
@@ -266,60 +270,122 @@ def verify(pairs: DataFrame, vecs: DataFrame) -> DataFrame:
         lambda key, members, pivots: _similarities(key, members, pivots), "member long, pivot long, similarity double")
 
 
+def _joined(threshold: float):
+    """Components (a, b) of a bucket that a link joins: the texts of block i are compared with those of block j, none with its own component."""
+    def joined(key, table):
+        block = table.column("block").to_numpy()
+        left, right = np.flatnonzero(block == key[2].as_py()), np.flatnonzero(block == key[3].as_py())
+        component = table.column("component").to_numpy()
+        hashes = [np.frombuffer(x, "<u8") for x in table.column("hashes").to_pylist()]
+        weights = [np.frombuffer(x, "<f4").astype(np.float64) for x in table.column("weights").to_pylist()]
+        whole = np.array([w.sum() for w in weights])
+        gathered = lambda parts, rows: np.concatenate([parts[r] for r in rows] or [parts[0][:0]])
+        owner = lambda rows: np.repeat(np.arange(len(rows)), [len(hashes[r]) for r in rows])
+        known = gathered(hashes, right)
+        order = np.argsort(known, kind="stable")
+        known, holder, held = known[order], owner(right)[order], gathered(weights, right)[order]
+        asked = gathered(hashes, left)
+        low, high = np.searchsorted(known, asked, "left"), np.searchsorted(known, asked, "right")
+        of, weight = owner(left), gathered(weights, left)
+        before = np.concatenate([[0], np.cumsum(np.bincount(of, high - low, len(left)))]).astype(np.int64)
+        a, b, at = [], [], 0
+        while at < len(left):  # some rows at a time, whose shingles meet at most MEETINGS others, or one row
+            to = max(at + 1, int(np.searchsorted(before, before[at] + MEETINGS, "right")) - 1)
+            own = slice(*np.searchsorted(of, [at, to]))
+            n = high[own] - low[own]
+            met = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n - low[own], n)
+            both = np.bincount(np.repeat((of[own] - at) * len(right), n) + holder[met], np.minimum(np.repeat(weight[own], n), held[met]), (to - at) * len(right))
+            both = both.reshape(to - at, len(right))
+            other = component[left[at:to], None] != component[right]
+            x, y = np.nonzero(other & (both >= (threshold - SLACK) * (whole[left[at:to], None] + whole[right] - both)))
+            a.append(component[left[at:to]][x])
+            b.append(component[right][y])
+            at = to
+        pairs = np.unique(np.stack([np.concatenate([*a, component[:0]]), np.concatenate([*b, component[:0]])], axis=1), axis=0)
+        # Of the links only those are kept that join what the ones before them left apart.
+        root: dict[int, int] = {}
+
+        def top(c: int) -> int:
+            while (up := root.get(c, c)) != c:
+                root[c] = c = root.get(up, up)
+            return c
+
+        kept = []
+        for c, d in pairs.tolist():
+            if (e := top(c)) != (f := top(d)):
+                root[e] = f
+                kept.append((c, d))
+        return pa.table({"a": pa.array([c for c, _ in kept], pa.int64()), "b": pa.array([d for _, d in kept], pa.int64())})
+
+    return joined
+
+
+def block_links(live: DataFrame, content: DataFrame, threshold: float) -> DataFrame:
+    """Links (a, b) between the components of each bucket, all pairs compared but those of the bucket's main component.
+
+    Texts outside the main component are dealt to blocks 0 to asking - 1, those of the main one to the blocks after.  A task
+    gets two blocks i <= j of which the first asks, so a text is sent once for each block it meets, not once for each text.
+    """
+    blocks = lambda asks: F.greatest(F.ceil(F.count_if(asks) / GROUP_ROWS), F.ceil(F.sum(F.when(asks, F.col("bytes"))) / BLOCK_BYTES), F.lit(0)).cast("int")
+    asks = F.col("component") != F.col("main")
+    sizes = live.groupBy("band", "key").agg(blocks(asks).alias("asking"), blocks(~asks).alias("others"))
+    dealt = lambda n: F.pmod(F.xxhash64("digest"), n).cast("int")
+    last = F.col("asking") + F.col("others") - 1
+    parts = live.join(sizes, ["band", "key"]).withColumn("block", F.when(asks, dealt(F.col("asking"))).otherwise(F.col("asking") + dealt(F.col("others"))))
+    pair = lambda i, j: F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"))
+    earlier = F.transform(F.sequence(F.lit(0), F.least(F.col("block"), F.col("asking") - 1)), lambda i: pair(i, F.col("block")))
+    later = F.when(asks & (F.col("block") < last), F.transform(F.sequence(F.col("block") + 1, F.greatest(last, F.col("block") + 1)), lambda j: pair(F.col("block"), j)))
+    parts = parts.select("digest", "component", "band", "key", "block", F.explode(F.concat(earlier, F.coalesce(later, F.array().cast("array<struct<i:int,j:int>>")))).alias("meets"))
+    parts = parts.select("digest", "component", "band", "key", "block", "meets.i", "meets.j").join(content, "digest")
+    return parts.groupBy("band", "key", "i", "j").applyInArrow(_joined(threshold), "a long, b long")
+
+
+def star_links(joined: DataFrame, content: DataFrame, threshold: float) -> DataFrame:
+    """Links between the pivots of the buckets and members of other components."""
+    # Neither can share more than what it has in common with any document at all.
+    most = F.least("shared", "p.shared")
+    possible = most >= (threshold - SLACK) * (F.col("whole") + F.col("p.whole") - most) - 1e-6 * F.col("whole")
+    asked = joined.filter((F.col("component") != F.col("p.component")) & possible).select(F.col("digest").alias("member"), F.col("p.digest").alias("pivot")).distinct()
+    return verify(stored(asked), content).filter(F.col("similarity") >= threshold - SLACK).select(F.col("member").alias("a"), F.col("pivot").alias("b"))
+
+
 def linked_texts(vecs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """digest, component of every text that is linked to another."""
     content = vecs.select("digest", "hashes", "weights")
-    keys = vecs.select("digest", "whole", "shared", F.posexplode("keys").alias("band", "key"))
-    shared = keys.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    waiting = stored(keys.join(shared, ["band", "key"]).withColumn("component", F.col("digest")).withColumn("size", F.lit(1).cast("long")).withColumn(
-        "away", F.lit(None).cast("double")))
-    known, linked, names, pivots_each = None, None, None, 1
+    keys = vecs.select("digest", "whole", "shared", F.octet_length("hashes").alias("bytes"), F.posexplode("keys").alias("band", "key"))
+    shared = keys.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    live = keys.join(shared, ["band", "key"]).withColumn("component", F.col("digest"))
+    linked, sent = None, None
     while True:
-        mixed = waiting.groupBy("band", "key").agg(F.min("component").alias("a"), F.max("component").alias("b")).filter("a <> b")
-        live = stored(waiting.join(mixed.select("band", "key"), ["band", "key"]))
-        if live.isEmpty():
-            break
-        first = Window.partitionBy("band", "key").orderBy("size", "digest")
-        pivots = stored(live.withColumn("turn", F.row_number().over(first)).filter(F.col("turn") <= pivots_each).select(
-            "band", "key", F.col("digest").alias("pivot"), F.col("component").alias("p_component"),
-            F.col("whole").alias("p_whole"), F.col("shared").alias("p_shared"), F.col("away").alias("p_away")))
-        # Neither can share more than what it has in common with any document at all.
-        most = F.least("shared", "p_shared")
-        possible = most >= (threshold - SLACK) * (F.col("whole") + F.col("p_whole") - most) - 1e-6 * F.col("whole")
-        met, at = live, pivots
-        if known is not None:
-            # 1 - similarity is a metric: distances to the first pivot of the bucket bound the distance of the two.
-            possible &= F.coalesce(F.abs(F.col("away") - F.col("p_away")) <= 1.0 - threshold + SLACK, F.lit(True))
-            # A pair that shares several keys meets in its first bucket only; there it is asked, or was.
-            met = live.join(vecs.select("digest", "keys"), "digest")
-            at = pivots.join(vecs.select(F.col("digest").alias("pivot"), F.col("keys").alias("p_keys")), "pivot")
-            before = F.arrays_zip(F.slice("keys", F.lit(1), F.col("band")), F.slice("p_keys", F.lit(1), F.col("band")))
-            possible &= ~F.exists(before, lambda x: x["0"] == x["1"])
-        found = met.join(at, ["band", "key"]).filter((F.col("component") != F.col("p_component")) & possible).select(
-            "band", "key", F.col("digest").alias("member"), "pivot")
-        met = stored(found)
-        asked = met.select("member", "pivot").distinct()
-        asked = asked.withColumn("low", F.least("member", "pivot")).withColumn("high", F.greatest("member", "pivot"))
-        if known is not None:
-            asked = asked.join(known, ["low", "high"], "left_anti")
-        new = stored(verify(stored(asked.select("member", "pivot")), content))
-        pairs = new.select(F.least("member", "pivot").alias("low"), F.greatest("member", "pivot").alias("high"))
-        known = pairs if known is None else known.unionByName(pairs)
-        more = new.filter(F.col("similarity") >= threshold - SLACK).select("member", "pivot")
-        linked = more if linked is None else linked.unionByName(more)
-        names = components(linked.select(F.col("member").alias("a"), F.col("pivot").alias("b")))
+        # The first pivot is that of the least digest, so that buckets of the same members ask the same pairs; later ones differ.
+        order = F.col("digest") if linked is None else F.xxhash64("digest", "band")
+        pivots = live.groupBy("band", "key").agg(F.min(F.struct(order.alias("order"), "digest", "component", "whole", "shared")).alias("p"))
+        joined = stored(live.join(pivots, ["band", "key"]))
+        if linked is None and joined.isEmpty():
+            return vecs.select("digest", F.col("digest").alias("component")).limit(0)
+        new = stored(star_links(joined, content, threshold))
+        linked = new if linked is None else linked.unionByName(new)
+        names = components(linked)
         sizes = names.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
         names = stored(names.join(sizes, "component").withColumnRenamed("node", "digest"))
-        if pivots_each == 1:
-            away = met.join(new, ["member", "pivot"]).select("band", "key", F.col("member").alias("digest"), (1.0 - F.col("similarity")).alias("away"))
-            live = live.drop("away").join(away, ["band", "key", "digest"], "left")
-        left = live.drop("component", "size").join(pivots.select("band", "key", F.col("pivot").alias("digest")), ["band", "key", "digest"], "left_anti")
-        waiting = stored(left.join(names, "digest", "left").select(
-            "digest", "whole", "shared", "away", "band", "key", F.coalesce("component", "digest").alias("component"), F.coalesce("size", F.lit(1).cast("long")).alias("size")))
-        pivots_each *= PIVOT_GROWTH
-    if names is None:
-        return vecs.select("digest", F.col("digest").alias("component")).limit(0)
-    return names.select("digest", "component")
+        # Each pivot has met all the others and leaves; buckets with one component are done.
+        left = joined.filter(F.col("digest") != F.col("p.digest")).select("digest", "band", "key", "whole", "shared", "bytes").join(names, "digest", "left").withColumn(
+            "component", F.coalesce("component", "digest")).withColumn("size", F.coalesce("size", F.lit(1).cast("long")))
+        mixed = left.groupBy("band", "key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("n"),
+                                                F.max(F.struct("size", "component")).getField("component").alias("main")).filter("low <> high")
+        live = stored(left.join(mixed.select("band", "key", "n", "main"), ["band", "key"]))
+        # As long as a text would be sent to many blocks, and pivots halve that, more pivots are asked.
+        was, sent = sent, live.agg(F.sum(F.ceil(F.col("n") / GROUP_ROWS))).first()[0] or 0
+        if sent <= MANY_BLOCKS * live.count() or (was is not None and 2 * sent > was):
+            break
+    names = names.select("digest", "component")
+    if not sent:
+        return names
+    wider = components(stored(block_links(live, content, threshold)))
+    both = wider.withColumnRenamed("component", "to").withColumnRenamed("node", "from")
+    # A component of the first stage, or a text that had no link, takes the name of the wider one.
+    alone = both.join(names, F.col("from") == F.col("digest"), "left_anti").select(F.col("from").alias("digest"), F.col("from").alias("component"))
+    return names.unionByName(alone).join(both, F.col("component") == F.col("from"), "left").select("digest", F.coalesce("to", "component").alias("component"))
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, segment_rows: int = ex.SEGMENT_ROWS) -> DataFrame:

@@ -314,3 +314,39 @@ def test_pipeline(spark, sample):
         if name == "packing":
             assert ids(out) == ids(docs)
         docs = out
+
+
+def test_large_buckets_make_no_rows_of_pairs(spark, monkeypatch):
+    """Near copies that lie too far apart to be linked all meet in one bucket; blocks of them are compared inside tasks, and no link is lost."""
+    rng = np.random.default_rng(4)
+    base, fresh = rng.integers(1, 2**62, 150, dtype=np.uint64), iter(range(2**62, 2**62 + 10**6))
+    rows, sets = [], []
+    for i in range(90):
+        own = set(sets[-1]) if i % 3 == 2 else set(base.tolist())
+        for x in rng.permutation(sorted(own))[:8 if i % 3 == 2 else rng.integers(20, 50)].tolist():
+            own.remove(x)
+            own.add(next(fresh))
+        sets.append(own)
+        hashes = np.array(sorted(own), "<u8")
+        rows.append((i, hashes.tobytes(), np.ones(len(own), "<f4").tobytes(), [7, 8 + i % 2], float(len(own)), float(len(own))))
+    vecs = spark.createDataFrame(rows, neardup.VECTOR)
+    root = list(range(90))
+    for i in range(90):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                root = [root[j] if r == root[i] else r for r in root]
+    want = {frozenset(i for i in range(90) if root[i] == r) for r in set(root)}
+    assert 20 < len(want) < 80
+    sent = []
+    plain = neardup.verify
+    monkeypatch.setattr(neardup, "verify", lambda pairs, content: sent.append(pairs.count()) or plain(pairs, content))
+    for size in (500, 16):
+        monkeypatch.setattr(neardup, "GROUP_ROWS", size)
+        monkeypatch.setattr(neardup, "MEETINGS", 100 * size)
+        sent.clear()
+        names = {r["digest"]: r["component"] for r in neardup.linked_texts(vecs).collect()}
+        groups: dict[int, set[int]] = {}
+        for i in range(90):
+            groups.setdefault(names.get(i, -1 - i), set()).add(i)
+        assert {frozenset(g) for g in groups.values()} == want
+        assert sum(sent) <= 3 * 90  # members beside a pivot, not pairs of members
