@@ -39,6 +39,8 @@ CONTEXT, OVERLAP = 32, 8
 WIDTH, CLASSES, OWN_IDS = 16, 64, 4096
 SAMPLE_DOCS = 400
 BATCH_WINDOWS = 256
+# Windows of a training batch whose gradients are made at once, so that arrays stay small; the sums differ in rounding only.
+SLICE_WINDOWS = 64
 # Text of one segment.
 SEGMENT_BYTES = 8 << 20
 # Segments whose id counts are added up in one task.
@@ -121,7 +123,7 @@ def encode_segments(rows: DataFrame, vocabulary: str, segment_rows: int) -> Data
         listed = lambda name, kind: pa.ListArray.from_arrays(pa.array([0, table.num_rows], pa.int32()), table.column(name).combine_chunks().cast(kind))
         return pa.RecordBatch.from_pydict({
             "segment": pa.array([segment], pa.int32()), "doc_id": listed("doc_id", pa.int64()), "held_out": listed("held_out", pa.bool_()),
-            "hashes": one(sub.hashes.astype("<u8")), "number": one(planes(sub.number)), "bounds": one(sub.bounds.astype("<i8")),
+            "hashes": pa.array([pack_sorted(sub.hashes)], pa.binary()), "number": one(planes(sub.number)), "bounds": one(sub.bounds.astype("<i8")),
             "ids": one(planes(sub.ids)), "sizes": one(planes(np.diff(sub.firsts)))})
 
     def encode(batches):
@@ -142,10 +144,11 @@ def encode_segments(rows: DataFrame, vocabulary: str, segment_rows: int) -> Data
 
 
 def decoded(batch: pa.RecordBatch | pa.Table, at: int) -> tuple[Subwords, np.ndarray]:
-    """The subwords of the documents of one row, and which of them are held out."""
-    raw = {n: np.frombuffer(batch.column(n)[at].as_py(), np.uint8) for n in ("hashes", "number", "bounds", "ids", "sizes")}
+    """The subwords of the documents of one row, and which of them are held out; without the hashes if they were not read."""
+    raw = {n: np.frombuffer(batch.column(n)[at].as_py(), np.uint8) for n in ("number", "bounds", "ids", "sizes")}
+    hashes = unpack_sorted(batch.column("hashes")[at].as_py()) if "hashes" in batch.schema.names else np.zeros(0, np.uint64)
     whole = lambda n: np.ascontiguousarray(raw[n].reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
-    sub = Subwords(raw["hashes"].view("<u8"), whole("number"), raw["bounds"].view("<i8"), whole("ids"), np.concatenate([[0], np.cumsum(whole("sizes"))]))
+    sub = Subwords(hashes, whole("number"), raw["bounds"].view("<i8"), whole("ids"), np.concatenate([[0], np.cumsum(whole("sizes"))]))
     return sub, np.array(batch.column("held_out")[at].as_py(), bool)
 
 
@@ -216,6 +219,11 @@ class Model:
     emission: np.ndarray | None = None  # log of an id's share of its class
     projected: tuple | None = None  # products of the embeddings and places with the projections, once weights are final
 
+    @staticmethod
+    def times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """a @ b as one product of all positions, not one a window."""
+        return (a.reshape(-1, a.shape[-1]) @ b).reshape(*a.shape[:-1], b.shape[1])
+
     def settled(self) -> Model:
         """The model with its projections made once; its weights no longer change."""
         wide = np.hstack([np.eye(WIDTH, dtype=np.float32), self.k, self.v])
@@ -226,7 +234,7 @@ class Model:
         rows = self.row_of[inputs]
         if self.projected is None:
             x = self.embed[rows] + self.place[:inputs.shape[1]]
-            query, key, value = x[:, skip:] @ self.q, x @ self.k, x @ self.v
+            query, key, value = self.times(x[:, skip:], self.q), self.times(x, self.k), self.times(x, self.v)
         else:  # x, x @ k and x @ v side by side, x @ q apart, for every row and every place
             wide, narrow = self.projected
             both = wide[0][rows] + wide[1][:inputs.shape[1]]
@@ -237,35 +245,51 @@ class Model:
         s *= MASK[skip:inputs.shape[1], :inputs.shape[1]]
         whole = s.sum(axis=2, keepdims=True)
         mixed = (s @ value) / whole
-        h = x[:, skip:] + mixed @ self.o
-        return h @ self.out + self.bias, (rows, x, query, key, value, s, whole, mixed, h)
+        # Scores take one product a window, so that a window's values don't depend on its place among the others.
+        times = self.times if self.projected is None else np.matmul
+        h = x[:, skip:] + times(mixed, self.o)
+        logits = times(h, self.out)
+        logits += self.bias
+        return logits, (rows, x, query, key, value, s, whole, mixed, h)
 
     def gradients(self, inputs: np.ndarray, targets: np.ndarray, valid: np.ndarray) -> dict[str, np.ndarray]:
-        logits, (rows, x, query, key, value, s, whole, mixed, h) = self.forward(inputs)
+        """Gradients of the mean loss of the valid places, added up over slices of the windows."""
+        n, grads = np.float32(max(valid.sum(), 1)), {}
+        dx = np.empty((*inputs.shape, WIDTH), np.float32)
+        for at in range(0, len(inputs), SLICE_WINDOWS):
+            part = slice(at, at + SLICE_WINDOWS)
+            some, dx[part] = self.slice_gradients(inputs[part], targets[part], valid[part], n)
+            for name, g in some.items():
+                grads[name] = grads[name] + g if at else g
+        rows, dx = self.row_of[inputs].reshape(-1), dx.reshape(-1, WIDTH)
+        order = np.argsort(rows, kind="stable")
+        touched, firsts = np.unique(rows[order], return_index=True)
+        grads["embed"] = np.zeros_like(self.embed)
+        grads["embed"][touched] = np.add.reduceat(dx[order], firsts, axis=0)
+        return grads
+
+    def slice_gradients(self, inputs: np.ndarray, targets: np.ndarray, valid: np.ndarray, n: np.float32) -> tuple[dict[str, np.ndarray], np.ndarray]:
+        """Gradients of all parts but the embeddings, and those of the embedded ids; `n` is how many places are valid in the whole batch."""
+        logits, (_, x, query, key, value, s, whole, mixed, h) = self.forward(inputs)
         s = s / whole
-        d = np.exp(logits)
+        d = np.exp(logits, out=logits)
         d /= d.sum(axis=2, keepdims=True)
         np.put_along_axis(d, self.class_of[targets][..., None], np.take_along_axis(d, self.class_of[targets][..., None], 2) - 1, 2)
-        d *= valid[..., None] / np.float32(max(valid.sum(), 1))
+        d *= valid[..., None] / n
         flat = lambda a: a.reshape(-1, a.shape[-1])
         grads = {"out": flat(h).T @ flat(d), "bias": flat(d).sum(axis=0)}
-        dh = d @ self.out.T
+        dh = self.times(d, self.out.T)
         grads["o"] = flat(mixed).T @ flat(dh)
-        dmixed = dh @ self.o.T
+        dmixed = self.times(dh, self.o.T)
         ds = dmixed @ value.transpose(0, 2, 1)
         dvalue = s.transpose(0, 2, 1) @ dmixed
         ds = s * (ds - (ds * s).sum(axis=2, keepdims=True)) * np.float32(WIDTH**-0.5)
         dquery, dkey = ds @ key, ds.transpose(0, 2, 1) @ query
         for name, g in (("q", dquery), ("k", dkey), ("v", dvalue)):
             grads[name] = flat(x).T @ flat(g)
-        dx = dh + dquery @ self.q.T + dkey @ self.k.T + dvalue @ self.v.T
+        dx = dh + self.times(dquery, self.q.T) + self.times(dkey, self.k.T) + self.times(dvalue, self.v.T)
         grads["place"] = dx.sum(axis=0)
-        rows, dx = rows.reshape(-1), flat(dx)
-        order = np.argsort(rows, kind="stable")
-        touched, firsts = np.unique(rows[order], return_index=True)
-        grads["embed"] = np.zeros_like(self.embed)
-        grads["embed"][touched] = np.add.reduceat(dx[order], firsts, axis=0)
-        return grads
+        return grads, dx
 
     def flat(self) -> np.ndarray:
         return np.concatenate([getattr(self, n).ravel() for n in PARTS])
@@ -425,8 +449,21 @@ def _sender(vocabulary: str, buckets: int):
     return send
 
 
+# The answers of the buckets have no hashes: a segment knows what it asked.
+TOLD = "segment int, bucket int, ids binary, counts binary, tokens long, types long"
+
+
+def _planes(counts: np.ndarray) -> bytes:
+    """Counts as byte planes one after the other; the high ones, of zeros, compress."""
+    return counts.astype("<i8").view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def _unplaned(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view("<i8").ravel()
+
+
 def _count(table):
-    """For each segment, the counts of its words; the first row also has the bucket's sums of counts and of counted words.
+    """For each segment, the counts of its words in the order of its message; the first row also has the bucket's sums of counts and of counted words.
 
     Messages of negative segments hold id counts; these are added up, and the sums are one row of a negative segment.
     """
@@ -437,13 +474,14 @@ def _count(table):
     n = np.bincount(number, np.concatenate([np.frombuffer(r[2], "<i8" if of_ids else "<u4") for r in rows]), len(flat)).astype("<i8")
     if of_ids:
         zero = pa.array([0], pa.int64())
-        return ex.answers(np.array([-1]), [flat], [n.tobytes()]).append_column("tokens", zero).append_column("types", zero)
+        return pa.table({"segment": pa.array([-1], pa.int32()), "bucket": table.column("bucket").slice(0, 1), "ids": pa.array([pack_sorted(flat)], pa.binary()),
+                         "counts": pa.array([_planes(n)], pa.binary()), "tokens": zero, "types": zero})
     at = np.concatenate([[0], np.cumsum([len(p) for p in parts])])
-    own = [n[number[a:b]] for a, b in zip(at, at[1:])]
-    out = ex.answers([r[0] for r in rows], [p[c > 0] for p, c in zip(parts, own)], [c[c > 0].tobytes() for c in own])
     first = [1] + [0] * (len(rows) - 1)
-    return out.append_column("tokens", pa.array([int(n.sum()) * f for f in first], pa.int64())).append_column(
-        "types", pa.array([int((n > 0).sum()) * f for f in first], pa.int64()))
+    return pa.table({
+        "segment": pa.array([r[0] for r in rows], pa.int32()), "bucket": table.column("bucket"), "ids": pa.array([None] * len(rows), pa.binary()),
+        "counts": pa.array([_planes(n[number[a:b]]) for a, b in zip(at, at[1:])], pa.binary()),
+        "tokens": pa.array([int(n.sum()) * f for f in first], pa.int64()), "types": pa.array([int((n > 0).sum()) * f for f in first], pa.int64())})
 
 
 def _scorer(model, vocabulary: str, docs_n: int, tokens: int, types: int):
@@ -452,13 +490,8 @@ def _scorer(model, vocabulary: str, docs_n: int, tokens: int, types: int):
         if not docs.num_rows:
             return pa.table({n: pa.array([], t) for n, t in SCORED_TYPES.items()})
         sub, _ = decoded(docs, 0)  # one row a segment
-        heard = [(unpack_sorted(h), np.frombuffer(e, "<i8")) for h, e in ex.rows_of(told, "hashes", "extra")]
-        known = np.concatenate([h for h, _ in heard] or [np.zeros(0, np.uint64)])
-        n = np.concatenate([c for _, c in heard] or [np.zeros(0, np.int64)])
-        order = np.argsort(known)
-        known, n = np.append(known[order], np.uint64(2**64 - 1)), np.append(n[order], 0)
-        at = np.searchsorted(known, sub.hashes)
-        c = np.where(known[at] == sub.hashes, n[at], 0)
+        # Buckets cut the sorted hashes, so their answers one after the other are the counts of the segment's words.
+        c = np.concatenate([_unplaned(x) for _, x in sorted(ex.rows_of(told, "bucket", "counts"))] or [np.zeros(0, np.int64)])
         below = np.log10(float(tokens + types + 1))
         each = np.concatenate([[0.0], np.cumsum(np.log10(c + 1.0)[sub.number])])
         hit = np.concatenate([[0], np.cumsum((c > 0)[sub.number])])
@@ -549,10 +582,10 @@ def id_counts(told: DataFrame, size: int) -> np.ndarray:
 
     def spread(batches):
         for batch in batches:
-            for ids, n in zip(batch.column("hashes").to_pylist(), batch.column("extra").to_pylist()):
-                yield pa.RecordBatch.from_pydict({"id": pa.array(unpack_sorted(ids).astype(np.int64)), "n": pa.array(np.frombuffer(n, "<i8"))})
+            for ids, n in zip(batch.column("ids").to_pylist(), batch.column("counts").to_pylist()):
+                yield pa.RecordBatch.from_pydict({"id": pa.array(unpack_sorted(ids).astype(np.int64)), "n": pa.array(_unplaned(n))})
 
-    sums = told.filter("segment < 0").select("hashes", "extra").mapInArrow(spread, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
+    sums = told.filter("segment < 0").select("ids", "counts").mapInArrow(spread, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
     out = np.zeros(size)  # one number for each id of the vocabulary
     out[sums["id"].to_numpy(dtype=np.int64)] = sums["n"].to_numpy(dtype=np.int64)
     return out
@@ -568,11 +601,12 @@ def score_documents(docs: DataFrame, vocabulary: str = VOCABULARY, segment_rows:
     segments = max(1, -(-n_docs // segment_rows))
     encoded = stored(encode_segments(rows, vocabulary, segment_rows))
     sent = encoded.mapInArrow(_sender(vocabulary, ex.bucket_count(segments)), ex.MESSAGE)
-    told = stored(sent.groupBy("bucket").applyInArrow(_count, f"{ex.ANSWER}, tokens long, types long"))
+    told = stored(sent.groupBy("bucket").applyInArrow(_count, TOLD))
+    encoded = encoded.drop("hashes")
     sums = told.agg(F.sum("tokens"), F.sum("types")).first()
     tokens, types = (sums[0] or 0) + n_train, (sums[1] or 0) + (n_train > 0)
     count = id_counts(told, end_id(vocabulary) + 1)
     model = fit(train_docs, encoded, count, vocabulary)
     with_emission(model, count)
     score = _scorer(spark.sparkContext.broadcast(model.settled()), vocabulary, n_train, tokens, types)
-    return encoded.groupBy("segment").cogroup(told.filter("segment >= 0").drop("tokens", "types").groupBy("segment")).applyInArrow(score, SCORED)
+    return encoded.groupBy("segment").cogroup(told.filter("segment >= 0").select("segment", "bucket", "counts").groupBy("segment")).applyInArrow(score, SCORED)

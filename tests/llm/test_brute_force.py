@@ -350,3 +350,30 @@ def test_large_buckets_make_no_rows_of_pairs(spark, monkeypatch):
             groups.setdefault(names.get(i, -1 - i), set()).add(i)
         assert {frozenset(g) for g in groups.values()} == want
         assert sum(sent) <= 3 * 90  # members beside a pivot, not pairs of members
+
+
+def test_answers_are_counts_in_the_order_of_the_message(spark, sample):
+    """No hashes come back: the answers of the buckets, one after the other, are the counts of a segment's sorted words."""
+    docs = sample.withColumn("held_out", lm.held_out(F.col("doc_id"))).limit(60).coalesce(1)
+    encoded = lm.encode_segments(docs, VOCABULARY, 25).toArrow()
+    sent = pa.Table.from_batches(lm._sender(VOCABULARY, 3)(encoded.to_batches()))
+    told = [lm._count(sent.filter(pa.compute.equal(sent.column("bucket"), b))) for b in range(3)]
+    total = collections.Counter()
+    subs = [lm.decoded(encoded, at) for at in range(encoded.num_rows)]
+    for sub, out in subs:
+        total.update(sub.hashes[sub.number[np.repeat(~out, sub.counts)]].tolist())
+    for segment, (sub, _) in zip(encoded.column("segment").to_pylist(), subs):
+        parts = [lm._unplaned(c) for t in told for s, c in zip(t.column("segment").to_pylist(), t.column("counts").to_pylist()) if s == segment]
+        assert np.concatenate(parts).tolist() == [total[h] for h in sub.hashes.tolist()]
+    assert sum(t.column("ids").null_count for t in told) == sum(t.num_rows for t in told)
+    assert sum(sum(t.column("tokens").to_pylist()) for t in told) == sum(total.values())
+
+
+def test_slices_of_a_batch_give_the_same_gradients(monkeypatch):
+    rng = np.random.default_rng(2)
+    model = lm.fresh(rng.integers(0, 60, 900), 64)
+    inputs, targets, valid = rng.integers(0, 64, (9, lm.CONTEXT)), rng.integers(0, 64, (9, lm.CONTEXT)), rng.random((9, lm.CONTEXT)) < 0.8
+    whole = model.gradients(inputs, targets, valid)
+    monkeypatch.setattr(lm, "SLICE_WINDOWS", 2)
+    parts = model.gradients(inputs, targets, valid)
+    assert all(np.allclose(whole[n], parts[n], atol=1e-6) for n in lm.PARTS)
