@@ -41,6 +41,8 @@ SAMPLE_DOCS = 400
 BATCH_WINDOWS = 256
 # Windows of a training batch whose gradients are made at once, so that arrays stay small; the sums differ in rounding only.
 SLICE_WINDOWS = 64
+# Windows scored at once.
+SCORED_WINDOWS = 128
 # Text of one segment.
 SEGMENT_BYTES = 8 << 20
 # Segments whose id counts are added up in one task.
@@ -75,33 +77,55 @@ class Subwords:
         return np.diff(self.bounds)
 
 
-def _encoded(words: list[str], encode, opens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of the words, each with a space before it, end to end, and where each word's begin."""
-    ids = encode("".join(" " + w for w in words)).astype(np.int64) if words else np.zeros(0, np.int64)
+def _spaced(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> bytes:
+    """The words that begin at `starts`, each with a space before it, end to end."""
+    after = np.cumsum(sizes + 1)
+    out = np.full(int(after[-1]) if len(after) else 0, ord(" "), np.uint8)
+    from_ = np.repeat(starts - (after - sizes), sizes + 1) + np.arange(len(out))
+    is_word = np.ones(len(out), bool)
+    is_word[after - sizes - 1] = False
+    out[is_word] = data[from_[is_word]]
+    return out.tobytes()
+
+
+def _encoded(text: bytes, sizes: np.ndarray, encode, opens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of the words of `_spaced`, end to end, and where each word's begin."""
+    ids = encode(text.decode()).astype(np.int64) if text else np.zeros(0, np.int64)
     firsts = np.flatnonzero(opens[ids])
-    if len(firsts) != len(words):  # other white space in a word has met the space before the next
-        each = [encode(" " + w).astype(np.int64) for w in words]
+    if len(firsts) != len(sizes):  # other white space in a word has met the space before the next
+        after = np.cumsum(sizes + 1).tolist()
+        each = [encode(text[a:b].decode()).astype(np.int64) for a, b in zip([0, *after], after)]
         return np.concatenate(each), np.append(np.cumsum([0] + [len(x) for x in each[:-1]]), sum(map(len, each)))
     return ids, np.append(firsts, len(ids))
 
 
+def _distinct(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The sorted distinct hashes, where each is first, and for every hash its number among them; only the distinct ones are sorted."""
+    found = pa.array(hashes).dictionary_encode()
+    seen, code = found.dictionary.to_numpy(), found.indices.to_numpy()
+    first = np.empty(len(seen), np.int64)
+    first[code[::-1]] = np.arange(len(code) - 1, -1, -1)
+    order = np.argsort(seen)
+    rank = np.empty(len(seen), np.int64)
+    rank[order] = np.arange(len(seen))
+    return seen[order], first[order], rank[code]
+
+
 def subwords(table: pa.Table, vocabulary: str) -> Subwords:
-    encode = encoder(vocabulary)
-    opens = _opens(vocabulary)
-    hashes, texts, counts = [], {}, [np.zeros(1, np.int64)]
+    hashes, texts, starts, sizes, counts, before = [], [], [], [], [np.zeros(1, np.int64)], 0
     for part in chunks(table, "text"):
         w = Words(part.column("text"), SPACED, lower=True)
-        h = w.hashes()
-        found, at = np.unique(h, return_index=True)
-        raw = w.data.tobytes()
-        for k, a, b in zip(found.tolist(), w.starts[at].tolist(), w.ends[at].tolist()):
-            if k not in texts:
-                texts[k] = raw[a:b]
-        hashes.append(h)
+        hashes.append(w.hashes())
+        texts.append(w.data)
+        starts.append(w.starts + before)
+        sizes.append(w.ends - w.starts)
         counts.append(w.counts)
-    flat = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
-    distinct, number = np.unique(flat, return_inverse=True)
-    ids, firsts = _encoded([texts[k].decode() for k in distinct.tolist()], encode, opens)
+        before += len(w.data)
+    joined = lambda parts, kind: np.concatenate(parts) if parts else np.zeros(0, kind)
+    distinct, first, number = _distinct(joined(hashes, np.uint64))
+    lengths = joined(sizes, np.int64)[first]
+    text = _spaced(joined(texts, np.uint8), joined(starts, np.int64)[first], lengths)
+    ids, firsts = _encoded(text, lengths, encoder(vocabulary), _opens(vocabulary))
     return Subwords(distinct, number, np.cumsum(np.concatenate(counts)), ids, firsts)
 
 
@@ -217,79 +241,99 @@ class Model:
     class_of: np.ndarray
     row_of: np.ndarray
     emission: np.ndarray | None = None  # log of an id's share of its class
-    projected: tuple | None = None  # products of the embeddings and places with the projections, once weights are final
+    projected: tuple | None = None  # products of the embeddings and places with `folded`, once weights are final
 
-    @staticmethod
-    def times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """a @ b as one product of all positions, not one a window."""
-        return (a.reshape(-1, a.shape[-1]) @ b).reshape(*a.shape[:-1], b.shape[1])
+    def folded(self) -> np.ndarray:
+        """q k' and v o side by side: x times the first meets the inputs themselves as keys, x times the second is what an input adds where it is attended to."""
+        return np.hstack([self.q @ self.k.T * np.float32(WIDTH**-0.5), self.v @ self.o])
 
     def settled(self) -> Model:
         """The model with its projections made once; its weights no longer change."""
-        wide = np.hstack([np.eye(WIDTH, dtype=np.float32), self.k, self.v])
-        return replace(self, projected=((self.embed @ wide, self.place @ wide), (self.embed @ self.q, self.place @ self.q)))
+        wide = np.hstack([np.eye(WIDTH, dtype=np.float32), self.folded()])
+        return replace(self, projected=(self.embed @ wide, self.place @ wide))
 
-    def forward(self, inputs: np.ndarray, skip: int = 0) -> tuple:
-        """Logits of the classes after positions skip, skip + 1, ... of windows of ids.  Weights keep them small enough for exp."""
-        rows = self.row_of[inputs]
+    def hidden(self, inputs: np.ndarray, skip: int = 0, folded: np.ndarray | None = None) -> tuple:
+        """What the classes after positions skip, skip + 1, ... of windows of ids come from.  Weights keep the scores small enough for exp.
+
+        There is one product a window, so that a window's values don't depend on its place among the others.
+        """
+        n, rows = inputs.shape[1], self.row_of.take(inputs)
         if self.projected is None:
-            x = self.embed[rows] + self.place[:inputs.shape[1]]
-            query, key, value = self.times(x[:, skip:], self.q), self.times(x, self.k), self.times(x, self.v)
-        else:  # x, x @ k and x @ v side by side, x @ q apart, for every row and every place
-            wide, narrow = self.projected
-            both = wide[0][rows] + wide[1][:inputs.shape[1]]
-            x, key, value = both[..., :WIDTH], both[..., WIDTH:2 * WIDTH], both[..., 2 * WIDTH:]
-            query = narrow[0][rows[:, skip:]] + narrow[1][skip:inputs.shape[1]]
-        s = (query * np.float32(WIDTH**-0.5)) @ key.transpose(0, 2, 1)
+            folded = self.folded() if folded is None else folded
+            x = self.embed.take(rows, axis=0)
+            x += self.place[:n]
+            both = x @ folded
+        else:  # x and its products side by side, for every row and every place
+            both = self.projected[0].take(rows, axis=0)
+            both += self.projected[1][:n]
+            x, both = both[..., :WIDTH], both[..., WIDTH:]
+        query, value = both[:, skip:, :WIDTH], both[..., WIDTH:]
+        turned = np.ascontiguousarray(x.transpose(0, 2, 1))
+        s = query @ turned
         np.exp(s, out=s)
-        s *= MASK[skip:inputs.shape[1], :inputs.shape[1]]
-        whole = s.sum(axis=2, keepdims=True)
-        mixed = (s @ value) / whole
-        # Scores take one product a window, so that a window's values don't depend on its place among the others.
-        times = self.times if self.projected is None else np.matmul
-        h = x[:, skip:] + times(mixed, self.o)
-        logits = times(h, self.out)
-        logits += self.bias
-        return logits, (rows, x, query, key, value, s, whole, mixed, h)
+        s *= MASK[skip:n, :n]
+        whole = s @ np.ones((n, WIDTH), np.float32)  # each sum as often as it divides
+        mixed = s @ value
+        mixed /= whole
+        return x[:, skip:] + mixed, (x, turned, query, value, s, whole, mixed)
+
+    def forward(self, inputs: np.ndarray, skip: int = 0) -> tuple:
+        """Logits of the classes after positions skip, skip + 1, ... of windows of ids."""
+        h, kept = self.hidden(inputs, skip)
+        return h @ self.out + self.bias, kept
 
     def gradients(self, inputs: np.ndarray, targets: np.ndarray, valid: np.ndarray) -> dict[str, np.ndarray]:
         """Gradients of the mean loss of the valid places, added up over slices of the windows."""
-        n, grads = np.float32(max(valid.sum(), 1)), {}
+        n, grads, folded = np.float32(max(valid.sum(), 1)), {}, self.folded()
         dx = np.empty((*inputs.shape, WIDTH), np.float32)
         for at in range(0, len(inputs), SLICE_WINDOWS):
             part = slice(at, at + SLICE_WINDOWS)
-            some, dx[part] = self.slice_gradients(inputs[part], targets[part], valid[part], n)
-            for name, g in some.items():
+            for name, g in self.slice_gradients(inputs[part], targets[part], valid[part], n, folded, dx[part]).items():
                 grads[name] = grads[name] + g if at else g
-        rows, dx = self.row_of[inputs].reshape(-1), dx.reshape(-1, WIDTH)
+        scores, added = np.hsplit(grads.pop("folded"), 2)
+        scores = scores * np.float32(WIDTH**-0.5)
+        grads |= {"q": scores @ self.k, "k": scores.T @ self.q, "v": added @ self.o.T, "o": self.v.T @ added, "place": dx.sum(axis=0)}
+        rows = self.row_of.take(inputs.reshape(-1)).astype(np.uint16)  # narrow numbers are sorted by radix
         order = np.argsort(rows, kind="stable")
-        touched, firsts = np.unique(rows[order], return_index=True)
+        rows = rows[order]
+        firsts = np.flatnonzero(np.append(True, rows[1:] != rows[:-1]))
         grads["embed"] = np.zeros_like(self.embed)
-        grads["embed"][touched] = np.add.reduceat(dx[order], firsts, axis=0)
+        grads["embed"][rows[firsts]] = np.add.reduceat(dx.reshape(-1, WIDTH).take(order, axis=0), firsts, axis=0)
         return grads
 
-    def slice_gradients(self, inputs: np.ndarray, targets: np.ndarray, valid: np.ndarray, n: np.float32) -> tuple[dict[str, np.ndarray], np.ndarray]:
-        """Gradients of all parts but the embeddings, and those of the embedded ids; `n` is how many places are valid in the whole batch."""
-        logits, (_, x, query, key, value, s, whole, mixed, h) = self.forward(inputs)
-        s = s / whole
-        d = np.exp(logits, out=logits)
-        d /= d.sum(axis=2, keepdims=True)
-        np.put_along_axis(d, self.class_of[targets][..., None], np.take_along_axis(d, self.class_of[targets][..., None], 2) - 1, 2)
-        d *= valid[..., None] / n
-        flat = lambda a: a.reshape(-1, a.shape[-1])
-        grads = {"out": flat(h).T @ flat(d), "bias": flat(d).sum(axis=0)}
-        dh = self.times(d, self.out.T)
-        grads["o"] = flat(mixed).T @ flat(dh)
-        dmixed = self.times(dh, self.o.T)
-        ds = dmixed @ value.transpose(0, 2, 1)
-        dvalue = s.transpose(0, 2, 1) @ dmixed
-        ds = s * (ds - (ds * s).sum(axis=2, keepdims=True)) * np.float32(WIDTH**-0.5)
-        dquery, dkey = ds @ key, ds.transpose(0, 2, 1) @ query
-        for name, g in (("q", dquery), ("k", dkey), ("v", dvalue)):
-            grads[name] = flat(x).T @ flat(g)
-        dx = dh + self.times(dquery, self.q.T) + self.times(dkey, self.k.T) + self.times(dvalue, self.v.T)
-        grads["place"] = dx.sum(axis=0)
-        return grads, dx
+    def slice_gradients(self, inputs: np.ndarray, targets: np.ndarray, valid: np.ndarray, n: np.float32, folded: np.ndarray, dx: np.ndarray) -> dict[str, np.ndarray]:
+        """Gradients of the classes and of `folded`; those of the embedded ids go into `dx`.  `n` is how many places are valid in the whole batch.
+
+        The bias and the sums of the two softmaxes go into narrow factors, so that no more passes over their entries are made than needed.
+        """
+        h, (x, turned, query, value, s, whole, mixed) = self.hidden(inputs, 0, folded)
+        logits = h @ self.out
+        np.exp(logits, out=logits)
+        d, up = logits.reshape(-1, CLASSES), np.exp(self.bias)
+        sums = d @ up
+        target = self.class_of.take(targets.reshape(-1))
+        # The gradient of the logits is d * factor * up, row by row and column by column.
+        d.reshape(-1)[np.arange(0, d.size, CLASSES) + target] -= sums / up.take(target)
+        sums *= n
+        factor = valid.reshape(-1) / sums
+        wide = np.repeat(factor, WIDTH).reshape(h.shape)
+        h *= wide
+        grads = {"out": (h.transpose(0, 2, 1) @ logits).sum(axis=0) * up, "bias": (factor @ d) * up}
+        dh = logits @ np.ascontiguousarray((self.out * up).T)
+        dh *= wide
+        g = dh / whole
+        ds = g @ np.ascontiguousarray(value.transpose(0, 2, 1))
+        mixed *= g
+        ds -= mixed @ np.ones((WIDTH, inputs.shape[1]), np.float32)
+        ds *= s
+        dboth = np.empty((*inputs.shape, 2 * WIDTH), np.float32)
+        np.matmul(ds, x, out=dboth[..., :WIDTH])
+        np.matmul(s.transpose(0, 2, 1), g, out=dboth[..., WIDTH:])
+        grads["folded"] = (turned @ dboth).sum(axis=0)
+        np.matmul(ds.transpose(0, 2, 1), query, out=dx)
+        dx += dh
+        dx += dboth @ np.ascontiguousarray(folded.T)
+        return grads
 
     def flat(self) -> np.ndarray:
         return np.concatenate([getattr(self, n).ravel() for n in PARTS])
@@ -331,13 +375,22 @@ def train(model: Model, stream: np.ndarray, starts: np.ndarray, epochs: int, rat
             places = begin[own, None] + np.arange(CONTEXT)
             valid = places < end[own, None]
             places = np.minimum(places, len(stream) - 2)
-            grads = model.gradients(stream[places], stream[places + 1], valid)
+            grads = model.gradients(stream.take(places), stream.take(places + 1), valid)
             turn += 1
+            root = (1 - 0.99**turn)**0.5
             for n, g in grads.items():
-                first[n] += np.float32(0.1) * (g - first[n])
-                second[n] += np.float32(0.01) * (g * g - second[n])
-                step = first[n] / np.float32(1 - 0.9**turn) / (np.sqrt(second[n] / np.float32(1 - 0.99**turn)) + np.float32(1e-7))
-                getattr(model, n)[...] -= np.float32(rate) * step
+                step = g - first[n]
+                step *= np.float32(0.1)
+                first[n] += step
+                g *= g
+                g -= second[n]
+                g *= np.float32(0.01)
+                second[n] += g
+                np.sqrt(second[n], out=step)
+                step += np.float32(1e-7 * root)
+                np.divide(first[n], step, out=step)
+                step *= np.float32(rate * root / (1 - 0.9**turn))
+                getattr(model, n)[...] -= step
     moments.turn = turn
     return len(begin)
 
@@ -403,18 +456,21 @@ def log_probabilities(model: Model, stream: np.ndarray, starts: np.ndarray) -> n
     begin, end, _ = window_starts(starts)
     of_class = model.class_of[stream]
     out = np.zeros(len(stream))
+    up = np.exp(model.bias)[:, None]
     opening = np.isin(begin, starts[:-1])
     for skip, own in ((0, np.flatnonzero(opening)), (OVERLAP, np.flatnonzero(~opening))):
-        for at in range(0, len(own), BATCH_WINDOWS):
-            some = own[at:at + BATCH_WINDOWS]
+        for at in range(0, len(own), SCORED_WINDOWS):
+            some = own[at:at + SCORED_WINDOWS]
             places = begin[some, None] + np.arange(CONTEXT)
-            logits, _ = model.forward(stream[np.minimum(places, len(stream) - 2)], skip)
+            h, _ = model.hidden(stream.take(np.minimum(places, len(stream) - 2)), skip)
+            logits = h @ model.out  # the bias goes into the sum and the class that is asked for
             places = places[:, skip:]
             valid = places < end[some, None]
             next_ = np.minimum(places + 1, len(stream) - 1)
-            got = np.take_along_axis(logits, of_class[next_][..., None], 2)[..., 0].astype(np.float64)
+            asked = of_class.take(next_)
+            got = logits.take(np.arange(0, logits.size, CLASSES).reshape(asked.shape) + asked) + model.bias.take(asked)
             np.exp(logits, out=logits)
-            got -= np.log(logits.sum(axis=2))
+            got -= np.log((logits @ up)[..., 0])
             out[next_[valid]] = got[valid]
     out += model.emission[stream]
     out[starts[:-1]] = 0
