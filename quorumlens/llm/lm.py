@@ -42,7 +42,9 @@ BATCH_WINDOWS = 256
 # Windows of a training batch whose gradients are made at once, so that arrays stay small; the sums differ in rounding only.
 SLICE_WINDOWS = 64
 # Windows scored at once.
-SCORED_WINDOWS = 128
+SCORED_WINDOWS = 64
+# Words whose ids a task keeps from segment to segment, about; it starts afresh beyond that.
+KNOWN_WORDS = 1 << 19
 # Text of one segment.
 SEGMENT_BYTES = 8 << 20
 # Segments whose id counts are added up in one task.
@@ -111,7 +113,40 @@ def _distinct(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return seen[order], first[order], rank[code]
 
 
-def subwords(table: pa.Table, vocabulary: str) -> Subwords:
+@dataclass
+class Known:
+    """Ids of words that were met before: spans of `ids` by sorted hashes."""
+
+    hashes: np.ndarray
+    begins: np.ndarray
+    sizes: np.ndarray
+    ids: np.ndarray
+
+    @classmethod
+    def none(cls) -> Known:
+        return cls(np.zeros(0, np.uint64), *(np.zeros(0, np.int64) for _ in range(3)))
+
+    def missing(self, hashes: np.ndarray) -> np.ndarray:
+        at = np.searchsorted(self.hashes, hashes)
+        return np.append(self.hashes, np.uint64(0))[at] != hashes if len(self.hashes) else np.ones(len(hashes), bool)
+
+    def add(self, hashes: np.ndarray, ids: np.ndarray, firsts: np.ndarray) -> None:
+        order = np.argsort(both := np.concatenate([self.hashes, hashes]), kind="stable")
+        self.hashes = both[order]
+        self.begins = np.concatenate([self.begins, firsts[:-1] + len(self.ids)])[order]
+        self.sizes = np.concatenate([self.sizes, np.diff(firsts)])[order]
+        self.ids = np.concatenate([self.ids, ids])
+
+    def of(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of known words, end to end, and where each word's begin."""
+        at = np.searchsorted(self.hashes, hashes)
+        sizes = self.sizes[at]
+        return _joined(self.ids, self.begins[at], sizes), np.concatenate([[0], np.cumsum(sizes)])
+
+
+def subwords(table: pa.Table, vocabulary: str, known: Known | None = None) -> Subwords:
+    """The words of the documents as ids; only words that are not known are encoded, and become known."""
+    known = known or Known.none()
     hashes, texts, starts, sizes, counts, before = [], [], [], [], [np.zeros(1, np.int64)], 0
     for part in chunks(table, "text"):
         w = Words(part.column("text"), SPACED, lower=True)
@@ -123,10 +158,11 @@ def subwords(table: pa.Table, vocabulary: str) -> Subwords:
         before += len(w.data)
     joined = lambda parts, kind: np.concatenate(parts) if parts else np.zeros(0, kind)
     distinct, first, number = _distinct(joined(hashes, np.uint64))
-    lengths = joined(sizes, np.int64)[first]
-    text = _spaced(joined(texts, np.uint8), joined(starts, np.int64)[first], lengths)
-    ids, firsts = _encoded(text, lengths, encoder(vocabulary), _opens(vocabulary))
-    return Subwords(distinct, number, np.cumsum(np.concatenate(counts)), ids, firsts)
+    new = known.missing(distinct)
+    lengths = joined(sizes, np.int64)[first[new]]
+    text = _spaced(joined(texts, np.uint8), joined(starts, np.int64)[first[new]], lengths)
+    known.add(distinct[new], *_encoded(text, lengths, encoder(vocabulary), _opens(vocabulary)))
+    return Subwords(distinct, number, np.cumsum(np.concatenate(counts)), *known.of(distinct))
 
 
 # One row a segment: its documents, and `Subwords` as bytes.
@@ -139,8 +175,8 @@ def encode_segments(rows: DataFrame, vocabulary: str, segment_rows: int) -> Data
     A segment is what a task reads one after the other, at most `segment_rows` documents and SEGMENT_BYTES of text (or one document);
     no text is shuffled.
     """
-    def encoded(segment: int, table: pa.Table) -> pa.RecordBatch:
-        sub = subwords(table, vocabulary)
+    def encoded(segment: int, table: pa.Table, known: Known) -> pa.RecordBatch:
+        sub = subwords(table, vocabulary, known)
         # Byte planes one after the other, so that the high ones compress.
         planes = lambda a: a.astype("<u4").view(np.uint8).reshape(-1, 4).T
         one = lambda a: pa.array([a.tobytes()], pa.binary())
@@ -151,18 +187,19 @@ def encode_segments(rows: DataFrame, vocabulary: str, segment_rows: int) -> Data
             "ids": one(planes(sub.ids)), "sizes": one(planes(np.diff(sub.firsts)))})
 
     def encode(batches):
-        segment, held, n, size = TaskContext.get().partitionId() << 12, [], 0, 0
+        segment, held, n, size, known = TaskContext.get().partitionId() << 12, [], 0, 0, Known.none()
         for batch in batches:
             for part in chunks(batch, "text"):
                 for at in range(0, part.num_rows, segment_rows):
                     piece = part.slice(at, segment_rows)
                     more = pc.sum(pc.binary_length(piece.column("text"))).as_py() or 0
                     if held and (n + piece.num_rows > segment_rows or size + more > SEGMENT_BYTES):
-                        yield encoded(segment, pa.Table.from_batches(held))
+                        yield encoded(segment, pa.Table.from_batches(held), known)
+                        known = known if len(known.hashes) <= KNOWN_WORDS else Known.none()
                         segment, held, n, size = segment + 1, [], 0, 0
                     held, n, size = [*held, piece], n + piece.num_rows, size + more
         if held:
-            yield encoded(segment, pa.Table.from_batches(held))
+            yield encoded(segment, pa.Table.from_batches(held), known)
 
     return rows.select("doc_id", "text", "held_out").mapInArrow(encode, ENCODED)
 
@@ -212,12 +249,20 @@ def streams(sub: Subwords, end: int) -> tuple[np.ndarray, np.ndarray]:
     lengths = before[sub.bounds[1:]] - before[sub.bounds[:-1]]
     starts = np.concatenate([[0], np.cumsum(lengths + 2)])
     out = np.full(starts[-1], end, np.int64)
-    ids = sub.ids[np.arange(before[-1]) - np.repeat(before[:-1], sizes) + np.repeat(sub.firsts[:-1][sub.number], sizes)] if len(sub.number) else sub.ids[:0]
-    doc = np.repeat(np.arange(len(lengths)), lengths)
-    out[np.arange(len(ids)) + 2 * doc + 1] = ids
+    inner = np.ones(len(out), bool)
+    inner[starts[:-1]] = inner[starts[1:] - 1] = False
+    out[inner] = _joined(sub.ids, sub.firsts[:-1][sub.number], sizes)
     return out, starts
 
 
+def _joined(values: np.ndarray, begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Spans of the values end to end."""
+    after = np.cumsum(sizes)
+    at = np.repeat(begins - (after - sizes), sizes)
+    at += np.arange(len(at))
+    return values.take(at)
+
+
 def window_starts(starts: np.ndarray, overlap: int = OVERLAP) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Begin, end and document of every window.  A document of n predictions begins at its start; later windows overlap."""
     predictions = np.diff(starts) - 1
@@ -275,7 +320,7 @@ class Model:
         whole = s @ np.ones((n, WIDTH), np.float32)  # each sum as often as it divides
         mixed = s @ value
         mixed /= whole
-        return x[:, skip:] + mixed, (x, turned, query, value, s, whole, mixed)
+        return x[:, skip:] + mixed, (x, turned, query, s, whole, mixed)
 
     def forward(self, inputs: np.ndarray, skip: int = 0) -> tuple:
         """Logits of the classes after positions skip, skip + 1, ... of windows of ids."""
@@ -293,8 +338,8 @@ class Model:
         scores, added = np.hsplit(grads.pop("folded"), 2)
         scores = scores * np.float32(WIDTH**-0.5)
         grads |= {"q": scores @ self.k, "k": scores.T @ self.q, "v": added @ self.o.T, "o": self.v.T @ added, "place": dx.sum(axis=0)}
-        rows = self.row_of.take(inputs.reshape(-1)).astype(np.uint16)  # narrow numbers are sorted by radix
-        order = np.argsort(rows, kind="stable")
+        rows = self.row_of.take(inputs.reshape(-1))
+        order = np.argsort(rows, kind="stable")  # of narrow numbers: by radix
         rows = rows[order]
         firsts = np.flatnonzero(np.append(True, rows[1:] != rows[:-1]))
         grads["embed"] = np.zeros_like(self.embed)
@@ -306,7 +351,7 @@ class Model:
 
         The bias and the sums of the two softmaxes go into narrow factors, so that no more passes over their entries are made than needed.
         """
-        h, (x, turned, query, value, s, whole, mixed) = self.hidden(inputs, 0, folded)
+        h, (x, turned, query, s, whole, mixed) = self.hidden(inputs, 0, folded)
         logits = h @ self.out
         np.exp(logits, out=logits)
         d, up = logits.reshape(-1, CLASSES), np.exp(self.bias)
@@ -322,7 +367,7 @@ class Model:
         dh = logits @ np.ascontiguousarray((self.out * up).T)
         dh *= wide
         g = dh / whole
-        ds = g @ np.ascontiguousarray(value.transpose(0, 2, 1))
+        ds = g @ (np.ascontiguousarray(folded[:, WIDTH:].T) @ turned)  # the values, turned
         mixed *= g
         ds -= mixed @ np.ones((WIDTH, inputs.shape[1]), np.float32)
         ds *= s
@@ -362,35 +407,45 @@ class Moments:
         return cls(*({n: np.zeros_like(getattr(model, n)) for n in PARTS} for _ in range(2)))
 
 
+def _windows(stream: np.ndarray) -> np.ndarray:
+    """For each place the ids from it on, as many as a window reads and the one after; a view, with ends behind the stream."""
+    return np.lib.stride_tricks.sliding_window_view(np.append(stream, np.full(CONTEXT, stream[-1] if len(stream) else 0)), CONTEXT + 1)
+
+
+def _step(weights: np.ndarray, g: np.ndarray, first: np.ndarray, second: np.ndarray, turn: int, rate: float) -> None:
+    """One step of Adam, in place; `g` is used up."""
+    root = (1 - 0.99**turn)**0.5
+    step = g - first
+    step *= np.float32(0.1)
+    first += step
+    g *= g
+    g -= second
+    g *= np.float32(0.01)
+    second += g
+    np.sqrt(second, out=g)
+    g += np.float32(1e-7 * root)
+    np.divide(first, g, out=g)
+    g *= np.float32(rate * root / (1 - 0.9**turn))
+    weights -= g
+
+
 def train(model: Model, stream: np.ndarray, starts: np.ndarray, epochs: int, rate: float = RATE, moments: Moments | None = None, batch: int = BATCH_WINDOWS // 4) -> int:
     """Adam steps over shuffled windows, from `moments` on; returns how many windows there are.  Windows lie side by side: each id is learned once."""
     begin, end, _ = window_starts(starts, 0)
     moments = moments or Moments.of(model)
-    first, second, turn = moments.first, moments.second, moments.turn
+    turn = moments.turn
     rng = np.random.default_rng(5)
+    windows = _windows(stream)
     for _ in range(epochs):
         order = rng.permutation(len(begin))
         for at in range(0, len(order), batch):
             own = order[at:at + batch]
-            places = begin[own, None] + np.arange(CONTEXT)
-            valid = places < end[own, None]
-            places = np.minimum(places, len(stream) - 2)
-            grads = model.gradients(stream.take(places), stream.take(places + 1), valid)
+            ids = windows[begin[own]]
+            valid = np.arange(CONTEXT) < (end - begin)[own, None]
+            grads = model.gradients(ids[:, :-1], ids[:, 1:], valid)
             turn += 1
-            root = (1 - 0.99**turn)**0.5
             for n, g in grads.items():
-                step = g - first[n]
-                step *= np.float32(0.1)
-                first[n] += step
-                g *= g
-                g -= second[n]
-                g *= np.float32(0.01)
-                second[n] += g
-                np.sqrt(second[n], out=step)
-                step += np.float32(1e-7 * root)
-                np.divide(first[n], step, out=step)
-                step *= np.float32(rate * root / (1 - 0.9**turn))
-                getattr(model, n)[...] -= step
+                _step(getattr(model, n), g, moments.first[n], moments.second[n], turn, rate)
     moments.turn = turn
     return len(begin)
 
@@ -448,30 +503,27 @@ def fresh(stream: np.ndarray, size: int, count: np.ndarray | None = None, pairs:
     row_of[common] = np.arange(len(common))
     draw = lambda *shape: rng.normal(0, 0.1, shape).astype(np.float32)
     return Model(draw(OWN_IDS + CLASSES, WIDTH), draw(CONTEXT, WIDTH), draw(WIDTH, WIDTH), draw(WIDTH, WIDTH), draw(WIDTH, WIDTH),
-                 draw(WIDTH, WIDTH), draw(WIDTH, CLASSES), np.zeros(CLASSES, np.float32), class_of, row_of)
+                 draw(WIDTH, WIDTH), draw(WIDTH, CLASSES), np.zeros(CLASSES, np.float32), class_of.astype(np.uint8), row_of.astype(np.uint16))
 
 
 def log_probabilities(model: Model, stream: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """For each place of the streams the natural logarithm of its id's probability; 0 at the start of a document."""
     begin, end, _ = window_starts(starts)
-    of_class = model.class_of[stream]
+    windows, of_class = _windows(stream), _windows(model.class_of[stream])
     out = np.zeros(len(stream))
     up = np.exp(model.bias)[:, None]
     opening = np.isin(begin, starts[:-1])
     for skip, own in ((0, np.flatnonzero(opening)), (OVERLAP, np.flatnonzero(~opening))):
         for at in range(0, len(own), SCORED_WINDOWS):
-            some = own[at:at + SCORED_WINDOWS]
-            places = begin[some, None] + np.arange(CONTEXT)
-            h, _ = model.hidden(stream.take(np.minimum(places, len(stream) - 2)), skip)
+            some = begin[own[at:at + SCORED_WINDOWS]]
+            h, _ = model.hidden(windows[some, :CONTEXT], skip)
             logits = h @ model.out  # the bias goes into the sum and the class that is asked for
-            places = places[:, skip:]
-            valid = places < end[some, None]
-            next_ = np.minimum(places + 1, len(stream) - 1)
-            asked = of_class.take(next_)
+            asked = of_class[some, skip + 1:]
             got = logits.take(np.arange(0, logits.size, CLASSES).reshape(asked.shape) + asked) + model.bias.take(asked)
             np.exp(logits, out=logits)
             got -= np.log((logits @ up)[..., 0])
-            out[next_[valid]] = got[valid]
+            valid = np.arange(skip, CONTEXT) < (end[own[at:at + SCORED_WINDOWS]] - some)[:, None]
+            out[(some[:, None] + np.arange(skip + 1, CONTEXT + 1))[valid]] = got[valid]
     out += model.emission[stream]
     out[starts[:-1]] = 0
     return out

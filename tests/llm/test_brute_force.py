@@ -6,6 +6,7 @@ import collections
 import hashlib
 import math
 import re
+import time
 import zlib
 
 import numpy as np
@@ -377,3 +378,69 @@ def test_slices_of_a_batch_give_the_same_gradients(monkeypatch):
     monkeypatch.setattr(lm, "SLICE_WINDOWS", 2)
     parts = model.gradients(inputs, targets, valid)
     assert all(np.allclose(whole[n], parts[n], atol=1e-6) for n in lm.PARTS)
+
+
+def plain_gradients(m, inputs, targets, valid):
+    """Attention written out, each product by itself: logits, and the gradients of the mean loss."""
+    rows, k, turn = m.row_of[inputs], m.class_of[targets], (0, 2, 1)
+    x = m.embed[rows] + m.place[:inputs.shape[1]]
+    query, key, value = x @ m.q, x @ m.k, x @ m.v
+    s = np.exp(query @ key.transpose(turn) * np.float32(lm.WIDTH**-0.5)) * lm.MASK[:inputs.shape[1], :inputs.shape[1]]
+    s = s / s.sum(axis=2, keepdims=True)
+    mixed = s @ value
+    h = x + mixed @ m.o
+    logits = h @ m.out + m.bias
+    d = np.exp(logits)
+    d = d / d.sum(axis=2, keepdims=True)
+    d[np.arange(len(k))[:, None], np.arange(k.shape[1]), k] -= 1
+    d = d * (valid / np.float32(valid.sum()))[..., None].astype(np.float32)
+    flat = lambda a: a.reshape(-1, a.shape[-1])
+    dh = d @ m.out.T
+    dmixed = dh @ m.o.T
+    ds = dmixed @ value.transpose(turn)
+    ds = s * (ds - (ds * s).sum(axis=2, keepdims=True)) * np.float32(lm.WIDTH**-0.5)
+    dquery, dkey, dvalue = ds @ key, ds.transpose(turn) @ query, s.transpose(turn) @ dmixed
+    dx = dh + dquery @ m.q.T + dkey @ m.k.T + dvalue @ m.v.T
+    embed = np.zeros_like(m.embed)
+    np.add.at(embed, rows, dx)
+    return logits, {"out": flat(h).T @ flat(d), "bias": flat(d).sum(axis=0), "o": flat(mixed).T @ flat(dh), "q": flat(x).T @ flat(dquery), "k": flat(x).T @ flat(dkey),
+                    "v": flat(x).T @ flat(dvalue), "place": dx.sum(axis=0), "embed": embed}
+
+
+def test_attention_equals_the_plain_form_in_less_time():
+    rng = np.random.default_rng(4)
+    model = lm.fresh(rng.integers(0, 5000, 60000), 6000)
+    for name in lm.PARTS:  # larger weights, so that no part of the gradients is near 0
+        getattr(model, name)[...] += rng.normal(0, 0.2, getattr(model, name).shape)
+    inputs, targets = rng.integers(0, 6000, (2, lm.BATCH_WINDOWS, lm.CONTEXT))
+    valid = rng.random(inputs.shape) < 0.9
+    (logits, want), found = plain_gradients(model, inputs, targets, valid), model.gradients(inputs, targets, valid)
+    assert np.allclose(logits, model.forward(inputs)[0], atol=1e-4) and set(found) == set(want) == set(lm.PARTS)
+    for name in lm.PARTS:
+        assert np.allclose(found[name], want[name], rtol=1e-3, atol=1e-5 * np.abs(want[name]).max() + 1e-7), name
+
+    def seconds(work):
+        began = time.process_time()
+        work(model, inputs, targets, valid)
+        return time.process_time() - began
+
+    pairs = [(seconds(lm.Model.gradients), seconds(plain_gradients)) for _ in range(9)]
+    assert min(a for a, _ in pairs) < 0.7 * min(b for _, b in pairs)
+
+
+def test_known_words_are_encoded_once(monkeypatch):
+    texts = [["one two one", None, "", "three  four <|endoftext|>x"], ["two five", "four one "], ["five two"], []]
+    tables, encode, sent = [pa.table({"text": pa.array(t, pa.string())}) for t in texts], encoder(VOCABULARY), []
+    monkeypatch.setattr(lm, "encoder", lambda _: lambda text: (sent.append(text), encode(text))[1])
+    known = lm.Known.none()
+    for table in tables:
+        found = lm.subwords(table, VOCABULARY, known)
+        n = len(sent)
+        plain = lm.subwords(table, VOCABULARY)
+        del sent[n:]
+        assert all(np.array_equal(getattr(found, a), getattr(plain, a)) for a in ("hashes", "number", "bounds", "ids", "firsts"))
+        for k, h in enumerate(found.hashes):
+            word = next(w for t in table.column("text").to_pylist() for w in lower(t).split() if Words(pa.array([w.decode()]), np.ones(256, bool)).hashes()[0] == h)
+            assert found.ids[found.firsts[k]:found.firsts[k + 1]].tolist() == encode(" " + word.decode()).tolist()
+    words = " ".join(sent).split(" ")
+    assert words.count("two") == words.count("five") == words.count("one") == 1
