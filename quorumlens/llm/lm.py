@@ -21,6 +21,9 @@ Equal texts get equal scores.  Without training documents the counts are zero an
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, replace
 
 import numpy as np
@@ -47,6 +50,10 @@ SCORED_WINDOWS = 64
 KNOWN_WORDS = 1 << 19
 # Text of one segment.
 SEGMENT_BYTES = 8 << 20
+# Text whose words are hashed at once, places whose pairs are counted at once, and counts of pairs that a task holds.
+HASHED_BYTES, PAIR_PLACES, PAIRS_HELD = 1 << 19, 1 << 18, 1 << 19
+# Row groups of the stored segments: so many bytes, looked at after each row and not the usual 100, as Spark writes and reads a group at once.
+GROUPS = {"parquet.block.size": 8 << 20} | {f"parquet.{x}.size.row.check.{y}": 1 for x in ("page", "block") for y in ("min", "max")}
 # Segments whose id counts are added up in one task.
 ID_SEGMENTS = 64
 EPOCHS, RATE, SMOOTHING = 4, 1e-2, 0.1
@@ -60,6 +67,13 @@ SCORED_TYPES = dict(zip([c.split()[0] for c in SCORED.split(", ")], [pa.int64(),
 PARTS = ("embed", "place", "q", "k", "v", "o", "out", "bias")
 
 
+def give_back() -> None:
+    """Freed memory goes back to the system where that can be asked for; a worker would keep what its largest task took."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def held_out(doc_id: Column) -> Column:
     return F.crc32(F.encode(F.coalesce(doc_id.cast("string"), F.lit("")), "UTF-8")) % 7 == 2
 
@@ -92,11 +106,11 @@ def _spaced(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> bytes:
 
 def _encoded(text: bytes, sizes: np.ndarray, encode, opens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Ids of the words of `_spaced`, end to end, and where each word's begin."""
-    ids = encode(text.decode()).astype(np.int64) if text else np.zeros(0, np.int64)
+    ids = encode(text.decode()).astype(np.int32) if text else np.zeros(0, np.int32)
     firsts = np.flatnonzero(opens[ids])
     if len(firsts) != len(sizes):  # other white space in a word has met the space before the next
         after = np.cumsum(sizes + 1).tolist()
-        each = [encode(text[a:b].decode()).astype(np.int64) for a, b in zip([0, *after], after)]
+        each = [encode(text[a:b].decode()).astype(np.int32) for a, b in zip([0, *after], after)]
         return np.concatenate(each), np.append(np.cumsum([0] + [len(x) for x in each[:-1]]), sum(map(len, each)))
     return ids, np.append(firsts, len(ids))
 
@@ -124,7 +138,7 @@ class Known:
 
     @classmethod
     def none(cls) -> Known:
-        return cls(np.zeros(0, np.uint64), *(np.zeros(0, np.int64) for _ in range(3)))
+        return cls(np.zeros(0, np.uint64), *(np.zeros(0, np.int32) for _ in range(3)))
 
     def missing(self, hashes: np.ndarray) -> np.ndarray:
         at = np.searchsorted(self.hashes, hashes)
@@ -133,8 +147,8 @@ class Known:
     def add(self, hashes: np.ndarray, ids: np.ndarray, firsts: np.ndarray) -> None:
         order = np.argsort(both := np.concatenate([self.hashes, hashes]), kind="stable")
         self.hashes = both[order]
-        self.begins = np.concatenate([self.begins, firsts[:-1] + len(self.ids)])[order]
-        self.sizes = np.concatenate([self.sizes, np.diff(firsts)])[order]
+        self.begins = np.concatenate([self.begins, firsts[:-1].astype(np.int32) + np.int32(len(self.ids))])[order]
+        self.sizes = np.concatenate([self.sizes, np.diff(firsts).astype(np.int32)])[order]
         self.ids = np.concatenate([self.ids, ids])
 
     def of(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -148,7 +162,7 @@ def subwords(table: pa.Table, vocabulary: str, known: Known | None = None) -> Su
     """The words of the documents as ids; only words that are not known are encoded, and become known."""
     known = known or Known.none()
     hashes, texts, starts, sizes, counts, before = [], [], [], [], [np.zeros(1, np.int64)], 0
-    for part in chunks(table, "text"):
+    for part in chunks(table, "text", HASHED_BYTES):
         w = Words(part.column("text"), SPACED, lower=True)
         hashes.append(w.hashes())
         texts.append(w.data)
@@ -165,7 +179,16 @@ def subwords(table: pa.Table, vocabulary: str, known: Known | None = None) -> Su
     return Subwords(distinct, number, np.cumsum(np.concatenate(counts)), *known.of(distinct))
 
 
-# One row a segment: its documents, and `Subwords` as bytes.
+def _pressed(data: bytes) -> bytes:
+    """Compressed before Spark has them: a row of a segment, of which Spark holds several copies and batches, is a third as long."""
+    return len(data).to_bytes(8, "little") + pa.compress(data, codec="zstd", asbytes=True)
+
+
+def _unpressed(data: pa.Buffer) -> np.ndarray:
+    return np.frombuffer(pa.decompress(data.slice(8), int.from_bytes(data[:8], "little"), codec="zstd"), np.uint8)
+
+
+# One row a segment: its documents, and `Subwords` as compressed bytes.
 ENCODED = ("segment int, doc_id array<bigint>, held_out array<boolean>, hashes binary, number binary, bounds binary, ids binary, sizes binary")
 
 
@@ -175,18 +198,21 @@ def encode_segments(rows: DataFrame, vocabulary: str, segment_rows: int) -> Data
     A segment is what a task reads one after the other, at most `segment_rows` documents and SEGMENT_BYTES of text (or one document);
     no text is shuffled.
     """
+    opens = _opens(vocabulary)
+
     def encoded(segment: int, table: pa.Table, known: Known) -> pa.RecordBatch:
         sub = subwords(table, vocabulary, known)
         # Byte planes one after the other, so that the high ones compress.
-        planes = lambda a: a.astype("<u4").view(np.uint8).reshape(-1, 4).T
-        one = lambda a: pa.array([a.tobytes()], pa.binary())
+        planes = lambda a: a.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+        one = lambda data: pa.array([_pressed(data)], pa.binary())
         listed = lambda name, kind: pa.ListArray.from_arrays(pa.array([0, table.num_rows], pa.int32()), table.column(name).combine_chunks().cast(kind))
         return pa.RecordBatch.from_pydict({
             "segment": pa.array([segment], pa.int32()), "doc_id": listed("doc_id", pa.int64()), "held_out": listed("held_out", pa.bool_()),
-            "hashes": pa.array([pack_sorted(sub.hashes)], pa.binary()), "number": one(planes(sub.number)), "bounds": one(sub.bounds.astype("<i8")),
+            "hashes": one(pack_sorted(sub.hashes)), "number": one(planes(sub.number)), "bounds": one(sub.bounds.astype("<i8").tobytes()),
             "ids": one(planes(sub.ids)), "sizes": one(planes(np.diff(sub.firsts)))})
 
     def encode(batches):
+        _opens(vocabulary, opens)
         segment, held, n, size, known = TaskContext.get().partitionId() << 12, [], 0, 0, Known.none()
         for batch in batches:
             for part in chunks(batch, "text"):
@@ -200,16 +226,18 @@ def encode_segments(rows: DataFrame, vocabulary: str, segment_rows: int) -> Data
                     held, n, size = [*held, piece], n + piece.num_rows, size + more
         if held:
             yield encoded(segment, pa.Table.from_batches(held), known)
+        del held, known
+        give_back()
 
     return rows.select("doc_id", "text", "held_out").mapInArrow(encode, ENCODED)
 
 
 def decoded(batch: pa.RecordBatch | pa.Table, at: int) -> tuple[Subwords, np.ndarray]:
     """The subwords of the documents of one row, and which of them are held out; without the hashes if they were not read."""
-    raw = {n: np.frombuffer(batch.column(n)[at].as_py(), np.uint8) for n in ("number", "bounds", "ids", "sizes")}
-    hashes = unpack_sorted(batch.column("hashes")[at].as_py()) if "hashes" in batch.schema.names else np.zeros(0, np.uint64)
-    whole = lambda n: np.ascontiguousarray(raw[n].reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
-    sub = Subwords(hashes, whole("number"), raw["bounds"].view("<i8"), whole("ids"), np.concatenate([[0], np.cumsum(whole("sizes"))]))
+    raw = lambda n: _unpressed(batch.column(n)[at].as_buffer())
+    hashes = unpack_sorted(raw("hashes")) if "hashes" in batch.schema.names else np.zeros(0, np.uint64)
+    whole = lambda n: np.ascontiguousarray(raw(n).reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
+    sub = Subwords(hashes, whole("number"), raw("bounds").view("<i8"), whole("ids"), np.concatenate([[0], np.cumsum(whole("sizes"))]))
     return sub, np.array(batch.column("held_out")[at].as_py(), bool)
 
 
@@ -223,8 +251,10 @@ def training_streams(batch: pa.RecordBatch, at: int, end: int) -> tuple[np.ndarr
 _OPENS: dict[str, np.ndarray] = {}
 
 
-def _opens(vocabulary: str) -> np.ndarray:
-    """True for the ids whose text begins with a space."""
+def _opens(vocabulary: str, made: np.ndarray | None = None) -> np.ndarray:
+    """True for the ids whose text begins with a space; `made` elsewhere, so that a worker needn't load the vocabulary for it."""
+    if made is not None:
+        _OPENS[vocabulary] = made
     if vocabulary not in _OPENS:
         from tokenizers import Tokenizer
 
@@ -466,6 +496,37 @@ def pairs_of(stream: np.ndarray, starts: np.ndarray, column: np.ndarray) -> tupl
     return np.unique(stream[at] * 128 + column[stream[at - 1]], return_counts=True)
 
 
+def pairs_in_parts(stream: np.ndarray, starts: np.ndarray, column: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """`pairs_of` one stretch of places after the other; each begins with the id before it."""
+    for at in range(0, len(stream), PAIR_PLACES):
+        first, last = max(at - 1, 0), min(at + PAIR_PLACES, len(stream))
+        own = starts[np.searchsorted(starts, at):np.searchsorted(starts, last)] - first
+        yield pairs_of(stream[first:last], np.concatenate([[0], own, [last - first]]), column)
+
+
+def added_pairs(parts: Iterable[tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The parts added up: sorted keys and counts, in more than one piece where there are more than half of PAIRS_HELD keys."""
+    held, size = [], 0
+    for part in parts:
+        held, size = [*held, part], size + len(part[0])
+        if size > PAIRS_HELD:
+            held = [_sums(held)]
+            size = len(held[0][0])
+            if size > PAIRS_HELD // 2:
+                yield held[0]
+                held, size = [], 0
+    if size:
+        yield _sums(held)
+
+
+def _sums(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    keys, n = map(np.concatenate, zip(*parts))
+    order = np.argsort(keys, kind="stable")
+    keys, n = keys[order], n[order]
+    firsts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+    return keys[firsts], np.add.reduceat(n, firsts)
+
+
 def classes(count: np.ndarray, pairs: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
     """A class for every id: k-means over the ids that stand before it; ids that are too rare share classes by their number."""
     size = len(count)
@@ -540,12 +601,13 @@ def word_log_probabilities(values: np.ndarray, starts: np.ndarray, sub: Subwords
 
 
 def _sender(vocabulary: str, buckets: int):
+    end = end_id(vocabulary)
+
     def send(batches):
         for batch in batches:
             for at, segment in enumerate(batch.column("segment").to_pylist()):
                 sub, out = decoded(batch, at)
                 n = np.bincount(sub.number[np.repeat(~out, sub.counts)], minlength=len(sub.hashes))
-                end = end_id(vocabulary)
                 ids = np.bincount(sub.ids, np.repeat(n, np.diff(sub.firsts)), end + 1).astype("<i8")
                 ids[end] += int((~out).sum())
                 some = np.flatnonzero(ids)
@@ -593,6 +655,8 @@ def _count(table):
 
 
 def _scorer(model, vocabulary: str, docs_n: int, tokens: int, types: int):
+    end = end_id(vocabulary)
+
     def score(key, docs, told):
         m = model.value
         if not docs.num_rows:
@@ -605,7 +669,7 @@ def _scorer(model, vocabulary: str, docs_n: int, tokens: int, types: int):
         hit = np.concatenate([[0], np.cumsum((c > 0)[sub.number])])
         lengths = sub.counts + 1
         base = each[sub.bounds[1:]] - each[sub.bounds[:-1]] + np.log10(docs_n + 1.0) - lengths * below
-        stream, starts = streams(sub, end_id(vocabulary))
+        stream, starts = streams(sub, end)
         attention = word_log_probabilities(log_probabilities(m, stream, starts), starts, sub)
         ends = sub.bounds[1:] + np.arange(len(lengths))  # of the documents, counted in words and ends
         counted = np.empty(len(attention))
@@ -626,17 +690,13 @@ def _scorer(model, vocabulary: str, docs_n: int, tokens: int, types: int):
 
 def id_pairs(encoded: DataFrame, count: np.ndarray, vocabulary: str) -> tuple[np.ndarray, np.ndarray]:
     """`pairs_of` all training documents, added up inside the tasks first; at most 128 rows an id of the vocabulary."""
-    sent = encoded.sparkSession.sparkContext.broadcast(columns(count))
+    sent, end = encoded.sparkSession.sparkContext.broadcast(columns(count)), end_id(vocabulary)
 
     def pairs(batches):
-        end = end_id(vocabulary)
-        total = np.zeros(128 * (end + 1), np.int64)
-        for batch in batches:
-            for at in range(batch.num_rows):
-                keys, n = pairs_of(*training_streams(batch, at, end), sent.value)
-                total[keys] += n
-        keys = np.flatnonzero(total)
-        yield pa.RecordBatch.from_pydict({"key": pa.array(keys, pa.int64()), "n": pa.array(total[keys], pa.int64())})
+        parts = (part for batch in batches for at in range(batch.num_rows) for part in pairs_in_parts(*training_streams(batch, at, end), sent.value))
+        for keys, n in added_pairs(parts):
+            yield pa.RecordBatch.from_pydict({"key": pa.array(keys, pa.int64()), "n": pa.array(n, pa.int64())})
+        give_back()
 
     found = encoded.mapInArrow(pairs, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).toArrow()
     return found.column("key").to_numpy(), found.column("n").to_numpy()
@@ -646,14 +706,27 @@ def _added(table: pa.Table) -> pa.Table:
     return pa.table({"value": pa.array([np.sum([np.frombuffer(v.as_py(), "<f8") for v in table.column("value")], axis=0).tobytes()], pa.binary())})
 
 
+def first_texts(train_docs: DataFrame) -> list[str]:
+    """The texts of the SAMPLE_DOCS least rows by a hash of the id, the id and the text.
+
+    The least hashes are found without texts, so that only rows up to the last of them are read with texts; where many rows share
+    an id these are merged in a task.  The driver gets SAMPLE_DOCS texts, not as many from each task.
+    """
+    rows = train_docs.select(F.xxhash64(F.lit("lm"), "doc_id").alias("draw"), "doc_id", "text")
+    least = rows.select("draw").orderBy("draw").limit(SAMPLE_DOCS).agg(F.max("draw")).first()[0]
+    if least is None:
+        return []
+    found = rows.filter(F.col("draw") <= least).orderBy("draw", "doc_id", "text").limit(SAMPLE_DOCS).select("text")
+    return [r["text"] for r in found.repartition(1).collect()]
+
+
 def fit(train_docs: DataFrame, encoded: DataFrame, count: np.ndarray, vocabulary: str) -> Model:
     """Classes from counts over all training documents; first weights from a bounded sample, trained further on all documents."""
     spark = train_docs.sparkSession
-    size = end_id(vocabulary) + 1
-    draw = F.xxhash64(F.lit("lm"), "doc_id")
-    texts = [r["text"] for r in train_docs.orderBy(draw, "doc_id", "text").limit(SAMPLE_DOCS).select("text").collect()]
-    stream, starts = streams(subwords(pa.table({"text": pa.array(texts, pa.string())}), vocabulary), end_id(vocabulary))
-    model = fresh(stream, size, count, id_pairs(encoded, count, vocabulary))
+    end = end_id(vocabulary)
+    texts = first_texts(train_docs)
+    stream, starts = streams(subwords(pa.table({"text": pa.array(texts, pa.string())}), vocabulary), end)
+    model = fresh(stream, end + 1, count, id_pairs(encoded, count, vocabulary))
     if len(texts):
         train(model, stream, starts, EPOCHS)
     sent = spark.sparkContext.broadcast(model)
@@ -664,7 +737,7 @@ def fit(train_docs: DataFrame, encoded: DataFrame, count: np.ndarray, vocabulary
         moments = Moments.of(mine)
         for batch in batches:
             for at in range(batch.num_rows):
-                stream, starts = training_streams(batch, at, end_id(vocabulary))
+                stream, starts = training_streams(batch, at, end)
                 if len(starts) > 1:
                     n += train(mine, stream, starts, 1, RATE / 3, moments, BATCH_WINDOWS)
         if n:
@@ -707,7 +780,7 @@ def score_documents(docs: DataFrame, vocabulary: str = VOCABULARY, segment_rows:
     train_docs = rows.filter(~F.col("held_out"))
     n_docs, n_train = rows.count(), docs.select("doc_id").filter(~held_out(F.col("doc_id"))).count()
     segments = max(1, -(-n_docs // segment_rows))
-    encoded = stored(encode_segments(rows, vocabulary, segment_rows))
+    encoded = stored(encode_segments(rows, vocabulary, segment_rows), **GROUPS)
     sent = encoded.mapInArrow(_sender(vocabulary, ex.bucket_count(segments)), ex.MESSAGE)
     told = stored(sent.groupBy("bucket").applyInArrow(_count, TOLD))
     encoded = encoded.drop("hashes")

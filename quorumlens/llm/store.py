@@ -14,9 +14,9 @@ def folder(spark: SparkSession) -> str:
     return (set_to or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints").rstrip("/")
 
 
-def stored(df: DataFrame) -> DataFrame:
+def stored(df: DataFrame, **options: int) -> DataFrame:
     """The rows written as Parquet in the shared folder and read back, which cuts the lineage; survives lost executors."""
     spark = df.sparkSession
     path = f"{folder(spark)}/table-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.options(compression="zstd", **options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -11,6 +11,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from compare import compare, connect
 from pyspark.sql import functions as F
@@ -444,3 +445,53 @@ def test_known_words_are_encoded_once(monkeypatch):
             assert found.ids[found.firsts[k]:found.firsts[k + 1]].tolist() == encode(" " + word.decode()).tolist()
     words = " ".join(sent).split(" ")
     assert words.count("two") == words.count("five") == words.count("one") == 1
+
+
+def test_first_texts_are_the_least_rows_and_few_reach_the_driver(spark, monkeypatch):
+    """The driver gets as many texts as are asked for, and not as many from each task; ids that are shared or missing change nothing."""
+    rows = [(None if i % 97 == 0 else i // 3, f"{i * 7919 % 1000:04d} " + "word " * 400) for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(12).localCheckpoint()
+    monkeypatch.setattr(lm, "SAMPLE_DOCS", 150)
+    draw = {r["doc_id"]: r["h"] for r in docs.select("doc_id", F.xxhash64(F.lit("lm"), "doc_id").alias("h")).distinct().collect()}
+    want = [t for _, t in sorted(rows, key=lambda r: (draw[r[0]], r[0] is not None, r[0] or 0, r[1]))[:150]]
+    same_id = docs.withColumn("doc_id", F.lit(None).cast("long"))
+    conf = spark.sparkContext._jsc.sc().conf()
+    conf.set("spark.driver.maxResultSize", "1m")  # 12 tasks with 150 texts each have 3.6 MB
+    try:
+        assert lm.first_texts(docs) == want
+        assert lm.first_texts(same_id) == sorted(t for _, t in rows)[:150]
+        assert lm.first_texts(docs.limit(0)) == []
+    finally:
+        conf.remove("spark.driver.maxResultSize")
+
+
+def test_stored_segments_are_short_and_read_in_small_groups(spark):
+    """A segment's row has its bytes compressed, and a task that makes many segments doesn't write them, nor read them, all at once."""
+    rng = np.random.default_rng(6)
+    words = np.array([f"w{i}" for i in range(20000)])
+    docs = spark.createDataFrame([(i, " ".join(words[rng.integers(0, 20000, 3000)])) for i in range(300)], "doc_id long, text string").withColumn("held_out", F.lit(False)).coalesce(1)
+    encoded = lm.stored(lm.encode_segments(docs, VOCABULARY, 10), **{**lm.GROUPS, "parquet.block.size": 300_000})
+    files = [pq.ParquetFile(f.removeprefix("file://").removeprefix("file:")) for f in encoded.inputFiles()]
+    groups = [f.metadata.row_group(k) for f in files for k in range(f.metadata.num_row_groups)]
+    assert sum(g.num_rows for g in groups) >= 30 and max(g.num_rows for g in groups) <= 4
+    for row in encoded.collect():
+        sub, _ = lm.decoded(pa.Table.from_pylist([row.asDict()]), 0)
+        assert sum(len(row[n]) for n in ("hashes", "number", "bounds", "ids", "sizes")) < 0.6 * (4 * (len(sub.number) + len(sub.ids) + len(sub.hashes)) + 8 * (len(sub.hashes) + len(sub.bounds)))
+
+
+def test_pairs_of_parts_add_up(monkeypatch):
+    rng = np.random.default_rng(8)
+    lengths = [2, 2, 40, 3, 700, 2, 90, 5]
+    starts = np.cumsum([0, *lengths])
+    stream, column = rng.integers(0, 50, starts[-1]), lm.columns(rng.integers(1, 99, 50))
+    keys, n = lm.pairs_of(stream, starts, column)
+    for places, held in ((1, 4), (2, 50), (7, 3), (41, 200), (1000, 10**6)):
+        monkeypatch.setattr(lm, "PAIR_PLACES", places)
+        monkeypatch.setattr(lm, "PAIRS_HELD", held)
+        pieces, total = [*lm.added_pairs(lm.pairs_in_parts(stream, starts, column))], collections.Counter()
+        assert all((np.diff(k) > 0).all() and len(k) <= held + len(column) * 2 for k, _ in pieces)
+        for k, m in pieces:
+            total.update(dict(zip(k.tolist(), m.tolist())))
+        assert total == dict(zip(keys.tolist(), n.tolist()))
+    monkeypatch.setattr(lm, "PAIR_PLACES", 1 << 18)
+    assert [*lm.added_pairs(lm.pairs_in_parts(np.zeros(0, np.int64), np.zeros(1, np.int64), column))] == []
