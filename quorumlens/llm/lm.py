@@ -221,6 +221,8 @@ def encode_segments(rows: DataFrame, vocabulary: str, segment_rows: int) -> Data
                     more = pc.sum(pc.binary_length(piece.column("text"))).as_py() or 0
                     if held and (n + piece.num_rows > segment_rows or size + more > SEGMENT_BYTES):
                         yield encoded(segment, pa.Table.from_batches(held), known)
+                        if segment % 8 == 7:
+                            give_back()
                         known = known if len(known.hashes) <= KNOWN_WORDS else Known.none()
                         segment, held, n, size = segment + 1, [], 0, 0
                     held, n, size = [*held, piece], n + piece.num_rows, size + more

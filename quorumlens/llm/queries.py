@@ -21,8 +21,12 @@ def query(name: str, sql: str | None = None) -> Callable:
     return register
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+# Without vectored reads a column of a row group is read in pieces; a vectored read keeps a buffer of its whole length outside the heap, in each of its threads.
+PIECES = {"parquet.hadoop.vectored.io.enabled": False}
+
+
+def table(spark: SparkSession, sf_dir: str, name: str, **options: bool) -> DataFrame:
+    return spark.read.options(**options).parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 SUBSTRING_SQL = r"""
@@ -146,7 +150,7 @@ def line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def attention_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .lm import score_documents
 
-    return score_documents(table(spark, sf_dir, "documents"))
+    return score_documents(table(spark, sf_dir, "documents", **PIECES))
 
 
 @query("op9_license_scan")

@@ -495,3 +495,13 @@ def test_pairs_of_parts_add_up(monkeypatch):
         assert total == dict(zip(keys.tolist(), n.tolist()))
     monkeypatch.setattr(lm, "PAIR_PLACES", 1 << 18)
     assert [*lm.added_pairs(lm.pairs_in_parts(np.zeros(0, np.int64), np.zeros(1, np.int64), column))] == []
+
+
+def test_scores_read_row_groups_in_pieces(spark, sample, monkeypatch):
+    """A vectored read would keep a buffer of a whole column of a row group outside the heap."""
+    seen = []
+    monkeypatch.setattr(lm, "score_documents", lambda docs: seen.append(docs) or docs)
+    QUERIES["op4_attention_scores"](spark, SF)
+    options = seen[0]._jdf.queryExecution().analyzed().collectLeaves().head().relation().options()
+    assert options.get("parquet.hadoop.vectored.io.enabled").get() == "false"
+    assert sorted(r["doc_id"] for r in seen[0].collect()) == sorted(texts(sample))
