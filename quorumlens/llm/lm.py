@@ -30,7 +30,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import exchange as ex
@@ -50,6 +50,8 @@ SCORED_WINDOWS = 64
 KNOWN_WORDS = 1 << 19
 # Text of one segment.
 SEGMENT_BYTES = 8 << 20
+# Documents that Spark sends to a worker at once; both hold the texts of a few such batches, Spark outside the heap.
+SENT_ROWS = 2048
 # Text whose words are hashed at once, places whose pairs are counted at once, and counts of pairs that a task holds.
 HASHED_BYTES, PAIR_PLACES, PAIRS_HELD = 1 << 19, 1 << 18, 1 << 19
 # Row groups of the stored segments: so many bytes, looked at after each row and not the usual 100, as Spark writes and reads a group at once.
@@ -192,6 +194,21 @@ def _unpressed(data: pa.Buffer) -> np.ndarray:
 ENCODED = ("segment int, doc_id array<bigint>, held_out array<boolean>, hashes binary, number binary, bounds binary, ids binary, sizes binary")
 
 
+@contextlib.contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Inside, what runs in this session sends at most SENT_ROWS rows at once to a worker; afterwards the setting is as it was."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    was, now = spark.conf.getAll.get(name), int(spark.conf.get(name))
+    spark.conf.set(name, str(min(now, SENT_ROWS) if now > 0 else SENT_ROWS))
+    try:
+        yield
+    finally:
+        if was is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, was)
+
+
 def encode_segments(rows: DataFrame, vocabulary: str, segment_rows: int) -> DataFrame:
     """The documents (doc_id, text, held_out) as ids, so that the passes over them encode nothing again.
 
@@ -782,7 +799,8 @@ def score_documents(docs: DataFrame, vocabulary: str = VOCABULARY, segment_rows:
     train_docs = rows.filter(~F.col("held_out"))
     n_docs, n_train = rows.count(), docs.select("doc_id").filter(~held_out(F.col("doc_id"))).count()
     segments = max(1, -(-n_docs // segment_rows))
-    encoded = stored(encode_segments(rows, vocabulary, segment_rows), **GROUPS)
+    with small_batches(spark):
+        encoded = stored(encode_segments(rows, vocabulary, segment_rows), **GROUPS)
     sent = encoded.mapInArrow(_sender(vocabulary, ex.bucket_count(segments)), ex.MESSAGE)
     told = stored(sent.groupBy("bucket").applyInArrow(_count, TOLD))
     encoded = encoded.drop("hashes")

@@ -505,3 +505,21 @@ def test_scores_read_row_groups_in_pieces(spark, sample, monkeypatch):
     options = seen[0]._jdf.queryExecution().analyzed().collectLeaves().head().relation().options()
     assert options.get("parquet.hadoop.vectored.io.enabled").get() == "false"
     assert sorted(r["doc_id"] for r in seen[0].collect()) == sorted(texts(sample))
+
+
+def test_texts_are_sent_in_small_batches(spark, monkeypatch):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    monkeypatch.setattr(lm, "SENT_ROWS", 30)
+    docs, before = spark.range(0, 200, 1, 1), spark.conf.get(name)
+    sizes = lambda: [r["n"] for r in docs.mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"n": [b.num_rows]}) for b in batches), "n long").collect()]
+    with lm.small_batches(spark):
+        assert max(sizes()) == 30
+    assert sizes() == [200] and spark.conf.get(name) == before
+    spark.conf.set(name, "20")
+    try:
+        with pytest.raises(ValueError), lm.small_batches(spark):
+            assert max(sizes()) == 20
+            raise ValueError
+        assert spark.conf.get(name) == "20"
+    finally:
+        spark.conf.unset(name)
